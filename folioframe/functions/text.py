@@ -123,7 +123,8 @@ def html_escape(text: Column) -> Column:
 
 
 def data_uri(content: Column, mime: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    code = F.translate(F.base64(content), "\r\n", "")  # base64 may come in lines
+    return F.concat(F.lit(f"data:{mime};base64,"), code)
 
 
 def saturate(v: Column, top: int) -> Column:

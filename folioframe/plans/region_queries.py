@@ -240,11 +240,11 @@ def x26_filter_audit(spark, sf):
 
 
 @query("f11_f12_u5_skip_and_keep", sql="""
-SELECT doc_id, lang IN ('de', 'fr') AS skip_translate, CASE WHEN lang IN ('de', 'fr') THEN substring(text, 1, 20) ELSE upper(substring(text, 1, 20)) END AS text FROM documents""")
+SELECT doc_id, lang IN ('de', 'fr') AS skip_translate, CASE WHEN lang IN ('de', 'fr') THEN text ELSE '<' || text END AS text FROM documents""")
 def f11_f12_u5_skip_and_keep(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.substring("text", 1, 20).alias("text"))
+    df = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), "text")
     todo, rest = filters.split_translatable(filters.flag_skip_language(df, ["de", "fr"]))
-    done = todo.withColumn("text", F.upper("text"))
+    done = todo.withColumn("text", F.concat(F.lit("<"), "text"))
     return done.unionByName(rest).select("doc_id", "skip_translate", "text")
 
 

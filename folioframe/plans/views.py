@@ -17,7 +17,7 @@ SELECT doc_id AS quad_id, doc_id {d} 20 AS page_id,
  CASE WHEN (doc_id {d} 20) % 4 = 3 THEN y ELSE x END AS x, CASE WHEN (doc_id {d} 20) % 4 = 3 THEN x ELSE y END AS y,
  CASE WHEN (doc_id {d} 20) % 4 = 3 THEN h ELSE w END AS w, CASE WHEN (doc_id {d} 20) % 4 = 3 THEN w ELSE h END AS h,
  text, lang, (50 + (doc_id * 13) % 50) / 100.0{dbl} AS score, ((doc_id * 37) % 100) / 100.0{dbl} AS prob
- FROM (SELECT doc_id, substring(text, 1, 40) AS text, lang, 60 + n_chars % 240 AS w, 20 + doc_id % 5 AS h,
+ FROM (SELECT doc_id, text, lang, 60 + n_chars % 240 AS w, 20 + doc_id % 5 AS h,
    CASE WHEN (doc_id % 20) {d} 5 >= 2 THEN 340 + ((doc_id % 20) {d} 5) * 400 - (60 + n_chars % 240)
         ELSE 40 + ((doc_id % 20) {d} 5) * 400 + (doc_id * 7) % 13 END AS x,
    60 + (doc_id % 5) * 34 + CASE WHEN doc_id % 5 >= 3 THEN 60 ELSE 0 END + (doc_id * 11) % 5 AS y FROM documents) s

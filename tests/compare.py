@@ -55,7 +55,8 @@ def compare(spark, con, sf_dir, fn, sql):
     want = rows(want_cols, cur.fetchall())
     if got == want:
         return True, len(got), ""
-    extra = [r for r in got if r not in set(map(repr, want)) and repr(r) not in set(map(repr, want))][:2] if len(got) < 20000 else []
+    wanted = set(map(repr, want))
+    extra = [r for r in got if repr(r) not in wanted][:2]
     have = set(map(repr, got))
     missing = [r for r in want if repr(r) not in have][:2]
     return False, len(got), f"{len(got)} vs {len(want)} rows; extra {extra}; missing {missing}; columns {sorted(got_cols)}"
