@@ -12,6 +12,9 @@ from folioframe.session import broadcast_if_small, cut_lineage
 #: Rules beyond this number are applied by a fold instead of nested calls.
 CHAIN_LIMIT = 64
 
+#: Word characters, digits and word boundaries of a pattern are Unicode ones.
+_UNICODE = "(?U)"
+
 
 def parse_dictionary(lines: DataFrame, line: str = "value", number: str = "line_no") -> tuple[DataFrame, DataFrame]:
     """Rules ``(line_no, pattern, value)`` and rejected lines.
@@ -39,9 +42,9 @@ def apply_rules(text: Column, rules: list[tuple[int, str, str]]) -> Column:
     """Chain every rule over the text in line order."""
     if len(rules) <= CHAIN_LIMIT:
         for _, pattern, value in rules:
-            text = F.regexp_replace(text, pattern, value)
+            text = F.regexp_replace(text, _UNICODE + pattern, value)
         return text
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(v).alias("v")) for _, p, v in rules])
+    table = F.array(*[F.struct(F.lit(_UNICODE + p).alias("p"), F.lit(v).alias("v")) for _, p, v in rules])
     return F.aggregate(table, text, lambda acc, r: F.regexp_replace(acc, r["p"], r["v"]))
 
 
@@ -51,7 +54,7 @@ def replacement_audit(df: DataFrame, key: list[str], text: str, rules: list[tupl
     start = F.col(text)
     names = []
     for i, (_, pattern, value) in enumerate(rules):
-        df = df.withColumn(f"_t{i}", F.regexp_replace(start, pattern, value))
+        df = df.withColumn(f"_t{i}", F.regexp_replace(start, _UNICODE + pattern, value))
         start = F.col(f"_t{i}")
         names.append(f"_t{i}")
     before = [text] + names[:-1]
@@ -213,12 +216,12 @@ def translate_distinct(df: DataFrame, text: str, translator, schema_field: str =
 def glossary_translate(text: Column, glossary: dict[str, str]) -> Column:
     """Table-driven translation: whole words are replaced, longest entry first."""
     for word in sorted(glossary, key=lambda w: (-len(w), w)):
-        text = F.regexp_replace(text, rf"\b{word}\b", glossary[word])
+        text = F.regexp_replace(text, _UNICODE + rf"\b{word}\b", glossary[word])
     return text
 
 
 def _step_at(k: int) -> Column:
-    return F.filter("steps", lambda s: s["step"] == k).getItem(0)
+    return F.get(F.filter("steps", lambda s: s["step"] == k), F.lit(0))
 
 
 def translate_blocks(

@@ -48,6 +48,13 @@ SELECT l_orderkey {d} 40 AS page_id, l_orderkey * 10 + l_linenumber AS seg_id,
  FROM lineitem
 """
 
+# scattered boxes, a few per page, many of them overlapping or nested
+_BOXES = """
+SELECT l_orderkey AS page_id, l_linenumber AS panel_id, x, y, x + w AS r, y + h AS b
+ FROM (SELECT l_orderkey, l_linenumber, l_partkey % 400 AS x, (l_suppkey * 37 + l_partkey) % 500 AS y,
+   40 + (l_partkey * 7 + l_linenumber * 31) % 300 AS w, 30 + (l_suppkey * 13 + l_linenumber * 17) % 350 AS h FROM lineitem) q
+"""
+
 _LOGITS = "SELECT vec_id {d} 10 AS sample_id, vec_id % 10 AS t, embedding AS scores FROM embeddings"
 
 # sixteen 8x8 tiles make one 32x32 page
@@ -73,6 +80,7 @@ _VIEWS = {
     "textlines": (_LINES, ["documents"]),
     "slanted": (_SLANTED, ["documents"]),
     "panels": (_PANELS, ["part"]),
+    "boxes": (_BOXES, ["lineitem"]),
     "segments": (_SEGMENTS, ["lineitem"]),
     "logits": (_LOGITS, ["embeddings"]),
     "raster": (_RASTER, ["embeddings"]),
