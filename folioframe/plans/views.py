@@ -41,17 +41,17 @@ SELECT p_partkey {d} 6 AS page_id, p_partkey AS panel_id, 20 + (p_partkey % 2) *
 """
 
 _SEGMENTS = """
-SELECT l_orderkey {d} 40 AS page_id, l_orderkey * 10 + l_linenumber AS seg_id,
- 20 + l_partkey % 900 AS ax, 20 + l_suppkey * 11 % 1100 AS ay,
+SELECT DISTINCT l_orderkey {d} 40 AS page_id, ((l_orderkey % 40) * 1000000 + l_partkey) * 10 + l_linenumber AS seg_id,
+ 20 + l_partkey % 900 AS ax, 20 + l_partkey * 11 % 1100 AS ay,
  20 + l_partkey % 900 + CASE WHEN l_linenumber % 2 = 0 THEN 300 ELSE 4 END AS bx,
- 20 + l_suppkey * 11 % 1100 + CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 200 END AS by
+ 20 + l_partkey * 11 % 1100 + CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 200 END AS by
  FROM lineitem
 """
 
 # scattered boxes, a few per page, many of them overlapping or nested
 _BOXES = """
-SELECT l_orderkey AS page_id, l_linenumber AS panel_id, x, y, x + w AS r, y + h AS b
- FROM (SELECT l_orderkey, l_linenumber, l_partkey % 400 AS x, (l_suppkey * 37 + l_partkey) % 500 AS y,
+SELECT l_orderkey AS page_id, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS panel_id, x, y, x + w AS r, y + h AS b
+ FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey % 400 AS x, (l_suppkey * 37 + l_partkey) % 500 AS y,
    40 + (l_partkey * 7 + l_linenumber * 31) % 300 AS w, 30 + (l_suppkey * 13 + l_linenumber * 17) % 350 AS h FROM lineitem) q
 """
 
