@@ -91,7 +91,7 @@ _VIEWS = {
 
 _DIALECT = {
     "spark": {"{d}": "div", "{dbl}": "D",
-              "{pixels}": "(SELECT vec_id, pos AS i, col AS e FROM embeddings LATERAL VIEW posexplode(embedding))"},
+              "{pixels}": "(SELECT vec_id, i, e FROM embeddings LATERAL VIEW posexplode(embedding) px AS i, e)"},
     "duckdb": {"{d}": "//", "{dbl}": "::DOUBLE",
                "{pixels}": "(SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"},
 }
