@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as G
 from folioframe.operators import filters
 from folioframe.operators import mask as M
+from folioframe.operators.ranking import ranked
+from folioframe.session import cut_lineage
 
 
 def region_scores(quads: DataFrame, raster: DataFrame, pages: DataFrame, value: str = "v", key: str = "quad_id") -> DataFrame:
@@ -20,8 +22,7 @@ def region_scores(quads: DataFrame, raster: DataFrame, pages: DataFrame, value:
 
 def candidate_cap(boxes: DataFrame, order: str, limit: int = 1000) -> DataFrame:
     """The first ``limit`` candidates of a page (a feature of the detector)."""
-    w = Window.partitionBy("page_id").orderBy(order)
-    return boxes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    return ranked(boxes, ["page_id"], [order], "_n").where(F.col("_n") <= limit).drop("_n")
 
 
 def extract_boxes(
@@ -50,6 +51,7 @@ def extract_boxes(
     x0, x1 = (place(v, F.col("width"), F.col("dest_w")) for v in (F.col("x"), F.col("x") + F.col("w")))
     y0, y1 = (place(v, F.col("height"), F.col("dest_h")) for v in (F.col("y"), F.col("y") + F.col("h")))
     pts = F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1))
-    out = quads.select("page_id", "quad_id", "score", pts.alias("pts"))
+    # few rows are left; cutting here keeps the corner rewrites in compiled code
+    out = cut_lineage(quads.select("page_id", "quad_id", "score", pts.alias("pts")))
     out = out.withColumn("pts", G.roll_to_origin(F.col("pts")))
     return G.with_corner_order(filters.min_area(filters.non_zero(out)))

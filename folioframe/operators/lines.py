@@ -123,7 +123,8 @@ def assign_components(stats: DataFrame, lines: DataFrame) -> DataFrame:
     left = with_cells(
         cc, F.least(F.col("x"), F.col("mx") - F.col("reach")), F.least(F.col("y"), F.col("my") - F.col("reach")),
         F.greatest(F.col("x") + F.col("w"), F.col("mx") + F.col("reach")), F.greatest(F.col("y") + F.col("h"), F.col("my") + F.col("reach")))
-    g = lines.select("page_id", "quad_id", "pts", "font_size", F.col("area").alias("line_area"), "bx", "by", "bw", "bh")
+    # written once: the derived measures would otherwise be expanded into the join
+    g = cut_lineage(lines.select("page_id", "quad_id", "pts", "font_size", F.col("area").alias("line_area"), "bx", "by", "bw", "bh"))
     right = with_cells(g, F.col("bx"), F.col("by"), F.col("bx") + F.col("bw"), F.col("by") + F.col("bh"))
     pairs = box_join(left, right, lambda l, r: F.lit(True), ["page_id"])
     l = lambda c: F.col(f"l_{c}")  # noqa: E731, E741
@@ -152,14 +153,14 @@ def assign_components(stats: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def text_mask(lines: DataFrame, mask: DataFrame, pages: DataFrame, rgb: DataFrame | None = None,
-              offset: float = 0.0, kernel: int = 3, bubble: int = 0) -> DataFrame:
+              offset: float = 20.0, kernel: int = 3, bubble: int = 0) -> DataFrame:
     """Mask of the lettering of all lines, as runs.
 
     The page mask is cut along the line boxes, its components go to lines, grow
     by a kernel that follows the line's text size, and are united.  With
     ``bubble`` in 1..50, blobs whose surroundings are no bubble are removed.
     """
-    geo = cut_lineage(lines)
+    geo = lines
     labelled = cut_lineage(M.components(M.intersect(mask, mask)))
     stats = cut_lineage(M.component_stats(labelled))
     owner = cut_lineage(assign_components(stats, geo))

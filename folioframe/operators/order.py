@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import regions
 from folioframe.operators.graph import connected_components
+from folioframe.operators.ranking import ranked
 from folioframe.operators.spatial import CELL, DIRECTION_RULE, grouping_edges
 
 
@@ -14,8 +15,8 @@ def reading_order(lines: DataFrame) -> DataFrame:
     """Number the lines of every region in reading order (``line_no`` from 1)."""
     direction = lines.groupBy("page_id", "region").agg(regions.majority_vertical().alias("_vert"))
     ordered = lines.join(direction, ["page_id", "region"])
-    w = Window.partitionBy("page_id", "region").orderBy(regions.reading_key(F.col("_vert")), "quad_id")
-    return ordered.withColumn("line_no", F.row_number().over(w)).drop("_vert")
+    key = regions.reading_key(F.col("_vert"))
+    return ranked(ordered, ["page_id", "region"], [key, "quad_id"], "line_no").drop("_vert")
 
 
 def page_share(lines: DataFrame, column: str) -> DataFrame:
@@ -32,17 +33,15 @@ def direction_order(lines: DataFrame, cell: int = CELL) -> DataFrame:
     grouped = grouped.join(votes, ["page_id", "component"])
     key = F.when(F.col("vertical_group"), -(F.col("bx") + F.col("bw"))).otherwise(
         F.col("by") + (F.col("bh") / F.lit(2)).cast("bigint"))
-    w = Window.partitionBy("page_id", "component").orderBy(key, "quad_id")
-    return grouped.withColumn("pos", F.row_number().over(w))
+    return ranked(grouped, ["page_id", "component"], [key, "quad_id"], "pos")
 
 
 def width_batches(lines: DataFrame, vertical: Column, text_height: int, size: int, keep=()) -> DataFrame:
     """Batches of lines of similar strip length, padded to the longest one + 7."""
     strip = F.when(vertical, F.col("bh") * F.lit(float(text_height)) / F.col("bw")).otherwise(
         F.col("bw") * F.lit(float(text_height)) / F.col("bh")).cast("bigint")
-    w = Window.partitionBy("page_id").orderBy("strip", "quad_id")
-    numbered = lines.select("page_id", "quad_id", strip.alias("strip"), *keep).withColumn(
-        "batch", ((F.row_number().over(w) - 1) / F.lit(size)).cast("bigint"))
+    numbered = ranked(lines.select("page_id", "quad_id", strip.alias("strip"), *keep), ["page_id"], ["strip", "quad_id"], "_n")
+    numbered = numbered.withColumn("batch", ((F.col("_n") - 1) / F.lit(size)).cast("bigint")).drop("_n")
     pad = F.max("strip").over(Window.partitionBy("page_id", "batch")) + F.lit(7)
     return numbered.withColumn("pad_width", pad)
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from folioframe.operators import filters
 from folioframe.operators.graph import connected_components
+from folioframe.operators.ranking import ranked
 from folioframe.operators.spatial import CELL, box_join, with_cells
 from folioframe.session import cut_lineage
 
@@ -332,8 +333,7 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
     done and drops out of the following rounds.
     """
     done = []
-    state = cut_lineage(panels.select(*_BOX).withColumn("pos", F.row_number().over(
-        Window.partitionBy("page_id").orderBy("panel_id")).cast("bigint")))
+    state = cut_lineage(ranked(panels.select(*_BOX), ["page_id"], ["panel_id"], "pos"))
     for _ in range(MAX_ROUNDS):
         near = neighbours(state).select("page_id", "panel_id", "top", "left", "right", "bottom")
         near = cut_lineage(state.join(near, ["page_id", "panel_id"]))
@@ -410,8 +410,7 @@ def reading_order(panels: DataFrame, ltr: bool = False) -> DataFrame:
         level = cut_lineage(edges.join(level, ["page_id", "u"]).select("page_id", F.col("v").alias("u")).distinct())
     depth = reduce(DataFrame.unionByName, levels).groupBy("page_id", F.col("u").alias("panel_id")).agg(F.max("depth").alias("depth"))
     side = F.col("x") if ltr else -F.col("x")
-    w = Window.partitionBy("page_id").orderBy("depth", "y", side, "panel_id")
-    return panels.join(depth, ["page_id", "panel_id"]).withColumn("number", F.row_number().over(w).cast("bigint"))
+    return ranked(panels.join(depth, ["page_id", "panel_id"]), ["page_id"], ["depth", "y", side, "panel_id"], "number")
 
 
 # --- segments ---------------------------------------------------------------

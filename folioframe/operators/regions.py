@@ -253,7 +253,7 @@ def text_blocks(lines: DataFrame) -> DataFrame:
 
 
 def merge_regions(
-    lines: DataFrame, prob: float = 0.2, min_text_length: int = 3, remove_text: list[str] | None = None,
+    lines: DataFrame, prob: float = 0.2, min_text_length: int = 1, remove_text: list[str] | None = None,
     remove_mode: str = "exact", limit: int = ROW_LIMIT, cell: int = CELL,
 ) -> DataFrame:
     """The whole merge: probability filter, grouping, split, blocks, text repair.

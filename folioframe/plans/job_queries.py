@@ -30,7 +30,7 @@ def p20_w7_expand_lines(spark, sf):
     return out.select("quad_id", F.col("expanded")[1]["x"].alias("rx"), F.col("expanded")[0]["y"].alias("ty"))
 
 
-_SQUARE = (RAS.replace("WITH", "WITH RECURSIVE", 1) + """, mk AS (SELECT page_id, y, x FROM raster WHERE v > 165),
+_SQUARE = (RAS.replace("WITH", "WITH RECURSIVE", 1) + """, mk AS (SELECT page_id, y, x FROM raster WHERE v > 152),
  ng AS (SELECT a.page_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM mk a JOIN mk b ON a.page_id = b.page_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
  rc AS (SELECT page_id, y AS ay, x AS ax, y, x FROM mk UNION SELECT rc.page_id, ay, ax, ng.y2, ng.x2 FROM rc JOIN ng ON ng.page_id = rc.page_id AND ng.y = rc.y AND ng.x = rc.x),
  cp AS (SELECT page_id, ay AS y, ax AS x, min(y * 4294967296 + x) AS c FROM rc GROUP BY ALL),
@@ -58,7 +58,7 @@ def _grid_lines(spark, sf):
 SELECT page_id, component, quad_id FROM (SELECT mo.page_id, mo.c AS component, CASE WHEN mo.ratio > 0 AND mo.area >= mo.la THEN NULL WHEN mo.ratio > 0.01 THEN mo.quad_id
   WHEN ne.dist < 0.5 * greatest(10, least(ne.fs, ne.cw, ne.ch)) AND ne.area < ne.la THEN ne.quad_id END AS quad_id FROM mo JOIN ne ON mo.page_id = ne.page_id AND mo.c = ne.c) WHERE quad_id IS NOT NULL""")
 def j5_assign_components(spark, sf):
-    runs = M.to_runs(view(spark, sf, "raster").where("v > 165"))
+    runs = M.to_runs(view(spark, sf, "raster").where("v > 152"))
     return lines.assign_components(M.component_stats(M.components(runs)), _grid_lines(spark, sf))
 
 
@@ -120,7 +120,7 @@ def c1_box_extraction(spark, sf):
 def c5_text_mask(spark, sf):
     rgb = cut_lineage(view(spark, sf, "rgb"))
     pages = cut_lineage(R.page_sizes(rgb))
-    mask = M.to_runs(rgb.where("v > 165").select("page_id", "y", "x"))
+    mask = M.to_runs(rgb.where("v > 152").select("page_id", "y", "x"))
     return _row_sums(lines.text_mask(_grid_lines(spark, sf), mask, pages, rgb, bubble=5))
 
 

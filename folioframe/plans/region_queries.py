@@ -129,7 +129,7 @@ SELECT page_id, region AS block_id, vert AS vertical, n_lines, fixed AS text, fo
 FROM tx JOIN repaired ON rk = region"""
 
 
-@query("c3_region_merge", sql=_C3 + " WHERE octet_length(encode(fixed)) >= 3 AND regexp_matches(fixed, '\\p{L}')")
+@query("c3_region_merge", sql=_C3 + " WHERE octet_length(encode(fixed)) >= 1 AND regexp_matches(fixed, '\\p{L}')")
 def c3_region_merge(spark, sf):
     b = regions.merge_regions(textlines(spark, sf))
     return b.select("page_id", "block_id", "vertical", "n_lines", "text", "font_size",
