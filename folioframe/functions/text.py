@@ -29,13 +29,22 @@ def bracket_class(keep_quotes: bool = False) -> str:
     return char_class("".join(dict.fromkeys("".join(pairs))))
 
 
+def _bracket_pattern(keep_quotes: bool = False) -> str:
+    """``bracket_class`` split so that a Latin letter is ruled out by one range test."""
+    pairs = [p for p in BRACKETS if not (keep_quotes and p[0] == p[1])]
+    chars = "".join(dict.fromkeys("".join(pairs)))
+    near = "".join(c for c in chars if c < "\u2000")
+    far = "".join(c for c in chars if c >= "\u2000")
+    return f"(?:{char_class(near)}|[\\x{{2000}}-\\x{{FFFF}}&&{char_class(far)}])"
+
+
 def strip(text: Column) -> Column:
     """Trim every Unicode space on both sides."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
 def has_brackets(text: Column) -> Column:
-    return text.rlike(bracket_class())
+    return text.rlike(_bracket_pattern())
 
 
 def repair_brackets(text: Column, keep_quotes: bool = False) -> Column:
@@ -45,7 +54,7 @@ def repair_brackets(text: Column, keep_quotes: bool = False) -> Column:
     takes them off the stack; ``keep_quotes`` leaves them alone.  The fold runs
     over the brackets of a text, the text between them is never copied.
     """
-    cls = bracket_class(keep_quotes)
+    cls = _bracket_pattern(keep_quotes)
     partners = F.create_map(*[F.lit(c) for p in BRACKETS for c in p])
     marks = F.regexp_extract_all(text, F.lit("(" + cls + ")"), F.lit(1))
     openers = F.array(*[F.lit(p[0]) for p in BRACKETS])

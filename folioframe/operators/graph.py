@@ -15,10 +15,13 @@ from folioframe.session import cut_lineage
 MAX_ROUNDS = 100
 
 
-def _fingerprint(edges: DataFrame):
-    row = edges.agg(
-        F.count(F.lit(1)), F.bit_xor(F.xxhash64("page_id", "u", "v"))).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no v is a u: one aggregate, no join."""
+    ends = edges.select("page_id", F.explode(F.array(
+        F.struct(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")),
+        F.struct(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e")).select("page_id", "e.*")
+    seen = ends.groupBy("page_id", "n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
 
 
 def _link_larger(edges: DataFrame) -> DataFrame:
@@ -28,7 +31,6 @@ def _link_larger(edges: DataFrame) -> DataFrame:
     return (
         both.where("v > u").join(low, ["page_id", "u"])
         .select("page_id", F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
     )
 
 
@@ -50,16 +52,12 @@ def component_links(edges: DataFrame) -> DataFrame:
     aggregate with ``min`` before the shuffle, so a vertex with very many edges
     stays cheap, and each vertex keeps one edge at the end.
     """
-    current = cut_lineage(edges.where("u <> v").select("page_id", "u", "v"))
-    mark = _fingerprint(current)
-    if mark[0] == 0:
-        return current
+    # oriented from the larger to the smaller id, like the result
+    current = cut_lineage(edges.where("u <> v").select("page_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     for _ in range(MAX_ROUNDS):
-        current = cut_lineage(_link_smaller(_link_larger(current)))
-        after = _fingerprint(current)
-        if after == mark:
+        if _are_stars(current):
             return current
-        mark = after
+        current = cut_lineage(_link_smaller(_link_larger(current)))
     raise RuntimeError("connected components did not converge")
 
 

@@ -252,6 +252,13 @@ def text_blocks(lines: DataFrame) -> DataFrame:
         "font_size", "angle", F.exp(F.col("_logprob") / F.col("_page_area")).alias("prob"), "fg", "bg")
 
 
+def _with_regions(lines: DataFrame, limit: int, cell: int) -> DataFrame:
+    """Lines with geometry and region; only the geometry is written, not the text."""
+    geo = cut_lineage(G.with_geometry(G.with_corner_order(lines.select("page_id", "quad_id", "pts", "score"))))
+    labelled = regions(geo, limit, cell)
+    return labelled.join(lines.select("page_id", "quad_id", "text", "fg", "bg"), ["page_id", "quad_id"])
+
+
 def merge_regions(
     lines: DataFrame, prob: float = 0.2, min_text_length: int = 1, remove_text: list[str] | None = None,
     remove_mode: str = "exact", limit: int = ROW_LIMIT, cell: int = CELL,
@@ -262,8 +269,7 @@ def merge_regions(
     has no letter or is unwanted leave at the end.
     """
     kept = filters.min_probability(lines, prob)
-    geo = cut_lineage(G.with_geometry(G.with_corner_order(kept)))
-    blocks = text_blocks(regions(geo, limit, cell))
+    blocks = text_blocks(_with_regions(kept, limit, cell))
     blocks = blocks.withColumn("text", T.repair_brackets(T.strip(F.col("text"))))
     reason = filters.drop_reason(F.col("text"), min_text_length, remove_text, remove_mode)
     return blocks.where(reason.isNull())
@@ -271,8 +277,7 @@ def merge_regions(
 
 def line_merge(items: DataFrame) -> DataFrame:
     """Lines in, ``(page_id, text, lines, angle)`` per region out, no text filter."""
-    geo = cut_lineage(G.with_geometry(G.with_corner_order(items)))
-    return text_blocks(regions(geo)).select("page_id", "block_id", "text", "lines", "angle")
+    return text_blocks(_with_regions(items, ROW_LIMIT, CELL)).select("page_id", "block_id", "text", "lines", "angle")
 
 
 def line_count_check(lines: DataFrame, blocks: DataFrame) -> DataFrame:

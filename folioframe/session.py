@@ -55,6 +55,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def estimated_size(df: DataFrame) -> int:
+    """Bytes of a table by the optimizer's estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: A table whose share per core is below this cannot fill the cores by its splits.
+SPREAD_SHARE = 16 * 1024 * 1024
+
+
+def spread(df: DataFrame, least: int = 1024 * 1024) -> DataFrame:
+    """Hand a small table with few row groups to all cores.
+
+    Text work is heavy per byte, so one row group would keep one core busy.
+    Tables with enough splits of their own are left alone: the exchange only
+    ever moves a few megabytes per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if least < estimated_size(df) < cores * SPREAD_SHARE else df
+
+
 #: Largest table (bytes, by the optimizer's estimate) that may be broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
@@ -66,6 +86,4 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     """
     from pyspark.sql import functions as F
 
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = int(str(stats.sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimated_size(df) <= limit else df
