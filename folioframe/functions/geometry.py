@@ -50,54 +50,30 @@ def with_corner_order(df: DataFrame, pts: str = "pts") -> DataFrame:
     The direction comes from the two mid-length pairwise vectors, the corners
     are then ordered top-left, top-right, bottom-right, bottom-left.
     """
-    c = corners(F.col(pts))
     pairs = []
     for i in range(4):
         for j in range(4):
-            dx, dy = c[i][0] - c[j][0], c[i][1] - c[j][1]
-            pairs.append(
-                F.struct(
-                    (dx * dx + dy * dy).alias("n"), F.lit(4 * i + j).alias("k"),
-                    dx.alias("dx"), dy.alias("dy"),
-                )
-            )
-    ranked = F.sort_array(F.array(*pairs))
-    df = df.withColumn("_a", ranked.getItem(8)).withColumn("_b", ranked.getItem(10))
-    a, b = F.col("_a"), F.col("_b")
-    sign = F.when(a["dx"] * b["dx"] + a["dy"] * b["dy"] < 0, F.lit(-1)).otherwise(F.lit(1))
-    vertical = F.abs(a["dx"] * sign + b["dx"]) <= F.abs(a["dy"] * sign + b["dy"])
-    df = df.withColumn("vertical", vertical)
+            dx, dy = f"({pts}[{i}].x - {pts}[{j}].x)", f"({pts}[{i}].y - {pts}[{j}].y)"
+            pairs.append(f"struct({dx} * {dx} + {dy} * {dy} AS n, {4 * i + j} AS k, {dx} AS dx, {dy} AS dy)")
+    ranked = f"sort_array(array({', '.join(pairs)}))"
+    df = df.withColumn("_r", F.expr(f"slice({ranked}, 9, 3)"))
+    sign = "IF(_r[0].dx * _r[2].dx + _r[0].dy * _r[2].dy < 0, -1, 1)"
+    df = df.withColumn("vertical", F.expr(
+        f"abs(_r[0].dx * {sign} + _r[2].dx) <= abs(_r[0].dy * {sign} + _r[2].dy)"))
 
     def ordered(first, second):
-        return F.sort_array(
-            F.array(*[F.struct(first(x, y), F.lit(i), second(x, y)) for i, (x, y) in enumerate(c)])
-        )
-
-    by_y = ordered(lambda x, y: y.alias("k"), lambda x, y: x.alias("o"))
-    by_x = ordered(lambda x, y: x.alias("k"), lambda x, y: y.alias("o"))
-    df = df.withColumn("_s", F.when(F.col("vertical"), by_y).otherwise(by_x))
-    s = [F.col("_s").getItem(i) for i in range(4)]
-
-    def as_point(e: Column, vert: bool) -> Column:
-        return point(e["o"], e["k"]) if vert else point(e["k"], e["o"])
+        return "sort_array(array(" + ", ".join(
+            f"struct({pts}[{i}].{first} AS k, {i} AS i, {pts}[{i}].{second} AS o)" for i in range(4)) + "))"
 
+    df = df.withColumn("_s", F.expr(f"IF(vertical, {ordered('y', 'x')}, {ordered('x', 'y')})"))
+    tall = lambda c: f"struct(_s[{c}].o AS x, _s[{c}].k AS y)"
+    wide = lambda c: f"struct(_s[{c}].k AS x, _s[{c}].o AS y)"
+    pick = lambda test, a, b, f: f"IF({test}, {f(a)}, {f(b)})"
     # ties keep the earlier corner first, except where the order is descending
-    top_swap = s[0]["o"] > s[1]["o"]
-    low_swap = s[2]["o"] < s[3]["o"]
-    tall = F.array(
-        F.when(top_swap, as_point(s[1], True)).otherwise(as_point(s[0], True)),
-        F.when(top_swap, as_point(s[0], True)).otherwise(as_point(s[1], True)),
-        F.when(low_swap, as_point(s[3], True)).otherwise(as_point(s[2], True)),
-        F.when(low_swap, as_point(s[2], True)).otherwise(as_point(s[3], True)),
-    )
-    right_swap = s[2]["o"] > s[3]["o"]
-    wide = F.array(
-        F.when(top_swap, as_point(s[1], False)).otherwise(as_point(s[0], False)),
-        F.when(right_swap, as_point(s[3], False)).otherwise(as_point(s[2], False)),
-        F.when(right_swap, as_point(s[2], False)).otherwise(as_point(s[3], False)),
-        F.when(top_swap, as_point(s[0], False)).otherwise(as_point(s[1], False)),
-    )
-    return df.withColumn(pts, F.when(F.col("vertical"), tall).otherwise(wide)).drop("_a", "_b", "_s")
+    first, low, right = "_s[0].o > _s[1].o", "_s[2].o < _s[3].o", "_s[2].o > _s[3].o"
+    up = ", ".join([pick(first, 1, 0, tall), pick(first, 0, 1, tall), pick(low, 3, 2, tall), pick(low, 2, 3, tall)])
+    flat = ", ".join([pick(first, 1, 0, wide), pick(right, 3, 2, wide), pick(right, 2, 3, wide), pick(first, 0, 1, wide)])
+    return df.withColumn(pts, F.expr(f"IF(vertical, array({up}), array({flat}))")).drop("_r", "_s")
 
 
 # --- measures ---------------------------------------------------------------
@@ -130,66 +106,58 @@ def axes(pts: Column) -> tuple[Column, Column, Column, Column]:
     return m[1][0] - m[0][0], m[1][1] - m[0][1], m[3][0] - m[2][0], m[3][1] - m[2][1]
 
 
-def hull_area(pts: Column) -> Column:
+def hull_area_sql(pts: str) -> str:
     """Area of the convex hull of the four corners.
 
     In convex position the hull is the largest of the three cyclic orderings;
     otherwise it is the largest of the four triangles.
     """
-    c = corners(pts)
-
     def shoelace(order):
-        terms = [
-            c[i][0] * c[j][1] - c[j][0] * c[i][1]
-            for i, j in zip(order, order[1:] + order[:1])
-        ]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return F.abs(total)
+        return "abs(" + " + ".join(
+            f"({pts}[{i}].x * {pts}[{j}].y - {pts}[{j}].x * {pts}[{i}].y)"
+            for i, j in zip(order, order[1:] + order[:1])) + ")"
 
     rings = [[0, 1, 2, 3], [0, 2, 1, 3], [0, 1, 3, 2]]
     triangles = [[0, 1, 2], [0, 1, 3], [0, 2, 3], [1, 2, 3]]
-    return F.greatest(*[shoelace(o) for o in rings + triangles]) / F.lit(2.0)
+    return f"greatest({', '.join(shoelace(o) for o in rings + triangles)}) / 2.0D"
+
+
+def hull_area(pts: str = "pts") -> Column:
+    return F.expr(hull_area_sql(pts))
 
 
-def is_upright_box(pts: Column) -> Column:
+def upright_sql(pts: str) -> str:
     """True when the corners are exactly those of an upright box in order."""
-    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners(pts)
-    return (x0 == x3) & (x1 == x2) & (y0 == y1) & (y2 == y3) & (x0 <= x1) & (y0 <= y2)
+    p = [f"{pts}[{i}]" for i in range(4)]
+    return (f"({p[0]}.x = {p[3]}.x AND {p[1]}.x = {p[2]}.x AND {p[0]}.y = {p[1]}.y AND {p[2]}.y = {p[3]}.y"
+            f" AND {p[0]}.x <= {p[1]}.x AND {p[0]}.y <= {p[2]}.y)")
 
 
 def with_geometry(df: DataFrame, pts: str = "pts") -> DataFrame:
     """Add every derived measure the later operators read."""
-    p = F.col(pts)
-    x0, y0, x1, y1 = bounds(p)
-    cx, cy = centroid(p)
-    v1x, v1y, v2x, v2y = axes(p)
-    df = (
-        df.withColumns({"bx": x0, "by": y0, "_bx1": x1, "_by1": y1, "cx": cx, "cy": cy,
-                        "_v1x": v1x, "_v1y": v1y, "_v2x": v2x, "_v2y": v2y,
-                        "area": hull_area(p), "upright": is_upright_box(p)})
-        .withColumns({"bw": F.col("_bx1") - F.col("bx"), "bh": F.col("_by1") - F.col("by"),
-                      "_n1": hypot(F.col("_v1x"), F.col("_v1y")),
-                      "_n2": hypot(F.col("_v2x"), F.col("_v2y"))})
-    )
-    n1, n2 = F.col("_n1"), F.col("_n2")
-    flat = [
-        F.abs(F.try_divide(component.cast("double"), norm)) < AXIS_TOLERANCE
-        for norm in (n1, n2)
-        for component in (F.col("_v1x"), F.col("_v1y"))
-    ]
-    aligned = F.coalesce(flat[0], F.lit(False))
-    for f in flat[1:]:
-        aligned = aligned | F.coalesce(f, F.lit(False))
-    cosine = F.when(n1 == 0, F.lit(1.0)).otherwise(F.col("_v1x") / n1)
-    return df.withColumns({
-        "aspect": F.when(n1 == 0, F.when(n2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
-                   .otherwise(F.try_divide(n2, n1)),
-        "font_size": F.least(n1, n2),
-        "angle": F.pmod(F.acos(cosine) + F.lit(math.pi), F.lit(math.pi)),
-        "aligned": aligned,
-    }).drop("_bx1", "_by1", "_v1x", "_v1y", "_v2x", "_v2y", "_n1", "_n2")
+    def over(f, k):
+        return f"{f}({', '.join(f'{pts}[{i}].{k}' for i in range(4))})"
+
+    def mid(i, j, k):
+        return f"(({pts}[{i}].{k} + {pts}[{j}].{k}) div 2)"
+
+    mean = lambda k: f"({' + '.join(f'{pts}[{i}].{k}' for i in range(4))}) / 4.0D"
+    sql = lambda **cols: {n: F.expr(e) for n, e in cols.items()}
+    df = df.withColumns(sql(
+        bx=over("least", "x"), by=over("least", "y"), _ex=over("greatest", "x"), _ey=over("greatest", "y"),
+        cx=mean("x"), cy=mean("y"), area=hull_area_sql(pts),
+        _v1x=f"{mid(2, 3, 'x')} - {mid(0, 1, 'x')}", _v1y=f"{mid(2, 3, 'y')} - {mid(0, 1, 'y')}",
+        _v2x=f"{mid(3, 0, 'x')} - {mid(1, 2, 'x')}", _v2y=f"{mid(3, 0, 'y')} - {mid(1, 2, 'y')}"))
+    df = df.withColumns(sql(
+        bw="_ex - bx", bh="_ey - by", _n1="sqrt(CAST(_v1x * _v1x + _v1y * _v1y AS DOUBLE))",
+        _n2="sqrt(CAST(_v2x * _v2x + _v2y * _v2y AS DOUBLE))"))
+    flat = " OR ".join(
+        f"coalesce(abs(try_divide(CAST({v} AS DOUBLE), {n})) < {AXIS_TOLERANCE}D, false)" for n in ("_n1", "_n2") for v in ("_v1x", "_v1y"))
+    return df.withColumns(sql(
+        aspect="CASE WHEN _n1 = 0 AND _n2 = 0 THEN double('NaN') WHEN _n1 = 0 THEN double('Infinity') ELSE _n2 / _n1 END",
+        font_size="least(_n1, _n2)",
+        angle="pmod(acos(CASE WHEN _n1 = 0 THEN 1.0D ELSE _v1x / _n1 END) + pi(), pi())",
+        aligned=flat)).drop("_ex", "_ey", "_v1x", "_v1y", "_v2x", "_v2y", "_n1", "_n2")
 
 
 # --- rewrites of quads ------------------------------------------------------
@@ -344,39 +312,17 @@ def obb_top_left(cx, cy, w, h, theta) -> tuple[Column, Column]:
 _SIDES = ((0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3))
 
 
-def _segments(pts: Column) -> Column:
-    c = corners(pts)
-    return F.array(*[
-        F.struct(c[i][0].alias("ax"), c[i][1].alias("ay"), c[j][0].alias("bx"), c[j][1].alias("by"))
-        for i, j in _SIDES
-    ])
-
-
-def _point_segment(p: Column, s: Column) -> Column:
-    """Squared distance from a corner to a segment."""
-    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-    px, py = p["x"] - s["ax"], p["y"] - s["ay"]
-    t = F.coalesce(F.try_divide((px * dx + py * dy).cast("double"), dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    ex, ey = px - t * dx, py - t * dy
-    return ex * ex + ey * ey
+def segments_sql(pts: str) -> str:
+    """The sides and diagonals of a quad."""
+    return "array(" + ", ".join(
+        f"struct({pts}[{i}].x AS ax, {pts}[{i}].y AS ay, {pts}[{j}].x AS bx, {pts}[{j}].y AS by)" for i, j in _SIDES) + ")"
 
 
-def _separated(q: Column) -> Column:
-    """Whether some side, or its normal, is a separating axis (exact integers)."""
-    def along(pts, ux, uy):
-        return F.transform(pts, lambda p: p["x"] * ux + p["y"] * uy)
-
-    def apart(ux, uy):
-        spans = F.array(F.struct(along(q["a"], ux, uy).alias("a"), along(q["b"], ux, uy).alias("b")))
-        return F.exists(spans, lambda s: (
-            (F.array_min(s["a"]) > F.array_max(s["b"])) | (F.array_min(s["b"]) > F.array_max(s["a"]))))
-
-    def test(s):
-        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-        return apart(dx, dy) | apart(-dy, dx)
-
-    return F.exists(F.concat(q["sa"], q["sb"], q["join"]), test)
+def point_segment_sql(p: str, s: str) -> str:
+    """Squared distance from a point to a segment."""
+    dx, dy, px, py = f"({s}.bx - {s}.ax)", f"({s}.by - {s}.ay)", f"({p}.x - {s}.ax)", f"({p}.y - {s}.ay)"
+    t = (f"least(greatest(coalesce(try_divide(CAST({px} * {dx} + {py} * {dy} AS DOUBLE), {dx} * {dx} + {dy} * {dy}), 0.0D), 0.0D), 1.0D)")
+    return (f"transform(array({t}), t -> ({px} - t * {dx}) * ({px} - t * {dx}) + ({py} - t * {dy}) * ({py} - t * {dy}))[0]")
 
 
 def let(value: Column, body) -> Column:
@@ -384,30 +330,34 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def quad_distance(a: Column, b: Column) -> Column:
-    """Distance between the hulls of two quads, 0 when they touch or overlap."""
-    def nearest(pts, segs):
-        return F.array_min(
-            F.transform(pts, lambda p: F.array_min(F.transform(segs, lambda s: _point_segment(p, s))))
-        )
-
-    joining = F.array(F.struct(
-        corner(a, 0)[0].alias("ax"), corner(a, 0)[1].alias("ay"),
-        corner(b, 0)[0].alias("bx"), corner(b, 0)[1].alias("by")))
-    both = F.struct(a.alias("a"), b.alias("b"), _segments(a).alias("sa"), _segments(b).alias("sb"), joining.alias("join"))
-    general = let(both, lambda q: F.when(
-        _separated(q), F.sqrt(F.least(nearest(q["a"], q["sb"]), nearest(q["b"], q["sa"])))
-    ).otherwise(F.lit(0.0)))
-
-    def upright(q):
-        (ax0, ay0), (ax1, ay1) = corner(q["a"], 0), corner(q["a"], 2)
-        (bx0, by0), (bx1, by1) = corner(q["b"], 0), corner(q["b"], 2)
-        gap_x = F.greatest(bx0 - ax1, ax0 - bx1, F.lit(0))
-        gap_y = F.greatest(by0 - ay1, ay0 - by1, F.lit(0))
-        return hypot(gap_x, gap_y)
-
-    pair = {"a": a, "b": b}
-    return F.when(is_upright_box(a) & is_upright_box(b), upright(pair)).otherwise(general)
+def quad_distance_sql(a: str, b: str) -> str:
+    """Distance between the hulls of two quads, 0 when they touch or overlap.
+
+    Upright boxes have a closed form.  Otherwise the quads are apart when some
+    side, diagonal or their normals separate them (exact in integers), and the
+    distance is the smallest from a corner of one to a segment of the other.
+    """
+    gap = lambda k: f"greatest({b}[0].{k} - {a}[2].{k}, {a}[0].{k} - {b}[2].{k}, 0)"
+    boxes = f"sqrt(CAST({gap('x')} * {gap('x')} + {gap('y')} * {gap('y')} AS DOUBLE))"
+    span = lambda q, u, v: f"transform({q}, p -> p.x * {u} + p.y * {v})"
+
+    def apart(u, v):
+        return (f"exists(array(struct({span('q.a', u, v)} AS m, {span('q.b', u, v)} AS n)), "
+                "z -> array_min(z.m) > array_max(z.n) OR array_min(z.n) > array_max(z.m))")
+
+    dx, dy = "(s.bx - s.ax)", "(s.by - s.ay)"
+    join = f"array(struct({a}[0].x AS ax, {a}[0].y AS ay, {b}[0].x AS bx, {b}[0].y AS by))"
+    split = f"exists(concat(q.sa, q.sb, q.sj), s -> {apart(dx, dy)} OR {apart(f'(-{dy})', dx)})"
+    near = lambda pts, segs: f"array_min(transform({pts}, p -> array_min(transform({segs}, s -> {point_segment_sql('p', 's')}))))"
+    general = (
+        f"transform(array(struct({a} AS a, {b} AS b, {segments_sql(a)} AS sa, {segments_sql(b)} AS sb, {join} AS sj)), "
+        f"q -> CASE WHEN {split} THEN sqrt(least({near('q.a', 'q.sb')}, {near('q.b', 'q.sa')})) ELSE 0.0D END)[0]")
+    return f"CASE WHEN {upright_sql(a)} AND {upright_sql(b)} THEN {boxes} ELSE {general} END"
+
+
+def quad_distance(a: str, b: str) -> Column:
+    """Hull distance of two quad columns, by name."""
+    return F.expr(quad_distance_sql(a, b))
 
 
 def line_start_distance(a: Column, b: Column) -> Column:

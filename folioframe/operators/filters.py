@@ -29,7 +29,7 @@ def non_zero(df: DataFrame, pts: str = "pts") -> DataFrame:
 
 
 def min_area(df: DataFrame, area: float = 16.0, pts: str = "pts") -> DataFrame:
-    return df.where(G.hull_area(F.col(pts)) >= area)
+    return df.where(G.hull_area(pts) >= area)
 
 
 def finite_score(df: DataFrame, score: str = "score") -> DataFrame:

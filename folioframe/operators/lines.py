@@ -99,14 +99,14 @@ def clipped_area(pts: Column, x0, y0, x1, y1) -> Column:
     return F.coalesce(area, F.lit(0.0))
 
 
-def point_distance(pts: Column, x: Column, y: Column) -> Column:
+def point_distance_sql(pts: str, x: str, y: str) -> str:
     """Distance from a point to a convex quad, 0 inside."""
-    p = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    c = G.corners(pts)
-    turns = [(c[(i + 1) % 4][0] - c[i][0]) * (y - c[i][1]) - (c[(i + 1) % 4][1] - c[i][1]) * (x - c[i][0]) for i in range(4)]
-    inside = (F.least(*turns) >= 0) | (F.greatest(*turns) <= 0)
-    edge = F.sqrt(F.array_min(F.transform(G._segments(pts), lambda s: G._point_segment(p, s))))
-    return F.when(inside, F.lit(0.0)).otherwise(edge)
+    turns = ", ".join(
+        f"({pts}[{(i + 1) % 4}].x - {pts}[{i}].x) * ({y} - {pts}[{i}].y) - ({pts}[{(i + 1) % 4}].y - {pts}[{i}].y) * ({x} - {pts}[{i}].x)"
+        for i in range(4))
+    edge = f"array_min(transform({G.segments_sql(pts)}, s -> {G.point_segment_sql('c', 's')}))"
+    away = f"transform(array(struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)), c -> sqrt({edge}))[0]"
+    return f"CASE WHEN least({turns}) >= 0 OR greatest({turns}) <= 0 THEN 0.0D ELSE {away} END"
 
 
 def assign_components(stats: DataFrame, lines: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def assign_components(stats: DataFrame, lines: DataFrame) -> DataFrame:
         l("page_id").alias("page_id"), l("component").alias("component"), l("area").alias("area"), l("w").alias("w"), l("h").alias("h"),
         r("quad_id").alias("quad_id"), r("line_area").alias("line_area"), r("font_size").alias("font_size"),
         (shared / F.least(r("line_area"), l("area").cast("double"))).alias("ratio"),
-        point_distance(r("pts"), l("mx"), l("my")).alias("dist")))
+        F.expr(point_distance_sql("r_pts", "l_mx", "l_my")).alias("dist")))
     who = F.struct("quad_id", "line_area", "font_size", "ratio", "dist")
     best = pairs.groupBy("page_id", "component").agg(
         F.max("area").alias("area"), F.max("w").alias("w"), F.max("h").alias("h"),

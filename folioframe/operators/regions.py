@@ -139,12 +139,13 @@ def _keep_rule(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     shift = F.greatest(F.abs(F.col("u_cx") - F.col("v_cx")), F.abs(F.col("u_cy") - F.col("v_cy")))
     near = (F.col("w") <= F.col("mean") + F.col("spread") * SIGMA) | (F.col("w") <= F.col("font") * (1 + GAMMA))
     even = F.col("spread") < F.greatest(F.col("font") * 0.3 + 5.0, F.lit(5.0))
-    stacked = (shift < 5.0) & (G.quad_distance(F.col("u_pts"), F.col("v_pts")) == 0)
+    stacked = (shift < 5.0) & (G.quad_distance("u_pts", "v_pts") == 0)
     return df.select(*key, "u", "v", (near & (even | stacked)).alias("keep"))
 
 
 def _split_large(lines: DataFrame, limit: int) -> DataFrame:
     """Regions of components beyond ``limit``, by cutting all of them in step."""
+    lines = cut_lineage(lines)
     x, y = G.corner(F.col("pts"), 0)
     points = lines.select("page_id", "component", F.col("quad_id").alias("id"), x.alias("x"), y.alias("y"))
     nodes = cut_lineage(lines.select("page_id", "quad_id", "component", "pts", "font_size", "angle", "cx", "cy"))
@@ -200,6 +201,7 @@ def split_regions(lines: DataFrame, links: DataFrame, limit: int = ROW_LIMIT) ->
 
 def regions(lines: DataFrame, limit: int = ROW_LIMIT, cell: int = CELL) -> DataFrame:
     """Group and split lines with geometry; adds ``region``."""
+    lines = cut_lineage(lines)
     links = component_links(grouping_edges(lines, MERGE_RULE, cell))
     return split_regions(lines, links, limit)
 

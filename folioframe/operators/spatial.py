@@ -74,45 +74,35 @@ def box_join(left: DataFrame, right: DataFrame, condition, by: list[str], cell:
 _MEASURES = ("page_id", "quad_id", "pts", "bx", "by", "bw", "bh", "font_size", "aspect", "angle", "aligned")
 
 
-def _near(l, r, rule: MergeRule) -> Column:
+def _near_sql(rule: MergeRule) -> str:
     """Tests that need no polygon distance; they run inside the join."""
-    low, high = F.least(l("font_size"), r("font_size")), F.greatest(l("font_size"), r("font_size"))
-    ok = high / low <= rule.font_tol
-    ok &= ~((l("aspect") > rule.aspect_tol) & (r("aspect") < 1.0 / rule.aspect_tol))
-    ok &= ~((r("aspect") > rule.aspect_tol) & (l("aspect") < 1.0 / rule.aspect_tol))
-    gap_x = F.greatest(l("bx") - r("bx") - r("bw"), r("bx") - l("bx") - l("bw"), F.lit(0))
-    gap_y = F.greatest(l("by") - r("by") - r("bh"), r("by") - l("by") - l("bh"), F.lit(0))
-    return ok & (gap_x <= low * rule.discard) & (gap_y <= low * rule.discard)
-
-
-def can_merge(l, r, dist: Column, rule: MergeRule) -> Column:
-    """The mergeable-pair predicate, given the polygon distance."""
-    cs = F.least(l("font_size"), r("font_size"))
-    wide = lambda q: q("bw") > q("bh") * rule.ratio
-    tall = lambda q: q("bh") > q("bw") * rule.ratio
-    reach = cs * rule.gap2
-    mid = lambda q: q("bx") + (q("bw") / F.lit(2)).cast("bigint")
-    edges = lambda p, s: (
-        (F.abs(l(p) - r(p)) < reach) | (F.abs(l(p) + l(s) - r(p) - r(s)) < reach))
-    aligned = (
-        F.when(~(dist < cs * rule.gap1), F.lit(False))
-        .when(F.abs(mid(l) - mid(r)) < rule.gap2, F.lit(True))
-        .when((wide(l) & tall(r)) | (wide(r) & tall(l)), F.lit(False))
-        .when(wide(l) | wide(r), edges("bx", "bw"))
-        .when(tall(l) | tall(r), edges("by", "bh"))
-        .otherwise(F.lit(False))
-    )
-    tilted = (
-        F.when(~(F.abs(l("angle") - r("angle")) < F.radians(F.lit(15.0))), F.lit(False))
-        .when(dist > reach, F.lit(False))
-        .when(F.abs(l("font_size") - r("font_size")) / cs > 0.25, F.lit(False))
-        .otherwise(F.lit(True))
-    )
+    low = "least(l_font_size, r_font_size)"
+    gap = lambda p, s: f"greatest(l_{p} - r_{p} - r_{s}, r_{p} - l_{p} - l_{s}, 0)"
+    tol = f"{float(rule.aspect_tol)}D"
     return (
-        F.when(dist > cs * rule.discard, F.lit(False))
-        .when(l("aligned") & r("aligned"), aligned)
-        .otherwise(tilted)
-    )
+        f"l_quad_id < r_quad_id AND greatest(l_font_size, r_font_size) / {low} <= {float(rule.font_tol)}D"
+        f" AND NOT (l_aspect > {tol} AND r_aspect < 1.0D / {tol}) AND NOT (r_aspect > {tol} AND l_aspect < 1.0D / {tol})"
+        f" AND {gap('bx', 'bw')} <= {low} * {float(rule.discard)}D AND {gap('by', 'bh')} <= {low} * {float(rule.discard)}D")
+
+
+def can_merge_sql(dist: str, rule: MergeRule) -> str:
+    """The mergeable-pair predicate over ``l_*`` and ``r_*``, given the distance."""
+    cs = "least(l_font_size, r_font_size)"
+    wide = lambda q: f"{q}_bw > {q}_bh * {float(rule.ratio)}D"
+    tall = lambda q: f"{q}_bh > {q}_bw * {float(rule.ratio)}D"
+    reach = f"{cs} * {float(rule.gap2)}D"
+    edges = lambda p, s: f"(abs(l_{p} - r_{p}) < {reach} OR abs(l_{p} + l_{s} - r_{p} - r_{s}) < {reach})"
+    return f"""CASE WHEN {dist} > {cs} * {float(rule.discard)}D THEN false
+      WHEN l_aligned AND r_aligned THEN CASE
+        WHEN NOT ({dist} < {cs} * {float(rule.gap1)}D) THEN false
+        WHEN abs(l_bx + l_bw div 2 - r_bx - r_bw div 2) < {float(rule.gap2)}D THEN true
+        WHEN ({wide('l')} AND {tall('r')}) OR ({wide('r')} AND {tall('l')}) THEN false
+        WHEN {wide('l')} OR {wide('r')} THEN {edges('bx', 'bw')}
+        WHEN {tall('l')} OR {tall('r')} THEN {edges('by', 'bh')}
+        ELSE false END
+      WHEN NOT (abs(l_angle - r_angle) < radians(15.0D)) THEN false
+      WHEN {dist} > {reach} THEN false
+      ELSE NOT (abs(l_font_size - r_font_size) / {cs} > 0.25D) END"""
 
 
 def mergeable_pairs(quads: DataFrame, rule: MergeRule = MERGE_RULE, cell: int = CELL) -> DataFrame:
@@ -130,13 +120,10 @@ def mergeable_pairs(quads: DataFrame, rule: MergeRule = MERGE_RULE, cell: int =
         F.col("bx") + F.col("bw") + grow, F.col("by") + F.col("bh") + grow, cell)
     pairs = box_join(
         cells, cells,
-        lambda l, r: (l("quad_id") < r("quad_id")) & _near(l, r, rule), ["page_id"], cell)
-    l = lambda c: F.col(f"l_{c}")  # noqa: E731, E741
-    r = lambda c: F.col(f"r_{c}")
+        lambda l, r: F.expr(_near_sql(rule)), ["page_id"], cell)
     # the distance is bound once: it decides, and it is the result
-    dist = F.filter(F.array(G.quad_distance(l("pts"), r("pts"))), lambda d: can_merge(l, r, d, rule))
-    return pairs.select(
-        l("page_id").alias("page_id"), l("quad_id").alias("u"), r("quad_id").alias("v"), F.explode(dist).alias("dist"))
+    dist = f"filter(array({G.quad_distance_sql('l_pts', 'r_pts')}), d -> {can_merge_sql('d', rule)})"
+    return pairs.selectExpr("l_page_id AS page_id", "l_quad_id AS u", "r_quad_id AS v", f"explode({dist}) AS dist")
 
 
 def grouping_edges(quads: DataFrame, rule: MergeRule = MERGE_RULE, cell: int = CELL) -> DataFrame:
@@ -146,6 +133,7 @@ def grouping_edges(quads: DataFrame, rule: MergeRule = MERGE_RULE, cell: int = C
     one representative and only distinct quads take part in the pair join.  A
     pile of copies therefore costs one edge per copy instead of one per pair.
     """
+    quads = cut_lineage(quads)
     key = ["page_id", "pts"]
     rep = quads.groupBy(*key).agg(
         F.min("quad_id").alias("quad_id"), F.count(F.lit(1)).alias("_copies"),

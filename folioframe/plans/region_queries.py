@@ -58,7 +58,7 @@ def j3_j4_line_distances(spark, sf):
     nxt = df.select("page_id", F.col("quad_id").alias("v"), F.col("pts").alias("q"))
     left = df.withColumn("v", F.explode(F.array(F.col("quad_id") + 1, F.col("quad_id") + 2)))
     return left.join(nxt, ["page_id", "v"]).select(
-        F.col("quad_id").alias("u"), "v", F.round(G.quad_distance(F.col("pts"), F.col("q")), 6).alias("hull_dist"),
+        F.col("quad_id").alias("u"), "v", F.round(G.quad_distance("pts", "q"), 6).alias("hull_dist"),
         F.round(G.line_start_distance(F.col("pts"), F.col("q")), 6).alias("start_dist"))
 
 

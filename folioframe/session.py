@@ -49,10 +49,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder, unless it already is.
+
+    Geometry columns are long expressions over each other, and inferring
+    constraints through them takes the optimizer exponential time; it is off
+    while the plan is made.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRDD":
+        return df
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CONSTRAINTS)
+    spark.conf.set(_CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CONSTRAINTS, before)
 
 
 def estimated_size(df: DataFrame) -> int:
