@@ -121,12 +121,13 @@ def spanning_forest(points: DataFrame, start_radius: float = 64.0) -> DataFrame:
     radius = start_radius
     while left > 0:
         picks = cut_lineage(_nearest_outside(sites, fragments, radius).select("page_id", "fragment", "e.*"))
-        chosen = picks.join(
+        chosen = cut_lineage(picks.join(
             sites.select("page_id", F.col("id").alias("u"), "component"), ["page_id", "u"]
-        ).select("page_id", "component", "u", "v", "w").distinct()
+        ).select("page_id", "component", "u", "v", "w").distinct())
         found = chosen.count()
+        # any radius is exact; a larger one finds more edges per round
+        radius *= 2 if found else 4
         if found == 0:
-            radius *= 2
             continue
         left -= found
         tree = tree.unionByName(chosen)
