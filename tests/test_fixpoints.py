@@ -155,7 +155,7 @@ def test_group_big_panels(spark):
 
 def test_merge_contained(spark):
     pages = [[(0, 0, 100, 100), (60, 10, 130, 60)], [(0, 0, 100, 100), (60, 10, 130, 60), (115, 0, 200, 90)],
-             [(0, 0, 50, 50), (300, 0, 350, 50)], [(10, 10, 20, 20), (0, 0, 100, 100), (80, 80, 110, 110)]]
+             [(0, 0, 50, 50), (300, 0, 350, 50)], [(10, 10, 20, 20), (0, 0, 100, 100), (75, 75, 110, 110)]]
     got = {}
     for r in P.merge_contained(_frame(spark, pages)).collect():
         got.setdefault(r.page_id, set()).add((r.x, r.y, r.r, r.b))
