@@ -21,7 +21,7 @@ def load_stage(spark: SparkSession, folder: str, stage: str, schema=None, fmt: s
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one small text file with their number from 1."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value")).withColumn("line_no", F.col("i") + 1).drop("i")
 
 

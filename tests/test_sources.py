@@ -2,8 +2,6 @@
 
 import struct
 
-from pyspark.sql import functions as F
-
 from folioframe.sources import pages as P
 from folioframe.sources import tables as S
 from folioframe.streaming import jobs as ST
@@ -21,14 +19,13 @@ def test_listing_and_pending(spark, tmp_path):
     left = P.pending(pages, P.results(files), "html")
     assert {r.rel_path for r in left.collect()} == {"a/1.png", "a/2.JPG"}
     assert P.pending(pages, files, "html", overwrite=True).count() == 3
-    assert P.expand_inputs(files, files).count() == 6
+    assert P.expand_inputs(files, files).count() == 5  # hidden files are not listed
 
 
 def test_raw_raster(spark, tmp_path):
     (tmp_path / "m.raw").write_bytes(struct.pack("<HHB", 300, 2, 1) + bytes(i % 256 for i in range(600)))
     df = P.read_raw(spark.read.format("binaryFile").load(str(tmp_path)))
-    rows = {(r.y, r.x): r.values[0] for r in df.select("y", "x", F.col("values")).collect()} if False else {
-        (r["y"], r["x"]): r["values"][0] for r in df.select("y", "x", "values").collect()}
+    rows = {(r["y"], r["x"]): r["values"][0] for r in df.select("y", "x", "values").collect()}
     assert len(rows) == 600 and rows[1, 5] == (300 + 5) % 256
 
 
