@@ -196,6 +196,7 @@ def refine_masks(rgb: DataFrame, windows: DataFrame, inpaint: bool = False) -> D
     they bring the result closer, and small holes are closed.
     """
     key = ["page_id"]
+    windows = cut_lineage(windows)
     cells = with_cells(windows, F.col("x1"), F.col("y1"), F.col("x2") - 1, F.col("y2") - 1).drop("_x0", "_y0", "_x1", "_y1")
     at = lambda c: F.floor(F.col(c) / F.lit(512)).cast("bigint")
     px = rgb.withColumns({"_cx": at("x"), "_cy": at("y")}).join(cells, ["page_id", "_cx", "_cy"]).where(
@@ -224,15 +225,18 @@ def refine_masks(rgb: DataFrame, windows: DataFrame, inpaint: bool = False) -> D
     scores = scores.withColumn("_g", group).withColumn("_n", F.row_number().over(first)).where("_n = 1")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("score", "rank"))
     scores = scores.select("page_id", "rank", "inverted", place.alias("place"))
-    masks = cut_lineage(M.to_runs(
-        both.join(scores, [*key, "rank"]).where(F.col("on") != F.col("inverted")), keep=("place",)))
+    # a window and a place make one page, so all candidates are labelled together
+    masks = M.to_runs(both.join(scores, [*key, "rank"]).where(F.col("on") != F.col("inverted")).select(
+        F.struct("page_id", "place").alias("page_id"), "y", "x"))
+    blobs = cut_lineage(M.components(masks))
+    worth = M.component_stats(blobs).where("w * h >= 3").select("page_id", "component")
+    blobs = cut_lineage(blobs.join(worth, ["page_id", "component"], "left_semi").select(
+        F.col("page_id.page_id").alias("page_id"), F.col("page_id.place").alias("place"), "component", "y", "x0", "x1"))
     cross = [(-1, 0, 0), (0, -1, 1), (1, 0, 0)]
     pred = cut_lineage(M.erode(M.to_runs(px.where("v > 60")), cross))
     merged = pred.limit(0)
     for n in range(1, 5):
-        labelled = cut_lineage(M.components(masks.where(F.col("place") == n).drop("place")))
-        keep = M.component_stats(labelled).where("w * h >= 3").select("page_id", "component")
-        merged = M.merge_if_better(merged, labelled.join(keep, ["page_id", "component"], "left_semi"), pred)
+        merged = M.merge_if_better(merged, blobs.where(F.col("place") == n).drop("place"), pred)
         if inpaint:
             merged = M.dilate(merged, M.box_kernel(5), pages)
         merged = cut_lineage(M.fill_holes(merged, pred, pages))

@@ -121,16 +121,18 @@ def c5_text_mask(spark, sf):
     rgb = cut_lineage(view(spark, sf, "rgb"))
     pages = cut_lineage(R.page_sizes(rgb))
     mask = M.to_runs(rgb.where("v > 152").select("page_id", "y", "x"))
-    return _row_sums(lines.text_mask(_grid_lines(spark, sf), mask, pages, rgb, bubble=5))
+    gray = rgb.select("page_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"])
+    return _row_sums(lines.text_mask(_grid_lines(spark, sf), mask, pages, gray, bubble=45))
 
 
 @query("c6_mask_refine")
 def c6_mask_refine(spark, sf):
     rgb = cut_lineage(view(spark, sf, "rgb"))
     pages = R.page_sizes(rgb)
-    q = _grid_lines(spark, sf).groupBy("page_id", (F.floor((F.col("quad_id") % 20) / 5)).alias("block_id")).agg(
+    q = cut_lineage(_grid_lines(spark, sf)).groupBy("page_id", (F.floor((F.col("quad_id") % 20) / 5)).alias("block_id")).agg(
         F.min("bx").alias("x1"), F.min("by").alias("y1"), F.max(F.col("bx") + F.col("bw")).alias("x2"), F.max(F.col("by") + F.col("bh")).alias("y2"))
     q = q.join(pages, "page_id").withColumns({"x2": F.least("x2", "width"), "y2": F.least("y2", "height")}).where("x1 < x2 AND y1 < y2")
+    q = cut_lineage(q)
     w = G.enlarge_window(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("width"), F.col("height"), 2.5, 1.0)
     windows = q.select("page_id", "block_id", *[c.alias(n) for c, n in zip(w, ("x1", "y1", "x2", "y2"))])
     return _row_sums(lines.refine_masks(rgb, windows))
