@@ -88,9 +88,10 @@ def repair_brackets(text: Column, keep_quotes: bool = False) -> Column:
 def join_lines(texts: Column) -> Column:
     """Join ordered lines; no space next to a CJK character, one otherwise."""
     joined = F.array_join(texts, _SEAM)
-    joined = F.regexp_replace(joined, f"(?<={_CJK}){_SEAM}+", "")
-    joined = F.regexp_replace(joined, f"{_SEAM}(?={_CJK})", "")
-    return F.replace(joined, F.lit(_SEAM), F.lit(" "))
+    tight = F.regexp_replace(joined, f"(?<={_CJK}){_SEAM}+", "")
+    tight = F.regexp_replace(tight, f"{_SEAM}(?={_CJK})", "")
+    # the patterns look at every character; texts without CJK need none of it
+    return F.when(joined.rlike(_CJK), F.replace(tight, F.lit(_SEAM), F.lit(" "))).otherwise(F.array_join(texts, " "))
 
 
 def has_cjk_edge(text: Column) -> tuple[Column, Column]:

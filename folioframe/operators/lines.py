@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as G
-from folioframe.operators import filters
 from folioframe.operators import mask as M
 from folioframe.operators import raster as R
 from folioframe.operators.spatial import box_join, with_cells

@@ -8,7 +8,7 @@ from folioframe.functions import geometry as G
 from folioframe.operators import extraction, lines, placement
 from folioframe.operators import mask as M
 from folioframe.operators import raster as R
-from folioframe.plans.raster_queries import MASK, RAS, SIZE, _row_sums, _small_quads
+from folioframe.plans.raster_queries import RAS, SIZE, _row_sums
 from folioframe.plans.registry import query
 from folioframe.plans.views import ctes, slanted, textlines, view
 from folioframe.session import cut_lineage

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import language as L
 from folioframe.functions import numeric as N
 from folioframe.functions import text as T
-from folioframe.functions.text import BRACKETS, HORIZONTAL_MARKS, bracket_class, char_class
-from folioframe.operators import regions
+from folioframe.functions.text import HORIZONTAL_MARKS, bracket_class, char_class
 from folioframe.operators import translate as X
 from folioframe.plans.registry import query
 from folioframe.plans.sqltext import repair_ctes, sql_str
@@ -307,7 +306,7 @@ def x22_stage_json(spark, sf):
 
 @query("x23_normalisers", sql="""
 WITH v AS (SELECT vec_id, CAST(e AS DOUBLE) AS e, i FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
- z AS (SELECT vec_id, max(e) + ln(sum(exp(e - (SELECT max(x) FROM (SELECT 1.0::DOUBLE AS x))))) + 1 - max(e) AS z FROM v GROUP BY vec_id)
+ z AS (SELECT vec_id, ln(sum(exp(e))) AS z FROM v GROUP BY vec_id)
 SELECT vec_id, i - 1 AS i, round(1 / (1 + exp(-e)), 6) AS sig, round(e / 127.5 - 1, 6) AS sym, round((e - 127.5) / 127.5, 6) AS cen, round(e / 255, 6) AS uni, round(e * 0.5 - 0.1, 6) AS std, round(e - z, 6) AS lsm
 FROM v JOIN z USING (vec_id)""")
 def x23_normalisers(spark, sf):
