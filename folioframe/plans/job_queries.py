@@ -78,7 +78,7 @@ def j18_collisions(spark, sf):
     return placement.collisions(_render_boxes(spark, sf))
 
 
-# no twin: every spot depends on the ones before it; tests compare with brute force
+# no twin: every spot depends on the ones before it; tests check known spots
 @query("r27_placement")
 def r27_placement(spark, sf):
     b = _render_boxes(spark, sf)

@@ -143,7 +143,7 @@ def a18_small_panel_groups(spark, sf):
     return P.group_small(_boxes(spark, sf), PAGE_W, PAGE_H, 0.1)
 
 
-# no twin: folding is a fixpoint; tests compare it with brute force
+# no twin: folding is a fixpoint; tests check known results and that nothing is left to fold
 @query("a19_merge_contained")
 def a19_merge_contained(spark, sf):
     return P.merge_contained(_boxes(spark, sf))
