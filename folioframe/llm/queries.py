@@ -2,22 +2,81 @@
 
 from __future__ import annotations
 
-from folioframe.llm.base import read
+from pyspark.sql import functions as F
+
+from folioframe.llm import exact, langid, licenses, packing, pieces, pii, secrets, toxicity
+from folioframe.llm.base import fold, read
 from folioframe.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from folioframe.llm.vocabularies import tokenizer_path
+
+#: The pass phrase of the pseudonyms in the query and the pipeline; a user brings their own.
+PHRASE = "pseudonyms of the corpus queries"
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf):
+    docs = read(spark, sf, "documents")
+    chain = toxicity.train(docs, read(spark, sf, "labels"), fold("doc_id", 5) != 0)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return toxicity.score_toxicity(docs, chain).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), spans.alias("spans"))
+
+
+def _license_sql() -> str:
+    """The canonical form in SQL: spellings are replaced word by word."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    names, words = (f"[{', '.join(map(quoted, part))}]" for part in (licenses.SPELLINGS.keys(), licenses.SPELLINGS.values()))
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.catalogue_entries())
+    plain = "regexp_replace(regexp_replace(lower(t), '(?m)^[^a-z0-9\\n]*(copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g'), '[^a-z0-9]+', ' ', 'g')"
+    spelt = f"""array_to_string(list_transform(list_filter(string_split({plain}, ' '), lambda w: w <> ''),
+ lambda w: coalesce(list_extract({words}, list_position({names}, w)), w)), ' ')"""
+    return f"""WITH known(license, c) AS (VALUES {known}), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, sha256({spelt}) AS text_digest, {spelt} AS c FROM d),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS t FROM d), lc AS (SELECT r, {spelt} AS c FROM l),
+n AS (SELECT r, count(*) AS n_notices, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices FROM lc JOIN known USING (c) GROUP BY r)
+SELECT w.doc_id, w.text_digest, k.license, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
+FROM w LEFT JOIN known k ON k.c = w.c LEFT JOIN n ON n.r = w.r"""
+
+
+@query("op2_license_scan", sql=_license_sql())
+def op2_license_scan(spark, sf):
+    return licenses.scan_licenses(read(spark, sf, "documents"), licenses.catalogue(spark))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf):
+    docs = read(spark, sf, "documents")
+    net = langid.train(docs, fold("doc_id", 4) != 2)
+    found = langid.predict(docs, net)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, sf):
+    return secrets.secret_digest(secrets.scan_secrets(read(spark, sf, "documents")))
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark, sf):
+    return pieces.encoding_digest(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 @query("op7_exact_dedup", sql="""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""")
 def op7_exact_dedup(spark, sf):
-    from folioframe.llm.exact import exact_groups
+    return exact.exact_groups(read(spark, sf, "documents")).selectExpr("id AS doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
-    return exact_groups(read(spark, sf, "documents")).selectExpr("id AS doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+@query("op8_pii")
+def op8_pii(spark, sf):
+    done = pii.pseudonymised(read(spark, sf, "documents").select("doc_id", "text"), PHRASE)
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
+    spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return done.select("doc_id", *(count(kind).alias(f"n_{kind}") for kind in pii.NAMES), spans.alias("spans"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf):
-    from folioframe.llm.packing import pack_documents
-    from folioframe.llm.vocabularies import tokenizer_path
-
-    return pack_documents(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
