@@ -231,6 +231,6 @@ def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text", chars_co
             spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done], pa.list_(span))
             yield pa.RecordBatch.from_arrays([*arrays, spans], names=[*columns, "pii_spans"])
 
-    schema = T.StructType(docs.select(*columns).schema.fields).add("pii_spans", T.ArrayType(T.StructType().add("kind", "string").add("start", "int").add("end", "int")))
+    schema = T.StructType(docs.select(*columns).schema.fields).add("pii_spans", T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")))
     out = docs.select(*columns).mapInArrow(run, schema)
     return out if chars_col is None else out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
