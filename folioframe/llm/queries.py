@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact, langid, licenses, packing, pieces, pii, secrets, toxicity
+from folioframe.llm import exact, langid, licenses, packing, pieces, pii, secrets, topk, toxicity
 from folioframe.llm.base import fold, read
 from folioframe.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from folioframe.llm.vocabularies import tokenizer_path
@@ -51,6 +51,17 @@ def op3_language_id(spark, sf):
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_exact_top_k", sql="""WITH f AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE)) AS e FROM f),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id),
+s AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM s WHERE rank <= 20""")
+def op4_exact_top_k(spark, sf):
+    return topk.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark, sf):
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf, "documents")))
