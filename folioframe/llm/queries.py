@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact, langid, licenses, packing, pieces, pii, secrets, topk, toxicity
+from folioframe.llm import exact, langid, licenses, neardup, packing, pieces, pii, secrets, topk, toxicity
 from folioframe.llm.base import fold, read
 from folioframe.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from folioframe.llm.vocabularies import tokenizer_path
@@ -88,6 +88,13 @@ def op8_pii(spark, sf):
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark, sf):
+    like = neardup.Similarity(words=3, num=85, den=100)
+    return neardup.near_groups(read(spark, sf, "documents"), like).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf):
     return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
