@@ -213,7 +213,7 @@ def derived_key(secret: str) -> bytes:
 def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """``docs`` with the text replaced and a column ``pii_spans`` (kind, start, end in the former text).
 
-    All other columns stay; ``chars_col``, if given, gets the length of the new
+    All other columns stay; ``chars_col``, if given, gets the length of a changed
     text. A null text stays null and an empty one empty, both without spans;
     texts are searched whole; rows that repeat stay and change alike. An
     existing column ``pii_spans`` is replaced.
@@ -233,4 +233,7 @@ def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text", chars_co
 
     schema = T.StructType(docs.select(*columns).schema.fields).add("pii_spans", T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")))
     out = docs.select(*columns).mapInArrow(run, schema)
-    return out if chars_col is None else out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    if chars_col is None:
+        return out
+    length = F.length(text_col).cast(docs.schema[chars_col].dataType)
+    return out.withColumn(chars_col, F.when(F.size("pii_spans") > 0, length).otherwise(F.col(chars_col)))

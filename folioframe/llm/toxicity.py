@@ -376,3 +376,22 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+
+
+def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text scores one half or more; all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(shared.value) if shared.value is not None else None
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for begin, end in slices(texts):
+                part = batch.slice(begin, end - begin)
+                if scorer:
+                    scores, _ = scorer.score([t or "" for t in texts[begin:end]])
+                    part = part.filter(pa.array(scores < 0.5))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
