@@ -44,13 +44,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Name of the row number that operators give the rows of their input.
-ROW = "row"
+#: Columns that name a row of a table in files: a hash of the file's path, and the row's place in the file.
+KEY = ["in_file", "at_place"]
+_PLAIN_NODES = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "Repartition", "RepartitionByExpression"}
 
 
-def row_number_of() -> Column:
-    """Number of a row by partition and place; the same for every pass over the same table."""
-    return F.monotonically_increasing_id().alias(ROW)
+def in_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows come one to one from Parquet files, else written as such.
+
+    Rows of files have names that hold for every pass over them, however the
+    files are split, also after executors were lost.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName().split(" ")[0] in _PLAIN_NODES and node.children().size() == 1:
+        node = node.children().apply(0)
+    if node.nodeName().split(" ")[0] == "LogicalRelation" and "parquet" in str(node.relation()).lower():
+        return docs
+    return written(docs, "rows")
+
+
+def key_columns(names: list[str] = KEY) -> list[Column]:
+    """The name of a row of :func:`in_files`."""
+    return [F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
 
 
 #: Rows of a table of a few short columns that may be broadcast.
@@ -63,10 +78,10 @@ def hint_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows numbered in ``dropped``, columns as they were."""
-    name = f"_{ROW}_{uuid.uuid4().hex[:8]}"
-    rows = written(dropped.select(F.col(ROW).alias(name)), "dropped")
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(hint_small(rows), name, "left_anti").select(*docs.columns)
+    """``docs``, which are :func:`in_files`, without the rows named in ``dropped``; columns as they were."""
+    names = [f"{k}_{uuid.uuid4().hex[:8]}" for k in KEY]
+    rows = written(dropped.select(*(F.col(k).alias(n) for k, n in zip(KEY, names))), "dropped")
+    return docs.select(*docs.columns, *key_columns(names)).join(hint_small(rows), names, "left_anti").select(*docs.columns)
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, arrow_schema: pa.Schema) -> DataFrame:

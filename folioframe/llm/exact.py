@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import arrow_map, hint_small, row_number_of, slices, without_rows, written
+from folioframe.llm.base import KEY, arrow_map, hint_small, in_files, key_columns, slices, without_rows, written
 
 #: Fingerprints per range of quotients, on average; a range is one task's work.
 RANGE_SIZE = 1 << 19
@@ -93,20 +93,21 @@ class QuotientFilter:
 
 
 def _prints(rows: DataFrame, with_text: bool) -> DataFrame:
-    """Row number, id, sha256 (hex) and 64-bit fingerprint of the text with A-Z lower-cased, and that text on request."""
-    fields = [("row", pa.int64()), ("id", pa.int64()), ("sha", pa.string()), ("fp", pa.int64())] + [("body", pa.binary())] * with_text
+    """Row, id, sha256 (hex) and 64-bit fingerprint of the text with A-Z lower-cased, and that text on request."""
+    fields = [(k, pa.int64()) for k in KEY] + [("id", pa.int64()), ("sha", pa.string()), ("fp", pa.int64())] + [("body", pa.binary())] * with_text
 
     def work(batch: pa.RecordBatch):
-        texts = batch.column(2).to_pylist()
+        texts = batch.column(3).to_pylist()
         for begin, end in slices(texts):
             data = [(t or "").encode().lower() for t in texts[begin:end]]  # bytes.lower() changes A-Z alone
             yield {
-                "row": batch.column(0).slice(begin, end - begin), "id": batch.column(1).slice(begin, end - begin),
+                **{k: batch.column(i).slice(begin, end - begin) for i, k in enumerate([*KEY, "id"])},
                 "sha": [hashlib.sha256(b).hexdigest() for b in data], "body": data,
                 "fp": np.array([xxhash.xxh3_64_intdigest(b) for b in data], dtype=np.uint64).view(np.int64),
             }
 
-    return arrow_map(rows, work, "row long, id long, sha string, fp long" + ", body binary" * with_text, pa.schema(fields))
+    schema = f"{KEY[0]} long, {KEY[1]} long, id long, sha string, fp long" + ", body binary" * with_text
+    return arrow_map(rows, work, schema, pa.schema(fields))
 
 
 def repeated_prints(prints: DataFrame, n_rows: int, range_size: int = RANGE_SIZE) -> DataFrame:
@@ -149,7 +150,7 @@ def repeated_prints(prints: DataFrame, n_rows: int, range_size: int = RANGE_SIZE
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_size: int = RANGE_SIZE) -> DataFrame:
-    """One row per document: ``row, id, keep_id, group_size, kept, text_sha256``; ``row`` numbers the rows of ``docs``.
+    """One row per document: ``id, keep_id, group_size, kept, text_sha256`` and the name of the row (``KEY``).
 
     Texts are equal when identical after lower-casing A-Z; a null text is an
     empty one. Of equal texts the row with the largest id stays; a null id is
@@ -158,21 +159,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept. An empty table gives an empty result; very long texts are hashed and
     compared whole.
     """
-    rows = docs.select(row_number_of(), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = in_files(docs).select(*key_columns(), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     slim = written(_prints(rows, False), "prints")
     repeated = written(repeated_prints(slim, slim.count(), range_size), "repeated")
     routed = _prints(rows, True).join(hint_small(repeated), "fp", "left_semi")
     # the grouping compares the bytes themselves
-    texts = routed.groupBy("sha", "body").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("n"))
+    texts = routed.groupBy("sha", "body").agg(F.max(F.struct("id", *KEY)).alias("top"), F.count("*").alias("n"))
     one_text = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))).otherwise(F.first("n"))
     classes = written(texts.where("n > 1").groupBy("sha").agg(F.first("top").alias("top"), one_text.alias("n")), "classes")
-    joined = slim.join(classes, "sha", "left")
-    return joined.select(
-        "row", "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("row") == F.col("top.row"), F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256"))
+    is_top = (F.col(KEY[0]) == F.col(f"top.{KEY[0]}")) & (F.col(KEY[1]) == F.col(f"top.{KEY[1]}"))
+    return slim.join(classes, "sha", "left").select(
+        *KEY, "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(is_top, F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` does not keep; all columns as they were."""
+    docs = in_files(docs)
     return without_rows(docs, exact_groups(docs, id_col, text_col).where("not kept"))

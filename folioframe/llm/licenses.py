@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import arrow_map, row_number_of, slices
+from folioframe.llm.base import arrow_map, slices
 
 # Words taken as equal to the word behind them.
 SPELLINGS = {
@@ -163,7 +163,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
                 "text_digest": [digest(canonical(t)) for t in part], "lines": [line_digests(t) if t else [] for t in part],
             }
 
-    rows = docs.select(row_number_of(), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     units = arrow_map(rows, work, "row long, doc_id long, text_digest string, lines array<string>",
                       pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_digest", pa.string()), ("lines", unit)]))
     lines = units.select("row", "doc_id", "text_digest", F.explode_outer("lines").alias("line"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import arrow_map, hint_small, row_number_of, slices, without_rows, written
+from folioframe.llm.base import KEY, arrow_map, hint_small, in_files, key_columns, slices, without_rows, written
 from folioframe.operators.graph import component_links
 
 _MASK = (1 << 64) - 1
@@ -143,25 +143,26 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
 
 
 def shingled(rows: DataFrame, like: Similarity) -> DataFrame:
-    """Per row: ``row, id, n`` (set size), ``digest`` of the set, ``bands`` and ``sketch`` (null for an empty set)."""
+    """Per row: its name, ``id, n`` (set size), ``digest`` of the set, ``bands`` and ``sketch``."""
 
     def work(batch: pa.RecordBatch):
         tool = Shingler(like)
-        texts = batch.column(2).to_pylist()
+        texts = batch.column(3).to_pylist()
         for begin, end in slices(texts, 2_000_000):
-            numbers = batch.column(0).slice(begin, end - begin)
+            files, places, ids = (batch.column(i).slice(begin, end - begin) for i in range(3))
             sets = tool.sets([t or "" for t in texts[begin:end]])
             signatures = np.stack([tool.signature(s) for s in sets])
-            # an empty set is like no other, so its row number stands for it
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"empty" + r.to_bytes(8, "big") for s, r in zip(sets, numbers.to_pylist())]
+            # an empty set is like no other, so the name of its row stands for it
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else f"empty {f} {p}".encode()
+                       for s, f, p in zip(sets, files.to_pylist(), places.to_pylist())]
             yield {
-                "row": numbers, "id": batch.column(1).slice(begin, end - begin), "n": [len(s) for s in sets], "digest": digests,
+                KEY[0]: files, KEY[1]: places, "id": ids, "n": [len(s) for s in sets], "digest": digests,
                 "bands": _lists(tool.band_keys(signatures)), "sketch": _lists(tool.sketches(signatures)),
             }
 
     longs = pa.list_(pa.int64())
-    return arrow_map(rows, work, "row long, id long, n long, digest binary, bands array<long>, sketch array<long>", pa.schema(
-        [("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", longs), ("sketch", longs)]))
+    return arrow_map(rows, work, f"{KEY[0]} long, {KEY[1]} long, id long, n long, digest binary, bands array<long>, sketch array<long>", pa.schema(
+        [*((k, pa.int64()) for k in KEY), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", longs), ("sketch", longs)]))
 
 
 def _near(a: str, b: str, like: Similarity):
@@ -178,11 +179,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Simil
     which gets its set once; the set of a ``b`` travels once per pair.
     """
     sized = pairs.join(classes.select(F.col("cls").alias("b"), "n"), "b")
+    named = classes.select(F.col("cls").alias("row"), *KEY)
     weight = sized.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum("n") / 2_000_000)).alias("parts"))
     dealt = sized.join(weight, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b")
     wanted = written(dealt.select("a", "part", F.col("b").alias("row")).unionAll(
-        dealt.select("a", "part", F.col("a").alias("row")).distinct()), "wanted")
-    texts = rows.join(hint_small(wanted), "row").select("a", "part", "row", "text")
+        dealt.select("a", "part", F.col("a").alias("row")).distinct()).join(named, "row"), "wanted")
+    texts = rows.join(hint_small(wanted), KEY).select("a", "part", "row", "text")
 
     def work(batch: pa.RecordBatch):
         tool = Shingler(like)
@@ -255,7 +257,7 @@ def _bucket_pairs(open_members: DataFrame, classes: DataFrame, width: int, like:
 
 
 def near_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``row, id, n_shingles, component_id, kept_row``; ``row`` numbers the rows of ``docs``.
+    """One row per document: ``id, n_shingles, component_id, kept_row`` and the name of the row (``KEY``).
 
     Words are runs of characters other than space and the control characters 9
     to 13, A-Z lower-cased. A text of fewer words than a shingle is one shingle
@@ -267,20 +269,21 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str =
     hashes of shingles.
     """
     like.check()
-    rows = docs.select(row_number_of(), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(shingled(rows, like), "shingled")
+    rows = in_files(docs).select(*key_columns(), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = written(shingled(rows, like).withColumn("row", F.monotonically_increasing_id()), "shingled")
     ordered = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     first = prints.where("n > 0").groupBy("digest").agg(F.min(ordered).alias("least"))
     # a class is named by one of its rows, whose text stands for it
-    classes = written(first.join(prints.select("row", "n", "bands", "sketch"), first["least.row"] == F.col("row")).select(
-        F.col("row").alias("cls"), "digest", "least", "n", "bands", "sketch"), "classes")
+    classes = written(first.join(prints.select("row", *KEY, "n", "bands", "sketch"), first["least.row"] == F.col("row")).select(
+        F.col("row").alias("cls"), *KEY, "digest", "least", "n", "bands", "sketch"), "classes")
     members = classes.select("cls", F.explode("bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("m")).where("m > 1")
     buckets = written(members.join(leaders, "key").select("key", "cls", "a"), "buckets")
-    slim = classes.select("cls", "n", "sketch")
+    slim = classes.select("cls", *KEY, "n", "sketch")
     star = buckets.where("cls > a").select("a", F.col("cls").alias("b")).distinct()
     tested = written(
-        star.join(slim.toDF("a", "an", "as"), "a").join(slim.toDF("b", "bn", "bs"), "b").select(
+        star.join(slim.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as")), "a").join(
+            slim.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs")), "b").select(
             "a", "b", F.struct(F.col("an").alias("n"), F.col("as").alias("sketch")).alias("x"),
             F.struct(F.col("bn").alias("n"), F.col("bs").alias("sketch")).alias("y")).where(_near("x", "y", like)).select("a", "b"), "pairs")
     links = written(confirmed(tested, slim, rows, like), "links")
@@ -311,11 +314,12 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str =
     comps = classes.select("cls", "digest", "least").join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     least = comps.groupBy("comp").agg(F.min("least").alias("top"))
     named = written(comps.join(least, "comp").select("digest", "top"), "components")
-    return prints.select("row", "id", "n", "digest").join(named, "digest", "left").select(
-        "row", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("top.id")).otherwise(F.col("id")).alias("component_id"),
+    return prints.select(*KEY, "row", "id", "n", "digest").join(named, "digest", "left").select(
+        *KEY, "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("top.id")).otherwise(F.col("id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("row") == F.col("top.row")).otherwise(True).alias("kept_row"))
 
 
 def drop_near(docs: DataFrame, like: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near duplicates; all columns as they were."""
+    docs = in_files(docs)
     return without_rows(docs, near_groups(docs, like, id_col, text_col).where("not kept_row"))

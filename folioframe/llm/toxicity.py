@@ -351,7 +351,7 @@ class Scorer:
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, doc_id, score, predicted, spans`` per document; spans are code points, end exclusive, of offending runs of words.
+    """``doc_id, score, predicted, spans`` per document; spans are code points, end exclusive, of offending runs of words.
 
     Null and empty texts get the score of a text without tokens, and every text
     gets 0 if nothing was learned. Rows that repeat stay and score alike; texts
@@ -363,19 +363,18 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
     def run(batches):
         scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
             for begin, end in slices(texts):
                 part = [t or "" for t in texts[begin:end]]
                 scores, spans = scorer.score(part) if scorer else (np.zeros(len(part)), [[] for _ in part])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array(scores, pa.float64()),
+                    batch.column(0).slice(begin, end - begin), pa.array(scores, pa.float64()),
                     pa.array((scores >= 0.5).astype(np.int32), pa.int32()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(span))],
-                    names=["row", "doc_id", "score", "predicted", "spans"])
+                    names=["doc_id", "score", "predicted", "spans"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
 def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
