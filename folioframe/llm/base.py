@@ -122,7 +122,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class WordIds:
     """Ids of words seen so far, kept flat; forgets all of them beyond ``limit`` words."""
 
-    def __init__(self, encode_new: Callable[[list], list], limit: int = 600_000):
+    def __init__(self, encode_new: Callable[[list], list], limit: int = 1_500_000):
         self.encode_new, self.limit = encode_new, limit
         self.clear()
 
