@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.session import broadcast_if_small
@@ -57,12 +57,12 @@ def _grams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
 
 
-def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", keep: int = 300) -> DataFrame:
-    """The ``keep`` most frequent trigrams of every language with a whole-number weight.
+def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The trigrams of every language with a whole-number weight.
 
     Words are counted before they are cut into trigrams, so the shuffle carries
-    the vocabulary and not the texts.  The profile has at most ``keep`` rows per
-    language.
+    the vocabulary and not the texts.  Trigrams below a millionth of a language
+    have weight zero and are left out: they could not change a score.
     """
     words = df.select(lang, F.explode(_words(F.col(text))).alias("word")).groupBy(lang, "word").count()
     grams = (
@@ -70,11 +70,8 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", keep:
         .groupBy(lang, "gram").agg(F.sum("count").alias("n"))
     )
     total = grams.groupBy(lang).agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.desc("n"), "gram"))
-    return (
-        grams.withColumn("rank", rank).where(F.col("rank") <= keep).join(total, lang)
-        .select(F.col(lang).alias("lang"), "gram", F.floor(F.col("n") * 1000000.0 / F.col("total")).cast("bigint").alias("weight"))
-    )
+    weight = F.floor(F.col("n") * 1000000.0 / F.col("total")).cast("bigint")
+    return grams.join(total, lang).select(F.col(lang).alias("lang"), "gram", weight.alias("weight")).where("weight > 0")
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, key: list[str], text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import geometry as G
 from folioframe.operators import mask as M
 from folioframe.operators import raster as R
-from folioframe.operators.spatial import box_join, with_cells
+from folioframe.operators.spatial import CELL, box_join, with_cells
 from folioframe.session import cut_lineage
 
 #: Fixed value: overlap up to this share does not decide an assignment.
@@ -151,30 +151,52 @@ def assign_components(stats: DataFrame, lines: DataFrame) -> DataFrame:
 # --- the text mask ----------------------------------------------------------
 
 
-def text_mask(lines: DataFrame, mask: DataFrame, pages: DataFrame, rgb: DataFrame | None = None,
-              offset: float = 20.0, kernel: int = 3, bubble: int = 0) -> DataFrame:
-    """Mask of the lettering of all lines, as runs.
+def cut_along_boxes(mask: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """The mask without the one-pixel outlines of the line boxes, so that lettering across an edge falls apart."""
+    right, low = F.col("bx") + F.col("bw") - 1, F.col("by") + F.col("bh") - 1
+    row = lambda y, x0, x1: F.struct(y.alias("y"), x0.alias("x0"), x1.alias("x1"))
+    sides = F.transform(F.sequence(F.col("by"), low), lambda y: row(y, F.col("bx"), F.col("bx")))
+    other = F.transform(F.sequence(F.col("by"), low), lambda y: row(y, right, right))
+    ends = F.array(row(F.col("by"), F.col("bx"), right), row(low, F.col("bx"), right))
+    outline = lines.where("bw > 0 AND bh > 0").select("page_id", F.inline(F.concat(sides, other, ends)))
+    return M.intersect(mask, M.invert(M.clip(outline, pages), pages))
 
-    The page mask is cut along the line boxes, its components go to lines, grow
-    by a kernel that follows the line's text size, and are united.  With
-    ``bubble`` in 1..50, blobs whose surroundings are no bubble are removed.
-    """
-    geo = lines
-    labelled = cut_lineage(M.components(M.intersect(mask, mask)))
+
+def fit_text(lines: DataFrame, mask: DataFrame, pages: DataFrame, offset: float, kernel: int) -> DataFrame:
+    """Components of the mask, cut along the line boxes, go to lines, grow by a
+    kernel that follows the line's text size, are united and grow once more."""
+    labelled = cut_lineage(M.components(cut_along_boxes(mask, lines, pages)))
     stats = cut_lineage(M.component_stats(labelled))
-    owner = cut_lineage(assign_components(stats, geo))
+    owner = cut_lineage(assign_components(stats, lines))
     boxes = owner.join(stats, ["page_id", "component"]).groupBy("page_id", "quad_id").agg(
         (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"))
-    sized = boxes.join(geo.select("page_id", "quad_id", "font_size"), ["page_id", "quad_id"])
+    sized = boxes.join(lines.select("page_id", "quad_id", "font_size"), ["page_id", "quad_id"])
     text = F.least(F.col("font_size"), F.col("w").cast("double"), F.col("h").cast("double"))
     sized = sized.select("page_id", "quad_id", M.line_dilate_size(text, offset).alias("size"))
     runs = labelled.join(owner, ["page_id", "component"]).join(sized, ["page_id", "quad_id"]).select("page_id", "y", "x0", "x1", "size")
-    final = M.dilate(M.dilate_sized(runs, "size", pages), M.ellipse_kernel(kernel), pages)
-    if not 1 <= bubble <= 50 or rgb is None:
-        return final
-    blobs = cut_lineage(M.components(final))
-    box = M.component_stats(blobs)
-    crops = rgb.join(box.withColumnRenamed("x", "left").withColumnRenamed("y", "top"), "page_id").where(
+    return M.dilate(M.dilate_sized(runs, "size", pages), M.ellipse_kernel(kernel), pages)
+
+
+def work_sizes(pages: DataFrame, mask_height: str = "height") -> DataFrame:
+    """Pages with the ``factor`` and size at which their text mask is made."""
+    tall = F.col(mask_height).cast("double")
+    factor = F.least(F.greatest((tall - F.col("height") / F.lit(3.0)) / tall, F.lit(0.5)), F.lit(1.0))
+    return pages.select("page_id", "width", "height", factor.alias("factor")).withColumns({
+        "to_w": (F.col("width") * F.col("factor")).cast("bigint"), "to_h": (F.col("height") * F.col("factor")).cast("bigint")})
+
+
+def not_in_bubbles(mask: DataFrame, rgb: DataFrame, pages: DataFrame, bubble: int) -> DataFrame:
+    """Blobs of the mask, grown by a kernel that follows the page, without those whose surroundings are no bubble.
+
+    A pixel meets the boxes of its grid cell only. A page too small for a kernel
+    leaves its blobs as they are.
+    """
+    grown = M.dilate_boxed(mask.join(pages.select("page_id", M.page_kernel_size(F.col("width"), F.col("height")).alias("size")), "page_id"), "size", pages)
+    blobs = cut_lineage(M.components(grown))
+    box = cut_lineage(M.component_stats(blobs).select("page_id", "component", F.col("x").alias("left"), F.col("y").alias("top"), "w", "h"))
+    cells = with_cells(box, F.col("left"), F.col("top"), F.col("left") + F.col("w") - 1, F.col("top") + F.col("h") - 1).drop("_x0", "_y0", "_x1", "_y1")
+    at = lambda c: F.floor(F.col(c) / F.lit(CELL)).cast("bigint")
+    crops = rgb.withColumns({"_cx": at("x"), "_cy": at("y")}).join(cells, ["page_id", "_cx", "_cy"]).where(
         F.col("x").between(F.col("left"), F.col("left") + F.col("w") - 1) & F.col("y").between(F.col("top"), F.col("top") + F.col("h") - 1))
     crops = crops.select("page_id", "component", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"),
                          "r", "g", "b", F.col("w").alias("width"), F.col("h").alias("height"))
@@ -182,6 +204,39 @@ def text_mask(lines: DataFrame, mask: DataFrame, pages: DataFrame, rgb: DataFram
     return blobs.join(drop, ["page_id", "component"], "left_anti").select("page_id", "y", "x0", "x1")
 
 
+def text_mask(lines: DataFrame, mask: DataFrame, pages: DataFrame, rgb: DataFrame | None = None, offset: float = 20.0, kernel: int = 3,
+              bubble: int = 0, method: str = "fit", expand: bool = False, scale: bool = True) -> DataFrame:
+    """Mask of the lettering of all lines, as runs.
+
+    ``lines`` carry geometry, with ``expand`` also ``block_id`` and ``line_no``:
+    they then reach to the next line. ``fit`` follows the lettering found in the
+    page mask, at the reduced size of :func:`work_sizes` unless ``scale`` is
+    off; ``fill`` takes the line boxes whole. With ``bubble`` in 1..50, blobs
+    whose surroundings are no bubble are removed.
+    """
+    if method not in ("fit", "fill"):
+        raise ValueError(f"no method {method!r}")
+    measure = lambda df: cut_lineage(G.with_geometry(G.with_corner_order(cut_lineage(df))))
+    if expand:
+        whole = F.transform("expanded", lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y")))
+        lines = measure(expand_to_next(lines).select("page_id", "quad_id", whole.alias("pts")))
+    if method == "fill":
+        final = M.fill_boxes(lines.select("page_id", *(F.col(f"b{c}").cast("bigint").alias(c) for c in "xywh")), pages)
+    elif scale:
+        sizes = cut_lineage(work_sizes(pages))
+        small = sizes.select("page_id", F.col("to_w").alias("width"), F.col("to_h").alias("height"))
+        scaled = measure(lines.join(sizes.select("page_id", "factor"), "page_id").select(
+            "page_id", "quad_id", G.scale(F.col("pts"), F.col("factor")).alias("pts")))
+        final = fit_text(scaled, M.resize_runs(mask, sizes), small, offset, kernel)
+        back = sizes.select("page_id", F.col("to_w").alias("width"), F.col("to_h").alias("height"), F.col("width").alias("to_w"), F.col("height").alias("to_h"))
+        final = M.resize_runs(final, back)
+    else:
+        final = fit_text(lines, mask, pages, offset, kernel)
+    if not 1 <= bubble <= 50 or rgb is None:
+        return final
+    return not_in_bubbles(final, rgb, pages, bubble)
+
+
 # --- refinement inside block windows ----------------------------------------
 
 

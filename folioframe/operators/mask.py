@@ -9,6 +9,7 @@ Every window below is over one row of one page.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,25 @@ def dilate_sized(runs: DataFrame, size: str, pages: DataFrame) -> DataFrame:
     return union(clip(grown, pages))
 
 
+def dilate_boxed(runs: DataFrame, size: str, pages: DataFrame) -> DataFrame:
+    """Grow every run by a box with sides of its own ``size`` column; a size of 0 or 1 changes nothing."""
+    sized = runs.withColumn("_s", F.greatest(F.col(size), F.lit(1)).cast("bigint")).withColumn("_h", F.floor(F.col("_s") / F.lit(2)).cast("bigint"))
+    far = F.col("_s") - 1 - F.col("_h")
+    grown = sized.withColumn("_d", F.explode(F.sequence(-F.col("_h"), far))).select(
+        "page_id", (F.col("y") + F.col("_d")).alias("y"), (F.col("x0") - F.col("_h")).alias("x0"), (F.col("x1") + far).alias("x1"))
+    return union(clip(grown, pages))
+
+
+def resize_runs(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Nearest resize: a target cell is set if the source cell it maps back to is; ``sizes(page_id, width, height, to_w, to_h)``."""
+    first = lambda v, to, size: F.ceil(v * to / size).cast("bigint")
+    j = runs.join(sizes.select("page_id", "width", "height", "to_w", "to_h"), "page_id")
+    j = j.withColumns({"_y0": first(F.col("y"), F.col("to_h"), F.col("height")), "_y1": first(F.col("y") + 1, F.col("to_h"), F.col("height")) - 1})
+    return j.where("_y0 <= _y1").select(
+        "page_id", F.explode(F.sequence("_y0", "_y1")).alias("y"), first(F.col("x0"), F.col("to_w"), F.col("width")).alias("x0"),
+        (first(F.col("x1") + 1, F.col("to_w"), F.col("width")) - 1).alias("x1")).where("x0 <= x1")
+
+
 def clip(runs: DataFrame, pages: DataFrame) -> DataFrame:
     j = runs.join(pages.select("page_id", "width", "height"), "page_id")
     return j.where((F.col("y") >= 0) & (F.col("y") < F.col("height"))).select(
@@ -282,7 +302,7 @@ _DIAGONALS = {"d1": ((-1, -1), (-1, 0), (0, -1)), "d2": ((1, -1), (1, 0), (0, -1
               "d3": ((-1, 1), (-1, 0), (0, 1)), "d4": ((1, 1), (1, 0), (0, 1))}
 
 
-def ring_distance(unknown: DataFrame, pages: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def ring_distance(unknown: DataFrame, pages: DataFrame) -> DataFrame:
     """``(page_id, y, x, ring, d1..d4)`` for every unknown pixel.
 
     Known pixels are ring 0 and grow by a 3x3 box per round; a flag tells that
@@ -295,7 +315,7 @@ def ring_distance(unknown: DataFrame, pages: DataFrame, max_rounds: int = 100_00
     offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
     flags = [F.array(*[F.lit(name) for name, cells in _DIAGONALS.items() if (-dy, -dx) in cells] or [F.lit("")]) for dy, dx in offsets]
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), f.alias("f")) for (dy, dx), f in zip(offsets, flags)])
-    while ring < max_rounds:
+    while True:
         ring += 1
         near = frontier.withColumn("_o", F.explode(steps)).select(
             "page_id", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), F.col("_o.f").alias("f"))
@@ -307,7 +327,6 @@ def ring_distance(unknown: DataFrame, pages: DataFrame, max_rounds: int = 100_00
         rings.append(hit)
         frontier = hit.select("page_id", "y", "x")
         todo = cut_lineage(todo.join(frontier, ["page_id", "y", "x"], "left_anti"))
-    out = rings[0]
-    for r in rings[1:]:
-        out = out.unionByName(r)
-    return out
+    if not rings:  # nothing unknown, or nothing known to grow from
+        return hit
+    return reduce(DataFrame.unionByName, rings)

@@ -176,89 +176,102 @@ def group_small(panels: DataFrame, page_w, page_h, ratio: float) -> DataFrame:
     return panels.where(~small).unionByName(boxes.select(*_BOX))
 
 
-def _expansions(p, q) -> Column:
-    """All boxes that grow p toward q on some of the sides where q sticks out."""
-    boxes = []
-    for mask in range(16):
-        sides = [bool(mask >> i & 1) for i in range(4)]
-        ok = F.lit(True)
-        grown = []
-        for grow, mine, other, low in zip(sides, (p.x, p.y, p.r, p.b), (q.x, q.y, q.r, q.b), (True, True, False, False)):
-            if grow:
-                ok = ok & ((other < mine) if low else (other > mine))
-            grown.append(other if grow else mine)
-        box = F.struct(*[v.alias(n) for v, n in zip(grown, EDGES)])
-        boxes.append(F.when(ok, box))
-    return F.array_compact(F.array(*boxes))
+# Pages whose ordered pairs depend on one another are folded as one row each: boxes are lists [x, y, r, b] in order of their id.
+
+
+def _common(p, q):
+    """Width and height that two boxes share, None if they do not meet."""
+    w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+    return None if w < 0 or h < 0 else (w, h)
+
+
+def _size(p) -> int:
+    return (p[2] - p[0]) * (p[3] - p[1])
+
+
+def _alike(p, q) -> bool:
+    """Edges differ by less than a tenth of the left box."""
+    w, h = (p[2] - p[0]) / 10, (p[3] - p[1]) / 10
+    return abs(p[0] - q[0]) < w and abs(p[2] - q[2]) < w and abs(p[1] - q[1]) < h and abs(p[3] - q[3]) < h
+
+
+def _bumps(p, others) -> bool:
+    for q in others:
+        shared = None if _alike(q, p) else _common(p, q)
+        small = min(_size(p), _size(q))
+        if shared and (small == 0 or shared[0] * shared[1] / small > 0.1):
+            return True
+    return False
+
+
+def _toward(boxes, outer: int, inner: int):
+    """The largest growth of a box to edges of another one that bumps into no third; of equal ones the last."""
+    p, q = boxes[outer], boxes[inner]
+    grown = [list(p)]
+    for side in (0, 2, 1, 3):
+        if (q[side] < p[side]) if side < 2 else (q[side] > p[side]):
+            grown += [[*g[:side], q[side], *g[side + 1:]] for g in grown]
+    others = [o for o in boxes if not _alike(o, p) and not _alike(o, q)]
+    best = list(p)
+    for g in sorted((g for g in grown if not _bumps(g, others)), key=_size):
+        best = g
+    return best
+
+
+def _merged_page(boxes):
+    """One pass over the pairs; a box that lies mostly in another one goes, but still counts until the pass ends."""
+    gone = set()
+    for i in range(len(boxes)):
+        for j in range(i + 1, len(boxes)):
+            for outer, inner in ((i, j), (j, i)):
+                shared = _common(boxes[outer], boxes[inner])
+                if shared and shared[0] * shared[1] * 2 > _size(boxes[inner]):
+                    boxes[outer] = _toward(boxes, outer, inner)
+                    gone.add(inner)
+                    break
+    return [None if k in gone else b for k, b in enumerate(boxes)]
+
+
+def _trimmed_page(boxes):
+    """Every ordered pair that meets gives up its common strip, one pair after the other."""
+    for i, p in enumerate(boxes):
+        for j, q in enumerate(boxes):
+            shared = None if i == j or _alike(p, q) else _common(p, q)
+            if not shared:
+                continue
+            side = 0 if shared[0] < shared[1] else 1 if shared[0] > shared[1] else None
+            if side is not None and p[side + 2] <= q[side + 2]:
+                p[side + 2], q[side] = max(p[side], q[side]), p[side + 2]
+    return boxes
+
+
+def _fold_pages(panels: DataFrame, fold) -> DataFrame:
+    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("panel_id", ignore_index=True)
+        boxes = fold(pdf[list(EDGES)].values.tolist())
+        keep = [b is not None for b in boxes]
+        out = pd.DataFrame([b for b in boxes if b is not None], columns=list(EDGES), dtype="int64")
+        out.insert(0, "panel_id", pdf["panel_id"][keep].to_numpy())
+        out.insert(0, "page_id", pdf["page_id"][keep].to_numpy())
+        return out
+
+    slim = panels.select(*[F.col(c).cast("bigint").alias(c) for c in _BOX])
+    return slim.groupBy("page_id").applyInPandas(page, ", ".join(f"{c} bigint" for c in _BOX))
 
 
 def merge_contained(panels: DataFrame) -> DataFrame:
     """Fold a panel that lies mostly inside another one into it.
 
     The outer panel takes the largest of its expansions toward the inner one that
-    bumps into no other panel.  Every round folds the pairs that are first for
-    both of their panels; pages without such a pair drop out.
+    bumps into no other panel. A later pair sees what an earlier one did, so a
+    page is one row here.
     """
-    state = cut_lineage(panels.select(*_BOX))
-    for _ in range(MAX_ROUNDS):
-        pairs = relation(state, state, lambda p, q: contains(p, q)).where("l_panel_id <> r_panel_id")
-        # both contain each other: the earlier panel is the outer one
-        first, second = F.least("l_panel_id", "r_panel_id"), F.greatest("l_panel_id", "r_panel_id")
-        pairs = pairs.groupBy(F.col("l_page_id").alias("page_id"), first.alias("i"), second.alias("j")).agg(
-            F.min("l_panel_id").alias("outer")).withColumn("inner", F.col("i") + F.col("j") - F.col("outer"))
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            return state
-        rank = F.struct("i", "j")
-        ends = pairs.select("page_id", F.explode(F.array("i", "j")).alias("e"), rank.alias("k"))
-        lead = ends.groupBy("page_id", "e").agg(F.min("k").alias("k"))
-        chosen = pairs.withColumn("k", rank)
-        for end in ("i", "j"):
-            chosen = chosen.join(lead.select("page_id", F.col("e").alias(end), "k"), ["page_id", end, "k"], "left_semi")
-        side = lambda n: state.select("page_id", F.col("panel_id").alias(n), F.struct(*EDGES).alias(f"{n}_box"))
-        work = chosen.join(side("outer"), ["page_id", "outer"]).join(side("inner"), ["page_id", "inner"])
-        p, q = _Side(lambda c: F.col(f"outer_box.{c}")), _Side(lambda c: F.col(f"inner_box.{c}"))
-        cand = cut_lineage(work.select("page_id", "outer", "inner", "outer_box", "inner_box",
-                                       F.posexplode(_expansions(p, q)).alias("n", "c")).select("*", "c.*").drop("c"))
-        hits = relation(cand.select("page_id", F.col("outer").alias("panel_id"), "inner", "n", "outer_box", "inner_box", *EDGES), state, lambda c, o: overlaps(c, o))
-        o = _Side(lambda c: F.col(f"r_{c}"))
-        mine = lambda b: _Side(lambda c: F.col(f"l_{b}.{c}"))
-        me = _Side(lambda c: F.col(f"l_{c}"))
-        hits = hits.where(
-            ~roughly_equal(o, mine("outer_box")) & ~roughly_equal(o, mine("inner_box")) & ~roughly_equal(o, me))
-        free = cand.join(hits.select(F.col("l_page_id").alias("page_id"), F.col("l_panel_id").alias("outer"), F.col("l_n").alias("n")).distinct(),
-                         ["page_id", "outer", "n"], "left_anti")
-        area = (F.col("r") - F.col("x")) * (F.col("b") - F.col("y"))
-        best = free.groupBy("page_id", F.col("outer").alias("panel_id")).agg(F.max_by(F.struct(*EDGES), F.struct(area, "n")).alias("_new"))
-        gone = chosen.select("page_id", F.col("inner").alias("panel_id"))
-        state = cut_lineage(
-            state.join(gone, ["page_id", "panel_id"], "left_anti").join(best, ["page_id", "panel_id"], "left")
-            .select("page_id", "panel_id", *[F.coalesce(F.col(f"_new.{e}"), F.col(e)).alias(e) for e in EDGES]))
-    raise RuntimeError("panel merge did not end")
+    return _fold_pages(panels, _merged_page)
 
 
 def deoverlap(panels: DataFrame) -> DataFrame:
-    """Trim the shared right or bottom edge of overlapping panels."""
-    panels = panels.select(*_BOX)
-    pairs = relation(panels, panels, lambda p, q: F.lit(True)).where("l_panel_id <> r_panel_id")
-    p, q = _Side(lambda c: F.col(f"l_{c}")), _Side(lambda c: F.col(f"r_{c}"))
-    o = overlap_box(p, q)
-    equal = roughly_equal(p, q)
-    # when both panels end on the shared edge, the earlier one is trimmed
-    own = lambda mine, other: (mine == F.least(mine, other)) & ((mine != other) | (F.col("l_panel_id") < F.col("r_panel_id")))
-    side = (o.w < o.h) & own(p.r, q.r) & ~equal
-    down = (o.w > o.h) & own(p.b, q.b) & ~equal
-    trims = pairs.select(
-        F.col("l_page_id").alias("page_id"),
-        F.explode(F.array(
-            F.struct(F.col("l_panel_id").alias("panel_id"), F.when(side, o.x).alias("r"), F.when(down, o.y).alias("b"),
-                     F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("y")),
-            F.struct(F.col("r_panel_id").alias("panel_id"), F.lit(None).cast("bigint").alias("r"), F.lit(None).cast("bigint").alias("b"),
-                     F.when(side, o.r).alias("x"), F.when(down, o.b).alias("y")))).alias("t")).select("page_id", "t.*")
-    trims = trims.groupBy("page_id", "panel_id").agg(
-        F.max("x").alias("_x"), F.max("y").alias("_y"), F.min("r").alias("_r"), F.min("b").alias("_b"))
-    return panels.join(trims, ["page_id", "panel_id"], "left").select(
-        "page_id", "panel_id", *[F.coalesce(F.col(f"_{e}"), F.col(e)).alias(e) for e in EDGES])
+    """Trim the shared right or bottom edge of overlapping panels, pair by pair; a page is one row here."""
+    return _fold_pages(panels, _trimmed_page)
 
 
 def _band(a0, a1, b0, b1) -> bool:
@@ -346,15 +359,19 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
             for n in ("top", "left", "right", "bottom"):
                 third = _Side(lambda c, s=s, n=n: F.col(f"{s}_{n}.{c}"))
                 third_id = F.col(f"{s}_{n}.panel_id")
-                blocked = (third_id != F.col(f"{other}_panel_id")) & overlaps(u, third)
+                same = roughly_equal(third, p) | roughly_equal(third, q) | roughly_equal(third, u)
+                blocked = (third_id != F.col(f"{other}_panel_id")) & overlaps(u, third) & ~same
                 on = on & ~F.coalesce(blocked, F.lit(False))
         pairs = l.join(r, on).select(
             F.col("l_page_id").alias("page_id"), F.col("l_pos").alias("i"), F.col("r_pos").alias("j"),
-            u.x.alias("x"), u.y.alias("y"), u.r.alias("r"), u.b.alias("b"))
+            u.x.alias("x"), u.y.alias("y"), u.r.alias("r"), u.b.alias("b"),
+            F.struct(*[F.col(f"l_{e}").alias(e) for e in EDGES]).alias("p"), F.struct(*[F.col(f"r_{e}").alias(e) for e in EDGES]).alias("q"))
         pairs = cut_lineage(pairs)
-        hits = relation(pairs, state, overlaps).where("l_i <> r_pos AND l_j <> r_pos")
+        hits = relation(pairs, state, overlaps)
         me, o = _Side(lambda c: F.col(f"l_{c}")), _Side(lambda c: F.col(f"r_{c}"))
-        hits = hits.where(~roughly_equal(o, me)).select(F.col("l_page_id").alias("page_id"), F.col("l_i").alias("i"), F.col("l_j").alias("j"))
+        # what looks like one of the two is no third panel
+        mine, yours = _Side(lambda c: F.col(f"l_p.{c}")), _Side(lambda c: F.col(f"l_q.{c}"))
+        hits = hits.where(~roughly_equal(o, mine) & ~roughly_equal(o, yours) & ~roughly_equal(o, me)).select(F.col("l_page_id").alias("page_id"), F.col("l_i").alias("i"), F.col("l_j").alias("j"))
         held = long_segments(pairs, segments).select("page_id", "i", "j")
         free = pairs.join(hits.unionByName(held).distinct(), ["page_id", "i", "j"], "left_anti")
         pick = cut_lineage(free.groupBy("page_id").agg(F.min(F.struct("i", "j", *EDGES)).alias("m")).select("page_id", "m.*"))
@@ -374,6 +391,12 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def largest_first(panels: DataFrame) -> DataFrame:
+    """Add ``place``: panels of a page by falling area."""
+    sized = panels.withColumn("_area", -(F.col("r") - F.col("x")) * (F.col("b") - F.col("y")))
+    return ranked(sized, ["page_id"], ["_area", "panel_id"], "place").drop("_area")
+
+
 def long_segments(boxes: DataFrame, segments: DataFrame, share: float = 5.0) -> DataFrame:
     """Rows of ``boxes`` that hold a segment longer than a fifth of the diagonal."""
     seg = segments.select(

@@ -2,36 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.session import cut_lineage
 
-#: Largest group that one task may sort.
-GROUP_LIMIT = 2_000_000
-
 
-def ranked(df: DataFrame, keys: list[str], order: list, name: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """Add ``name``: 1, 2, ... per key in the given (total) order, as BIGINT.
 
-    A plain window serves groups up to ``limit`` rows.  When a larger one is
-    present, rows are range-partitioned by key and order, numbered inside the
-    parts, and shifted by the sizes of the parts before: the same numbers, with
-    a large group spread over many tasks.
+    Rows are range-partitioned by key and order, numbered inside the parts, and
+    shifted by the sizes of the parts before. A large group so spreads over many
+    tasks; a null key is a key like any other.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    df = cut_lineage(df)
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    parts = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
-    parts = cut_lineage(parts)
+    parts = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy(*keys, "_part").count()
     before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    shift = sizes.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_shift"))
-    w = Window.partitionBy(*keys, "_part").orderBy(*order)
+    shift = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_shift"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col("_part") == F.col("_of")]
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
     return (
-        parts.withColumn("_n", F.row_number().over(w)).join(shift, [*keys, "_part"])
-        .withColumn(name, (F.col("_n") + F.col("_shift")).cast("bigint")).drop("_n", "_part", "_shift")
+        parts.withColumn("_inside", inside).join(shift, reduce(lambda a, b: a & b, same))
+        .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint")).drop("_inside", "_part", "_shift", "_of", *[f"_key{i}" for i in range(len(keys))])
     )

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from folioframe.functions import geometry as G
 from folioframe.functions import text as T
+from folioframe.functions.language import detect_language
 from folioframe.operators import filters
 from folioframe.operators.graph import component_links, spanning_forest
 from folioframe.operators.spatial import CELL, MERGE_RULE, grouping_edges
@@ -264,17 +265,23 @@ def _with_regions(lines: DataFrame, limit: int, cell: int) -> DataFrame:
 def merge_regions(
     lines: DataFrame, prob: float = 0.2, min_text_length: int = 1, remove_text: list[str] | None = None,
     remove_mode: str = "exact", limit: int = ROW_LIMIT, cell: int = CELL,
+    profiles: DataFrame | None = None, skip_languages: list[str] | None = None,
 ) -> DataFrame:
     """The whole merge: probability filter, grouping, split, blocks, text repair.
 
     The probability filter runs before any join, blocks whose text is too short,
-    has no letter or is unwanted leave at the end.
+    has no letter or is unwanted leave at the end. With language ``profiles``,
+    blocks get their ``language`` and, if it is one of ``skip_languages``, the
+    flag ``skip_translate``: what translation needs.
     """
     kept = filters.min_probability(lines, prob)
     blocks = text_blocks(_with_regions(kept, limit, cell))
     blocks = blocks.withColumn("text", T.repair_brackets(T.strip(F.col("text"))))
     reason = filters.drop_reason(F.col("text"), min_text_length, remove_text, remove_mode)
-    return blocks.where(reason.isNull())
+    blocks = blocks.where(reason.isNull())
+    if profiles is None:
+        return blocks
+    return filters.flag_skip_language(detect_language(blocks, profiles, ["page_id", "block_id"]), list(skip_languages or []))
 
 
 def line_merge(items: DataFrame) -> DataFrame:

@@ -9,9 +9,6 @@ from folioframe.functions import language as L
 from folioframe.functions import text as T
 from folioframe.session import broadcast_if_small, cut_lineage
 
-#: Rules beyond this number are applied by a fold instead of nested calls.
-CHAIN_LIMIT = 64
-
 #: Word characters, digits and word boundaries of a pattern are Unicode ones.
 _UNICODE = "(?U)"
 
@@ -40,12 +37,9 @@ def collect_rules(rules: DataFrame) -> list[tuple[int, str, str]]:
 
 def apply_rules(text: Column, rules: list[tuple[int, str, str]]) -> Column:
     """Chain every rule over the text in line order."""
-    if len(rules) <= CHAIN_LIMIT:
-        for _, pattern, value in rules:
-            text = F.regexp_replace(text, _UNICODE + pattern, value)
-        return text
-    table = F.array(*[F.struct(F.lit(_UNICODE + p).alias("p"), F.lit(v).alias("v")) for _, p, v in rules])
-    return F.aggregate(table, text, lambda acc, r: F.regexp_replace(acc, r["p"], r["v"]))
+    for _, pattern, value in rules:
+        text = F.regexp_replace(text, _UNICODE + pattern, value)
+    return text
 
 
 def replacement_audit(df: DataFrame, key: list[str], text: str, rules: list[tuple[int, str, str]]) -> DataFrame:
@@ -220,16 +214,41 @@ def glossary_translate(text: Column, glossary: dict[str, str]) -> Column:
     return text
 
 
+def with_joined_language(blocks: DataFrame, profiles: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Blocks with the ``language`` of all texts of their group together, in place of their own."""
+    found = joined_language(blocks, group, order, profiles)
+    return blocks.drop("language").join(found, group, "left")
+
+
+def _translated(df: DataFrame, name: str, translator, active: Column) -> DataFrame:
+    """``_current`` by ``translator(texts, source, target)`` where the step names it; each distinct text once per pair of languages."""
+    source, target = F.col("language"), F.col("_step.target")
+    use = F.coalesce(active & (F.col("_step.translator") == name), F.lit(False))
+    todo = df.where(use).select(F.col("_current").alias("_src"), source.alias("_from"), target.alias("_to")).distinct()
+
+    def run(batches):
+        for batch in batches:
+            for (a, b), part in batch.groupby(["_from", "_to"], dropna=False):
+                yield part.assign(_out=translator(part["_src"].tolist(), a if isinstance(a, str) else None, b))
+
+    done = todo.mapInPandas(run, "_src string, _from string, _to string, _out string")
+    same = use & F.col("_current").eqNullSafe(F.col("_src")) & source.eqNullSafe(F.col("_from")) & (target == F.col("_to"))
+    return df.join(done, same, "left").withColumn("_current", F.coalesce("_out", "_current")).drop("_src", "_from", "_to", "_out")
+
+
 def _step_at(k: int) -> Column:
     return F.get(F.filter("steps", lambda s: s["step"] == k), F.lit(0))
 
 
 def translate_blocks(
     blocks: DataFrame, routes: DataFrame, glossaries: dict[tuple[str, str], dict[str, str]],
-    pre_rules=(), post_rules=(), key: list[str] | None = None,
+    pre_rules=(), post_rules=(), translators: dict | None = None,
 ) -> DataFrame:
     """Pre-dictionary, translatable subset, route steps, map entries, post-dictionary.
 
+    A step is done by the function that ``translators`` has under its name,
+    ``fn(texts, source, target) -> texts``, or by a glossary of the plan.
+
     Blocks carry ``text, language, skip_translate``.  The number of steps is the
     longest list of the (small) route table; step k reads the output of step k-1.
     """
@@ -246,6 +265,8 @@ def translate_blocks(
             use = (F.col("_step.translator") == name) & (F.col("_step.target") == target)
             out = F.when(use, glossary_translate(F.col("_current"), words)).otherwise(out)
         df = df.withColumn("_current", F.when(active, out).otherwise(F.col("_current")))
+        for name, translator in (translators or {}).items():
+            df = _translated(df, name, translator, active)
         name = L.language_name(F.col("_step.target"))
         df = df.withColumn("translations", F.when(
             active, insert_translation(F.col("translations"), name, F.col("_current"))).otherwise(F.col("translations")))

@@ -169,7 +169,7 @@ def s14_renderer_sinks(spark, sf):
     blocks = B.with_obb(_merged(spark, sf)).withColumn("translations", F.create_map(F.lit("last_trans"), F.lit("x")))
     blocks = cut_lineage(blocks)
     folder = scratch(spark, "sinks")
-    readers = {"raw": spark.read.parquet, "json": spark.read.json, "html": spark.read.text}
+    readers = {"raw": spark.read.parquet, "json": spark.read.json, "html": spark.read.parquet}
     out = None
     for kind, read in readers.items():
         S.write_output(blocks, f"{folder}/{kind}", kind)
@@ -331,7 +331,7 @@ def st1_page_ingest(spark, sf):
     folder = scratch(spark, "ingest")
     pages = f"{folder}/pages"
     # pages arrive whole: a file of lines never splits a page
-    textlines(spark, sf).repartition(4, "page_id").write.parquet(pages)
+    textlines(spark, sf).repartition("page_id").write.parquet(pages)
     stream = ST.file_stream(spark, pages, spark.read.parquet(pages).schema, max_files=2)
     ST.ingest(stream, lambda batch: regions.merge_regions(batch).select("page_id", "block_id", "n_lines"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("page_id", "block_id", "n_lines")
@@ -342,7 +342,8 @@ SELECT job_id, count(*) AS total, count(*) FILTER (status <> 'running') AS ended
 def st2_stage_progress(spark, sf):
     folder = scratch(spark, "progress")
     items = view(spark, sf, "job_items").join(table(spark, sf, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
-    items.write.parquet(f"{folder}/events")
-    stream = ST.file_stream(spark, f"{folder}/events", items.schema, max_files=50)
-    ST.follow_progress(stream, f"{folder}/out", f"{folder}/state", late="30 days").awaitTermination()
+    # files cut across the order of events, so that later batches bring earlier states
+    items.repartition("path").write.parquet(f"{folder}/events")
+    stream = ST.file_stream(spark, f"{folder}/events", items.schema, max_files=2)
+    ST.follow_progress(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return ST.job_progress(spark.read.parquet(f"{folder}/out"))

@@ -115,14 +115,58 @@ def c1_box_extraction(spark, sf):
                       p[2]["x"].alias("x1"), p[2]["y"].alias("y1"), "vertical")
 
 
-# no twin: chains of fixpoints; the parts have twins and tests cover the chain
-@query("c5_text_mask")
+# pages are worked on at two thirds of their size; kernels are ellipses with reach rint(sqrt(h^2 - d^2))
+_FIT = RAS.replace("WITH", "WITH RECURSIVE", 1) + SIZE.format(t="raster") + """,
+ ws AS (SELECT *, CAST(trunc(width * f) AS BIGINT) AS tw, CAST(trunc(height * f) AS BIGINT) AS th FROM (SELECT *, (height - height / 3.0::DOUBLE) / height AS f FROM sz)),
+ mk AS (SELECT ws.page_id, a.y, b.x FROM ws, range(64) a(y), range(64) b(x), raster r WHERE a.y < th AND b.x < tw AND r.page_id = ws.page_id
+  AND r.y = (a.y * height) // th AND r.x = (b.x * width) // tw AND r.v > 152),
+ b0 AS (SELECT doc_id AS quad_id, doc_id // 20 AS page_id, (doc_id * 7) % 24 AS x0, (doc_id * 5) % 26 AS y0, (doc_id * 7) % 24 + 8 + n_chars % 9 AS x1, (doc_id * 5) % 26 + 4 + doc_id % 5 AS y1 FROM documents),
+ bx AS (SELECT quad_id, page_id, CAST(trunc(x0 * f) AS BIGINT) AS x, CAST(trunc(y0 * f) AS BIGINT) AS y, CAST(trunc(x1 * f) AS BIGINT) - CAST(trunc(x0 * f) AS BIGINT) AS w,
+  CAST(trunc(y1 * f) AS BIGINT) - CAST(trunc(y0 * f) AS BIGINT) AS h FROM b0 JOIN ws USING (page_id)),
+ ct AS (SELECT * FROM mk WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.page_id = mk.page_id AND mk.x BETWEEN bx.x AND bx.x + w - 1 AND mk.y BETWEEN bx.y AND bx.y + h - 1
+  AND (mk.x IN (bx.x, bx.x + w - 1) OR mk.y IN (bx.y, bx.y + h - 1)))),
+ ng AS (SELECT a.page_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM ct a JOIN ct b ON a.page_id = b.page_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+ rc AS (SELECT page_id, y AS ay, x AS ax, y, x FROM ct UNION SELECT rc.page_id, ay, ax, ng.y2, ng.x2 FROM rc JOIN ng ON ng.page_id = rc.page_id AND ng.y = rc.y AND ng.x = rc.x),
+ cp AS (SELECT page_id, ay AS y, ax AS x, min(y * 4294967296 + x) AS c FROM rc GROUP BY ALL),
+ cc AS (SELECT page_id, c, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM cp GROUP BY page_id, c HAVING count(*) > 9),
+ pr AS (SELECT cc.page_id, c, cc.area, cc.x, cc.y, cc.w AS cw, cc.h AS ch, quad_id, b.w * b.h AS la, CAST(least(b.w, b.h) AS DOUBLE) AS fs,
+  greatest(0, least(cc.x + cc.w, b.x + b.w) - greatest(cc.x, b.x)) * greatest(0, least(cc.y + cc.h, b.y + b.h) - greatest(cc.y, b.y)) / least(b.w * b.h, cc.area)::DOUBLE AS ratio,
+  sqrt(greatest(b.x - (cc.x + cc.w / 2.0), cc.x + cc.w / 2.0 - b.x - b.w, 0) ** 2 + greatest(b.y - (cc.y + cc.h / 2.0), cc.y + cc.h / 2.0 - b.y - b.h, 0) ** 2) AS dist FROM cc JOIN bx b USING (page_id)),
+ mo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, c ORDER BY round(ratio, 9) DESC, quad_id) AS k FROM pr) WHERE k = 1),
+ ne AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, c ORDER BY round(dist, 9), quad_id DESC) AS k FROM pr) WHERE k = 1),
+ ow AS (SELECT mo.page_id, mo.c, mo.x, mo.y, mo.cw, mo.ch, CASE WHEN mo.ratio > 0 AND mo.area >= mo.la THEN NULL WHEN mo.ratio > 0.01 THEN mo.quad_id
+  WHEN ne.dist < 0.5 * greatest(10, least(ne.fs, ne.cw, ne.ch)) AND ne.area < ne.la THEN ne.quad_id END AS quad_id FROM mo JOIN ne ON mo.page_id = ne.page_id AND mo.c = ne.c),
+ kz AS (SELECT o.quad_id, greatest(3, CAST(trunc((least(min(least(b.w, b.h)), max(o.x + cw) - min(o.x), max(o.y + ch) - min(o.y)) + 20) * 0.3::DOUBLE) AS BIGINT) // 2 * 2 + 1) // 2 AS half
+  FROM ow o JOIN bx b ON b.quad_id = o.quad_id GROUP BY o.quad_id),
+ g1 AS (SELECT DISTINCT cp.page_id, cp.y + dy AS y, cp.x + dx AS x FROM cp JOIN ow ON ow.page_id = cp.page_id AND ow.c = cp.c JOIN kz USING (quad_id) JOIN ws ON ws.page_id = cp.page_id, range(-20, 21) a(dy), range(-20, 21) b(dx)
+  WHERE abs(dy) <= half AND abs(dx) <= round_even(sqrt((half * half - least(dy * dy, half * half))::DOUBLE), 0) AND cp.y + dy BETWEEN 0 AND th - 1 AND cp.x + dx BETWEEN 0 AND tw - 1),
+ g2 AS (SELECT DISTINCT page_id, y + dy AS y, x + dx AS x FROM g1 JOIN ws USING (page_id), (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)) k(dy, dx) WHERE y + dy BETWEEN 0 AND th - 1 AND x + dx BETWEEN 0 AND tw - 1),
+ px AS (SELECT page_id, a.y, b.x FROM g2 JOIN ws USING (page_id), range(64) a(y), range(64) b(x) WHERE a.y < height AND b.x < width AND g2.y = (a.y * th) // height AND g2.x = (b.x * tw) // width)"""
+
+
+@query("c5_text_mask", sql=_FIT + " SELECT page_id, y, count(*) AS n, sum(x) AS sx FROM px GROUP BY page_id, y")
 def c5_text_mask(spark, sf):
-    rgb = cut_lineage(view(spark, sf, "rgb"))
+    px = view(spark, sf, "raster")
+    return _row_sums(lines.text_mask(_grid_lines(spark, sf), M.to_runs(px.where("v > 152").select("page_id", "y", "x")), R.page_sizes(px)))
+
+
+@query("c5_fill_mask", sql=RAS + SIZE.format(t="raster") + """, b AS (SELECT doc_id // 20 AS page_id, (doc_id * 7) % 24 AS x0, (doc_id * 5) % 26 AS y0, (doc_id * 7) % 24 + 8 + n_chars % 9 AS x1, (doc_id * 5) % 26 + 4 + doc_id % 5 AS y1 FROM documents),
+px AS (SELECT DISTINCT b.page_id, a.y, c.x FROM b JOIN sz USING (page_id), range(64) a(y), range(64) c(x) WHERE y >= y0 AND y < least(y1, height) AND x >= x0 AND x < least(x1, width))
+SELECT page_id, y, count(*) AS n, sum(x) AS sx FROM px GROUP BY page_id, y""")
+def c5_fill_mask(spark, sf):
+    px = view(spark, sf, "raster")
+    return _row_sums(lines.text_mask(_grid_lines(spark, sf), M.to_runs(px.limit(0)), R.page_sizes(px), method="fill"))
+
+
+# no twin: expansion, and blobs tested for their surroundings; tests cover both
+@query("c5_text_mask_in_bubbles")
+def c5_text_mask_in_bubbles(spark, sf):
+    rgb = view(spark, sf, "rgb")
     pages = cut_lineage(R.page_sizes(rgb))
     mask = M.to_runs(rgb.where("v > 152").select("page_id", "y", "x"))
     gray = rgb.select("page_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"])
-    return _row_sums(lines.text_mask(_grid_lines(spark, sf), mask, pages, gray, bubble=45))
+    grid = _grid_lines(spark, sf).withColumns({"block_id": F.floor(F.col("quad_id") / 5), "line_no": F.col("quad_id")})
+    return _row_sums(lines.text_mask(grid, mask, pages, gray, bubble=45, expand=True))
 
 
 @query("c6_mask_refine")

@@ -157,10 +157,7 @@ def a20_group_big_panels(spark, sf):
 @query("t7_largest_panel_first", sql=ctes("panels") + """
 SELECT page_id, panel_id, row_number() OVER (PARTITION BY page_id ORDER BY (r - x) * (b - y) DESC, panel_id) AS place FROM panels""")
 def t7_largest_panel_first(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("page_id").orderBy(F.desc((F.col("r") - F.col("x")) * (F.col("b") - F.col("y"))), "panel_id")
-    return view(spark, sf, "panels").select("page_id", "panel_id", F.row_number().over(w).alias("place"))
+    return P.largest_first(view(spark, sf, "panels")).select("page_id", "panel_id", "place")
 
 
 @query("j13_segments_in_panels", sql=ctes("panels", "segments") + f""",

@@ -194,7 +194,7 @@ def x10_language_code(spark, sf):
 _PROFILE_SQL = """
 wd AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY ALL),
 gr AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, n, unnest(list_transform(range(1, len(word) + 1), lambda i: substring(' ' || word || ' ', i, 3))) AS gram FROM wd) GROUP BY ALL),
-pf AS (SELECT lang, gram, CAST(floor(n * 1000000.0::DOUBLE / total) AS BIGINT) AS weight FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rk FROM gr) WHERE rk <= 300)"""
+pf AS (SELECT lang, gram, CAST(floor(n * 1000000.0::DOUBLE / total) AS BIGINT) AS weight FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM gr) WHERE floor(n * 1000000.0::DOUBLE / total) > 0)"""
 
 _SCRIPT_SQL = "CASE WHEN regexp_matches({t}, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches({t}, '[가-힯]') THEN 'ko' WHEN regexp_matches({t}, '[一-鿿]') THEN 'zh' WHEN regexp_matches({t}, '[Ѐ-ӿ]') THEN 'ru' END"
 

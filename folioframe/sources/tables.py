@@ -149,7 +149,9 @@ def overlay_items(blocks: DataFrame) -> DataFrame:
         F.col("block_id").alias("k"), u32(left).alias("x"), u32(top).alias("y"), u32(o["w"]).alias("width"), u32(o["h"]).alias("height"),
         u32(F.degrees(o["theta"])).alias("rotation"), F.coalesce("fg", black).alias("color"),
         F.coalesce("bg", white).alias("shadow"), T.display_text(F.col("translations"), F.col("text")).alias("text"))
-    rows = blocks.groupBy("page_id").agg(F.sort_array(F.collect_list(item)).alias("i"))
+    # a blank text is not rendered
+    shown = blocks.where(T.strip(T.display_text(F.col("translations"), F.col("text"))) != "")
+    rows = shown.groupBy("page_id").agg(F.sort_array(F.collect_list(item)).alias("i"))
     public = F.transform("i", lambda e: F.struct(*[e[c].alias(c) for c in ("x", "y", "width", "height", "rotation", "color", "shadow", "text")]))
     return rows.select("page_id", F.to_json(public).alias("overlays"))
 
@@ -164,13 +166,13 @@ def html_pages(overlays: DataFrame, font: str = "arial") -> DataFrame:
 
 
 def write_output(blocks: DataFrame, folder: str, renderer: str) -> None:
-    """Write by renderer: ``raw`` as nested Parquet, ``json``, or ``html``."""
+    """Write by renderer: ``raw`` as nested Parquet, ``json``, or ``html`` as (page_id, value) rows in few files."""
     kind = renderer.lower()
     if kind in ("raw", "mit", "mit.bin"):
         page_export(blocks).write.mode("overwrite").parquet(folder)
     elif kind == "json":
         page_export(blocks).write.mode("overwrite").json(folder)
     elif kind == "html":
-        html_pages(overlay_items(blocks)).write.mode("overwrite").partitionBy("page_id").text(folder)
+        html_pages(overlay_items(blocks)).write.mode("overwrite").parquet(folder)
     else:
         raise ValueError(f"no sink for renderer {renderer!r}")

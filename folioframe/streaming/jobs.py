@@ -30,29 +30,26 @@ def ingest(stream: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, c
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_states(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Latest state per job and path; the watermark bounds what is remembered
-    about repeated events."""
-    fresh = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "path", "seq"])
-    return fresh.groupBy("job_id", "path").agg(F.max(F.struct("seq", "status")).alias("l")).select(
-        "job_id", "path", "l.status", "l.seq")
+def latest_states(events: DataFrame) -> DataFrame:
+    """Latest state per job and path among the given events, in whatever order they came."""
+    return events.groupBy("job_id", "path").agg(F.max(F.struct("seq", "status")).alias("l")).select("job_id", "path", "l.status", "l.seq")
 
 
-def follow_progress(events: DataFrame, out: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """Append the changed states of every batch below ``out``."""
+def follow_progress(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the latest states of every batch below ``out``.
+
+    The latest of several latest states is the latest of all, so no state is
+    kept between batches: an event may come late, twice, or in any batch.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        latest_states(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    states = latest_states(events, late)
-    return (
-        states.writeStream.outputMode("update").foreachBatch(run)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_progress(states: DataFrame) -> DataFrame:
     """Percent per job from the appended states."""
-    last = states.groupBy("job_id", "path").agg(F.max(F.struct("seq", "status")).alias("l")).select("job_id", "path", "l.status")
+    last = latest_states(states)
     ended = F.count_if(F.col("status").isin("done", "failed", "skipped"))
     return last.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"), ended.alias("ended")).withColumn(
         "percent", N.progress_percent(F.col("ended"), F.col("total")))

@@ -139,7 +139,7 @@ def test_group_big_panels(spark):
                 for j in range(i + 1, len(state)):
                     a, b = state[i], state[j]
                     u = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                    if any(_strong(u, o) and not _like(o, u) for k, o in enumerate(state) if k not in (i, j)):
+                    if any(_strong(u, o) and not _like(o, u) for o in state if not _like(o, a) and not _like(o, b)):
                         continue
                     diagonal = ((u[2] - u[0]) ** 2 + (u[3] - u[1]) ** 2) ** 0.5
                     if any(p == page and _strong(u, (min(ax, bx), min(ay, by), max(ax, bx), max(ay, by)))
@@ -162,18 +162,57 @@ def test_merge_contained(spark):
     assert got[0] == {(0, 0, 130, 100)}
     assert got[1] == {(0, 0, 100, 100), (115, 0, 200, 90)}
     assert got[2] == set(pages[2])
-    assert got[3] == {(0, 0, 110, 110)}
+    assert got[3] == {(0, 0, 100, 100)}  # the removed first panel still blocks
 
 
-def test_merge_leaves_no_containment(spark):
-    rng = random.Random(2)
-    pages = [_boxes(rng, 6, 250) for _ in range(10)]
+def _pages_after(spark, fold, pages):
     got = {}
-    for r in P.merge_contained(_frame(spark, pages)).collect():
-        got.setdefault(r.page_id, []).append((r.x, r.y, r.r, r.b))
-    for boxes in got.values():
-        for i, p in enumerate(boxes):
-            assert not any(_meets(p, q) and _shared(p, q) > 0.5 * _area(q) for j, q in enumerate(boxes) if i != j)
+    for r in fold(_frame(spark, pages)).collect():
+        got.setdefault(r.page_id, {})[r.panel_id] = (r.x, r.y, r.r, r.b)
+    return [got.get(p, {}) for p in range(len(pages))]
+
+
+def test_merge_is_one_pass_over_the_pairs(spark):
+    """Against the rule read literally: pair by pair, removed panels block and merge until the end."""
+    rng = random.Random(2)
+    pages = [_boxes(rng, 6, 250) for _ in range(200)]
+    for boxes, got in zip(pages, _pages_after(spark, P.merge_contained, pages)):
+        state, removed = list(boxes), set()
+        for i, j in [(i, j) for i in range(6) for j in range(i + 1, 6)]:
+            holds = lambda a, b: _meets(state[a], state[b]) and _shared(state[a], state[b]) > 0.5 * _area(state[b])
+            a, b = (i, j) if holds(i, j) else (j, i)
+            if not holds(a, b):
+                continue
+            p, q = state[a], state[b]
+            rest = [o for o in state if not _like(o, p) and not _like(o, q)]
+            forms = []
+            for bits in range(16):  # left is the lowest bit, then right, top, bottom
+                use = [bool(bits & 1), bool(bits & 4), bool(bits & 2), bool(bits & 8)]
+                if all(not u or (q[k] < p[k] if k < 2 else q[k] > p[k]) for k, u in enumerate(use)):
+                    forms.append(tuple(q[k] if u else p[k] for k, u in enumerate(use)))
+            free = [f for f in forms if not any(_strong(f, o) and not _like(o, f) for o in rest)]
+            top = max((_area(f) for f in free), default=None)
+            state[a] = p if top is None else [f for f in free if _area(f) == top][-1]
+            removed.add(b)
+        assert got == {k: b for k, b in enumerate(state) if k not in removed}
+
+
+def test_trims_follow_the_order_of_pairs(spark):
+    rng = random.Random(5)
+    pages = [_boxes(rng, 5) for _ in range(200)]
+    for boxes, got in zip(pages, _pages_after(spark, P.deoverlap, pages)):
+        state = [list(b) for b in boxes]
+        for p in state:
+            for q in state:
+                if p is q or _like(p, q) or not _meets(p, q):
+                    continue
+                x, y, r, b = max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3])
+                if r - x < b - y and p[2] == r:
+                    p[2], q[0] = x, r
+                elif r - x > b - y and p[3] == b:
+                    p[3], q[1] = y, b
+        assert [got[k] for k in range(5)] == [tuple(s) for s in state]
+        assert all(x <= r and y <= b for x, y, r, b in got.values())
 
 
 def test_deoverlap(spark):
@@ -275,7 +314,7 @@ def test_text_mask_follows_the_lines(spark):
     pages = spark.createDataFrame([(1, 100, 100)], "page_id long, width long, height long")
     quad = [(1, 1, [{"x": 5, "y": 5}, {"x": 50, "y": 5}, {"x": 50, "y": 20}, {"x": 5, "y": 20}])]
     lines = G.with_geometry(G.with_corner_order(spark.createDataFrame(quad, "page_id long, quad_id long, pts array<struct<x:bigint,y:bigint>>")))
-    got = _pixels(LN.text_mask(lines, _mask_frame(spark, text | noise), pages, offset=0.0))
+    got = _pixels(LN.text_mask(lines, _mask_frame(spark, text | noise), pages, offset=0.0, scale=False))
     assert text < got and not got & noise
     assert min(y for y, _ in got) == 8 and max(x for _, x in got) == 31
 

@@ -1,5 +1,8 @@
 """Known results on small inputs."""
 
+import functools
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,14 +210,91 @@ def test_prompt_contract_needs_a_key(spark):
         U.prompt_translate(spark.range(1), ["id"], ["id"], None, "a", "b", "", " ", "m")
 
 
+LOADED = []
+
+
+def _engine(kind):
+    LOADED.append(kind)
+    return kind
+
+
 def test_model_is_loaded_once():
-    calls = []
     for _ in range(3):
-        U.load_once("x", lambda: calls.append(1) or "model")
-    assert len(calls) == 1
+        assert U.load_once("x", functools.partial(_engine, "a")) == "a"
+    assert LOADED == ["a"]
+    assert U.load_once("x", functools.partial(_engine, "b")) == "b"  # another engine of the same name
+    U.unload("x")
+    assert U.load_once("x", functools.partial(_engine, "a")) == "a" and LOADED == ["a", "b", "a"]
     U.unload("x")
 
 
+def test_batches_and_pages_reach_models_whole(spark):
+    def whole():
+        return lambda frame: frame[["page_id", "quad_id"]].assign(
+            text=[f"{len(frame)}:{len(c)}" for c in frame["crop"]], fg=None, bg=None, prob=1.0)
+
+    rows = [(1, q, 0, 10 + q, 2 * q, 0, 2, 3) for q in range(8)] + [(1, 9, 1, 5, 0, 0, 1, 1)]
+    lines = spark.createDataFrame(rows, "page_id long, quad_id long, batch long, strip long, bx long, by long, bw long, bh long")
+    pixels = spark.createDataFrame([(1, y, x, 7) for y in range(4) for x in range(16)], "page_id long, y long, x long, v long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.quad_id: r.text for r in U.recognise(lines, whole, pixels=pixels).collect()}
+        assert got == {**{q: "8:6" for q in range(8)}, 9: "1:1"}
+        mask = spark.createDataFrame([(1, 0, 2, 4)], "page_id long, y long, x0 long, x1 long")
+        fill = lambda: lambda f: f.assign(v=f["v"].where(~f["masked"], len(f)))[["page_id", "y", "x", "v"]]
+        out = U.inpaint(pixels, fill, "page_id long, y long, x long, v long", mask=mask).collect()
+        assert {(r.y, r.x) for r in out if r.v == 64} == {(0, 2), (0, 3), (0, 4)} and len(out) == 64
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_detector_with_mask(spark):
+    import pandas as pd
+
+    def model(frame):
+        quads = pd.DataFrame({"page_id": frame["page_id"], "quad_id": 0, "pts": [[{"x": 0, "y": 0}] * 4] * len(frame), "score": 0.5})
+        return quads, pd.DataFrame({"page_id": frame["page_id"], "y": 1, "x0": 2, "x1": 3})
+
+    quads, runs = U.detect_with_mask(spark.range(5).withColumnRenamed("id", "page_id"), lambda: model)
+    assert quads.count() == 5 and sorted(tuple(r) for r in runs.collect()) == [(p, 1, 2, 3) for p in range(5)]
+
+
+def test_translators_and_page_language(spark):
+    from folioframe.functions import language as L
+    from folioframe.operators import translate as X
+
+    known = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    blocks = spark.createDataFrame([(1, 1, "the dog"), (1, 2, "katze"), (1, 3, "and the cat"), (2, 1, "der hund")], "page_id long, block_id long, text string")
+    blocks = X.with_joined_language(blocks, L.train_profiles(known), ["page_id"], ["block_id"]).withColumn("skip_translate", F.lit(False))
+    assert {(r.page_id, r.language) for r in blocks.collect()} == {(1, "en"), (2, "de")}
+    routes = spark.createDataFrame([("en", 0, "engine", "fr"), (None, 0, "other", "fr")], "src_lang string, step int, translator string, target string")
+    out = X.translate_blocks(blocks, routes, {}, translators={"engine": lambda texts, a, b: [f"{a}>{b}:{t}" for t in texts]}).collect()
+    shown = {(r.page_id, r.block_id): r.translations["French"] for r in out}
+    assert shown == {(1, 1): "en>fr:the dog", (1, 2): "en>fr:katze", (1, 3): "en>fr:and the cat", (2, 1): "der hund"}
+
+
+def test_blocks_know_what_translation_needs(spark):
+    from folioframe.functions import language as L
+
+    known = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    pts = lambda y: [{"x": 10, "y": y}, {"x": 200, "y": y}, {"x": 200, "y": y + 20}, {"x": 10, "y": y + 20}]
+    lines = spark.createDataFrame([(1, 1, pts(10), 0.9, "the dog", 1.0, None, None), (1, 2, pts(900), 0.9, "die katze", 1.0, None, None)],
+                                  "page_id long, quad_id long, pts array<struct<x:bigint,y:bigint>>, score double, text string, prob double, fg array<smallint>, bg array<smallint>")
+    got = regions.merge_regions(lines, profiles=L.train_profiles(known), skip_languages=["de"]).collect()
+    assert sorted((r.language, r.skip_translate) for r in got) == [("de", True), ("en", False)]
+
+
+def test_package_reaches_the_workers(tmp_path):
+    """Started in an empty folder, without the package on the workers' path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\nimport __spark_entry__ as e\nfrom folioframe.session import local_session\n"
+            "s = local_session(2, 2)\nassert e.queries()['j16_ud3_distinct_translation'](s, '/root/testdata/sf0.001').count() > 0")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=170, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_settings_defaults(spark):
     rows = [('{"ocr": {"prob": 0.7}}',), ("nonsense",)]
     got = S.parse_settings(spark.createDataFrame(rows, "value string")).collect()
