@@ -31,6 +31,21 @@ def fold(column: str, remainder_of: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % remainder_of
 
 
+def few_by_hash(column: str, wanted: int, total: Column | int) -> Column:
+    """Keeps about four times ``wanted`` of ``total`` ids, those of small hash, and all of a few.
+
+    A filter in front of "the ``wanted`` ids of smallest hash": what is left to
+    sort is bounded, however many partitions the table has.
+    """
+    share = F.lit(4.0 * wanted + 100.0) / total
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+
+
+def hash_order(column: str) -> list[Column]:
+    """The order in which :func:`few_by_hash` keeps ids."""
+    return [F.pmod(F.xxhash64(column), F.lit(1 << 30)), F.col(column)]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which all executors reach."""
     ensure_checkpoint_dir(spark)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import slices
+from folioframe.llm.base import few_by_hash, hash_order, slices
 
 WORD = re.compile(r"\w+")
 #: Features of a token: the word, four beginnings and two endings.
@@ -306,7 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, settings: Train
     if not totals:
         return None
     prior = totals.get(True, 0) / sum(totals.values())
-    by_hash = lambda bad, n: known.where(F.col("bad") == bad).orderBy(F.xxhash64("id"), "id").limit(n)
+    by_hash = lambda bad, n: known.where((F.col("bad") == bad) & few_by_hash("id", n, F.lit(max(1, totals.get(bad, 0))))).orderBy(
+        *hash_order("id")).limit(n)
     chosen = by_hash(True, settings.toxic).unionAll(by_hash(False, settings.clean))
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(
         F.coalesce(F.length("text"), F.lit(0)) <= settings.most_chars).join(F.broadcast(chosen), "id").groupBy("id", "bad").agg(
