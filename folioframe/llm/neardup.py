@@ -10,10 +10,10 @@ Documents with equal sets are one class, and classes are what is compared. In a
 first round every band bucket compares its members with one leader, so a large
 group of copies costs one pair per copy. Only buckets that still hold several
 components go on: members outside the bucket's largest component are held
-against all others by sketch, in cells of bounded size, and the nearest untested
-pairs per member and other component are decided, with the width growing from
-round to round until nothing was left out. Pairs inside a component are never
-compared again: they cannot change the result.
+against all others in cells of bounded size, first by sketch, then, where that
+leaves anything, by the full sets. A cell reports one link per member and other
+component, never all pairs. Pairs inside a component are not compared again:
+they cannot change the result.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ class Similarity:
     miss: float = 1e-6
     bits: int = 1024
     sigmas: float = 6.5
-    cell: int = 1024
+    cell: int = 512
     seed: int = 20_011
 
     @property
@@ -215,45 +215,93 @@ def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Simil
     return sets.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
-def _bucket_pairs(open_members: DataFrame, classes: DataFrame, width: int, like: Similarity) -> DataFrame:
-    """From buckets ``(key, cls, comp)`` with several components: pairs ``(a, b)``, and rows of nulls where pairs were left out.
+def _cells(open_members: DataFrame, like: Similarity) -> DataFrame:
+    """Members ``(band, key, cls, comp)`` of buckets with several components, dealt to cells ``(key, i, j)`` of bounded size.
 
-    ``width`` pairs are given per member outside the largest component and other component, nearest sketches first.
+    Members outside the bucket's largest component ask, in part i; all members
+    answer, in part j. Every pair of two components so meets in some cell.
     """
     sizes = open_members.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
     main = main.select("key", F.col("top.comp").alias("main"), "all", (F.col("all") - F.col("top.m")).alias("minor"))
-    members = open_members.join(main, "key").withColumn("is_minor", F.col("comp") != F.col("main"))
-    parts = lambda n: F.ceil(F.col(n) / like.cell)
-    deal = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(parts(n), F.lit(1)))
-    many = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts(n), F.lit(1)) - 1))
-    left = members.where("is_minor").select("key", "cls", "comp", deal("minor").alias("i"), many("all").alias("j"), F.lit(True).alias("asks"))
-    right = members.select("key", "cls", "comp", many("minor").alias("i"), deal("all").alias("j"), F.lit(False).alias("asks"))
-    cells = left.unionByName(right).join(classes.select("cls", "n", "sketch"), "cls")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    members = open_members.join(main, "key")
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / like.cell), F.lit(1))
+    deal = lambda n: F.pmod(F.xxhash64("cls"), parts(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+    asking = members.where(F.col("comp") != F.col("main")).select(
+        "band", "key", "cls", "comp", deal("minor").alias("i"), every("all").alias("j"), F.lit(True).alias("asks"))
+    return asking.unionByName(members.select("band", "key", "cls", "comp", every("minor").alias("i"), deal("all").alias("j"), F.lit(False).alias("asks")))
+
+
+def _near_members(cells: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
+    """Rows of the cells that sketch and size leave as possible ends of a link to another component.
+
+    A pair that shares several buckets is looked at in the first of them.
+    """
 
     def cell(group: pa.Table) -> pa.Table:
         asks = group["asks"].to_numpy()
-        cls, comp, n = (group[c].to_numpy() for c in ("cls", "comp", "n"))
-        sketch = pc.list_flatten(group["sketch"].combine_chunks()).to_numpy().reshape(len(cls), -1).view(np.uint64)
-        lefts, rights = np.flatnonzero(asks), np.flatnonzero(~asks)
-        pairs, left_out = [], False
-        for at in lefts.tolist():
-            apart = rights[(comp[rights] != comp[at])
-                           & (np.minimum(n[rights], n[at]) * like.den >= np.maximum(n[rights], n[at]) * like.num)]
-            bits = np.bitwise_count(sketch[apart] ^ sketch[at]).sum(axis=1)
-            near = bits <= like.most_bits
-            apart, bits = apart[near], bits[near]
-            order = np.lexsort((cls[apart], bits, comp[apart]))
-            apart = apart[order]
-            heads = np.flatnonzero(np.append(True, comp[apart][1:] != comp[apart][:-1])) if len(apart) else np.empty(0, int)
-            place = np.arange(len(apart)) - np.repeat(heads, np.diff(np.append(heads, len(apart))))
-            left_out |= bool((place >= width).any())
-            pairs += [(min(cls[at], b), max(cls[at], b)) for b in cls[apart[place < width]].tolist()]
-        pairs = sorted(set(pairs)) + [(None, None)] * left_out
+        comp, n = group["comp"].to_numpy(), group["n"].to_numpy()
+        sketch, bands = (pc.list_flatten(group[c].combine_chunks()).to_numpy().reshape(len(n), -1) for c in ("sketch", "bands"))
+        sketch, band = sketch.view(np.uint64), group["band"][0].as_py()
+        answering, near = np.flatnonzero(~asks), np.zeros(len(n), dtype=bool)
+        for at in np.flatnonzero(asks).tolist():
+            apart = answering[(comp[answering] != comp[at])
+                              & (np.minimum(n[answering], n[at]) * like.den >= np.maximum(n[answering], n[at]) * like.num)]
+            apart = apart[np.bitwise_count(sketch[apart] ^ sketch[at]).sum(axis=1) <= like.most_bits]
+            apart = apart[(bands[apart] == bands[at]).argmax(axis=1) == band]
+            near[apart] = True
+            near[at] |= len(apart) > 0
+        return group.select(["key", "i", "j", "cls", "comp", "asks"]).filter(pa.array(near))
+
+    full = cells.join(classes.select("cls", "n", "sketch", "bands"), "cls").select("band", "key", "i", "j", "cls", "comp", "asks", "n", "sketch", "bands")
+    return full.groupBy("key", "i", "j").applyInArrow(cell, "key long, i long, j long, cls long, comp long, asks boolean")
+
+
+def _links_between(near: DataFrame, classes: DataFrame, rows: DataFrame, like: Similarity) -> DataFrame:
+    """Links ``(a, b)`` between components, decided on the full sets inside the cells: one per asking member and other component, if there is any."""
+    wanted = written(near.join(classes.select("cls", *KEY), "cls"), "near")
+    texts = rows.join(hint_small(wanted), KEY).select("key", "i", "j", "cls", "comp", "asks", "text")
+    fields = [("key", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("asks", pa.bool_())]
+
+    def work(batch: pa.RecordBatch):
+        tool = Shingler(like)
+        found = batch.column(6).to_pylist()
+        for begin, end in slices(found, 2_000_000):
+            yield {**{name: batch.column(c).slice(begin, end - begin) for c, (name, _) in enumerate(fields)},
+                   "set": [s.tobytes() for s in tool.sets([t or "" for t in found[begin:end]])]}
+
+    sets = arrow_map(texts, work, "key long, i long, j long, cls long, comp long, asks boolean, set binary", pa.schema([*fields, ("set", pa.binary())]))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def cell(group: pa.Table) -> pa.Table:
+        asks, cls, comp = (group[c].to_numpy() for c in ("asks", "cls", "comp"))
+        own = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in group["set"]]
+        n = np.array([len(s) for s in own], dtype=np.int64)
+        values, places = np.unique(np.concatenate(own), return_inverse=True)
+        begins = np.cumsum(n) - n
+        answering = np.flatnonzero(~asks)
+        shingles = np.concatenate([places[begins[k]:begins[k] + n[k]] for k in answering]) if len(answering) else places[:0]
+        heads = np.cumsum(n[answering]) - n[answering]
+        marked = np.zeros(len(values), dtype=bool)
+        links = set()
+        for at in np.flatnonzero(asks).tolist() if len(answering) else []:
+            mine = places[begins[at]:begins[at] + n[at]]
+            marked[mine] = True
+            common = np.add.reduceat(marked[shingles].astype(np.int64), heads)
+            marked[mine] = False
+            hit = answering[(like.den * common >= like.num * (n[at] + n[answering] - common)) & (comp[answering] != comp[at])]
+            for k in np.unique(comp[hit], return_index=True)[1].tolist():
+                links.add((min(int(cls[at]), int(cls[hit[k]])), max(int(cls[at]), int(cls[hit[k]]))))
+        pairs = sorted(links)
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())}, schema=schema)
 
-    return cells.groupBy("key", "i", "j").applyInArrow(cell, "a long, b long").distinct()
+    return sets.groupBy("key", "i", "j").applyInArrow(cell, "a long, b long").distinct()
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    edges = links.select(F.lit(0).cast("long").alias("page_id"), F.col("a").alias("u"), F.col("b").alias("v"))
+    return component_links(edges).select(F.col("u").alias("cls"), F.col("v").alias("root"))
 
 
 def near_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,41 +324,21 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), id_col: str =
     # a class is named by one of its rows, whose text stands for it
     classes = written(first.join(prints.select("row", *KEY, "n", "bands", "sketch"), first["least.row"] == F.col("row")).select(
         F.col("row").alias("cls"), *KEY, "digest", "least", "n", "bands", "sketch"), "classes")
-    members = classes.select("cls", F.explode("bands").alias("key"))
+    members = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     leaders = members.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("m")).where("m > 1")
-    buckets = written(members.join(leaders, "key").select("key", "cls", "a"), "buckets")
-    slim = classes.select("cls", *KEY, "n", "sketch")
+    buckets = written(members.join(leaders, "key").select("band", "key", "cls", "a"), "buckets")
+    slim = classes.select("cls", *KEY, "n", "sketch", "bands")
     star = buckets.where("cls > a").select("a", F.col("cls").alias("b")).distinct()
-    tested = written(
-        star.join(slim.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as")), "a").join(
-            slim.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs")), "b").select(
-            "a", "b", F.struct(F.col("an").alias("n"), F.col("as").alias("sketch")).alias("x"),
-            F.struct(F.col("bn").alias("n"), F.col("bs").alias("sketch")).alias("y")).where(_near("x", "y", like)).select("a", "b"), "pairs")
-    links = written(confirmed(tested, slim, rows, like), "links")
-    buckets = buckets.select("key", "cls")
-    width = 2
-    while True:
-        roots = component_links(links.select(F.lit(0).cast("long").alias("page_id"), F.col("a").alias("u"), F.col("b").alias("v"))).select(
-            F.col("u").alias("cls"), F.col("v").alias("root"))
-        named = buckets.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        buckets = written(named.join(mixed, "key", "left_semi"), "open")
-        if buckets.isEmpty():
-            break
-        found = written(_bucket_pairs(buckets, slim, width, like), "near")
-        fresh = written(found.where("a IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "pairs")
-        left_out = not found.where("a IS NULL").isEmpty()
-        buckets = buckets.select("key", "cls")
-        if not fresh.isEmpty():
-            tested = tested.unionByName(fresh)
-            links = links.unionByName(written(confirmed(fresh, slim, rows, like), "links"))
-        elif not left_out:
-            break
-        if not left_out:  # every pair that could join two components has been decided
-            roots = component_links(links.select(F.lit(0).cast("long").alias("page_id"), F.col("a").alias("u"), F.col("b").alias("v"))).select(
-                F.col("u").alias("cls"), F.col("v").alias("root"))
-            break
-        width *= 4
+    side = lambda name: slim.select(F.col("cls").alias(name), F.struct("n", "sketch").alias(f"{name}_"))
+    pairs = written(star.join(side("a"), "a").join(side("b"), "b").where(_near("a_", "b_", like)).select("a", "b"), "pairs")
+    links = written(confirmed(pairs, slim, rows, like), "links")
+    roots = _roots(links)
+    named = buckets.join(roots, "cls", "left").select("band", "key", "cls", F.coalesce("root", "cls").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    near = _near_members(_cells(written(named.join(mixed, "key", "left_semi"), "open"), like), slim, like)
+    between = written(_links_between(near, slim, rows, like), "links")
+    if not between.isEmpty():
+        roots = _roots(links.unionByName(between))
     comps = classes.select("cls", "digest", "least").join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     least = comps.groupBy("comp").agg(F.min("least").alias("top"))
     named = written(comps.join(least, "comp").select("digest", "top"), "components")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioframe.llm import exact, neardup
-from folioframe.llm.base import in_files, key_columns, written
+from folioframe.llm.base import in_files, key_columns
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -102,39 +102,30 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("cell", [1024, 16])
+@pytest.mark.parametrize("cell", [512, 16])
 def test_near_groups(spark, cell):
     rows = near_rows()
     like = neardup.Similarity(words=3, num=85, den=100, cell=cell)
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, cls int, sketch string").repartition(4)
     got = neardup.near_groups(docs, like).collect()
     assert sorted((repr(r.id), r.n_shingles, repr(r.component_id)) for r in got) == brute(rows, like)
-    if cell > 1000:
+    if cell > 100:
         kept = neardup.drop_near(docs, like)
         assert kept.columns == docs.columns
         assert kept.count() == sum(r.kept_row for r in got)
 
 
-def test_rounds_decide_all_pairs(spark):
-    """Bucket pairs: with a width of one something is left out, without a limit all near pairs of different components appear."""
-    rand = random.Random(9)
+def test_cells_meet_every_pair_of_components(spark):
+    """Asking and answering members: each pair of different components meets in a cell, cells stay near their bound."""
     like = neardup.Similarity(cell=8)
-    rows = list(enumerate(family(rand, 30, 60, 2)))
-    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("0L AS in_file", "id AS at_place", "id", "text")
-    prints = written(neardup.shingled(docs, like), "t")
-    slim = prints.selectExpr("id AS cls", "n", "sketch")
-    members = prints.selectExpr("7L AS key", "id AS cls", "id % 3 AS comp")
-    some = neardup._bucket_pairs(members, slim, 1, like).collect()
-    assert any(r.a is None for r in some)
-    every = neardup._bucket_pairs(members, slim, 10**6, like).collect()
-    tool = neardup.Shingler(like)
-    sketches = tool.sketches(np.stack([tool.signature(s) for s in tool.sets([t for _, t in rows])])).view(np.uint64)
-    counts = collections.Counter(i % 3 for i, _ in rows)
-    main = max(counts, key=lambda c: (counts[c], c))
-    sizes = [len(s) for s in tool.sets([t for _, t in rows])]
-    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3 and not (a % 3 == main and b % 3 == main)
-            and np.bitwise_count(sketches[a] ^ sketches[b]).sum() <= like.most_bits and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])}
-    assert {(r.a, r.b) for r in every} == want
+    members = spark.range(200).selectExpr("0 AS band", "id % 2 AS key", "id AS cls", "CASE WHEN id % 5 < 3 THEN -1 ELSE id % 7 END AS comp")
+    cells = collections.defaultdict(lambda: ([], []))
+    for r in neardup._cells(members, like).collect():
+        cells[r.key, r.i, r.j][r.asks].append((r.cls, r.comp))
+    met = {frozenset((a, b)) for answers, asks in cells.values() for a, c in asks for b, d in answers if c != d}
+    comp = {i: -1 if i % 5 < 3 else i % 7 for i in range(200)}
+    assert met == {frozenset((a, b)) for a in range(200) for b in range(a) if a % 2 == b % 2 and comp[a] != comp[b]}
+    assert max(len(side) for pair in cells.values() for side in pair) < 40
 
 
 def test_near_groups_of_nothing(spark):
