@@ -221,7 +221,7 @@ def text_mask(lines: DataFrame, mask: DataFrame, pages: DataFrame, rgb: DataFram
         whole = F.transform("expanded", lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y")))
         lines = measure(expand_to_next(lines).select("page_id", "quad_id", whole.alias("pts")))
     if method == "fill":
-        final = M.fill_boxes(lines.select("page_id", *(F.col(f"b{c}").cast("bigint").alias(c) for c in "xywh")), pages)
+        final = M.fill_boxes(cut_lineage(lines.select("page_id", *(F.col(f"b{c}").cast("bigint").alias(c) for c in "xywh"))), pages)
     elif scale:
         sizes = cut_lineage(work_sizes(pages))
         small = sizes.select("page_id", F.col("to_w").alias("width"), F.col("to_h").alias("height"))
