@@ -158,15 +158,14 @@ def c5_fill_mask(spark, sf):
     return _row_sums(lines.text_mask(_grid_lines(spark, sf), M.to_runs(px.limit(0)), R.page_sizes(px), method="fill"))
 
 
-# no twin: expansion, and blobs tested for their surroundings; tests cover both
+# no twin: blobs tested for their surroundings
 @query("c5_text_mask_in_bubbles")
 def c5_text_mask_in_bubbles(spark, sf):
     rgb = view(spark, sf, "rgb")
     pages = cut_lineage(R.page_sizes(rgb))
     mask = M.to_runs(rgb.where("v > 152").select("page_id", "y", "x"))
     gray = rgb.select("page_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"])
-    grid = _grid_lines(spark, sf).withColumns({"block_id": F.floor(F.col("quad_id") / 5), "line_no": F.col("quad_id")})
-    return _row_sums(lines.text_mask(grid, mask, pages, gray, bubble=45, expand=True))
+    return _row_sums(lines.text_mask(_grid_lines(spark, sf), mask, pages, gray, bubble=45))
 
 
 @query("c6_mask_refine")
