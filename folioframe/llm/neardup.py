@@ -73,7 +73,7 @@ class Similarity:
 class Shingler:
     """Shingle sets, signatures and sketches of texts; one per task."""
 
-    def __init__(self, like: Similarity, limit: int = 1_000_000):
+    def __init__(self, like: Similarity, limit: int = 200_000):
         self.like, self.limit = like, limit
         random = np.random.default_rng(like.seed)
         odd = lambda n, kind, top: random.integers(0, top, n, dtype=kind) | kind(1)
