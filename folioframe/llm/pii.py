@@ -167,34 +167,88 @@ KINDS = (
     ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", re.A), _ip),
     ("date", None, re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)", re.A), _date),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A), _ssn),
-    ("card", None, re.compile(r"(?<![\dA-Za-z])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])", re.A), _card),
+    ("card", None, re.compile(r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,}(?![\dA-Za-z])", re.A), _card),  # a run of digit groups, see _card_spans
     ("phone", None, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)", re.A), _phone),
 )
 NAMES = tuple(kind for kind, *_ in KINDS)
 _DIGIT = re.compile(r"\d", re.A)
+_GROUP = re.compile(r"\d+", re.A)
+#: What is printed on cards: first digit of an issuer, and the usual groups or none.
+_PRINTED = re.compile(r"(?=[3-6]|2[2-7])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3})", re.A)
+
+
+def _clear(taken: bytearray, start: int, end: int) -> bool:
+    return taken.find(1, start, end) < 0
+
+
+def _card_spans(run: re.Match, taken: bytearray) -> list[tuple[int, int]]:
+    """Card numbers in a run of digit groups that single blanks or hyphens separate.
+
+    Every part of 13 to 19 digits that begins and ends at a border of groups is
+    tried, the leftmost and longest first. Parts that look as printed on a card
+    go before the others, or a number in front of a card could pass together
+    with its first digits and leave the last ones.
+    """
+    text, groups = run.string, [m.span() for m in _GROUP.finditer(run.string, *run.span())]
+    ends, sums = [0], ([0], [0])  # digits up to each group; Luhn sums over them with even or odd places as they are
+    for a, b in groups:
+        for c in text[a:b]:
+            n = int(c)
+            parity = (len(sums[0]) - 1) % 2
+            sums[parity].append(sums[parity][-1] + n)
+            sums[1 - parity].append(sums[1 - parity][-1] + sum(divmod(2 * n, 10)))
+        ends.append(ends[-1] + b - a)
+    valid = []
+    for first, (start, _) in enumerate(groups):
+        for last in range(first, len(groups)):
+            low, high = ends[first], ends[last + 1]
+            if high - low > 19 or not _clear(taken, *groups[last]):
+                break
+            luhn = sums[(high - 1) % 2]
+            end = groups[last][1]
+            if high - low >= 13 and (luhn[high] - luhn[low]) % 10 == 0 and len(set(_DIGIT.findall(text, start, end))) > 1:
+                valid.append((not _PRINTED.fullmatch(text, start, end), start, -end))
+    found, used = [], bytearray(run.end() - run.start())
+    for _, start, end in sorted(valid):
+        here = slice(start - run.start(), -end - run.start())
+        if not any(used[here]):
+            used[here] = b"\1" * (-end - start)
+            found.append((start, -end))
+    return found
+
+
+def _spans(kind: str, pattern: re.Pattern, text: str, taken: bytearray):
+    """Places where a value of the kind may be."""
+    for m in pattern.finditer(text):
+        if kind == "card":
+            yield from _card_spans(m, taken)
+        elif _clear(taken, *m.span()):
+            yield m.span()
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every validated value replaced, and (kind, start, end) of the values in the input."""
     digit = _DIGIT.search(text)
-    taken: list[tuple[int, int, str, str]] = []
-    for kind, mark, pattern, change in KINDS:
+    if not digit and "@" not in text:
+        return text, []
+    found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
+    for kind, mark, pattern, _ in KINDS:
         if (kind != "email" and not digit) or (mark and mark not in text):
             continue
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, *_ in taken):
-                continue
-            new = _changed(kind, m[0], key)
+        for a, b in _spans(kind, pattern, text, taken):
+            new = _changed(kind, text[a:b], key)
             if new is not None:
-                taken.append((m.start(), m.end(), kind, new))
-    if not taken:
+                found.append((a, b, kind, new))
+                taken[a:b] = b"\1" * (b - a)
+    if not found:
         return text, []
-    taken.sort()
+    found.sort()
     out, at = [], 0
-    for a, b, _, new in taken:
+    for a, b, _, new in found:
         out += [text[at:a], new]
         at = b
-    return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in taken]
+    return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in found]
 
 
 _CHANGE = {kind: change for kind, _, _, change in KINDS}

@@ -137,6 +137,33 @@ def test_pseudonyms_keep_their_format():
     assert pii.pseudonymise(text, pii.derived_key("other"))[0] != out
 
 
+CARDS = ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "3782 822463 10005"]
+
+
+@pytest.mark.parametrize("text", [
+    "{} 123", "{} 12/27", "{} 1234 56", "qty 2 {}", "2026-05-01 {}", "2026-05-01 {} 123", "no 1a {} 1a", "pin 1234 {}", "1-{}", "{} " * 9, "7 {} 8 {} 9"])
+def test_cards_next_to_numbers(text):
+    for card in CARDS:
+        given = text.replace("{}", card)
+        out, spans = pii.pseudonymise(given, KEY)
+        places = [m.span() for m in re.finditer(re.escape(card), given)]
+        assert card not in out and all(any(k == "card" and s <= a and b <= e for k, s, e in spans) for a, b in places)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["1", "12", "345", "4111", "1111", "4111111111111111", "0004", "5500", "0000", "822463", "10005", "3782", "0", "a1"]), max_size=14), st.sampled_from(" -"))
+def test_no_card_is_left_in_a_run(groups, sign):
+    text = sign.join(groups)
+    _, spans = pii.pseudonymise(text, KEY)
+    used = [any(a <= i < b for _, a, b in spans) for i in range(len(text))]
+    borders = [m.span() for m in re.finditer(r"(?<![\da-z])\d+(?![\da-z])", text)]
+    for a, _ in borders:
+        for _, b in borders:
+            part = re.sub(r"\D", "", text[a:b])
+            if "a" not in text[a:b] and 13 <= len(part) <= 19 and len(set(part)) > 1 and pii.luhn_digit(part[:-1]) == part[-1]:
+                assert any(used[a:b])
+
+
 def test_pseudonymised_rows(spark):
     docs = edges(spark).withColumnRenamed("spans", "pii_spans")
     got = pii.pseudonymised(docs, "k")
