@@ -163,7 +163,7 @@ def _email(text: str, key: bytes) -> str | None:
 # In this order; what an earlier kind took is not looked at again. A look-behind keeps parts of longer words and numbers out.
 KINDS = (
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])", re.A), _email),
-    ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", re.A), _iban),
+    ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=(?: ?[A-Z0-9]){11})", re.A), _iban),  # its first four signs, see _iban_ends
     ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", re.A), _ip),
     ("date", None, re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)", re.A), _date),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A), _ssn),
@@ -217,10 +217,34 @@ def _card_spans(run: re.Match, taken: bytearray) -> list[tuple[int, int]]:
     return found
 
 
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BF BI BJ CG CI CM DJ FR GA GQ IR IT KM MC MG ML MR NE SM SN TD TF TG YT",
+    28: "AL AZ BY CY DO GT HN HU LB MA NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+_IBAN_SIGNS = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}", re.A)
+_WORD_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])", re.A)
+
+
+def _iban_ends(head: re.Match, taken: bytearray) -> list[int]:
+    """Places where an IBAN that begins here may end: ends of words, that of its country's length first, then the farthest."""
+    text, start = head.string, head.start()
+    ends, signs, at = [], 0, start
+    for m in _WORD_END.finditer(text, head.end(), _IBAN_SIGNS.match(text, start).end()):
+        if m.end() < len(text) and text[m.end()].isascii() and text[m.end()].isalnum():
+            continue  # the look-ahead saw only up to the last place searched
+        signs, at = signs + m.end() - at - text.count(" ", at, m.end()), m.end()
+        if signs >= 15:
+            ends.append((signs != IBAN_LENGTHS.get(head[0][:2]), -m.end()))
+    return [-end for _, end in sorted(ends) if _clear(taken, start, -end)]
+
+
 def _spans(kind: str, pattern: re.Pattern, text: str, taken: bytearray):
     """Places where a value of the kind may be."""
     for m in pattern.finditer(text):
-        if kind == "card":
+        if kind == "iban":
+            yield from ((m.start(), end) for end in _iban_ends(m, taken) if _clear(taken, m.start(), end))
+        elif kind == "card":
             yield from _card_spans(m, taken)
         elif _clear(taken, *m.span()):
             yield m.span()

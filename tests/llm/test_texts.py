@@ -164,6 +164,19 @@ def test_no_card_is_left_in_a_run(groups, sign):
                 assert any(used[a:b])
 
 
+IBANS = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+
+
+@pytest.mark.parametrize("text", ["{} EUR 500", "{} BIC", "{} I paid", "{} Paid", "{} BIC COBADEFFXXX", "{} 12", "IBAN {} A", "ID12 {} 500", "AB12 CD34 {} X", "{} {} USD {}"])
+def test_ibans_before_words(text):
+    for iban in IBANS:
+        given = text.replace("{}", iban)
+        out, spans = pii.pseudonymise(given, KEY)
+        assert iban not in out
+        assert [(a, b) for k, a, b in spans if k == "iban"] == [m.span() for m in re.finditer(iban, given)]
+    assert pii.pseudonymise("DE89 3704 0044 0532 0130 01 EUR", KEY)[0].startswith("DE89 ")
+
+
 def test_pseudonymised_rows(spark):
     docs = edges(spark).withColumnRenamed("spans", "pii_spans")
     got = pii.pseudonymised(docs, "k")
