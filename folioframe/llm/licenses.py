@@ -1,6 +1,6 @@
 """Known licences by the digest of their canonical text.
 
-A text is made canonical before it is hashed: lower case, copyright lines out,
+A text is made canonical before it is hashed: lower case, copyright notices out,
 every other character than ASCII letters and digits a space, equivalent
 spellings made one, single spaces. Whole documents, and single lines of them,
 are then joined by digest to a catalogue of known licences and notices.
@@ -29,7 +29,14 @@ SPELLINGS = {
     "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
     "noncommercial": "non commercial", "sublicence": "sublicense", "owner": "holder", "owners": "holders",
 }
-COPYRIGHT_LINE = re.compile(rb"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)|\xc2\xa9|all rights reserved)[^\n]*$")
+#: Words that go on a sentence behind "copyright" or an item "(c)" of a licence body; what else follows is a holder or a year.
+_BODY_WORDS = (
+    "notices? holders? owners? ownership licen[cs]es? laws? statements? interests? rights? permissions? protections? treaty treaties disclaimers? "
+    "infringement materials? works? claims? status terms conditions information patents? trademarks? and or in on of to for from as is are was "
+    "be been that this these those which with within you your any all each such if under must may no not it its do does have has accompany"
+).replace(" ", "|").encode()
+_HOLDER = rb"(?![^a-z0-9\n\x80-\xff]*(?:(?:" + _BODY_WORDS + rb")\b|$))"
+COPYRIGHT_LINE = re.compile(rb"(?m)^[^a-z0-9\n]*(?:copyright\b" + _HOLDER + rb"|\(c\)" + _HOLDER + rb"|\xc2\xa9|all rights reserved)[^\n]*$")
 #: Bytes other than ASCII letters, digits and line ends become spaces.
 _PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -43,6 +44,38 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs.limit(0), licenses.catalogue(spark)).count() == 0
 
 
+def wrapped(text, width):
+    """The text in lines of other lengths; notices of copyright stay lines."""
+    paragraphs, lines = [], []
+    for line in text.split("\n"):
+        notice = licenses.COPYRIGHT_LINE.match(line.encode().lower())
+        if line.strip() and not notice:
+            lines.append(line)
+        else:
+            paragraphs += [" ".join(lines), line]
+            lines = []
+    return "\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in [*paragraphs, " ".join(lines)])
+
+
+def test_wrapping_changes_no_digest():
+    assert any("\ncopyright notice and" in wrapped(licenses.TEXTS["ISC"], w) for w in range(20, 140))
+    for name, text in licenses.TEXTS.items():
+        for width in range(20, 140):
+            given = "Copyright (c) 2020 Some Body\n\n" + wrapped(text, width)
+            assert licenses.canonical(given) == licenses.canonical(text), (name, width)
+
+
+@pytest.mark.parametrize("line", ["Copyright (c) 2020 A", "COPYRIGHT 2001", "Copyright by A", "# Copyright: The Authors", "Copyright A. Person", "(c) 2020 A", "(C) A. Person",
+                                  "© A", "Copyright © 2020", "Copyright 株式会社", "All rights reserved.", "Copyright [yyyy] [name]"])
+def test_notices_of_copyright_go(line):
+    assert licenses.canonical(f"{line}\nwords\n  {line}\n") == "words"
+
+
+@pytest.mark.parametrize("line", ["copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "copyright owner", "copyright", "(c) You must retain", "copyright, patent", "copyright license to"])
+def test_lines_of_the_body_stay(line):
+    assert licenses.canonical(f"the\n{line}\nwords") == licenses.canonical(f"the {line} words")
+
+
 # --- secrets ------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
