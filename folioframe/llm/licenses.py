@@ -9,6 +9,7 @@ are then joined by digest to a catalogue of known licences and notices.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import pyarrow as pa
@@ -33,7 +34,8 @@ SPELLINGS = {
 _BODY_WORDS = (
     "notices? holders? owners? ownership licen[cs]es? laws? statements? interests? rights? permissions? protections? treaty treaties disclaimers? "
     "infringement materials? works? claims? status terms conditions information patents? trademarks? and or in on of to for from as is are was "
-    "be been that this these those which with within you your any all each such if under must may no not it its do does have has accompany"
+    "be been that this these those which with within you your any all each such if under must may no not it its do does have has accompany "
+    r"also doctrines the\ssoftware year\sname"
 ).replace(" ", "|").encode()
 _HOLDER = rb"(?![^a-z0-9\n\x80-\xff]*(?:(?:" + _BODY_WORDS + rb")\b|$))"
 COPYRIGHT_LINE = re.compile(rb"(?m)^[^a-z0-9\n]*(?:copyright\b" + _HOLDER + rb"|\(c\)" + _HOLDER + rb"|\xc2\xa9|all rights reserved)[^\n]*$")
@@ -58,8 +60,27 @@ def digest(canonical_text: str) -> str:
     return hashlib.sha256(canonical_text.encode()).hexdigest()
 
 
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+"""
 # Full texts of short public licences.
 TEXTS = {
+    "BSD-2-Clause": _BSD_2 + _BSD_END,
+    "BSD-3-Clause": _BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission.
+""" + _BSD_END,
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
 distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
@@ -100,6 +121,31 @@ Unless required by applicable law or agreed to in writing, software distributed
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
 under the License.""",
 }
+#: Full texts of long licences, one file each named after the licence.
+TEXT_FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+# Where the text behind the title lines of a file begins, and where parts that are often left out begin.
+PARTS = {
+    "Apache-2.0": ("TERMS AND CONDITIONS FOR USE", ["END OF TERMS AND CONDITIONS", "APPENDIX: How to apply"]),
+    "CC0-1.0": ("Statement of Purpose", []),
+    "GPL-2.0": (None, ["END OF TERMS AND CONDITIONS", "How to Apply These Terms"]),
+    "GPL-3.0": (None, ["END OF TERMS AND CONDITIONS", "How to Apply These Terms"]),
+    "MPL-2.0": ("1. Definitions", []),
+}
+# Usual title lines of a licence text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD License (0BSD)", "0BSD"],
+    "Zlib": ["zlib License", "The zlib License", "zlib License (Zlib)", "zlib/libpng License", "The zlib/libpng License", "zlib"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "Simplified BSD License",
+                     'BSD 2-Clause "Simplified" License', "FreeBSD License", "BSD-2-Clause", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "New BSD License", "Modified BSD License",
+                     'BSD 3-Clause "New" or "Revised" License', "BSD-3-Clause", "BSD License"],
+    "Apache-2.0": ["Apache License\nVersion 2.0, January 2004\nhttps://www.apache.org/licenses/", "Apache License\nVersion 2.0, January 2004",
+                   "Apache License, Version 2.0", "Apache License 2.0"],
+    "CC0-1.0": ["Creative Commons Legal Code\nCC0 1.0 Universal", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License 2.0 (MPL-2.0)"],
+}
 # Names by which notices refer to licences.
 NAMES = {
     "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0"],
@@ -120,9 +166,26 @@ VERBS = ["Licensed under", "Released under", "Distributed under", "Available und
          "This software is released under", "This file is licensed under"]
 
 
+def full_texts(folder: str = TEXT_FOLDER) -> list[tuple[str, str]]:
+    """(licence, text) of the built-in texts and the files of ``folder``, with and without title lines and parts often left out."""
+    bodies = list(TEXTS.items())
+    bodies += [(name, re.sub(r"(?m)^\d\. ", "* ", TEXTS[name])) for name in ("BSD-2-Clause", "BSD-3-Clause")]  # bullets
+    whole = []
+    for file in sorted(os.listdir(folder)):
+        name = file.removesuffix(".txt")
+        with open(os.path.join(folder, file), encoding="utf-8") as lines:
+            text = lines.read()
+        begin, cuts = PARTS.get(name, (None, []))
+        for part in [text, *(text[:text.index(cut)] for cut in cuts)]:
+            whole.append((name, part))
+            if begin:
+                bodies.append((name, part[part.index(begin):]))
+    return whole + bodies + [(name, f"{title}\n\n{text}") for name, text in bodies for title in TITLES.get(name, [])]
+
+
 def catalogue_entries() -> list[tuple[str, str]]:
-    """(licence, canonical text) of the built-in full texts and of the notices made from verbs and names."""
-    entries = [(name, canonical(text)) for name, text in TEXTS.items()]
+    """(licence, canonical text) of the full texts and of the notices made from verbs and names."""
+    entries = [(name, canonical(text)) for name, text in full_texts()]
     entries += [(name, canonical(f"{verb} {way}.")) for name, ways in NAMES.items() for way in ways for verb in VERBS]
     entries += [(name, canonical(f"SPDX-License-Identifier: {name}")) for name in NAMES]
     return sorted(set(entries))

@@ -46,15 +46,14 @@ def test_license_scan(spark):
 
 def wrapped(text, width):
     """The text in lines of other lengths; notices of copyright stay lines."""
-    paragraphs, lines = [], []
-    for line in text.split("\n"):
-        notice = licenses.COPYRIGHT_LINE.match(line.encode().lower())
-        if line.strip() and not notice:
+    out, lines = [], []
+    for line in [*text.split("\n"), ""]:
+        if line.strip() and not licenses.COPYRIGHT_LINE.match(line.encode().lower()):
             lines.append(line)
         else:
-            paragraphs += [" ".join(lines), line]
+            out += [textwrap.fill(" ".join(lines), width, break_long_words=False, break_on_hyphens=False), line]
             lines = []
-    return "\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in [*paragraphs, " ".join(lines)])
+    return "\n".join(out)
 
 
 def test_wrapping_changes_no_digest():
@@ -65,6 +64,25 @@ def test_wrapping_changes_no_digest():
             assert licenses.canonical(given) == licenses.canonical(text), (name, width)
 
 
+def test_full_texts_with_titles(spark):
+    files = {name: open(f"{licenses.TEXT_FOLDER}/{name}.txt").read() for name in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")}
+    rows = [(name, text) for name, text in [*licenses.TEXTS.items(), *files.items()]]
+    rows += [(name, wrapped(text, width)) for name, text in rows for width in (50, 79, 100, 130)]
+    rows += [(name, f"{title}\n\nCopyright (c) 2020 Some Body\nAll rights reserved.\n\n{text}") for name, text in licenses.TEXTS.items() for title in licenses.TITLES.get(name, [])]
+    apache, gpl = files["Apache-2.0"], files["GPL-3.0"]
+    rows += [("Apache-2.0", apache[:apache.index("APPENDIX")]), ("Apache-2.0", apache[apache.index("TERMS AND"):]), ("GPL-3.0", gpl[:gpl.index("How to Apply These")]),
+             ("BSD-3-Clause", licenses.TEXTS["BSD-3-Clause"].replace("1.", "*").replace("2.", "  *").replace("3.", "-").replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"))]
+    rows += [(None, text[:-30]) for text in files.values()]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs, licenses.catalogue(spark)).collect()}
+    assert [(i, got[i]) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(rows)]
+
+
+def test_every_known_text_is_of_one_license():
+    entries = licenses.catalogue_entries()
+    assert len({text for _, text in entries}) == len(entries) and all(text for _, text in entries)
+
+
 @pytest.mark.parametrize("line", ["Copyright (c) 2020 A", "COPYRIGHT 2001", "Copyright by A", "# Copyright: The Authors", "Copyright A. Person", "(c) 2020 A", "(C) A. Person",
                                   "© A", "Copyright © 2020", "Copyright 株式会社", "All rights reserved.", "Copyright [yyyy] [name]"])
 def test_notices_of_copyright_go(line):
