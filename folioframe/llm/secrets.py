@@ -51,7 +51,10 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 # Usual replacements of letters.
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-LONGEST_PATTERN = 32
+#: Costs are exact below this; a value that costs more is reported with it.
+MOST_COST = 40.0
+#: Places back from which a word, a unit or a date may start.
+WINDOW = max(LONGEST_WORD, 10)
 
 
 @lru_cache(maxsize=1)
@@ -74,6 +77,35 @@ def _brute(char: str) -> float:
     return math.log10(33) if char.isascii() else 2.0
 
 
+class _Open:
+    """Starts of a repeat or walk of three or more characters that goes on, whatever its length.
+
+    It costs ``best[start] + log10(length)``. Of two starts the earlier one, once
+    no dearer, stays so, for the logarithm grows slower for it; the later one is
+    then forgotten, so few starts are kept and none that could still be best.
+    """
+
+    def __init__(self, best: list[float]):
+        self.best, self.starts = best, []
+
+    def cheapest(self, end: int, length: int) -> float:
+        """The cheapest start, when the last ``length`` characters belong together."""
+        if length < 3:
+            self.starts.clear()
+            return math.inf
+        kept, lowest = [], math.inf
+        for start in [*self.starts, end - 3]:
+            cost = self.best[start] + math.log10(end - start)
+            if cost < lowest:
+                lowest = cost
+                kept.append(start)
+        self.starts = kept
+        return lowest
+
+    def least(self) -> float:
+        return min((self.best[s] for s in self.starts), default=math.inf)
+
+
 def guess_cost(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses that the cheapest segmentation needs; an empty value costs 0.
 
@@ -95,6 +127,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     start_of_brute = [0.0] * (n + 1)  # brute force goes on without a new segment
     more = math.log10(2)
     open_brute = math.inf
+    walks, repeats = _Open(best), _Open(best)
     for i in range(n):
         # brute force up to and with character i
         open_brute = min(open_brute, best[i] + more) + _brute(value[i])
@@ -103,11 +136,8 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         if i:
             run = run + 1 if (lower[i - 1], lower[i]) in adjacent else 1
             repeat = repeat + 1 if lower[i] == lower[i - 1] else 1
-        for length in range(3, run + 1 if run <= LONGEST_PATTERN else LONGEST_PATTERN + 1):
-            candidates.append(best[end - length] + more + math.log10(47 * 4 * length))
-        if repeat >= 3:
-            for length in range(3, min(repeat, LONGEST_PATTERN) + 1):
-                candidates.append(best[end - length] + more + _brute(value[i]) + math.log10(length))
+        candidates.append(walks.cheapest(end, run) + more + math.log10(47 * 4))
+        candidates.append(repeats.cheapest(end, repeat) + more + _brute(value[i]))
         for length in range(2, min(LONGEST_WORD, end) + 1):
             begin = end - length
             rank = RANK.get(plain[begin:end]) or RANK.get(lower[begin:end])
@@ -121,7 +151,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
             if end in dates.get(begin, ()):
                 candidates.append(best[begin] + more + math.log10(365 * 120 if end - begin > 4 else 120))
         best[end] = min(candidates)
-        if end >= LONGEST_PATTERN and min(min(best[end - LONGEST_PATTERN:end + 1]), open_brute) >= enough:
+        if end >= WINDOW and min(min(best[end - WINDOW:end + 1]), open_brute, walks.least(), repeats.least()) >= enough:
             return enough
     return best[n]
 
@@ -144,7 +174,7 @@ def find_secrets(text: str, least_cost: float = 10.0) -> tuple[list[tuple[str, i
     if any(k in low for k in CONTEXT_WORDS):
         for m in CONTEXT.finditer(data):
             value = m[1].decode(errors="replace").rstrip(".,;:)]}")
-            if len(value) >= 8 and (cost := guess_cost(value, 40.0)) >= least_cost:
+            if len(value) >= 8 and (cost := guess_cost(value, MOST_COST)) >= least_cost:
                 start = m.start(1)
                 values.append((GUESS, start, start + len(value.encode()), cost))
     if len(data) != len(text) and (found or values):  # bytes to code points
@@ -166,6 +196,7 @@ def _joined(spans) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 10.0) -> DataFrame:
     """One row per document: id, spans as ``array<struct<kind,start,end,cost>>`` (cost null for base spans).
 
+    A cost of ``MOST_COST`` is a lower bound: pricing stops there.
     Null and empty texts have no spans; a null id stays null; rows that repeat
     stay; texts are scanned whole whatever their length.
     """

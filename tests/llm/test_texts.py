@@ -150,6 +150,22 @@ def test_guess_cost(value):
     assert abs(secrets.guess_cost(value) - brute_cost(value)) < 1e-9
 
 
+@pytest.mark.parametrize("value", ["a" * 100, "*" * 1000, "X" * 100_000, "qwertyuiopoiuytrew" * 6, "qw" * 200, "password" + "1" * 300, "pass" + "s" * 90 + "2019"])
+def test_long_repeats_and_walks_are_one_segment(value):
+    assert secrets.guess_cost(value) < 10
+    assert secrets.find_secrets(f"token={value} ")[1] == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["a" * 40, "qwertyuioplkjhgfds" + "asdfghjklkjhgfdsa", "pass", "2019", "sss", "x", "K!", "1" * 35]), min_size=1, max_size=3).map("".join))
+def test_guess_cost_of_long_patterns(value):
+    low = value.lower()
+    if any(low[i:i + n] == low[i + n:i + 2 * n] and len(set(low[i:i + n])) > 1 for n in range(2, 40) for i in range(len(low))):
+        return
+    assert secrets.guess_cost(value) <= brute_cost(value) + 1e-9
+    assert secrets.guess_cost(value, 12.0) == pytest.approx(min(secrets.guess_cost(value), 12.0)) or secrets.guess_cost(value, 12.0) == pytest.approx(secrets.guess_cost(value))
+
+
 def test_values_in_context(spark):
     base, values = secrets.find_secrets("db password: changeme123 and pwd = Xk9#mQ2v!8pRz end; the key")
     assert [v[:3] for v in values] == [("guess", 35, 48)] and base == [("assign", 3, 24)]
