@@ -34,7 +34,8 @@ CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"
 CONTEXT = re.compile(
     rb"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|(?:client_?|shared_?)?secret|(?:access_?|auth_?|refresh_?)?token|"
     rb"(?:api|access|private|secret|encryption)[_-]?key|credentials?|authorization)"
-    rb"[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*[\"']?(?:bearer\x20+)?([^\s\"'<>]+)")
+    rb"[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*"
+    rb"(?:\"(?:bearer\x20+)?([^\"\r\n]+)\"|'(?:bearer\x20+)?([^'\r\n]+)'|[\"']?(?:bearer\x20+)?([^\s\"'<>]+))")  # in quotes that close on the line, or one word
 
 # Common words of passwords, by falling frequency.
 COMMON = (
@@ -173,9 +174,11 @@ def find_secrets(text: str, least_cost: float = 10.0) -> tuple[list[tuple[str, i
     values = []
     if any(k in low for k in CONTEXT_WORDS):
         for m in CONTEXT.finditer(data):
-            value = m[1].decode(errors="replace").rstrip(".,;:)]}")
+            value = m[m.lastindex].decode(errors="replace")
+            if m.lastindex == 3:
+                value = value.rstrip(".,;:)]}")
             if len(value) >= 8 and (cost := guess_cost(value, MOST_COST)) >= least_cost:
-                start = m.start(1)
+                start = m.start(m.lastindex)
                 values.append((GUESS, start, start + len(value.encode()), cost))
     if len(data) != len(text) and (found or values):  # bytes to code points
         places = sorted({x for f in (*found, *values) for x in f[1:3]})

@@ -150,6 +150,14 @@ def test_guess_cost(value):
     assert abs(secrets.guess_cost(value) - brute_cost(value)) < 1e-9
 
 
+@pytest.mark.parametrize("text, value", [
+    ('password = "correct horse battery staple"', "correct horse battery staple"), ("pwd: 'it is \"Xk9 quoted\" mQ2v'; end", 'it is "Xk9 quoted" mQ2v'),
+    ('{"pwd": "Zé#mQ2v <8pRz>.", "b": "c"}', "Zé#mQ2v <8pRz>."), ('auth_token="Bearer Xk9mQ2v8pRzT7" x', "Xk9mQ2v8pRzT7"),
+    ('pwd = "Xk9#mQ2v!8pRz and no end\nof the "quote', "Xk9#mQ2v!8pRz"), ("pwd = Xk9#mQ2v!8pRz, rest", "Xk9#mQ2v!8pRz"), ('pwd = "changeme"', None), ('pwd = ""', None)])
+def test_quoted_values(text, value):
+    assert [text[a:b] for _, a, b, _ in secrets.find_secrets(text)[1]] == ([value] if value else [])
+
+
 @pytest.mark.parametrize("value", ["a" * 100, "*" * 1000, "X" * 100_000, "qwertyuiopoiuytrew" * 6, "qw" * 200, "password" + "1" * 300, "pass" + "s" * 90 + "2019"])
 def test_long_repeats_and_walks_are_one_segment(value):
     assert secrets.guess_cost(value) < 10
