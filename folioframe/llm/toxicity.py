@@ -14,8 +14,10 @@ of a text forgets what came before.
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,29 +158,44 @@ class Training:
     seed: int = 11
 
 
-def copy_groups(tokens: list[list[int]], size: int = 5, samples: int = 6) -> np.ndarray:
-    """A number for each document that its copies share: documents with a common minimum of hashed word runs belong together."""
-    mix = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(size)], dtype=np.uint64)
-    turn = np.array([0xD1B54A32D192ED03 * (2 * k + 3) % 2**64 for k in range(samples)], dtype=np.uint64)
-    parent = list(range(len(tokens)))
+def copy_groups(tokens: list[list[int]], size: int = 5, like: float = 0.8) -> np.ndarray:
+    """A number for each document that its copies share: the first earlier document whose set of word runs is similar to its own.
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    seen: dict[tuple[int, int], int] = {}
-    for i, words in enumerate(tokens):
-        if len(words) < size:
+    A document is compared with the first ones of groups only, and belongs to a
+    group if the share of common runs in all runs of both is ``like`` or more.
+    Sets so similar have a run in common among the rarest of each (as many as
+    may be missing in the other, and one), so common passages cost no comparison
+    and no similar pair is lost.
+    """
+    runs: list[np.ndarray] = []
+    for words in tokens:
+        w, n = np.array(words, dtype=np.uint64) + np.uint64(1), max(0, len(words) - size + 1)
+        hashed = np.zeros(n, dtype=np.uint64)
+        for k in range(size if n else 0):
+            hashed = (hashed + w[k:n + k]) * np.uint64(0x9E3779B97F4A7C15)
+            hashed ^= hashed >> np.uint64(29)
+        runs.append(np.unique(hashed))
+    groups = np.arange(len(tokens), dtype=np.int64)
+    if not sum(map(len, runs)):
+        return groups
+    known, documents = np.unique(np.concatenate(runs), return_counts=True)
+    firsts: dict[int, list[int]] = {}  # by each of their rarest runs
+    for i, own in enumerate(runs):
+        if not len(own):
             continue
-        w = np.array(words, dtype=np.uint64) + np.uint64(1)
-        runs = sum((w[k:len(w) - size + 1 + k] * mix[k] for k in range(size)), np.uint64(0))
-        runs ^= runs >> np.uint64(29)
-        for k in range(samples):
-            key = (k, int((runs * turn[k]).min()))
-            parent[root(i)] = root(seen.setdefault(key, i))
-    return np.array([root(i) for i in range(len(tokens))], dtype=np.int64)
+        rarest = own[np.lexsort([own, documents[np.searchsorted(known, own)]])][:len(own) - math.ceil(like * len(own) - 1e-9) + 1].tolist()
+        for j in sorted({j for run in rarest for j in firsts.get(run, ())}):
+            other = runs[j]
+            if min(len(own), len(other)) < like * max(len(own), len(other)) - 1e-9:
+                continue
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if common >= like * (len(own) + len(other) - common) - 1e-9:
+                groups[i] = j
+                break
+        else:
+            for run in rarest:
+                firsts.setdefault(run, []).append(i)
+    return groups
 
 
 def token_evidence(ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
@@ -218,6 +235,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
     seen: set[tuple[int, bool]] = set()
     keys = list(zip(copy_groups(tokens).tolist(), toxic.tolist()))
     single = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+    print(f"toxicity sample without copies: {toxic[single].sum()} of {toxic.sum()} toxic and {(~toxic[single]).sum()} of {(~toxic).sum()} clean documents",
+          file=sys.stderr)  # in the log of the executor
     tokens, counts, toxic = [tokens[i] for i in single], np.array([counts[i] for i in single], dtype=np.int64), toxic[single]
     hashes, table_ids = np.unique(np.array(table, dtype=np.uint64).reshape(-1, SLOTS), return_inverse=True)
     table_ids = table_ids.reshape(-1, SLOTS)

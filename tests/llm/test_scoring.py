@@ -42,6 +42,31 @@ def test_gradient_is_zero_at_the_optimum():
     assert spans[1:] == [[], []] and spans[0][0][0] <= 2 and spans[0][0][1] == 6
 
 
+def test_only_similar_documents_are_copies():
+    random = np.random.default_rng(3)
+    passage = random.integers(0, 1000, 60).tolist()
+    sharing = [[*random.integers(1000, 10**6, 40).tolist(), *passage] for _ in range(300)]
+    assert len(set(toxicity.copy_groups(sharing).tolist())) == 300
+    chain = [list(range(at, at + 100)) for at in range(0, 600, 30)]  # neighbours have 66 of 126 runs in common
+    assert len(set(toxicity.copy_groups(chain).tolist())) == 20
+    near = [[*doc[:50], 7, *doc[51:]] for doc in sharing]
+    assert toxicity.copy_groups([*sharing, *near, [], [1, 2]]).tolist() == [*range(300), *range(300), 600, 601]
+
+
+def test_copies_by_rarest_runs_are_all_copies():
+    random = np.random.default_rng(4)
+    docs = []
+    for _ in range(60):
+        base = random.integers(0, 50, random.integers(5, 80)).tolist()
+        docs += [base[:len(base) - random.integers(0, 12)] for _ in range(4)]
+    sets = [{tuple(d[i:i + 5]) for i in range(len(d) - 4)} for d in docs]
+    want = []
+    for i, own in enumerate(sets):
+        like = [j for j in range(i) if own and want[j] == j and 10 * len(own & sets[j]) >= 8 * len(own | sets[j])]
+        want.append(like[0] if like else i)
+    assert toxicity.copy_groups(docs).tolist() == want
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     chain = toxicity.train(docs, labels, fold("doc_id", 5) != 0)
