@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``limit`` characters; a longer text is alone in its range."""
     begin = size = 0
     for i, text in enumerate(texts):
-        n = len(text) if text else 0
+        n = len(text) if text is not None else 0
         if i > begin and size + n > limit:
             yield begin, i
             begin, size = i, 0
@@ -130,50 +131,90 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     total = int(lengths.sum())
     if not total:
         return flat[:0].copy()
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-class WordIds:
-    """Ids of words seen so far, kept flat; forgets all of them beyond ``limit`` words."""
+def byte_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """:func:`slices` of an Arrow array, by bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    begin = size = 0
+    for i, n in enumerate(sizes):
+        if i > begin and size + n > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
 
-    def __init__(self, encode_new: Callable[[list], list], limit: int = 1_500_000):
-        self.encode_new, self.limit = encode_new, limit
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between ASCII white space, A-Z lower-cased.
+
+    The distinct ones, the number in them of every word of all texts behind one
+    another, and the words of each text. A null text has none.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = parts.flatten().dictionary_encode()
+    distinct, codes = coded.dictionary, coded.indices.to_numpy()
+    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index(distinct, pa.scalar("", distinct.type)).as_py()
+    if empty >= 0:  # what is in front of leading white space, and behind trailing
+        full = codes != empty
+        counts = np.add.reduceat(full, np.cumsum(counts) - counts, dtype=np.int64)
+        codes = codes[full]
+        codes = codes - (codes > empty)
+        distinct = pa.concat_arrays([distinct.slice(0, empty), distinct.slice(empty + 1)])
+    return distinct, codes, counts
+
+
+class WordValues:
+    """A list of values for every word seen so far: the words are an Arrow array, the values lie flat.
+
+    About 40 bytes a word. All are forgotten beyond ``limit`` words or values
+    and begin anew with the next texts.
+    """
+
+    def __init__(self, values_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type, limit: int = 800_000):
+        """``values_of`` new words: their values behind one another, and the number of each."""
+        self.values_of, self.dtype, self.limit = values_of, dtype, limit
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict = {}
-        self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.starts = np.empty(1 << 14, dtype=np.int64)
-        self.lengths = np.empty(1 << 14, dtype=np.int64)
-        self.used = 0
-
-    def _append(self, words: list, ids: list) -> None:
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total, n = int(lengths.sum()), len(self.index)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(words) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        self.flat[self.used:self.used + total] = np.fromiter((x for one in ids for x in one), dtype=np.uint32, count=total)
-        self.lengths[n:n + len(words)] = lengths
-        self.starts[n:n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.index.update(zip(words, range(n, n + len(words))))
-        self.used += total
-
-    def encode(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents behind one another, and the number of ids of each document."""
-        if len(self.index) > self.limit:
+        self.words = pa.array([], pa.string())
+        self.flat = np.empty(0, dtype=self.dtype)
+        self.starts = np.empty(0, dtype=np.int32)
+        self.lengths = np.empty(0, dtype=np.int32)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the values of distinct words are."""
+        if max(len(self.words), len(self.flat) // 4) > self.limit:
             self.clear()
-        index = self.index
-        new = list({w for words in documents for w in words if w not in index})
-        if new:
-            self._append(new, self.encode_new(new))
-        counts = np.fromiter(map(len, documents), dtype=np.int64, count=len(documents))
-        at = np.fromiter((index[w] for words in documents for w in words), dtype=np.int64, count=int(counts.sum()))
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(found.is_null())
+        if len(new):
+            values, lengths = self.values_of(new.to_pylist())
+            self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)])
+            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+            self.flat = np.concatenate([self.flat, values.astype(self.dtype)])
+            at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).copy()
+            at[at < 0] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            return at
+        return found.to_numpy(zero_copy_only=False)
+
+    def of(self, texts: pa.Array, split: Callable = words_in) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the words of all texts behind one another, and the number of each text."""
+        words, codes, counts = split(texts)
+        at = self.places(words)[codes]
         lengths = self.lengths[at]
-        ids = gather(self.flat, self.starts[at], lengths)
-        before = np.concatenate([[0], np.cumsum(lengths)])
+        values = gather(self.flat, self.starts[at], lengths)
+        before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         ends = np.cumsum(counts)
-        return ids, before[ends] - before[ends - counts]
+        return values, before[ends] - before[ends - counts]
+
+
+def flat_lists(lists: list[list], dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Lists behind one another, and their lengths."""
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter((x for one in lists for x in one), dtype=dtype, count=int(lengths.sum())), lengths

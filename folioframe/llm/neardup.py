@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import KEY, arrow_map, hint_small, in_files, key_columns, slices, without_rows, written
+from folioframe.llm.base import KEY, arrow_map, byte_slices, hint_small, in_files, key_columns, without_rows, words_in, written
 from folioframe.operators.graph import component_links
 
 _MASK = (1 << 64) - 1
@@ -73,8 +73,8 @@ class Similarity:
 class Shingler:
     """Shingle sets, signatures and sketches of texts; one per task."""
 
-    def __init__(self, like: Similarity, limit: int = 200_000):
-        self.like, self.limit = like, limit
+    def __init__(self, like: Similarity):
+        self.like = like
         random = np.random.default_rng(like.seed)
         odd = lambda n, kind, top: random.integers(0, top, n, dtype=kind) | kind(1)
         self.place = odd(like.words, np.uint64, _MASK)
@@ -82,26 +82,20 @@ class Shingler:
         self.factor, self.shift = odd(like.samples, np.uint32, 2**32 - 1), random.integers(0, 2**32 - 1, like.samples, dtype=np.uint32)
         self.fold = odd(like.samples, np.uint64, _MASK)
         self.band = odd(like.rows, np.uint64, _MASK)
-        self.known: dict[bytes, int] = {}
 
     def _stir(self, x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(31))) * self.mix[0]
         x = (x ^ (x >> np.uint64(29))) * self.mix[1]
         return x ^ (x >> np.uint64(32))
 
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """Sorted 64-bit hashes of the distinct shingles of each text."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, k = self.known, self.like.words
-        words = [t.encode().lower().split() for t in texts]  # on bytes: A-Z alone, and the six ASCII white spaces
-        for w in {w for ws in words for w in ws if w not in known}:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        hashes = np.fromiter((known[w] for ws in words for w in ws), dtype=np.uint64, count=int(counts.sum()))
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """Sorted 64-bit hashes of the distinct shingles of each text; a null text has none."""
+        k = self.like.words
+        words, codes, counts = words_in(texts)  # A-Z alone are lower-cased, and the six ASCII white spaces cut
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(words))[codes]
         runs = np.zeros(max(0, len(hashes) - k + 1), dtype=np.uint64)
         for i in range(k):
-            runs += hashes[i:len(hashes) - k + 1 + i] * self.place[i]
+            runs += hashes[i:i + len(runs)] * self.place[i]
         runs = self._stir(runs)
         out, at = [], 0
         for n in counts.tolist():
@@ -147,10 +141,9 @@ def shingled(rows: DataFrame, like: Similarity) -> DataFrame:
 
     def work(batch: pa.RecordBatch):
         tool = Shingler(like)
-        texts = batch.column(3).to_pylist()
-        for begin, end in slices(texts, 2_000_000):
-            files, places, ids = (batch.column(i).slice(begin, end - begin) for i in range(3))
-            sets = tool.sets([t or "" for t in texts[begin:end]])
+        for begin, end in byte_slices(batch.column(3), 2_000_000):
+            files, places, ids, texts = (batch.column(i).slice(begin, end - begin) for i in range(4))
+            sets = tool.sets(texts)
             signatures = np.stack([tool.signature(s) for s in sets])
             # an empty set is like no other, so the name of its row stands for it
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else f"empty {f} {p}".encode()
@@ -188,11 +181,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Simil
 
     def work(batch: pa.RecordBatch):
         tool = Shingler(like)
-        found = batch.column(3).to_pylist()
-        for begin, end in slices(found, 2_000_000):
+        for begin, end in byte_slices(batch.column(3), 2_000_000):
             n = end - begin
             yield {"a": batch.column(0).slice(begin, n), "part": batch.column(1).slice(begin, n), "row": batch.column(2).slice(begin, n),
-                   "set": [s.tobytes() for s in tool.sets([t or "" for t in found[begin:end]])]}
+                   "set": [s.tobytes() for s in tool.sets(batch.column(3).slice(begin, n))]}
 
     sets = arrow_map(texts, work, "a long, part long, row long, set binary",
                      pa.schema([("a", pa.int64()), ("part", pa.int64()), ("row", pa.int64()), ("set", pa.binary())]))
@@ -266,10 +258,9 @@ def _links_between(near: DataFrame, classes: DataFrame, rows: DataFrame, like: S
 
     def work(batch: pa.RecordBatch):
         tool = Shingler(like)
-        found = batch.column(6).to_pylist()
-        for begin, end in slices(found, 2_000_000):
+        for begin, end in byte_slices(batch.column(6), 2_000_000):
             yield {**{name: batch.column(c).slice(begin, end - begin) for c, (name, _) in enumerate(fields)},
-                   "set": [s.tobytes() for s in tool.sets([t or "" for t in found[begin:end]])]}
+                   "set": [s.tobytes() for s in tool.sets(batch.column(6).slice(begin, end - begin))]}
 
     sets = arrow_map(texts, work, "key long, i long, j long, cls long, comp long, asks boolean, set binary", pa.schema([*fields, ("set", pa.binary())]))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -18,59 +18,55 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import WordIds, arrow_map, slices, written
+from folioframe.llm.base import WordValues, arrow_map, byte_slices, flat_lists, written
 
 #: Pieces of a group, about; each group leaves one sequence partly filled.
 GROUP_PIECES = 20_000
-TAIL = b".,!?;:"
+TAIL = ".,!?;:"
 _CACHES: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """Tokenizer and word cache of a worker process, loaded once."""
+    """Tokenizer and word cache of a worker process, loaded once; the cache is bounded."""
     if path not in _CACHES:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
 
-        def encode_new(words: list[bytes]) -> list[list[int]]:
+        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # punctuation after an ASCII letter is a word of its own for this tokenizer
             heads = [w.rstrip(TAIL) for w in words]
-            cut = [h if h[-1:].isalpha() else w for h, w in zip(heads, words)]
+            cut = [h if h and h[-1].isascii() and h[-1].isalpha() else w for h, w in zip(heads, words)]
             parts = list({*cut, *(w[len(c):] for w, c in zip(words, cut))})
-            known = dict(zip(parts, (e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False))))
-            return [known[c] + known[w[len(c):]] for w, c in zip(words, cut)]
+            known = dict(zip(parts, (e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False))))
+            return flat_lists([known[c] + known[w[len(c):]] for w, c in zip(words, cut)], np.uint32)
 
-        _CACHES[path] = tokenizer, WordIds(encode_new)
+        _CACHES[path] = tokenizer, WordValues(ids_of, np.uint32)
     return _CACHES[path]
 
 
-def word_token_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts behind one another and their number per text.
+def word_token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts behind one another and their number per text; a null text has none.
 
     For a tokenizer that splits at white space and lower-cases: words between
     ASCII white space are independent, so each distinct one is encoded once.
     Texts that may hold a special token are encoded whole.
     """
     tokenizer, cache = _tokenizer(path)
-    data = [t.encode() for t in texts]
-    special = [i for i, b in enumerate(data) if b"<|" in b]
-    words = [b.lower().split() for b in data]
-    for i in special:
-        words[i] = []
-    ids, counts = cache.encode(words)
-    if special:
+    special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+    ids, counts = cache.of(pc.if_else(special, "", texts))
+    rows = np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()
+    if rows:
         parts = np.split(ids, np.cumsum(counts)[:-1])
-        for i in special:
-            parts[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
-        counts = np.array([len(p) for p in parts], dtype=np.int64)
-        ids = np.concatenate(parts)
+        for i in rows:
+            parts[i] = np.array(tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+        ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
     return ids, counts
 
 
@@ -86,9 +82,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
         fields.append(("ids", pa.list_(pa.int64())))
 
     def work(batch: pa.RecordBatch):
-        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for begin, end in slices(texts):
-            ids, counts = word_token_ids([t or "" for t in texts[begin:end]], tokenizer_path)
+        names = batch.column(0).to_pylist()
+        for begin, end in byte_slices(batch.column(1)):
+            ids, counts = word_token_ids(batch.column(1).slice(begin, end - begin), tokenizer_path)
             out: dict[str, list] = {name: [] for name, _ in fields}
             at = 0
             for name, n in zip(names[begin:end], counts.tolist()):
@@ -96,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
                 at += n
                 for piece, start in enumerate(range(0, n + 1, max_tokens)):
                     part = one[start:start + max_tokens]
-                    for field, value in zip(out, (name, piece, start, len(part), zlib.crc32(part.tobytes()), part.tolist() if with_ids else None)):
+                    for field, value in zip(out, (name, piece, start, len(part), zlib.crc32(part), part.tolist() if with_ids else None)):
                         out[field].append(value)
             yield out
 
@@ -112,7 +108,7 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.25)
     rule: str = "norm"
 
     def limits(self) -> np.ndarray:
@@ -182,19 +178,20 @@ def packed(pieces: DataFrame, capacity: Capacity, group_pieces: int = GROUP_PIEC
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
     dealt = pieces.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        lot = int(pdf["lot"].iloc[0])
-        pdf = pdf.drop(columns="lot").sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], ignore_index=True)
-        lengths = pdf["length"].to_numpy()
+    def fill(group: pa.Table) -> pa.Table:
+        lot = group["lot"][0].as_py()
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]
+        group = group.drop_columns(["lot"]).sort_by(order)
+        lengths = group["length"].to_numpy()
         bins = pack(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
         heads = np.concatenate([[True], np.diff(bins[order]) != 0])
         offset = np.empty(len(bins), dtype=np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(heads, before, 0))
-        return pdf.assign(sequence_id=(lot << 32) + bins, offset=offset)
+        return group.append_column("sequence_id", pa.array((lot << 32) + bins, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return dealt.groupBy("lot").applyInPandas(fill, schema)
+    return dealt.groupBy("lot").applyInArrow(fill, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:

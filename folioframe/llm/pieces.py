@@ -11,21 +11,20 @@ their UTF-8 bytes.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import WordIds, arrow_map, gather, slices
+from folioframe.llm.base import WordValues, arrow_map, byte_slices, flat_lists, gather
 
 MARK = "▁"
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
-_WORD = re.compile(" *[^ ]+| +$")
 
 
 @dataclass
@@ -109,30 +108,60 @@ class Vocabulary:
         return data[1:] if data[:1] == b" " else data
 
 
-_LOADED: dict[str, tuple[Vocabulary, WordIds]] = {}
+def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts with a mark for every space and one in front, cut before each run of marks.
 
-
-def _loaded(path: str) -> tuple[Vocabulary, WordIds]:
-    """Vocabulary and word cache of a worker process."""
+    The distinct words, the number in them of every word of all texts behind one
+    another, and the words of each text. A mark of the text itself is a mark
+    like any other. An empty or null text has no word.
+    """
+    texts = pc.replace_substring(pc.fill_null(texts, ""), " ", MARK)
+    parts = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(MARK, texts, "")), MARK)
+    coded = parts.flatten().dictionary_encode()
+    fields, codes = coded.dictionary, coded.indices.to_numpy()
+    sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    empty = pc.index(fields, pa.scalar("", fields.type)).as_py()
+    # the first field of a text stands before its first mark; a word ends with a field that is not empty, or with the text
+    ending = codes != empty
+    ending[ends[sizes > 1] - 1] = True
+    counts = np.add.reduceat(ending, ends - sizes, dtype=np.int64) if len(sizes) else sizes
+    heads = np.zeros(len(codes), dtype=bool)
+    heads[ends - sizes] = True
+    at, border = np.flatnonzero(ending), np.flatnonzero(ending | heads)
+    marks = at - border[np.searchsorted(border, at) - 1]  # as many as fields since the word before, or since the head
+    simple = pc.binary_join_element_wise(MARK, fields, "")
+    longer = np.flatnonzero(marks != 1)
+    codes = codes[at].astype(np.int64)
+    extra, place = np.unique(np.stack([codes[longer], marks[longer]], axis=1), axis=0, return_inverse=True)
+    codes[longer] = len(fields) + place.reshape(-1)
+    more = pa.array([MARK * int(n) + fields[int(c)].as_py() for c, n in extra], fields.type)
+    return pa.concat_arrays([simple, more]), codes, counts
+
+
+_LOADED: dict[str, tuple[Vocabulary, WordValues]] = {}
+
+
+def _loaded(path: str) -> tuple[Vocabulary, WordValues]:
+    """Vocabulary and word cache of a worker process; the cache is bounded."""
     if path not in _LOADED:
         vocabulary = Vocabulary.load(path)
 
-        def encode_new(words: list[str]) -> list[list[int]]:
-            marked = [w.replace(" ", MARK) for w in words]
-            order = sorted(range(len(words)), key=marked.__getitem__)
+        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            order = sorted(range(len(words)), key=words.__getitem__)
             ids: list = [None] * len(words)
-            for i, one in zip(order, vocabulary.encode_sorted([marked[i] for i in order])):
+            for i, one in zip(order, vocabulary.encode_sorted([words[i] for i in order])):
                 ids[i] = one
-            return ids
+            return flat_lists(ids, np.int32)
 
-        _LOADED[path] = vocabulary, WordIds(encode_new)
+        _LOADED[path] = vocabulary, WordValues(ids_of, np.int32)
     return _LOADED[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text; an empty text has none."""
+def encode_texts(texts: list[str | None] | pa.Array, path: str) -> list[np.ndarray]:
+    """Ids of each text; an empty or null text has none."""
     _, cache = _loaded(path)
-    ids, counts = cache.encode([_WORD.findall(" " + t) if t else [] for t in texts])
+    ids, counts = cache.of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), marked_words)
     return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
@@ -146,9 +175,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """``doc_id, ids``; a null or empty text has an empty list. Rows that repeat stay, texts are encoded whole."""
 
     def work(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        for begin, end in slices(texts):
-            parts = encode_texts([t or "" for t in texts[begin:end]], path)
+        for begin, end in byte_slices(batch.column(1)):
+            parts = encode_texts(batch.column(1).slice(begin, end - begin), path)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             values = pa.array(np.concatenate(parts).astype(np.int32), pa.int32())
             yield {"doc_id": batch.column(0).slice(begin, end - begin), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)}
@@ -177,16 +205,15 @@ def encoding_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     def work(batch: pa.RecordBatch):
         vocabulary, _ = _loaded(path)
-        texts = batch.column(1).to_pylist()
-        for begin, end in slices(texts):
-            part = [t or "" for t in texts[begin:end]]
+        for begin, end in byte_slices(batch.column(1)):
+            part = batch.column(1).slice(begin, end - begin)
             ids = encode_texts(part, path)
             back = [vocabulary.decode(p) for p in ids]
             yield {
                 "doc_id": batch.column(0).slice(begin, end - begin), "n_ids": [len(p) for p in ids],
                 "ids_crc32": [zlib.crc32(p.astype("<u4").tobytes()) for p in ids],
                 "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in back],
-                "round_trip": [b == t.encode() for b, t in zip(back, part)],
+                "round_trip": [b == (t or b"") for b, t in zip(back, part.cast(pa.binary()).to_pylist())],
             }
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

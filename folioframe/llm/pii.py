@@ -278,7 +278,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
 _CHANGE = {kind: change for kind, _, _, change in KINDS}
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _changed(kind: str, value: str, key: bytes) -> str | None:
     return _CHANGE[kind](value, key)
 

@@ -14,21 +14,21 @@ of a text forgets what came before.
 
 from __future__ import annotations
 
+import logging
 import math
 import pickle
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import few_by_hash, hash_order, slices
+from folioframe.llm.base import WordValues, byte_slices, few_by_hash, flat_lists, hash_order, slices
 
+_LOG = logging.getLogger(__name__)
 WORD = re.compile(r"\w+")
 #: Features of a token: the word, four beginnings and two endings.
 SLOTS = 7
@@ -43,6 +43,11 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def tokens_of(chunk: str) -> list[str]:
+    """Tokens of what stands between two white spaces."""
+    return WORD.findall(folded(chunk))
+
+
 def features(word: str) -> list[int]:
     """64-bit hashes of the features of a lower-case word."""
     keys = [f"={word}"]
@@ -97,6 +102,10 @@ class Chain:
         """Log-odds that the word alone gives for toxic."""
         return sum([self.weights.get(f, 0.0) for f in features(word)])
 
+    def emissions(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions of the tokens of all chunks behind one another, and the number of each chunk."""
+        return flat_lists([[self.emission(w) for w in tokens_of(c)] for c in chunks], np.float64)
+
     def messages(self, emission: np.ndarray, starts: np.ndarray):
         """Forward and backward vectors of tokens; ``starts`` marks first tokens."""
         e = np.exp(np.clip(emission, -30, 30))
@@ -158,7 +167,7 @@ class Training:
     seed: int = 11
 
 
-def copy_groups(tokens: list[list[int]], size: int = 5, like: float = 0.8) -> np.ndarray:
+def copy_groups(tokens: list[np.ndarray], size: int = 5, like: float = 0.8) -> np.ndarray:
     """A number for each document that its copies share: the first earlier document whose set of word runs is similar to its own.
 
     A document is compared with the first ones of groups only, and belongs to a
@@ -169,7 +178,7 @@ def copy_groups(tokens: list[list[int]], size: int = 5, like: float = 0.8) -> np
     """
     runs: list[np.ndarray] = []
     for words in tokens:
-        w, n = np.array(words, dtype=np.uint64) + np.uint64(1), max(0, len(words) - size + 1)
+        w, n = np.asarray(words, dtype=np.uint64) + np.uint64(1), max(0, len(words) - size + 1)
         hashed = np.zeros(n, dtype=np.uint64)
         for k in range(size if n else 0):
             hashed = (hashed + w[k:n + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -198,18 +207,19 @@ def copy_groups(tokens: list[list[int]], size: int = 5, like: float = 0.8) -> np
     return groups
 
 
-def token_evidence(ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``size`` features mark toxic tokens; ``ids`` are the features of all tokens.
+def token_evidence(tokens: list[np.ndarray], toxic: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` features mark toxic tokens; ``tokens`` are the words of each document, ``table`` the features of each word.
 
     A feature's share of toxic documents must be 0.8 or more, and so far above
     the share in the sample that no feature of all those seen would be expected
     to reach it by chance (binomial tail bound).
     """
-    document = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-    pairs = np.unique(document[:, None] * size + ids)
-    of, feature = toxic[pairs // size], pairs % size
-    hits = np.bincount(feature[of], minlength=size).astype(float)
-    total = np.bincount(feature, minlength=size).astype(float)
+    hits, total = np.zeros(size), np.zeros(size)
+    for words, bad in zip(tokens, toxic.tolist()):
+        found = np.unique(table[np.unique(words)])
+        total[found] += 1
+        if bad:
+            hits[found] += 1
     share, base = hits / np.maximum(total, 1), min(max(toxic.mean(), 1e-9), 1 - 1e-9)
     with np.errstate(divide="ignore", invalid="ignore"):
         rest = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0.0)
@@ -220,33 +230,29 @@ def token_evidence(ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray, size:
 def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training = Training()) -> Chain:
     """Trains chain and document model on labelled documents; ``prior`` is the share of toxic ones beyond the sample."""
     random = np.random.default_rng(settings.seed)
-    cache: dict[str, int] = {}
-    table: list[list[int]] = []
-    tokens, counts = [], []
-    for text in texts:
-        words = WORD.findall(folded(text))
-        for w in words:
-            if w not in cache:
-                cache[w] = len(table)
-                table.append(features(w))
-        tokens.append([cache[w] for w in words])
-        counts.append(len(words))
+    number: dict[str, int] = {}  # of each token seen
+    lookup = WordValues(lambda chunks: flat_lists([[number.setdefault(w, len(number)) for w in tokens_of(c)] for c in chunks], np.int32), np.int32)
+    tokens = []
+    for begin, end in slices(texts):
+        flat, counts = lookup.of(pa.array(texts[begin:end], pa.string()))
+        tokens += np.split(flat, np.cumsum(counts)[:-1])
     # copies of a document would be taken for independent evidence
     seen: set[tuple[int, bool]] = set()
     keys = list(zip(copy_groups(tokens).tolist(), toxic.tolist()))
     single = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
-    print(f"toxicity sample without copies: {toxic[single].sum()} of {toxic.sum()} toxic and {(~toxic[single]).sum()} of {(~toxic).sum()} clean documents",
-          file=sys.stderr)  # in the log of the executor
-    tokens, counts, toxic = [tokens[i] for i in single], np.array([counts[i] for i in single], dtype=np.int64), toxic[single]
-    hashes, table_ids = np.unique(np.array(table, dtype=np.uint64).reshape(-1, SLOTS), return_inverse=True)
-    table_ids = table_ids.reshape(-1, SLOTS)
-    all_tokens = np.array([t for ts in tokens for t in ts], dtype=np.int64)
+    _LOG.info("toxicity sample without copies: %d of %d toxic and %d of %d clean documents",
+              toxic[single].sum(), toxic.sum(), (~toxic[single]).sum(), (~toxic).sum())
+    tokens, toxic = [tokens[i] for i in single], toxic[single]
+    counts = np.array([len(t) for t in tokens], dtype=np.int64)
+    hashes, table = np.unique(np.fromiter((h for w in number for h in features(w)), dtype=np.uint64, count=SLOTS * len(number)), return_inverse=True)
+    table = table.astype(np.int32).reshape(-1, SLOTS)
+    all_tokens = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int32)
     chain = Chain(np.zeros((2, 2)), 0.0, {}, np.zeros(3))
     weights = np.zeros(len(hashes))
     both = 0 < toxic.sum() < len(toxic)
     if both and len(all_tokens):
-        marks = token_evidence(table_ids[all_tokens], counts, toxic, len(hashes)) & (hashes != NOTHING)
-        labels = marks[table_ids].any(axis=1)[all_tokens] & np.repeat(toxic, counts)
+        marks = token_evidence(tokens, toxic, table, len(hashes)) & (hashes != NOTHING)
+        labels = marks[table].any(axis=1)[all_tokens] & np.repeat(toxic, counts)
         # windows of every clean document, and of toxic ones around labelled tokens
         begins = np.cumsum(counts) - counts
         rows, lengths = [], []
@@ -260,10 +266,14 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
                 lengths.append(len(rows[-1]))
         if rows:
             places = np.concatenate(rows)
-            weights = _train(chain, table_ids[all_tokens[places]], labels[places], first_tokens(np.array(lengths)), hashes != NOTHING, settings)
+            weights = _train(chain, table[all_tokens[places]], labels[places], first_tokens(np.array(lengths)), hashes != NOTHING, settings)
     chain.weights = {int(h): float(w) for h, w in zip(hashes, weights) if w}
-    emission = weights[table_ids].sum(axis=1)[all_tokens] if len(all_tokens) else np.zeros(0)
-    highest, summed = per_document(chain.marginals(emission, first_tokens(counts)), counts)
+    emission = weights[table].sum(axis=1) if len(table) else np.zeros(0)
+    parts = [(np.zeros(0), np.zeros(0))]
+    for begin, end in slices(tokens, 200_000):
+        part = counts[begin:end]
+        parts.append(per_document(chain.marginals(emission[np.concatenate(tokens[begin:end])], first_tokens(part)), part))
+    highest, summed = (np.concatenate(p) for p in zip(*parts))
     share = toxic.mean()
     weight = np.where(toxic, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9)) if both else np.ones(len(toxic))
     x, y = document_features(highest, summed), toxic.astype(float)
@@ -279,7 +289,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
 def _train(chain: Chain, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, weighed: np.ndarray, settings: Training) -> np.ndarray:
     """Adam on the conditional likelihood, observed minus expected counts; returns the feature weights."""
     used, compact = np.unique(ids, return_inverse=True)
-    compact = compact.reshape(ids.shape)
+    compact = compact.astype(np.int32).reshape(ids.shape)
     zero = np.flatnonzero(~weighed[used])
     y = labels.astype(float)
     inner = ~starts
@@ -290,14 +300,14 @@ def _train(chain: Chain, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray
     m, v = np.zeros_like(values), np.zeros_like(values)
     for turn in range(1, settings.rounds + 1):
         chain.transitions, chain.first = values[-5:-1].reshape(2, 2), values[-1]
-        (f0, f1), (b0, b1), e = chain.messages(values[:-5][compact].sum(axis=1), starts)
+        (f0, f1), (b0, b1), e = chain.messages(sum(values[compact[:, k]] for k in range(SLOTS)), starts)
         p = f1 * b1 / (f0 * b0 + f1 * b1)
         t = np.exp(chain.transitions)
         pairs = np.stack([f0[before] * t[0, 0] * b0[before + 1], f0[before] * t[0, 1] * (e * b1)[before + 1],
                           f1[before] * t[1, 0] * b0[before + 1], f1[before] * t[1, 1] * (e * b1)[before + 1]])
         expected = (pairs / pairs.sum(axis=0)).sum(axis=1).reshape(2, 2)
         grad = np.concatenate([
-            np.bincount(compact.ravel(), np.repeat(y - p, SLOTS), minlength=len(used)) - settings.ridge * values[:-5],
+            sum(np.bincount(compact[:, k], y - p, minlength=len(used)) for k in range(SLOTS)) - settings.ridge * values[:-5],
             (observed - expected).ravel(), [(y - p)[starts].sum()]])
         grad[zero] = 0
         m += 0.1 * (grad - m)
@@ -333,36 +343,31 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, settings: Train
         F.max("text").alias("text"))
 
     def run(batches):
-        rows = sorted((r for pdf in batches for r in zip(pdf["id"], pdf["bad"], pdf["text"])), key=lambda r: r[0])
+        rows = sorted((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())), key=lambda r: r[0])
         if rows:
-            yield pd.DataFrame({"model": [pickle.dumps(fit([t or "" for *_, t in rows], np.array([bool(b) for _, b, _ in rows]), prior, settings))]})
+            texts, bad = [t or "" for *_, t in rows], np.array([bool(b) for _, b, _ in rows])
+            rows.clear()
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, bad, prior, settings))]}, schema=pa.schema([("model", pa.binary())]))
 
-    out = sample.coalesce(1).mapInPandas(run, "model binary").collect()
+    out = sample.coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(out[0]["model"]) if out else None
 
 
 class Scorer:
-    """Scores texts with a chain; remembers the emissions of words."""
-
-    def __init__(self, chain: Chain, limit: int = 1_000_000):
-        self.chain, self.limit, self.known = chain, limit, {}
-
-    def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        words = [WORD.findall(folded(t)) for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        known.update(zip(new, map(self.chain.emission, new)))
-        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        emission = np.fromiter((known[w] for ws in words for w in ws), dtype=np.float64, count=int(counts.sum()))
+    """Scores texts with a chain; remembers the emissions of words, up to a bound."""
+
+    def __init__(self, chain: Chain):
+        self.chain, self.known = chain, WordValues(chain.emissions, np.float64, limit=400_000)
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        emission, counts = self.known.of(texts)
         marginals = self.chain.marginals(emission, first_tokens(counts))
         highest, summed = per_document(marginals, counts)
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
         begins = np.cumsum(counts) - counts
         for i in np.flatnonzero(highest >= 0.5).tolist():
             bad = marginals[begins[i]:begins[i] + counts[i]] >= 0.5
-            for k, (m, hit) in enumerate(zip(WORD.finditer(folded(texts[i])), bad.tolist())):
+            for k, (m, hit) in enumerate(zip(WORD.finditer(texts[i].as_py()), bad.tolist())):
                 if hit and k and bad[k - 1]:
                     spans[i][-1] = (spans[i][-1][0], m.end())
                 elif hit:
@@ -383,9 +388,8 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
     def run(batches):
         scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for begin, end in slices(texts):
-                part = [t or "" for t in texts[begin:end]]
+            for begin, end in byte_slices(batch.column(1), 2_000_000):
+                part = batch.column(1).slice(begin, end - begin)
                 scores, spans = scorer.score(part) if scorer else (np.zeros(len(part)), [[] for _ in part])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(begin, end - begin), pa.array(scores, pa.float64()),
@@ -405,11 +409,10 @@ def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text") ->
     def run(batches):
         scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for begin, end in slices(texts):
+            for begin, end in byte_slices(batch.column(place), 2_000_000):
                 part = batch.slice(begin, end - begin)
                 if scorer:
-                    scores, _ = scorer.score([t or "" for t in texts[begin:end]])
+                    scores, _ = scorer.score(part.column(place))
                     part = part.filter(pa.array(scores < 0.5))
                 yield part
 

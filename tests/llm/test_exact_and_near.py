@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,18 @@ def test_near_groups_of_nothing(spark):
     assert sorted((r.id, r.component_id) for r in neardup.near_groups(blank).collect()) == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("size", range(2, 9))
+def test_shingles_of_few_words(size):
+    """Any number of words in all texts together, more or fewer than a shingle has."""
+    like = neardup.Similarity(words=size)
+    words = [f"w{i}" for i in range(8)]
+    texts = [" ".join(words[:n]) for n in range(9)]
+    assert [len(neardup.Shingler(like).sets(pa.array([t]))[0]) for t in texts] == [min(n, max(1, n - size + 1)) if n else 0 for n in range(9)]
+    together = neardup.Shingler(like).sets(pa.array([None, *texts]))
+    alone = [neardup.Shingler(like).sets(pa.array([t]))[0] for t in texts]
+    assert [s.tolist() for s in together] == [[], *(s.tolist() for s in alone)]
+
+
 def test_sketch_estimates_high_similarity():
     like = neardup.Similarity()
     tool = neardup.Shingler(like)

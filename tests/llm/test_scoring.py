@@ -1,6 +1,7 @@
 """Taggers, language and top-k against direct computation and held-out rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,9 +38,9 @@ def test_gradient_is_zero_at_the_optimum():
     texts = ["fine day here", "what a vile day", "vile vile words", "nothing here", "some other words here"] * 40
     toxic = np.array([("vile" in t) for t in texts])
     chain = toxicity.fit([f"{t} {i}" for i, t in enumerate(texts)], toxic, 0.4)
-    scores, spans = toxicity.Scorer(chain).score(["A VILE thing", "a fine thing", ""])
+    scores, spans = toxicity.Scorer(chain).score(pa.array(["A VILE thing", "a fine thing", "", None]))
     assert scores[0] > 0.5 > scores[1] and scores[2] < 0.5
-    assert spans[1:] == [[], []] and spans[0][0][0] <= 2 and spans[0][0][1] == 6
+    assert spans[1:] == [[]] * 3 and spans[0][0][0] <= 2 and spans[0][0][1] == 6
 
 
 def test_only_similar_documents_are_copies():

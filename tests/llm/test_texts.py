@@ -7,6 +7,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -327,7 +328,9 @@ WORDS = tokenizer_path("word_bpe_49k.json")
      "İ", "Σας,", "@#!", "'s", "word;", "é.", "a!?"]), max_size=8), max_size=4))
 def test_word_ids_equal_the_tokenizer(parts):
     texts = ["".join(p) for p in parts] + [" ".join(p) for p in parts]
-    ids, counts = packing.word_token_ids(texts, WORDS)
+    ids, counts = packing.word_token_ids(pa.array([None, *texts]), WORDS)
+    assert counts[0] == 0
+    counts = counts[1:]
     tokenizer, _ = packing._tokenizer(WORDS)
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])][:len(texts)] == want
@@ -357,9 +360,13 @@ def test_tokens_alone_are_packed_as_by_best_fit():
             free[free.index(min(fit))] -= n
         else:
             free.append(2048 - n)
-    bins = packing.pack(lengths, packing.Capacity())
-    assert_packed(lengths, bins, packing.Capacity())
+    alone = packing.Capacity(weights=(1.0, 0.0, 0.0))
+    bins = packing.pack(lengths, alone)
+    assert_packed(lengths, bins, alone)
     assert bins.max() + 1 == len(free) <= 1.03 * np.ceil(lengths.sum() / 2048)
+    # the further dimensions cost no sequence
+    for weights in (packing.Capacity().weights, (1.0, 1.0, 1.0)):
+        assert packing.pack(lengths, packing.Capacity(weights=weights)).max() <= bins.max() + 1
     with pytest.raises(ValueError):
         packing.pack(np.array([3000]), packing.Capacity())
 
@@ -382,3 +389,9 @@ def test_packed_documents(spark):
         s = s.sort_values("offset")
         assert s["offset"].tolist() == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 2048
     assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
+
+
+def test_packing_keeps_ids_beside_a_null_one(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a"), (None, "b"), (2**60 + 3, "c d")], "doc_id long, text string")
+    got = packing.pack_documents(docs, WORDS).collect()
+    assert {r.doc_id for r in got} == {2**60 + 1, None, 2**60 + 3}
