@@ -328,7 +328,7 @@ WORDS = tokenizer_path("word_bpe_49k.json")
      "İ", "Σας,", "@#!", "'s", "word;", "é.", "a!?"]), max_size=8), max_size=4))
 def test_word_ids_equal_the_tokenizer(parts):
     texts = ["".join(p) for p in parts] + [" ".join(p) for p in parts]
-    ids, counts = packing.word_token_ids(pa.array([None, *texts]), WORDS)
+    ids, counts = packing.word_token_ids(pa.array([None, *texts], pa.string()), WORDS)
     assert counts[0] == 0
     counts = counts[1:]
     tokenizer, _ = packing._tokenizer(WORDS)
