@@ -148,6 +148,14 @@ def byte_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int
         yield begin, len(sizes)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Offsets (int32) and bytes of an array of strings, without what other slices hold; nulls are empty."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1] if offsets else np.zeros(1, dtype=np.int32)
+    return at - at[0], data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if data else b""
+
+
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words between ASCII white space, A-Z lower-cased.
 

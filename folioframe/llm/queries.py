@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioframe.llm import exact, langid, licenses, neardup, packing, pieces, pii, secrets, topk, toxicity
+from folioframe.llm import divergence, exact, langid, licenses, neardup, packing, pieces, pii, secrets, spelling, tokenfile, topk, toxicity
 from folioframe.llm.base import fold, read
 from folioframe.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from folioframe.llm.vocabularies import tokenizer_path
@@ -98,3 +98,53 @@ def op9_minhash_near_dedup(spark, sf):
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf):
     return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_spelling_variants", sql=f"""WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+ lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+x AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),
+r AS (SELECT id, run, count(*) AS k, hex(encode(id || ':' || run)) AS h FROM x GROUP BY id, run),
+b AS (SELECT id, run, k, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substring(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM r),
+c AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, steps[xor(c, b) % 256 + 1]))) AS crc FROM b, tbl),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN crc % 97 = 0 THEN substring(run, 1, crc % length(run)) || substring(run, crc % length(run) + 2)
+ ELSE run END AS word FROM c) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+e AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+s AS (SELECT DISTINCT e.word, e.n, v.word AS other, v.n AS m FROM e JOIN v ON e.rest = v.word),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION ALL SELECT word, n, other, m FROM s UNION ALL SELECT other, m, word, n FROM s),
+t AS (SELECT word, other, m, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM p),
+f AS (SELECT v.word, v.n, coalesce(t.n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+ FROM v LEFT JOIN t ON t.word = v.word AND t.place = 1),
+w(word, root, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT w.word, f.form, step + 1 FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, l.root FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM w GROUP BY word) l ON l.word = f.word""")
+def op11_spelling_variants(spark, sf):
+    return spelling.spelling_groups(read(spark, sf, "documents"))
+
+
+@query("op12_bit_plane_output")
+def op12_bit_plane_output(spark, sf):
+    files = tokenfile.write_token_files(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return tokenfile.read_token_files(files)
+
+
+@query("op13_source_divergence", sql=f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+x AS (SELECT r, lang, source, {_LOWER.format("unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))")} AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT x.lang, x.source, x.term, count(*) AS n FROM x JOIN k ON k.lang = x.lang AND k.term = x.term GROUP BY x.lang, x.source, x.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (t.total + l.v) AS p, 1 + 1000000000 * (k.n + 1) // (l.total + l.v) AS q
+ FROM t JOIN k ON k.lang = t.lang JOIN l ON l.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+ FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+ FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200""")
+def op13_source_divergence(spark, sf):
+    return divergence.source_divergence(read(spark, sf, "documents"))

@@ -12,14 +12,14 @@ from compare import compare, duck
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NUMBERED = ["op1_toxicity", "op2_license_scan", "op3_language_id", "op4_exact_top_k", "op5_secret_scan", "op6_sentencepiece", "op7_exact_dedup",
-            "op8_pii", "op9_minhash_near_dedup", "op10_best_fit_packing"]
+            "op8_pii", "op9_minhash_near_dedup", "op10_best_fit_packing", "op11_spelling_variants", "op12_bit_plane_output", "op13_source_divergence"]
 
 
 def test_all_queries_are_there():
     assert [q for q in entry.queries() if q.startswith("op")] == NUMBERED and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op4_exact_top_k", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op4_exact_top_k", "op7_exact_dedup", "op11_spelling_variants", "op13_source_divergence"])
 def test_twins(spark, sf, name):
     ok, _, note = compare(spark, duck(sf), sf, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, note
