@@ -183,7 +183,7 @@ class WordValues:
     and begin anew with the next texts.
     """
 
-    def __init__(self, values_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type, limit: int = 800_000):
+    def __init__(self, values_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype: type, limit: int = 800_000):
         """``values_of`` new words: their values behind one another, and the number of each."""
         self.values_of, self.dtype, self.limit = values_of, dtype, limit
         self.clear()
@@ -201,7 +201,7 @@ class WordValues:
         found = pc.index_in(words, value_set=self.words)
         new = words.filter(found.is_null())
         if len(new):
-            values, lengths = self.values_of(new.to_pylist())
+            values, lengths = self.values_of(new)
             self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)])
             self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
             self.flat = np.concatenate([self.flat, values.astype(self.dtype)])

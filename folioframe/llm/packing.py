@@ -23,14 +23,76 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import WordValues, arrow_map, byte_slices, flat_lists, written
+from folioframe.llm.base import WordValues, arrow_map, byte_slices, flat_lists, gather, written
 
 #: Pieces of a group, about; each group leaves one sequence partly filled.
 GROUP_PIECES = 20_000
-TAIL = ".,!?;:"
+#: ASCII punctuation without the apostrophe, which may begin a run with letters.
+TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _CACHES: dict[str, tuple] = {}
 
 
+class WordEncoder:
+    """Ids of words by a tokenizer that lower-cases, cuts letters from other characters, and marks the last piece of every run.
+
+    Words of letters alone are one run each, so many of them are encoded as one
+    text, whose marked pieces tell them apart. ASCII punctuation behind a word
+    (but an apostrophe) is a run of its own.
+    """
+
+    TOGETHER = 200
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of words of letters."""
+        names = words.to_pylist()
+        groups = [names[i:i + self.TOGETHER] for i in range(0, len(names), self.TOGETHER)]
+        ids, lengths = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for group, found in zip(groups, self._each([" ".join(g) for g in groups])):
+            flat = np.array(found, dtype=np.uint32)
+            ends = np.flatnonzero(self.last[flat]) + 1
+            if len(ends) == len(group) and ends[-1] == len(flat):
+                count = np.diff(ends, prepend=0)
+            else:  # a letter that the tokenizer takes for something else
+                flat, count = flat_lists(self._each(group), np.uint32)
+            ids.append(flat)
+            lengths.append(count)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words behind one another, and the number of each."""
+        heads = pc.ascii_rtrim(words, characters=TAIL)
+        heads = pc.if_else(pc.match_substring_regex(heads, "[A-Za-z]$"), heads, words)  # ASCII letters compose with nothing that follows
+        simple = pc.match_substring_regex(heads, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        flat, lengths = self._letters(heads.filter(pa.array(simple)))
+        other, other_lengths = flat_lists(self._each(heads.filter(pa.array(~simple)).to_pylist()), np.uint32)
+        # heads and tails behind one another, in the order of the words
+        tailed = np.flatnonzero(pc.not_equal(heads, words).to_numpy(zero_copy_only=False))
+        rows = pa.array(tailed)
+        tails = [w[len(h):] for w, h in zip(words.take(rows).to_pylist(), heads.take(rows).to_pylist())]
+        known = sorted(set(tails))
+        tail_ids, tail_lengths = flat_lists(self._each(known), np.uint32)
+        number = {t: i for i, t in enumerate(known)}
+        which = np.fromiter((number[t] for t in tails), dtype=np.int64, count=len(tails))
+        everything = np.concatenate([flat, other, tail_ids])
+        of_heads, n = np.empty(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        n[simple], n[~simple] = lengths, other_lengths
+        of_heads[simple], of_heads[~simple] = np.cumsum(lengths) - lengths, len(flat) + np.cumsum(other_lengths) - other_lengths
+        of_tails = len(flat) + len(other) + np.cumsum(tail_lengths) - tail_lengths
+        starts, sizes = np.insert(of_heads, tailed + 1, of_tails[which]), np.insert(n, tailed + 1, tail_lengths[which])
+        total = n.copy()
+        total[tailed] += tail_lengths[which]
+        return gather(everything, starts, sizes), total
+
+
 def _tokenizer(path: str):
     """Tokenizer and word cache of a worker process, loaded once; the cache is bounded."""
     if path not in _CACHES:
@@ -38,16 +100,7 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-
-        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            # punctuation after an ASCII letter is a word of its own for this tokenizer
-            heads = [w.rstrip(TAIL) for w in words]
-            cut = [h if h and h[-1].isascii() and h[-1].isalpha() else w for h, w in zip(heads, words)]
-            parts = list({*cut, *(w[len(c):] for w, c in zip(words, cut))})
-            known = dict(zip(parts, (e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False))))
-            return flat_lists([known[c] + known[w[len(c):]] for w, c in zip(words, cut)], np.uint32)
-
-        _CACHES[path] = tokenizer, WordValues(ids_of, np.uint32)
+        _CACHES[path] = tokenizer, WordValues(WordEncoder(tokenizer), np.uint32)
     return _CACHES[path]
 
 
@@ -83,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
 
     def work(batch: pa.RecordBatch):
         names = batch.column(0).to_pylist()
-        for begin, end in byte_slices(batch.column(1)):
+        for begin, end in byte_slices(batch.column(1), 8_000_000):
             ids, counts = word_token_ids(batch.column(1).slice(begin, end - begin), tokenizer_path)
             out: dict[str, list] = {name: [] for name, _ in fields}
             at = 0

@@ -147,7 +147,8 @@ def _loaded(path: str) -> tuple[Vocabulary, WordValues]:
     if path not in _LOADED:
         vocabulary = Vocabulary.load(path)
 
-        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def ids_of(new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            words = new.to_pylist()
             order = sorted(range(len(words)), key=words.__getitem__)
             ids: list = [None] * len(words)
             for i, one in zip(order, vocabulary.encode_sorted([words[i] for i in order])):

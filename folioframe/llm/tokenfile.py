@@ -230,7 +230,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             out, seq = None, seq + 1
 
         for batch in batches:
-            for begin, end in byte_slices(batch.column(1)):
+            for begin, end in byte_slices(batch.column(1), 8_000_000):
                 ids, counts = word_token_ids(batch.column(1).slice(begin, end - begin), tokenizer_path)
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 out = out or Writer(f"{folder}/tokens-{part:08d}-{seq:06d}.bin", layout)

@@ -102,9 +102,9 @@ class Chain:
         """Log-odds that the word alone gives for toxic."""
         return sum([self.weights.get(f, 0.0) for f in features(word)])
 
-    def emissions(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def emissions(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Emissions of the tokens of all chunks behind one another, and the number of each chunk."""
-        return flat_lists([[self.emission(w) for w in tokens_of(c)] for c in chunks], np.float64)
+        return flat_lists([[self.emission(w) for w in tokens_of(c)] for c in chunks.to_pylist()], np.float64)
 
     def messages(self, emission: np.ndarray, starts: np.ndarray):
         """Forward and backward vectors of tokens; ``starts`` marks first tokens."""
@@ -231,7 +231,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
     """Trains chain and document model on labelled documents; ``prior`` is the share of toxic ones beyond the sample."""
     random = np.random.default_rng(settings.seed)
     number: dict[str, int] = {}  # of each token seen
-    lookup = WordValues(lambda chunks: flat_lists([[number.setdefault(w, len(number)) for w in tokens_of(c)] for c in chunks], np.int32), np.int32)
+    lookup = WordValues(lambda chunks: flat_lists([[number.setdefault(w, len(number)) for w in tokens_of(c)] for c in chunks.to_pylist()], np.int32), np.int32)
     tokens = []
     for begin, end in slices(texts):
         flat, counts = lookup.of(pa.array(texts[begin:end], pa.string()))
