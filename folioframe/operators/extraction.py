@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as G
@@ -13,11 +13,25 @@ from folioframe.session import cut_lineage
 
 
 def region_scores(quads: DataFrame, raster: DataFrame, pages: DataFrame, value: str = "v", key: str = "quad_id") -> DataFrame:
-    """Mean value inside each quad; quads meet pixels row by row."""
-    rows = M.polygon_rows(quads, pages, key)
-    px = raster.select("page_id", "y", "x", value)
-    hit = rows.join(px, ["page_id", "y"]).where(F.col("x").between(F.col("x0"), F.col("x1")))
-    return hit.groupBy("page_id", key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("score"))
+    """Number and mean of the values inside each quad, by running sums along the rows of the raster.
+
+    Every span of a quad asks for the sums up to its two ends, so it costs two
+    rows however many pixels it covers. The sums of a row of pixels and what is
+    asked of it are one window.
+    """
+    spans = M.polygon_rows(quads, pages, key).where("x0 <= x1")
+    ends = spans.select("page_id", "y", F.col(key).alias("_key"), F.explode(F.array(
+        F.struct((F.col("x0") - 1).alias("x"), F.lit(-1).alias("sign")), F.struct(F.col("x1").alias("x"), F.lit(1).alias("sign")))).alias("_e"))
+    kind = raster.schema[value].dataType
+    asked = ends.select("page_id", "y", F.col("_e.x").cast("bigint").alias("x"), F.lit(1).alias("_asks"), F.lit(None).cast(kind).alias("_v"), "_key", F.col("_e.sign").alias("_sign"))
+    none = F.lit(None).cast(spans.schema[key].dataType)
+    px = raster.select("page_id", "y", F.col("x").cast("bigint").alias("x"), F.lit(0).alias("_asks"), F.col(value).alias("_v"), none.alias("_key"), F.lit(0).alias("_sign"))
+    upto = Window.partitionBy("page_id", "y").orderBy("x", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    sums = px.unionByName(asked).select("page_id", "_asks", "_key", "_sign", F.sum(1 - F.col("_asks")).over(upto).alias("_n"),
+                                        F.count("_v").over(upto).alias("_known"), F.coalesce(F.sum("_v").over(upto), F.lit(0)).alias("_sum")).where("_asks = 1")
+    total = lambda c: F.sum(F.col(c) * F.col("_sign"))
+    out = sums.groupBy("page_id", F.col("_key").alias(key)).agg(total("_n").alias("n"), total("_known").alias("_known"), total("_sum").alias("_sum"))
+    return out.where("n > 0").select("page_id", key, "n", F.try_divide(F.col("_sum").cast("double"), F.col("_known")).alias("score"))
 
 
 def candidate_cap(boxes: DataFrame, order: str, limit: int = 1000) -> DataFrame:

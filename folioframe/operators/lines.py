@@ -217,9 +217,11 @@ def text_mask(lines: DataFrame, mask: DataFrame, pages: DataFrame, rgb: DataFram
     if method not in ("fit", "fill"):
         raise ValueError(f"no method {method!r}")
     measure = lambda df: cut_lineage(G.with_geometry(G.with_corner_order(cut_lineage(df))))
+    # the geometry is a long expression; written here, no branch carries it into its joins
+    lines = cut_lineage(lines)
     if expand:
         whole = F.transform("expanded", lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y")))
-        lines = measure(expand_to_next(cut_lineage(lines)).select("page_id", "quad_id", whole.alias("pts")))
+        lines = measure(expand_to_next(lines).select("page_id", "quad_id", whole.alias("pts")))
     if method == "fill":
         final = M.fill_boxes(cut_lineage(lines.select("page_id", *(F.col(f"b{c}").cast("bigint").alias(c) for c in "xywh"))), pages)
     elif scale:

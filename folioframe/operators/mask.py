@@ -9,8 +9,9 @@ Every window below is over one row of one page.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -300,33 +301,67 @@ def fill_polygons(quads: DataFrame, pages: DataFrame) -> DataFrame:
 # top-right and bottom-right.
 _DIAGONALS = {"d1": ((-1, -1), (-1, 0), (0, -1)), "d2": ((1, -1), (1, 0), (0, -1)),
               "d3": ((-1, 1), (-1, 0), (0, 1)), "d4": ((1, 1), (1, 0), (0, 1))}
+#: Columns of a page whose rings are found together.
+STRIP = 64
+_FAR = np.iinfo(np.int32).max // 2
+
+
+def _strip_rings(top: int, bottom: int, left: int, right: int, y, a, b, x0, x1, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rings of the columns ``left..right`` and rows ``top..bottom`` (ends inclusive), and which pixels are unknown.
+
+    ``a..b`` is the part of the unknown run ``x0..x1`` in these columns. The first
+    pass gives each pixel its way to the ends of its run, the second takes the
+    best row above or below: the larger of the way there and of the way in it.
+    """
+    ring = np.zeros((bottom - top + 1, right - left + 1), dtype=np.int32)
+    n = b - a + 1
+    rows = np.repeat(y - top, n)
+    x = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    to_left = np.where(np.repeat(x0, n) > 0, x - np.repeat(x0, n) + 1, _FAR)
+    to_right = np.where(np.repeat(x1, n) < width - 1, np.repeat(x1, n) - x + 1, _FAR)
+    ring[rows, x - left] = np.minimum(to_left, to_right)
+    unknown = np.zeros(ring.shape, dtype=bool)
+    unknown[rows, x - left] = True
+    across, d = ring.copy(), 1
+    while d < len(ring) and (ring > d).any():
+        np.minimum(ring[d:], np.maximum(across[:-d], d), out=ring[d:])
+        np.minimum(ring[:-d], np.maximum(across[d:], d), out=ring[:-d])
+        d += 1
+    return ring, unknown
 
 
 def ring_distance(unknown: DataFrame, pages: DataFrame) -> DataFrame:
     """``(page_id, y, x, ring, d1..d4)`` for every unknown pixel.
 
-    Known pixels are ring 0 and grow by a 3x3 box per round; a flag tells that
-    the pixel was reached from that corner.  A round handles the frontier only.
+    Known pixels are ring 0 and grow by a 3x3 box per ring; a flag tells that
+    the pixel was reached from that corner. Rings are distances to the nearest
+    known pixel of the page, found along the rows first (a run knows the way to
+    its ends) and then along the columns, strip by strip; a strip sees one
+    column beyond its ends for the flags. A page without known pixels has none.
     """
-    todo = cut_lineage(to_pixels(unknown))
-    known = invert(unknown, pages)
-    rings, ring = [], 0
-    frontier = cut_lineage(to_pixels(known))
-    offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-    flags = [F.array(*[F.lit(name) for name, cells in _DIAGONALS.items() if (-dy, -dx) in cells] or [F.lit("")]) for dy, dx in offsets]
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), f.alias("f")) for (dy, dx), f in zip(offsets, flags)])
-    while True:
-        ring += 1
-        near = frontier.withColumn("_o", F.explode(steps)).select(
-            "page_id", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), F.col("_o.f").alias("f"))
-        near = near.groupBy("page_id", "y", "x").agg(*[
-            F.bool_or(F.array_contains("f", name)).alias(name) for name in _DIAGONALS])
-        hit = cut_lineage(todo.join(near, ["page_id", "y", "x"]).withColumn("ring", F.lit(ring)))
-        if hit.isEmpty():
-            break
-        rings.append(hit)
-        frontier = hit.select("page_id", "y", "x")
-        todo = cut_lineage(todo.join(frontier, ["page_id", "y", "x"], "left_anti"))
-    if not rings:  # nothing unknown, or nothing known to grow from
-        return hit
-    return reduce(DataFrame.unionByName, rings)
+    runs = union(unknown).join(pages.select("page_id", "width", "height"), "page_id")
+    last = F.least(F.floor((F.col("x1") + 1) / F.lit(STRIP)), F.floor((F.col("width") - 1) / F.lit(STRIP))).cast("bigint")
+    runs = runs.withColumn("strip", F.explode(F.sequence(F.greatest(F.floor((F.col("x0") - 1) / F.lit(STRIP)).cast("bigint"), F.lit(0).cast("bigint")), last)))
+    columns = ["page_id", "strip", "y", "x0", "x1", "width", "height"]
+    page_type = runs.schema["page_id"].dataType
+    flags = list(_DIAGONALS)
+
+    def strip(table: pa.Table) -> pa.Table:
+        y, x0, x1 = (table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        at, width, height = (int(table[c][0].as_py()) for c in ("strip", "width", "height"))
+        left, right = max(0, at * STRIP - 1), min(width - 1, (at + 1) * STRIP)
+        top, bottom = max(0, int(y.min()) - 1), min(height - 1, int(y.max()) + 1)
+        ring, hidden = _strip_rings(top, bottom, left, right, y, np.maximum(x0, left), np.minimum(x1, right), x0, x1, width)
+        # a neighbour beyond the page is no ring; one beyond these rows is not there or known, and then out of reach
+        wide = np.pad(ring, 1, constant_values=-1)
+        hidden[:, :at * STRIP - left] = False
+        hidden[:, (at + 1) * STRIP - left:] = False
+        hidden &= ring < _FAR
+        py, px = np.nonzero(hidden)
+        rings = ring[py, px]
+        reached = [np.any([wide[py + 1 + dy, px + 1 + dx] == rings - 1 for dy, dx in cells], axis=0) for cells in _DIAGONALS.values()]
+        return pa.table([pa.chunked_array([table["page_id"].combine_chunks().take(pa.array(np.zeros(len(py), dtype=np.int64)))]),
+                         pa.array(py + top), pa.array(px + left), pa.array(rings, pa.int32()), *map(pa.array, reached)], names=["page_id", "y", "x", "ring", *flags])
+
+    schema = f"page_id {page_type.simpleString()}, y bigint, x bigint, ring int, " + ", ".join(f"{f} boolean" for f in flags)
+    return runs.select(*columns).groupBy("page_id", "strip").applyInArrow(strip, schema)

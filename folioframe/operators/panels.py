@@ -132,25 +132,64 @@ def band_pairs(panels: DataFrame, axis: str, rule) -> DataFrame:
     return box_join(c, c, lambda l, r: (l("panel_id") != r("panel_id")) & same(_Side(l), _Side(r)) & rule(_Side(l), _Side(r)), ["page_id"])
 
 
+#: Pitch of the bands and height of the first slabs of the neighbour search, and the growth of slabs per round.
+BAND, SLAB, GROWTH = 128, 64, 8
+_SIDE_KEY = ["page_id", "side", "band", "slab"]
+
+
+def _sides(panels: DataFrame) -> DataFrame:
+    """Four rows per panel, one per side, that make all sides alike.
+
+    The neighbour on a side has an interval ``lo..hi`` in the same band and the
+    greatest ``(edge, tie)`` with ``edge`` up to the panel's ``most``.
+    """
+    def side(name, lo, hi, edge, most, tie):
+        return F.struct(F.lit(name).alias("side"), *(v.cast("bigint").alias(n) for n, v in (("lo", lo), ("hi", hi), ("edge", edge), ("most", most), ("tie", tie))))
+
+    x, y, r, b, i = (F.col(c) for c in (*EDGES, "panel_id"))
+    rows = F.array(side("top", x, r, b, y - 1, i), side("left", y, b, r, x, i), side("right", y, b, -x, -r, -i), side("bottom", x, r, -y, -b, -i))
+    return panels.select("page_id", "panel_id", F.struct("panel_id", *EDGES).alias("box"), F.explode(rows).alias("s")).select("page_id", "panel_id", "box", "s.*")
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    at = lambda c: F.floor(F.col(c) / F.lit(BAND)).cast("bigint")
+    return rows.withColumn("band", F.explode(F.sequence(at("lo"), at("hi"))))
+
+
 def neighbours(panels: DataFrame) -> DataFrame:
     """Nearest panel on every side: ``top, left, right, bottom`` ids and edges.
 
-    The candidates of a panel are folded with max_by/min_by before the shuffle,
-    only one row per panel and side remains.
+    A panel asks in the two slabs of its bands that lie before its own edge.
+    Whatever is found there is nearer than all else; who finds nothing asks in
+    larger slabs. Slabs in which no edge is low enough are not asked, so a panel
+    meets few others even where a page holds very many.
     """
-    panels = panels.select(*_BOX)
-    col = band_pairs(panels, "x", lambda p, q: (q.b < p.y) | (q.y >= p.b))
-    row = band_pairs(panels, "y", lambda p, q: (q.r <= p.x) | (q.x >= p.r))
-    r = lambda c: F.col(f"r_{c}")
-    box = F.struct(*[r(c).alias(c) for c in ("panel_id", *EDGES)])
-    above, below = r("b") < F.col("l_y"), r("y") >= F.col("l_b")
-    left, right = r("r") <= F.col("l_x"), r("x") >= F.col("l_r")
-    last = lambda cond, edge: F.max_by(F.when(cond, box), F.when(cond, F.struct(edge, r("panel_id"))))
-    first = lambda cond, edge: F.min_by(F.when(cond, box), F.when(cond, F.struct(edge, r("panel_id"))))
-    key = [F.col("l_page_id").alias("page_id"), F.col("l_panel_id").alias("panel_id")]
-    vert = col.groupBy(*key).agg(last(above, r("b")).alias("top"), first(below, r("y")).alias("bottom"))
-    hor = row.groupBy(*key).agg(last(left, r("r")).alias("left"), first(right, r("x")).alias("right"))
-    return panels.join(vert, ["page_id", "panel_id"], "left").join(hor, ["page_id", "panel_id"], "left")
+    panels = cut_lineage(panels.select(*_BOX))
+    sides = cut_lineage(_banded(_sides(panels)))
+    low = sides.groupBy("page_id", "side", "band").agg(F.min("edge").alias("_low"))
+    slim = ["page_id", "side", "band", "panel_id", "lo", "hi", "most"]
+    asking = cut_lineage(sides.select(*slim).join(low, ["page_id", "side", "band"]).where("_low <= most").drop("_low"))
+    span = sides.agg(F.max("most") - F.min("edge")).first()[0]
+    found, slab = [], SLAB
+    while span is not None and not asking.isEmpty():
+        at = lambda c, size=slab: F.floor(F.col(c) / F.lit(size)).cast("bigint")
+        there = sides.select(*(F.col(c).alias(f"r_{c}") if c not in _SIDE_KEY else F.col(c) for c in ("page_id", "side", "band", "panel_id", "lo", "hi", "edge", "tie", "box")),
+                             at("edge").alias("slab"))
+        lowest = there.groupBy(*_SIDE_KEY).agg(F.min("r_edge").alias("_low"))
+        asked = asking.withColumn("slab", F.explode(F.array(at("most"), at("most") - 1))).join(lowest, _SIDE_KEY).where("_low <= most").drop("_low")
+        same = _same_band(F.col("lo"), F.col("hi"), F.col("r_lo"), F.col("r_hi"))
+        hit = asked.join(there, _SIDE_KEY).where((F.col("r_edge") <= F.col("most")) & (F.col("panel_id") != F.col("r_panel_id")) & same)
+        hit = cut_lineage(hit.groupBy("page_id", "side", "panel_id").agg(F.max(F.struct("r_edge", "r_tie", "r_box"))["r_box"].alias("box")))
+        found.append(hit)
+        if slab > span:  # two slabs reach over the whole page
+            break
+        asking = cut_lineage(asking.join(hit, ["page_id", "side", "panel_id"], "left_anti"))
+        slab *= GROWTH
+    if not found:
+        found = [sides.select("page_id", "side", "panel_id", "box").limit(0)]
+    near = reduce(DataFrame.unionByName, found).groupBy("page_id", "panel_id").agg(
+        *[F.first(F.when(F.col("side") == s, F.col("box")), ignorenulls=True).alias(s) for s in ("top", "left", "right", "bottom")])
+    return panels.join(near, ["page_id", "panel_id"], "left")
 
 
 def gutters(near: DataFrame) -> DataFrame:

@@ -275,12 +275,20 @@ def r23_hole_fill(spark, sf):
     return _row_sums(M.fill_holes(a, b, R.page_sizes(_raster(spark, sf))))
 
 
-@query("r24_ring_distance", sql=RAS.replace("WITH", "WITH RECURSIVE", 1) + """, un AS (SELECT page_id, y, x FROM raster WHERE v > 90),
- kn AS (SELECT page_id, y, x FROM raster WHERE v <= 90)
-SELECT un.page_id, un.y, un.x, min(greatest(abs(un.y - kn.y), abs(un.x - kn.x))) AS ring FROM un JOIN kn USING (page_id) GROUP BY ALL""")
+def _corner_sql(cells):
+    return "coalesce(bool_or(" + " OR ".join(f"(b.y = r.y + ({dy}) AND b.x = r.x + ({dx}))" for dy, dx in cells) + "), false)"
+
+
+# a corner's flag: one of its three neighbours is in the ring before; known pixels are ring 0
+@query("r24_ring_distance", sql=RAS + """, un AS (SELECT page_id, y, x FROM raster WHERE v > 90), kn AS (SELECT page_id, y, x FROM raster WHERE v <= 90),
+ r AS (SELECT un.page_id, un.y, un.x, min(greatest(abs(un.y - kn.y), abs(un.x - kn.x))) AS ring FROM un JOIN kn USING (page_id) GROUP BY ALL),
+ al AS (SELECT * FROM r UNION ALL SELECT page_id, y, x, 0 FROM kn)
+SELECT r.page_id, r.y, r.x, r.ring, """ + ", ".join(f"{_corner_sql(cells)} AS {name}" for name, cells in (
+    ("d1", ((-1, -1), (-1, 0), (0, -1))), ("d2", ((1, -1), (1, 0), (0, -1))), ("d3", ((-1, 1), (-1, 0), (0, 1))), ("d4", ((1, 1), (1, 0), (0, 1))))) + """
+ FROM r LEFT JOIN al b ON b.page_id = r.page_id AND b.ring = r.ring - 1 AND abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1 GROUP BY r.page_id, r.y, r.x, r.ring""")
 def r24_ring_distance(spark, sf):
     runs, pages = _mask(spark, sf, 90)
-    return M.ring_distance(runs, pages).select("page_id", "y", "x", "ring")
+    return M.ring_distance(runs, pages)
 
 
 _K = [[1.0, 2.0, 1.0], [0.0, 0.5, 0.0], [-1.0, -2.0, -1.0]]

@@ -63,10 +63,9 @@ def test_large_regions_split_like_small_ones(spark):
     assert label(6) == small and len(set(small.values())) > 4
 
 
-@pytest.mark.parametrize("limit", [1, 10**6])
-def test_ranked(spark, limit):
+def test_ranked(spark):
     rows = [("hot", (i * 37) % 500) for i in range(500)] + [("b", i) for i in range(5)]
-    out = ranked(spark.createDataFrame(rows, "k string, v long"), ["k"], ["v"], "n", limit)
+    out = ranked(spark.createDataFrame(rows, "k string, v long"), ["k"], ["v"], "n")
     assert all(r.n == r.v + 1 for r in out.collect()) and out.count() == 505
 
 
@@ -105,6 +104,63 @@ def _like(p, q):
     return abs(p[0] - q[0]) < w and abs(p[1] - q[1]) < h and abs(p[2] - q[2]) < w and abs(p[3] - q[3]) < h
 
 
+def _near_sides(boxes):
+    """Neighbours by trying all; boxes are (id, x, y, r, b)."""
+    def band(a0, a1, b0, b1):
+        if a0 >= b0:
+            a0, a1, b0, b1 = b0, b1, a0, a1
+        if b0 > a1:
+            return False
+        short = min(a1 - a0, b1 - b0)
+        return b1 < a1 or short == 0 or (min(a1, b1) - b0) / short >= 1 / 3
+
+    out = {}
+    for i, x, y, r, b in boxes:
+        col = [q for q in boxes if q[0] != i and band(x, r, q[1], q[3])]
+        row = [q for q in boxes if q[0] != i and band(y, b, q[2], q[4])]
+        top = max(((q[4], q[0]) for q in col if q[4] < y), default=(0, None))[1]
+        left = max(((q[3], q[0]) for q in row if q[3] <= x), default=(0, None))[1]
+        right = min(((q[1], q[0]) for q in row if q[1] >= r), default=(0, None))[1]
+        bottom = min(((q[2], q[0]) for q in col if q[2] >= b), default=(0, None))[1]
+        out[i] = (top, left, right, bottom)
+    return out
+
+
+def _panel_frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, panel_id long, x long, y long, r long, b long")
+
+
+def _found_sides(df):
+    pick = [F.col(f"{s}.panel_id").alias(s) for s in ("top", "left", "right", "bottom")]
+    return {(r.page_id, r.panel_id): (r.top, r.left, r.right, r.bottom) for r in P.neighbours(df).select("page_id", "panel_id", *pick).collect()}
+
+
+def test_neighbours_equal_all_pairs(spark):
+    rng = random.Random(12)
+    pages = {}
+    for page in range(12):
+        size = rng.choice([60, 500, 5000])
+        boxes = []
+        for i in range(rng.randint(1, 40)):
+            x, y = rng.randint(-20, size), rng.randint(-20, size)
+            boxes.append((i, x, y, x + rng.randint(0, size // 3), y + rng.randint(0, size // 4)))
+        pages[page] = boxes
+    got = _found_sides(_panel_frame(spark, [(p, *b) for p, boxes in pages.items() for b in boxes]))
+    assert got == {(p, i): near for p, boxes in pages.items() for i, near in _near_sides(boxes).items()}
+    assert P.neighbours(_panel_frame(spark, [])).count() == 0
+
+
+def test_neighbours_of_a_full_page(spark):
+    """50,000 panels on one page, in a grid with known neighbours."""
+    n = 224
+    boxes = spark.range(n * n).selectExpr("1L AS page_id", "id AS panel_id", f"id % {n} * 40 AS x", f"id div {n} * 30 AS y",
+                                          f"id % {n} * 40 + 30 AS r", f"id div {n} * 30 + 25 AS b")
+    near = P.neighbours(boxes)
+    wrong = near.where(f"""NOT (top.panel_id <=> IF(panel_id < {n}, NULL, panel_id - {n}) AND bottom.panel_id <=> IF(panel_id >= {n * n - n}, NULL, panel_id + {n})
+      AND left.panel_id <=> IF(panel_id % {n} = 0, NULL, panel_id - 1) AND right.panel_id <=> IF(panel_id % {n} = {n - 1}, NULL, panel_id + 1))""")
+    assert near.count() == n * n and wrong.count() == 0
+
+
 def _boxes(rng, n, size=400):
     out = []
     for _ in range(n):
@@ -301,6 +357,28 @@ def test_ring_flags(spark):
     assert not rows[1, 3].d2 and rows[1, 3].d1 and rows[1, 3].d3
 
 
+def test_rings_of_any_shape(spark):
+    """Several pages, strips narrower than a page, unknown pixels at all borders, a page that is all unknown."""
+    rng = random.Random(4)
+    sizes = {1: (150, 30), 2: (3, 40), 3: (64, 5), 4: (10, 10), 5: (131, 9)}
+    unknown = {p: {(y, x) for y in range(h) for x in range(w) if rng.random() < 0.97} for p, (w, h) in sizes.items()}
+    unknown[4] = {(y, x) for y in range(10) for x in range(10)}
+    rows = [(p, y, x, x) for p, px in unknown.items() for y, x in px]
+    pages = spark.createDataFrame([(p, w, h) for p, (w, h) in sizes.items()], "page_id long, width long, height long")
+    got = {(r.page_id, r.y, r.x): (r.ring, r.d1, r.d2, r.d3, r.d4) for r in M.ring_distance(spark.createDataFrame(rows, "page_id long, y long, x long, x1 long").select(
+        "page_id", "y", F.col("x").alias("x0"), "x1"), pages).collect()}
+    want = {}
+    for p, (w, h) in sizes.items():
+        known = {(y, x) for y in range(h) for x in range(w)} - unknown[p]
+        ring = {q: 0 for q in known}
+        ring |= {(y, x): min(max(abs(y - a), abs(x - b)) for a, b in known) for y, x in unknown[p] if known}
+        for (y, x), n in ring.items():
+            if n:
+                hit = lambda *cells: any(ring.get((y + dy, x + dx)) == n - 1 for dy, dx in cells)
+                want[p, y, x] = (n, hit((-1, -1), (-1, 0), (0, -1)), hit((1, -1), (1, 0), (0, -1)), hit((-1, 1), (-1, 0), (0, 1)), hit((1, 1), (1, 0), (0, 1)))
+    assert got == want
+
+
 def test_clipped_area(spark):
     df = spark.createDataFrame([([{"x": 0, "y": 0}, {"x": 10, "y": 10}, {"x": 0, "y": 20}, {"x": -10, "y": 10}],)], "pts array<struct<x:bigint,y:bigint>>")
     area = lambda *b: df.select(LN.clipped_area(F.col("pts"), *[F.lit(v) for v in b])).first()[0]
