@@ -346,4 +346,4 @@ def st2_stage_progress(spark, sf):
     items.repartition("path").write.parquet(f"{folder}/events")
     stream = ST.file_stream(spark, f"{folder}/events", items.schema, max_files=2)
     ST.follow_progress(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return ST.job_progress(spark.read.parquet(f"{folder}/out"))
+    return ST.job_progress(ST.progress_states(spark, f"{folder}/out"))

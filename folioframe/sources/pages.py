@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators.ranking import ranked
+from folioframe.session import cut_lineage
 
 # Extensions of page images and of results.
 PAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp")
@@ -29,12 +36,49 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+_LISTED = "path string, folder boolean, modificationTime timestamp, length bigint"
+
+
+def _opened(path: str) -> tuple[pa.fs.FileSystem, str, str]:
+    """File system, path in it, and what Spark puts in front of its paths."""
+    plain = re.sub(r"^file:/+", "/", path)
+    if plain.startswith("/"):
+        return pa.fs.LocalFileSystem(), plain, "file:"
+    store, inner = pa.fs.FileSystem.from_uri(plain)
+    return store, inner, plain[:len(plain) - len(inner)] if plain.endswith(inner) else plain.split("://")[0] + "://"
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the folders of a batch hold; a path that is a file is listed as itself."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, inner, front = _opened(path)
+            found = store.get_file_info([inner])
+            if found[0].type == pa.fs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            if found[0].type == pa.fs.FileType.Directory:
+                found = [f for f in store.get_file_info(pa.fs.FileSelector(inner)) if not f.base_name.startswith(".")]
+            is_folder = [f.type == pa.fs.FileType.Directory for f in found]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([front + f.path for f in found], pa.string()), pa.array(is_folder, pa.bool_()),
+                pa.array([f.mtime for f in found], pa.timestamp("us", tz="UTC")),
+                pa.array([0 if d else f.size for f, d in zip(found, is_folder)], pa.int64())], names=["path", "folder", "modificationTime", "length"])
+
+
 def listing(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files below the given folders and files: path, mtime, size; no content."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-        .select("path", "modificationTime", "length")
-    )
+    """Files below the given folders and files: path, mtime, size; no content.
+
+    Tasks list the folders, all folders of a level side by side; names that
+    start with a dot are hidden, all others are found. The store has to be one
+    that Arrow can open.
+    """
+    level = spark.createDataFrame([(p,) for p in paths], "path string").distinct()
+    levels = []
+    while not level.isEmpty():
+        found = cut_lineage(level.repartition("path").mapInArrow(_listed, _LISTED))
+        levels.append(found.where("NOT folder").drop("folder"))
+        level = found.where("folder").select("path")
+    return reduce(DataFrame.unionByName, levels).distinct()
 
 
 def page_files(files: DataFrame, root: str = "") -> DataFrame:
