@@ -109,6 +109,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]], s
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type, from_pandas=False) for c, f in ((columns[f.name], f) for f in arrow_schema)],
                     schema=arrow_schema)
+        pa.default_memory_pool().release_unused()  # workers go on to other tasks
 
     return df.mapInArrow(run, schema)
 

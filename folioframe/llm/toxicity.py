@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import WordValues, byte_slices, few_by_hash, flat_lists, hash_order, slices
+from folioframe.llm.base import WordValues, byte_slices, few_by_hash, hash_order, slices
 
 _LOG = logging.getLogger(__name__)
 WORD = re.compile(r"\w+")
@@ -35,6 +35,11 @@ SLOTS = 7
 #: The feature that a short word has instead of a beginning or ending; it never gets a weight.
 NOTHING = 0
 _WIDTH = 128
+_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "_")
+#: The base of the hash of letters, odd, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_MASK = (1 << 64) - 1
 
 
 def folded(text: str) -> str:
@@ -43,17 +48,42 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def tokens_of(chunk: str) -> list[str]:
-    """Tokens of what stands between two white spaces."""
-    return WORD.findall(folded(chunk))
+def tokens_of(chunks: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Tokens of what stands between white spaces, behind one another, and the number of each chunk."""
+    heads = pc.ascii_rtrim(chunks, characters=_PUNCTUATION)
+    simple = pc.match_substring_regex(heads, "^[a-z0-9_]+$").to_pylist()
+    found = [[h] if plain else WORD.findall(folded(c)) for h, plain, c in zip(heads.to_pylist(), simple, chunks.to_pylist())]
+    return [w for ws in found for w in ws], np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
 
-def features(word: str) -> list[int]:
-    """64-bit hashes of the features of a lower-case word."""
-    keys = [f"={word}"]
-    keys += [f"^{word[:n]}" if len(word) > n else "" for n in (3, 4, 5, 6)]
-    keys += [f"${word[-n:]}" if len(word) > n else "" for n in (3, 4)]
-    return [xxhash.xxh3_64_intdigest(k) if k else NOTHING for k in keys]
+def features(words: list[str]) -> np.ndarray:
+    """(words, SLOTS) 64-bit hashes of the features of lower-case words; ``NOTHING`` where a word is too short for one.
+
+    Hashes of beginnings and endings are differences of running sums, so all
+    features of many words are found together.
+    """
+    out = np.zeros((len(words), SLOTS), dtype=np.uint64)
+    for at in range(0, len(words), 50_000):
+        part = words[at:at + 50_000]
+        letters = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        most = int(sizes.max(initial=0)) + 1
+        powers, backs = (np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(most, f, dtype=np.uint64)]), dtype=np.uint64) for f in (_BASE, _UNBASE))
+        worth = (letters + np.uint64(1)) * powers[np.arange(len(letters)) - np.repeat(starts, sizes)]
+        running = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(worth, dtype=np.uint64)])
+        sums = [running[ends] - running[starts]]
+        for n in (3, 4, 5, 6):
+            sums.append(running[np.minimum(starts + n, ends)] - running[starts])
+        for n in (3, 4):
+            cut = np.maximum(sizes - n, 0)
+            sums.append((running[ends] - running[starts + cut]) * backs[cut])
+        for k, (value, n) in enumerate(zip(sums, (0, 3, 4, 5, 6, 3, 4))):
+            x = (value + np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F & _MASK)) * np.uint64(0x9FB21C651E98DF25)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out[at:at + len(part), k] = np.where(sizes > n, np.maximum(x ^ (x >> np.uint64(31)), np.uint64(1)), np.uint64(NOTHING))
+    return out
 
 
 def prefix_vectors(a, b, c, d, start: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +121,22 @@ def prefix_vectors(a, b, c, d, start: tuple[float, float]) -> tuple[np.ndarray,
 
 @dataclass
 class Chain:
-    """Transition weights (from, to), the weight of a toxic first token, feature weights and the document model."""
+    """Transition weights (from, to), the weight of a toxic first token, features (ascending) with their weights, and the document model."""
 
     transitions: np.ndarray
     first: float
-    weights: dict[int, float]
+    hashes: np.ndarray
+    weights: np.ndarray
     document: np.ndarray
 
-    def emission(self, word: str) -> float:
-        """Log-odds that the word alone gives for toxic."""
-        return sum([self.weights.get(f, 0.0) for f in features(word)])
-
     def emissions(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Emissions of the tokens of all chunks behind one another, and the number of each chunk."""
-        return flat_lists([[self.emission(w) for w in tokens_of(c)] for c in chunks.to_pylist()], np.float64)
+        """Log-odds that each token of the chunks alone gives for toxic, and the number of tokens of each chunk."""
+        words, counts = tokens_of(chunks)
+        found = features(words)
+        if not len(self.hashes):
+            return np.zeros(len(words)), counts
+        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == found, self.weights[at], 0.0).sum(axis=1), counts
 
     def messages(self, emission: np.ndarray, starts: np.ndarray):
         """Forward and backward vectors of tokens; ``starts`` marks first tokens."""
@@ -231,7 +263,12 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
     """Trains chain and document model on labelled documents; ``prior`` is the share of toxic ones beyond the sample."""
     random = np.random.default_rng(settings.seed)
     number: dict[str, int] = {}  # of each token seen
-    lookup = WordValues(lambda chunks: flat_lists([[number.setdefault(w, len(number)) for w in tokens_of(c)] for c in chunks.to_pylist()], np.int32), np.int32)
+
+    def numbers(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words, sizes = tokens_of(chunks)
+        return np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=len(words)), sizes
+
+    lookup = WordValues(numbers, np.int32)
     tokens = []
     for begin, end in slices(texts):
         flat, counts = lookup.of(pa.array(texts[begin:end], pa.string()))
@@ -244,10 +281,12 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
               toxic[single].sum(), toxic.sum(), (~toxic[single]).sum(), (~toxic).sum())
     tokens, toxic = [tokens[i] for i in single], toxic[single]
     counts = np.array([len(t) for t in tokens], dtype=np.int64)
-    hashes, table = np.unique(np.fromiter((h for w in number for h in features(w)), dtype=np.uint64, count=SLOTS * len(number)), return_inverse=True)
+    lookup.clear()
+    hashes, table = np.unique(features(list(number)), return_inverse=True)
     table = table.astype(np.int32).reshape(-1, SLOTS)
+    number.clear()
     all_tokens = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int32)
-    chain = Chain(np.zeros((2, 2)), 0.0, {}, np.zeros(3))
+    chain = Chain(np.zeros((2, 2)), 0.0, hashes[:0], np.zeros(0), np.zeros(3))
     weights = np.zeros(len(hashes))
     both = 0 < toxic.sum() < len(toxic)
     if both and len(all_tokens):
@@ -267,7 +306,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
         if rows:
             places = np.concatenate(rows)
             weights = _train(chain, table[all_tokens[places]], labels[places], first_tokens(np.array(lengths)), hashes != NOTHING, settings)
-    chain.weights = {int(h): float(w) for h, w in zip(hashes, weights) if w}
+    chain.hashes, chain.weights = hashes[weights != 0], weights[weights != 0]
     emission = weights[table].sum(axis=1) if len(table) else np.zeros(0)
     parts = [(np.zeros(0), np.zeros(0))]
     for begin, end in slices(tokens, 200_000):
@@ -288,8 +327,9 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, settings: Training =
 
 def _train(chain: Chain, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, weighed: np.ndarray, settings: Training) -> np.ndarray:
     """Adam on the conditional likelihood, observed minus expected counts; returns the feature weights."""
-    used, compact = np.unique(ids, return_inverse=True)
-    compact = compact.astype(np.int32).reshape(ids.shape)
+    seen = np.bincount(ids.ravel(), minlength=len(weighed)) > 0
+    used = np.flatnonzero(seen)
+    compact = (np.cumsum(seen, dtype=np.int32) - 1)[ids]
     zero = np.flatnonzero(~weighed[used])
     y = labels.astype(float)
     inner = ~starts

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_marginals_equal_forward_backward():
     random = np.random.default_rng(0)
-    chain = toxicity.Chain(np.array([[0, -1.0], [0.5, 0.3]]), -0.7, {}, np.zeros(3))
+    chain = toxicity.Chain(np.array([[0, -1.0], [0.5, 0.3]]), -0.7, np.zeros(0, np.uint64), np.zeros(0), np.zeros(3))
     emission, starts = random.normal(size=5000), random.random(5000) < 0.01
     starts[0] = True
     got = chain.marginals(emission, starts)
@@ -33,6 +33,19 @@ def test_marginals_equal_forward_backward():
         assert np.allclose(got[a:b], both[:, 1] / both.sum(axis=1))
 
 
+def test_features_of_words():
+    """Equal words, beginnings and endings have equal features, different ones different."""
+    words = ["a", "abcde", "abcdefg", "xbcdefg", "défg", "abc", "é" * 60_000, "abcdefghij"]
+    found = toxicity.features(words)
+    keys: dict = {}
+    for word, row in zip(words, found.tolist()):
+        parts = [("=", word), *(("^", word[:n]) if len(word) > n else None for n in (3, 4, 5, 6)), *(("$", word[-n:]) if len(word) > n else None for n in (3, 4))]
+        for part, value in zip(parts, row):
+            assert (value == toxicity.NOTHING) == (part is None)
+            assert part is None or keys.setdefault(part, value) == value
+    assert len(set(keys.values())) == len(keys)
+
+
 def test_gradient_is_zero_at_the_optimum():
     """The chain learns a word that is toxic only where it was labelled."""
     texts = ["fine day here", "what a vile day", "vile vile words", "nothing here", "some other words here"] * 40
