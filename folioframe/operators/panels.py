@@ -9,12 +9,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from folioframe.operators import filters
-from folioframe.operators.graph import connected_components
+from folioframe.operators.graph import component_links, connected_components
 from folioframe.operators.ranking import ranked
 from folioframe.operators.spatial import CELL, box_join, with_cells
 from folioframe.session import cut_lineage
@@ -215,7 +215,7 @@ def group_small(panels: DataFrame, page_w, page_h, ratio: float) -> DataFrame:
     return panels.where(~small).unionByName(boxes.select(*_BOX))
 
 
-# Pages whose ordered pairs depend on one another are folded as one row each: boxes are lists [x, y, r, b] in order of their id.
+# Boxes whose ordered pairs depend on one another are folded as one row: lists [x, y, r, b] in order of their id.
 
 
 def _common(p, q):
@@ -284,8 +284,28 @@ def _trimmed_page(boxes):
     return boxes
 
 
-def _fold_pages(panels: DataFrame, fold) -> DataFrame:
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+def clusters(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with ``cluster``: boxes that can come to touch while each stays inside the box around its own cluster.
+
+    Touching boxes are one cluster, and so are clusters whose surrounding boxes
+    touch, until none do. Boxes of different clusters can never meet, so what
+    one does to another stays inside a cluster.
+    """
+    named = cut_lineage(boxes.select(*_BOX).withColumn("cluster", F.col("panel_id")))
+    around = named.select("page_id", "cluster", *EDGES)
+    for _ in range(MAX_ROUNDS):
+        pairs = relation(around, around, meets).where("l_cluster < r_cluster").select(
+            F.col("l_page_id").alias("page_id"), F.col("l_cluster").alias("u"), F.col("r_cluster").alias("v"))
+        links = component_links(pairs).select("page_id", F.col("u").alias("cluster"), F.col("v").alias("_root"))
+        if links.isEmpty():
+            return named
+        named = cut_lineage(named.join(links, ["page_id", "cluster"], "left").withColumn("cluster", F.coalesce("_root", "cluster")).drop("_root"))
+        around = named.groupBy("page_id", "cluster").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("r").alias("r"), F.max("b").alias("b"))
+    raise RuntimeError("clusters of boxes did not settle")
+
+
+def _fold_clusters(panels: DataFrame, fold) -> DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("panel_id", ignore_index=True)
         boxes = fold(pdf[list(EDGES)].values.tolist())
         keep = [b is not None for b in boxes]
@@ -294,8 +314,11 @@ def _fold_pages(panels: DataFrame, fold) -> DataFrame:
         out.insert(0, "page_id", pdf["page_id"][keep].to_numpy())
         return out
 
-    slim = panels.select(*[F.col(c).cast("bigint").alias(c) for c in _BOX])
-    return slim.groupBy("page_id").applyInPandas(page, ", ".join(f"{c} bigint" for c in _BOX))
+    grouped = clusters(panels.select(*[F.col(c).cast("bigint").alias(c) for c in _BOX]))
+    together = F.count(F.lit(1)).over(Window.partitionBy("page_id", "cluster")) > 1
+    marked = cut_lineage(grouped.withColumn("_several", together))
+    folded = marked.where("_several").select(*_BOX, "cluster").groupBy("page_id", "cluster").applyInPandas(one, ", ".join(f"{c} bigint" for c in _BOX))
+    return marked.where("NOT _several").select(*_BOX).unionByName(folded)
 
 
 def merge_contained(panels: DataFrame) -> DataFrame:
@@ -303,14 +326,14 @@ def merge_contained(panels: DataFrame) -> DataFrame:
 
     The outer panel takes the largest of its expansions toward the inner one that
     bumps into no other panel. A later pair sees what an earlier one did, so a
-    page is one row here.
+    cluster of panels that can touch is one row here.
     """
-    return _fold_pages(panels, _merged_page)
+    return _fold_clusters(panels, _merged_page)
 
 
 def deoverlap(panels: DataFrame) -> DataFrame:
-    """Trim the shared right or bottom edge of overlapping panels, pair by pair; a page is one row here."""
-    return _fold_pages(panels, _trimmed_page)
+    """Trim the shared right or bottom edge of overlapping panels, pair by pair; a cluster that can touch is one row here."""
+    return _fold_clusters(panels, _trimmed_page)
 
 
 def _band(a0, a1, b0, b1) -> bool:
@@ -385,28 +408,35 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
     done and drops out of the following rounds.
     """
     done = []
-    state = cut_lineage(ranked(panels.select(*_BOX), ["page_id"], ["panel_id"], "pos"))
+    # what stands next to a panel rules most pairs out; a merged panel has the blockers of both, less itself
+    near = neighbours(panels)
+    around = [F.col(n) for n in ("top", "left", "right", "bottom")]
+    blockers = F.transform(F.array_compact(F.array(*around)), lambda n: F.struct(n["panel_id"].alias("id"), *(n[e].alias(e) for e in EDGES)))
+    state = cut_lineage(ranked(near.select(*_BOX, blockers.alias("blockers")), ["page_id"], ["panel_id"], "pos"))
+    places = state.select(F.col("page_id").alias("_page"), F.col("panel_id").alias("_id"), F.col("pos").alias("_pos"))
+    known = state.select("page_id", "pos", F.explode_outer("blockers").alias("k")).join(
+        places, (F.col("k.id") == F.col("_id")) & (F.col("page_id") == F.col("_page")), "left").select(
+        "page_id", "pos", F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("pos"), *(F.col(f"k.{e}").alias(e) for e in EDGES))).alias("k"))
+    state = cut_lineage(state.drop("blockers").join(known.groupBy("page_id", "pos").agg(F.collect_list("k").alias("blockers")), ["page_id", "pos"]).select(*_BOX, "pos", "blockers"))
     for _ in range(MAX_ROUNDS):
-        near = neighbours(state).select("page_id", "panel_id", "top", "left", "right", "bottom")
-        near = cut_lineage(state.join(near, ["page_id", "panel_id"]))
-        l, r = (near.select(*[F.col(c).alias(f"{s}_{c}") for c in near.columns]) for s in "lr")  # noqa: E741
+        l, r = (state.select(*[F.col(c).alias(f"{s}_{c}") for c in state.columns]) for s in "lr")  # noqa: E741
         p, q = _Side(lambda c: F.col(f"l_{c}")), _Side(lambda c: F.col(f"r_{c}"))
         u = union_box(p, q)
-        on = (F.col("l_page_id") == F.col("r_page_id")) & (F.col("l_pos") < F.col("r_pos"))
-        # a neighbour of either panel inside the common box rules the pair out early
-        for s, other in (("l", "r"), ("r", "l")):
-            for n in ("top", "left", "right", "bottom"):
-                third = _Side(lambda c, s=s, n=n: F.col(f"{s}_{n}.{c}"))
-                third_id = F.col(f"{s}_{n}.panel_id")
-                same = roughly_equal(third, p) | roughly_equal(third, q) | roughly_equal(third, u)
-                blocked = (third_id != F.col(f"{other}_panel_id")) & overlaps(u, third) & ~same
-                on = on & ~F.coalesce(blocked, F.lit(False))
-        pairs = l.join(r, on).select(
+        pairs = l.join(r, (F.col("l_page_id") == F.col("r_page_id")) & (F.col("l_pos") < F.col("r_pos"))).select(
             F.col("l_page_id").alias("page_id"), F.col("l_pos").alias("i"), F.col("r_pos").alias("j"),
             u.x.alias("x"), u.y.alias("y"), u.r.alias("r"), u.b.alias("b"),
-            F.struct(*[F.col(f"l_{e}").alias(e) for e in EDGES]).alias("p"), F.struct(*[F.col(f"r_{e}").alias(e) for e in EDGES]).alias("q"))
-        pairs = cut_lineage(pairs)
-        hits = relation(pairs, state, overlaps)
+            F.struct(*[F.col(f"l_{e}").alias(e) for e in EDGES]).alias("p"), F.struct(*[F.col(f"r_{e}").alias(e) for e in EDGES]).alias("q"),
+            F.concat("l_blockers", "r_blockers").alias("blockers"))
+        # a blocker of either panel inside the common box rules the pair out early
+        me, mine, yours = (_Side(lambda c, s=s: F.col(f"{s}{c}")) for s in ("", "p.", "q."))
+
+        def blocks(k, me=me, mine=mine, yours=yours) -> Column:
+            o = _Side(lambda c: k[c])
+            same = roughly_equal(o, mine) | roughly_equal(o, yours) | roughly_equal(o, me)
+            return (k["pos"] != F.col("i")) & (k["pos"] != F.col("j")) & overlaps(me, o) & ~same
+
+        pairs = cut_lineage(pairs.where(~F.exists("blockers", blocks)).drop("blockers"))
+        hits = relation(pairs, state.select(*_BOX, "pos"), overlaps)
         me, o = _Side(lambda c: F.col(f"l_{c}")), _Side(lambda c: F.col(f"r_{c}"))
         # what looks like one of the two is no third panel
         mine, yours = _Side(lambda c: F.col(f"l_p.{c}")), _Side(lambda c: F.col(f"l_q.{c}"))
@@ -423,11 +453,14 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
         ends = pick.select("page_id", F.explode(F.array("i", "j")).alias("pos"))
         ids = state.join(ends, ["page_id", "pos"], "left_semi").groupBy("page_id").agg(F.min("panel_id").alias("panel_id"))
         top = state.groupBy("page_id").agg((F.max("pos") + 1).alias("pos"))
-        merged = pick.join(ids, "page_id").join(top, "page_id").select(*_BOX, "pos")
-        state = cut_lineage(state.join(ends, ["page_id", "pos"], "left_anti").unionByName(merged))
+        both = state.join(ends, ["page_id", "pos"], "left_semi").groupBy("page_id").agg(F.flatten(F.collect_list("blockers")).alias("blockers"))
+        merged = pick.join(ids, "page_id").join(top, "page_id").join(both, "page_id").select(*_BOX, "pos", "blockers")
+        rest = state.join(ends, ["page_id", "pos"], "left_anti").unionByName(merged).join(pick.select("page_id", "i", "j"), "page_id")
+        still = F.filter("blockers", lambda k: (k["pos"] != F.col("i")) & (k["pos"] != F.col("j")))
+        state = cut_lineage(rest.select(*_BOX, "pos", still.alias("blockers")))
     else:
         raise RuntimeError("panel grouping did not end")
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done).select(*_BOX, "pos")
 
 
 def largest_first(panels: DataFrame) -> DataFrame:

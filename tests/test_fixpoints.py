@@ -126,6 +126,16 @@ def _near_sides(boxes):
     return out
 
 
+def test_folds_of_a_page_of_many_panels(spark):
+    """20,000 panels in pairs, one inside the other; the pairs are far from each other."""
+    rows = spark.range(10_000).selectExpr("id * 2 AS k", "id % 100 * 200 AS x", "id div 100 * 200 AS y")
+    boxes = rows.selectExpr("1L AS page_id", "explode(array(named_struct('panel_id', k, 'x', x, 'y', y, 'r', x + 100, 'b', y + 100), named_struct('panel_id', k + 1, 'x', x + 10, 'y', y + 10, 'r', x + 120, 'b', y + 90))) AS p")
+    boxes = boxes.selectExpr("page_id", "p.*")
+    got = P.merge_contained(boxes)
+    assert got.count() == 10_000 and got.where("panel_id % 2 = 1 OR r - x <> 120 OR b - y <> 100").count() == 0
+    assert P.deoverlap(boxes).count() == 20_000
+
+
 def _panel_frame(spark, rows):
     return spark.createDataFrame(rows, "page_id long, panel_id long, x long, y long, r long, b long")
 
