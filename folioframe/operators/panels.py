@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -304,21 +304,22 @@ def clusters(boxes: DataFrame) -> DataFrame:
     raise RuntimeError("clusters of boxes did not settle")
 
 
+_CLUSTER = ArrayType(StructType([StructField(n, LongType()) for n in ("panel_id", *EDGES)]))
+
+
 def _fold_clusters(panels: DataFrame, fold) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("panel_id", ignore_index=True)
-        boxes = fold(pdf[list(EDGES)].values.tolist())
-        keep = [b is not None for b in boxes]
-        out = pd.DataFrame([b for b in boxes if b is not None], columns=list(EDGES), dtype="int64")
-        out.insert(0, "panel_id", pdf["panel_id"][keep].to_numpy())
-        out.insert(0, "page_id", pdf["page_id"][keep].to_numpy())
-        return out
+    @F.pandas_udf(_CLUSTER)
+    def folded(rows: pd.Series) -> pd.Series:
+        out = []
+        for cluster in rows:
+            boxes = fold([[int(b[e]) for e in EDGES] for b in cluster])
+            out.append([{"panel_id": int(b["panel_id"]), **dict(zip(EDGES, box))} for b, box in zip(cluster, boxes) if box is not None])
+        return pd.Series(out)
 
     grouped = clusters(panels.select(*[F.col(c).cast("bigint").alias(c) for c in _BOX]))
-    together = F.count(F.lit(1)).over(Window.partitionBy("page_id", "cluster")) > 1
-    marked = cut_lineage(grouped.withColumn("_several", together))
-    folded = marked.where("_several").select(*_BOX, "cluster").groupBy("page_id", "cluster").applyInPandas(one, ", ".join(f"{c} bigint" for c in _BOX))
-    return marked.where("NOT _several").select(*_BOX).unionByName(folded)
+    packed = cut_lineage(grouped.groupBy("page_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("panel_id", *EDGES))).alias("boxes")))
+    alone = packed.where(F.size("boxes") == 1).select("page_id", F.inline("boxes"))
+    return alone.unionByName(packed.where(F.size("boxes") > 1).select("page_id", F.inline(folded("boxes"))))
 
 
 def merge_contained(panels: DataFrame) -> DataFrame:
@@ -418,6 +419,13 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
         places, (F.col("k.id") == F.col("_id")) & (F.col("page_id") == F.col("_page")), "left").select(
         "page_id", "pos", F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("pos"), *(F.col(f"k.{e}").alias(e) for e in EDGES))).alias("k"))
     state = cut_lineage(state.drop("blockers").join(known.groupBy("page_id", "pos").agg(F.collect_list("k").alias("blockers")), ["page_id", "pos"]).select(*_BOX, "pos", "blockers"))
+    me, mine, yours = (_Side(lambda c, s=s: F.col(f"{s}{c}")) for s in ("", "p.", "q."))
+
+    def blocks(k) -> Column:
+        o = _Side(lambda c: k[c])
+        same = roughly_equal(o, mine) | roughly_equal(o, yours) | roughly_equal(o, me)
+        return (k["pos"] != F.col("i")) & (k["pos"] != F.col("j")) & overlaps(me, o) & ~same
+
     for _ in range(MAX_ROUNDS):
         l, r = (state.select(*[F.col(c).alias(f"{s}_{c}") for c in state.columns]) for s in "lr")  # noqa: E741
         p, q = _Side(lambda c: F.col(f"l_{c}")), _Side(lambda c: F.col(f"r_{c}"))
@@ -428,19 +436,12 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
             F.struct(*[F.col(f"l_{e}").alias(e) for e in EDGES]).alias("p"), F.struct(*[F.col(f"r_{e}").alias(e) for e in EDGES]).alias("q"),
             F.concat("l_blockers", "r_blockers").alias("blockers"))
         # a blocker of either panel inside the common box rules the pair out early
-        me, mine, yours = (_Side(lambda c, s=s: F.col(f"{s}{c}")) for s in ("", "p.", "q."))
-
-        def blocks(k, me=me, mine=mine, yours=yours) -> Column:
-            o = _Side(lambda c: k[c])
-            same = roughly_equal(o, mine) | roughly_equal(o, yours) | roughly_equal(o, me)
-            return (k["pos"] != F.col("i")) & (k["pos"] != F.col("j")) & overlaps(me, o) & ~same
-
         pairs = cut_lineage(pairs.where(~F.exists("blockers", blocks)).drop("blockers"))
         hits = relation(pairs, state.select(*_BOX, "pos"), overlaps)
-        me, o = _Side(lambda c: F.col(f"l_{c}")), _Side(lambda c: F.col(f"r_{c}"))
+        both, o = _Side(lambda c: F.col(f"l_{c}")), _Side(lambda c: F.col(f"r_{c}"))
         # what looks like one of the two is no third panel
-        mine, yours = _Side(lambda c: F.col(f"l_p.{c}")), _Side(lambda c: F.col(f"l_q.{c}"))
-        hits = hits.where(~roughly_equal(o, mine) & ~roughly_equal(o, yours) & ~roughly_equal(o, me)).select(F.col("l_page_id").alias("page_id"), F.col("l_i").alias("i"), F.col("l_j").alias("j"))
+        one, other = _Side(lambda c: F.col(f"l_p.{c}")), _Side(lambda c: F.col(f"l_q.{c}"))
+        hits = hits.where(~roughly_equal(o, one) & ~roughly_equal(o, other) & ~roughly_equal(o, both)).select(F.col("l_page_id").alias("page_id"), F.col("l_i").alias("i"), F.col("l_j").alias("j"))
         held = long_segments(pairs, segments).select("page_id", "i", "j")
         free = pairs.join(hits.unionByName(held).distinct(), ["page_id", "i", "j"], "left_anti")
         pick = cut_lineage(free.groupBy("page_id").agg(F.min(F.struct("i", "j", *EDGES)).alias("m")).select("page_id", "m.*"))
@@ -453,8 +454,8 @@ def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
         ends = pick.select("page_id", F.explode(F.array("i", "j")).alias("pos"))
         ids = state.join(ends, ["page_id", "pos"], "left_semi").groupBy("page_id").agg(F.min("panel_id").alias("panel_id"))
         top = state.groupBy("page_id").agg((F.max("pos") + 1).alias("pos"))
-        both = state.join(ends, ["page_id", "pos"], "left_semi").groupBy("page_id").agg(F.flatten(F.collect_list("blockers")).alias("blockers"))
-        merged = pick.join(ids, "page_id").join(top, "page_id").join(both, "page_id").select(*_BOX, "pos", "blockers")
+        inherited = state.join(ends, ["page_id", "pos"], "left_semi").groupBy("page_id").agg(F.flatten(F.collect_list("blockers")).alias("blockers"))
+        merged = pick.join(ids, "page_id").join(top, "page_id").join(inherited, "page_id").select(*_BOX, "pos", "blockers")
         rest = state.join(ends, ["page_id", "pos"], "left_anti").unionByName(merged).join(pick.select("page_id", "i", "j"), "page_id")
         still = F.filter("blockers", lambda k: (k["pos"] != F.col("i")) & (k["pos"] != F.col("j")))
         state = cut_lineage(rest.select(*_BOX, "pos", still.alias("blockers")))
