@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import byte_slices, hint_small, text_bytes, written
+from folioframe.llm.base import byte_slices, text_bytes, written
 
 SLICE_BYTES = 8_000_000
 _MASK = (1 << 64) - 1
@@ -195,7 +195,7 @@ def near_words(words: DataFrame, symbols: int) -> DataFrame:
         return words.select("word", "n").mapInArrow(run, "key long, word string, n long")
 
     known = written(keys(True), "reduced")
-    there = hint_small(known).alias("b")
+    there = known.hint("merge").alias("b")  # the vocabulary grows with the corpus: it is never broadcast
     one = F.expr("levenshtein(a.word, b.word, 1) = 1")
     asks = keys(False).alias("a").join(there, (F.col("a.key") == F.col("b.key")) & one)
     same = known.alias("a").join(there, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") < F.col("b.word")) & one)
@@ -208,7 +208,7 @@ def last_forms(links: DataFrame) -> DataFrame:
     links = written(links.select("word", F.col("form").alias("root")), "forms")
     while True:
         step = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = written(links.join(hint_small(step), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
+        moved = written(links.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
         links = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return links
