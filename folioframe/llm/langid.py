@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioframe.llm.base import arrow_map, few_by_hash, hash_order, slices
+from folioframe.llm.base import arrow_map, few_by_hash, hash_order, hint_small, slices, written
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -185,7 +185,8 @@ def train(docs: DataFrame, learnable: Column, settings: Training = Training(), i
     usable = docs.where(learnable & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= settings.most_bytes) & (F.length(text_col) > 0))
     ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id IS NOT NULL")
     totals = ids.groupBy("lang").agg(F.count("*").alias("total"))
-    few = ids.join(totals, "lang").where(few_by_hash("id", settings.per_language, F.col("total"))).select("id", "lang").distinct()
+    # a row per language: the hash filter runs where the ids are read
+    few = ids.join(hint_small(written(totals, "languages")), "lang").where(few_by_hash("id", settings.per_language, F.col("total"))).select("id", "lang").distinct()
     by_hash = Window.partitionBy("lang").orderBy(*hash_order("id"))
     chosen = few.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= settings.per_language).drop("place")
     sample = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import arrow_map, slices
+from folioframe.llm.base import arrow_map, hint_small, slices
 
 # Words taken as equal to the word behind them.
 SPELLINGS = {
@@ -31,13 +31,13 @@ SPELLINGS = {
     "noncommercial": "non commercial", "sublicence": "sublicense", "owner": "holder", "owners": "holders",
 }
 #: Words that go on a sentence behind "copyright" or an item "(c)" of a licence body; what else follows is a holder or a year.
-_BODY_WORDS = (
+BODY_WORDS = (
     "notices? holders? owners? ownership licen[cs]es? laws? statements? interests? rights? permissions? protections? treaty treaties disclaimers? "
     "infringement materials? works? claims? status terms conditions information patents? trademarks? and or in on of to for from as is are was "
     "be been that this these those which with within you your any all each such if under must may no not it its do does have has accompany "
     r"also doctrines the\ssoftware year\sname"
-).replace(" ", "|").encode()
-_HOLDER = rb"(?![^a-z0-9\n\x80-\xff]*(?:(?:" + _BODY_WORDS + rb")\b|$))"
+)
+_HOLDER = rb"(?![^a-z0-9\n\x80-\xff]*(?:(?:" + BODY_WORDS.replace(" ", "|").encode() + rb")\b|$))"
 COPYRIGHT_LINE = re.compile(rb"(?m)^[^a-z0-9\n]*(?:copyright\b" + _HOLDER + rb"|\(c\)" + _HOLDER + rb"|\xc2\xa9|all rights reserved)[^\n]*$")
 #: Bytes other than ASCII letters, digits and line ends become spaces.
 _PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
@@ -192,9 +192,13 @@ def catalogue_entries() -> list[tuple[str, str]]:
 
 
 def catalogue(spark: SparkSession, entries: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``license, digest, length`` of known canonical texts; a few hundred rows unless the caller brings more."""
+    """``license, digest, length`` of known canonical texts; a few hundred rows unless the caller brings more.
+
+    A text under several names has the smallest of them.
+    """
     rows = [(name, digest(text), len(text)) for name, text in (entries or catalogue_entries())]
-    return spark.createDataFrame(rows, "license string, digest string, length int").dropDuplicates(["digest"])
+    return spark.createDataFrame(rows, "license string, digest string, length int").groupBy("digest").agg(
+        F.min("license").alias("license"), F.min("length").alias("length")).select("license", "digest", "length")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,6 +243,6 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     lines = units.select("row", "doc_id", "text_digest", F.explode_outer("lines").alias("line"))
     notice = known.select(F.col("digest").alias("line"), F.col("license").alias("notice"))
     whole = known.select(F.col("digest").alias("text_digest"), "license")
-    found = lines.join(F.broadcast(notice), "line", "left").groupBy("row", "doc_id", "text_digest").agg(
+    found = lines.join(hint_small(notice), "line", "left").groupBy("row", "doc_id", "text_digest").agg(
         F.count("notice").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
-    return found.join(F.broadcast(whole), "text_digest", "left").select("doc_id", "text_digest", "license", "n_notices", "notices")
+    return found.join(hint_small(whole), "text_digest", "left").select("doc_id", "text_digest", "license", "n_notices", "notices")

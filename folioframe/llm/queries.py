@@ -11,6 +11,8 @@ from folioframe.llm.vocabularies import tokenizer_path
 
 #: The pass phrase of the pseudonyms in the query and the pipeline; a user brings their own.
 PHRASE = "pseudonyms of the corpus queries"
+#: A-Z in lower case, in SQL.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 @query("op1_toxicity")
@@ -23,14 +25,19 @@ def op1_toxicity(spark, sf):
 
 
 def _license_sql() -> str:
-    """The canonical form in SQL: spellings are replaced word by word."""
+    """The canonical form in SQL: notices of copyright go line by line, spellings are replaced word by word."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     names, words = (f"[{', '.join(map(quoted, part))}]" for part in (licenses.SPELLINGS.keys(), licenses.SPELLINGS.values()))
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.catalogue_entries())
-    plain = "regexp_replace(regexp_replace(lower(t), '(?m)^[^a-z0-9\\n]*(copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g'), '[^a-z0-9]+', ' ', 'g')"
+    body = licenses.BODY_WORDS.replace(" ", "|")
+    # not a notice: a word that goes on the sentence, or nothing, behind "copyright" or an item (c)
+    notice = (f"(regexp_matches(x, '^[^a-z0-9]*(©|all rights reserved)') OR (regexp_matches(x, '^[^a-z0-9]*(copyright\\b|\\(c\\))') AND NOT "
+              f"regexp_matches(x, '^[^a-z0-9]*(copyright\\b|\\(c\\))[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f]*(({body})\\b|$)')))")
+    lines = f"array_to_string(list_filter(string_split({_LOWER.format('t')}, chr(10)), lambda x: NOT {notice}), chr(10))"
+    plain = f"regexp_replace({lines}, '[^a-z0-9]+', ' ', 'g')"
     spelt = f"""array_to_string(list_transform(list_filter(string_split({plain}, ' '), lambda w: w <> ''),
  lambda w: coalesce(list_extract({words}, list_position({names}, w)), w)), ' ')"""
-    return f"""WITH known(license, c) AS (VALUES {known}), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    return f"""WITH known(license, c) AS (SELECT min(license), c FROM (VALUES {known}) e(license, c) GROUP BY c), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, sha256({spelt}) AS text_digest, {spelt} AS c FROM d),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS t FROM d), lc AS (SELECT r, {spelt} AS c FROM l),
 n AS (SELECT r, count(*) AS n_notices, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices FROM lc JOIN known USING (c) GROUP BY r)
@@ -84,7 +91,7 @@ def op8_pii(spark, sf):
     done = pii.pseudonymised(read(spark, sf, "documents").select("doc_id", "text"), PHRASE)
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
     spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return done.select("doc_id", *(count(kind).alias(f"n_{kind}") for kind in pii.NAMES), spans.alias("spans"),
+    return done.select("doc_id", F.size("pii_spans").cast("long").alias("n_pii"), *(count(kind).alias(f"n_{kind}") for kind in pii.NAMES), spans.alias("spans"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -100,9 +107,6 @@ def op10_best_fit_packing(spark, sf):
     return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 @query("op11_spelling_variants", sql=f"""WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
 x AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),

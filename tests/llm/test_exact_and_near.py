@@ -173,3 +173,12 @@ def test_rows_of_files_keep_their_names(spark, tmp_path):
     assert in_files(grouped) is not grouped
     joined = docs.join(docs.select("text").distinct(), "text")
     assert in_files(joined) is not joined and in_files(joined).count() == 90
+
+
+def test_no_link_of_the_documents_is_missed(spark):
+    """Recall over all documents of the small tables: components and set sizes equal those of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    like = neardup.Similarity(words=3, num=85, den=100)
+    got = neardup.near_groups(docs, like).collect()
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((repr(r.id), r.n_shingles, repr(r.component_id)) for r in got) == brute(rows, like)

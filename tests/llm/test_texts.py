@@ -79,6 +79,21 @@ def test_full_texts_with_titles(spark):
     assert [(i, got[i]) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(rows)]
 
 
+def test_twin_of_the_scan_keeps_lines_of_the_body(spark, tmp_path):
+    """The SQL twin on notices, and on body lines that begin like one."""
+    from compare import compare, duck
+    from folioframe.llm.queries import ORACLES, op2_license_scan
+
+    isc = licenses.TEXTS["ISC"]
+    rows = [isc, "Copyright (c) 2020 A\n" + wrapped(isc, 61), "© K A. Person\n" + licenses.TEXTS["MIT"], "copyright notice and this\nwords", "(c) You must retain\nx", "(c) 2020\nx", "Copyright 株式会社\nx",
+            "copyright\nx", "  * All Rights Reserved. \nx", "Copyright, patent\n", "é copyright the software\nMIT", None, "", "Licensed under the MIT License"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    [part] = (tmp_path / "t").glob("*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    ok, _, note = compare(spark, duck(str(tmp_path)), str(tmp_path), op2_license_scan, ORACLES["op2_license_scan"])
+    assert ok, note
+
+
 def test_every_known_text_is_of_one_license():
     entries = licenses.catalogue_entries()
     assert len({text for _, text in entries}) == len(entries) and all(text for _, text in entries)
