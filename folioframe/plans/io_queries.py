@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import geometry as G
 from folioframe.operators import blocks as B
 from folioframe.operators import jobs as J
+from folioframe.operators import mask as M
 from folioframe.operators import order, regions
 from folioframe.operators import raster as R
 from folioframe.plans.raster_queries import RAS, RGB
@@ -235,6 +236,52 @@ def ud1_detector(spark, sf):
     return q.select("page_id", "quad_id", F.col("pts")[0]["x"].alias("x"), F.col("pts")[0]["y"].alias("y"), "score")
 
 
+def _mask_detector():
+    """A quad and the runs of a small mask per page, both from the length of its text."""
+    def model(frame):
+        import pandas as pd
+
+        n = frame["html"].str.len()
+        pts = [[{"x": int(v % 90), "y": int(v % 70)}] * 4 for v in n]
+        quads = pd.DataFrame({"page_id": frame["page_id"], "quad_id": frame["page_id"] * 10, "pts": pts, "score": (n % 10) / 10.0})
+        rows = [(p, y, int(v % 90), int(v % 90) + y) for p, v in zip(frame["page_id"], n) for y in range(int(v % 4))]
+        return quads, pd.DataFrame(rows, columns=["page_id", "y", "x0", "x1"])
+
+    return model
+
+
+@query("ud1_detector_with_mask", sql="""SELECT page_id, 'quad' AS kind, length(html) % 70 AS y, length(html) % 90 AS x0, NULL::BIGINT AS x1 FROM pages
+UNION ALL SELECT page_id, 'run', y, length(html) % 90, length(html) % 90 + y FROM pages, range(3) k(y) WHERE y < length(html) % 4""")
+def ud1_detector_with_mask(spark, sf):
+    quads, runs = U.detect_with_mask(table(spark, sf, "pages").select("page_id", "html"), _mask_detector)
+    first = F.col("pts")[0]
+    return quads.select("page_id", F.lit("quad").alias("kind"), first["y"].alias("y"), first["x"].alias("x0"), F.lit(None).cast("bigint").alias("x1")).unionByName(
+        runs.select("page_id", F.lit("run").alias("kind"), "y", "x0", "x1"))
+
+
+def _crop_ocr():
+    """Reads a crop as the number and the sum of its pixels."""
+    def model(frame):
+        out = frame[["page_id", "quad_id"]].copy()
+        crops = [[] if c is None else list(c) for c in frame["crop"]]
+        out["text"] = [f"{len(c)}/{sum(int(p['v']) for p in c)}" for c in crops]
+        out["fg"], out["bg"], out["prob"] = None, None, 0.5
+        return out
+
+    return model
+
+
+@query("ud2_ocr_with_crops", sql=RAS + """, b AS (SELECT doc_id AS quad_id, doc_id // 20 AS page_id, (doc_id * 7) % 24 AS x0, (doc_id * 5) % 26 AS y0, 8 + n_chars % 9 AS w, 4 + doc_id % 5 AS h FROM documents)
+SELECT b.page_id, b.quad_id, count(r.v) || '/' || coalesce(sum(r.v), 0) AS text FROM b LEFT JOIN raster r ON r.page_id = b.page_id AND r.x >= x0 AND r.x < x0 + w AND r.y >= y0 AND r.y < y0 + h GROUP BY b.page_id, b.quad_id""")
+def ud2_ocr_with_crops(spark, sf):
+    k = F.col("doc_id")
+    quads = table(spark, sf, "documents").select(F.floor(k / 20).alias("page_id"), k.alias("quad_id"), G.box_quad(k * 7 % 24, k * 5 % 26, F.col("n_chars") % 9 + 8, k % 5 + 4).alias("pts"))
+    geo = cut_lineage(G.with_geometry(G.with_corner_order(quads)))
+    batches = order.width_batches(geo, F.col("vertical"), text_height=48, size=16)
+    boxed = batches.drop("bx", "by", "bw", "bh").join(geo.select("page_id", "quad_id", "bx", "by", "bw", "bh"), ["page_id", "quad_id"])
+    return U.recognise(boxed, _crop_ocr, pixels=view(spark, sf, "raster")).select("page_id", "quad_id", "text")
+
+
 def _stub_ocr():
     def model(frame):
         out = frame[["page_id", "quad_id"]].copy()
@@ -271,6 +318,25 @@ def ud4_inpainter(spark, sf):
     return U.inpaint(px, _stub_inpainter, "page_id bigint, y bigint, x bigint, v bigint")
 
 
+def _masked_inpainter():
+    """Fills masked pixels with the mean of the others of the unit."""
+    def model(frame):
+        frame = frame.copy()
+        rest = frame.loc[~frame["masked"], "v"]
+        frame.loc[frame["masked"], "v"] = int(rest.sum()) // max(1, len(rest))
+        return frame[["page_id", "y", "x", "v"]]
+
+    return model
+
+
+@query("ud4_inpainter_with_mask", sql=RAS + """, m AS (SELECT page_id, CAST(coalesce(sum(v) FILTER (v <= 140), 0) AS BIGINT) // greatest(1, count(*) FILTER (v <= 140)) AS mean FROM raster GROUP BY page_id)
+SELECT page_id, y, x, CASE WHEN v > 140 THEN mean ELSE v END AS v FROM raster JOIN m USING (page_id)""")
+def ud4_inpainter_with_mask(spark, sf):
+    px = view(spark, sf, "raster")
+    mask = M.to_runs(px.where("v > 140").select("page_id", "y", "x"))
+    return U.inpaint(px.select("page_id", "y", "x", "v"), _masked_inpainter, "page_id bigint, y bigint, x bigint, v bigint", mask=mask)
+
+
 def _stub_upscaler():
     import numpy as np
 

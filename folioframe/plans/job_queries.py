@@ -158,14 +158,37 @@ def c5_fill_mask(spark, sf):
     return _row_sums(lines.text_mask(_grid_lines(spark, sf), M.to_runs(px.limit(0)), R.page_sizes(px), method="fill"))
 
 
-# no twin: blobs tested for their surroundings
-@query("c5_text_mask_in_bubbles")
+# the lines reach to the next one of their block, or twice as far: horizontal ones upward, upright ones to the right
+@query("c5_fill_mask_expanded", sql=RAS + SIZE.format(t="raster") + """, b AS (SELECT doc_id AS quad_id, doc_id // 20 AS page_id, (doc_id * 7) % 24 AS x, (doc_id * 5) % 26 AS y, 8 + n_chars % 9 AS w, 4 + doc_id % 5 AS h FROM documents),
+n AS (SELECT *, h >= w AS vertical, lead(x) OVER k AS nx, lead(y) OVER k AS ny, lead(h) OVER k AS nh FROM b WINDOW k AS (PARTITION BY quad_id // 5 ORDER BY quad_id DESC)),
+e AS (SELECT page_id, x, y, x + w AS r, y + h AS b, vertical, CASE WHEN nx IS NULL THEN x + 2 * w ELSE nx END AS rx, CASE WHEN ny IS NULL THEN y - h ELSE ny + nh END AS ty FROM n),
+f AS (SELECT page_id, CASE WHEN vertical THEN least(x, rx) ELSE x END AS x0, CASE WHEN vertical THEN greatest(x, rx) ELSE r END AS x1,
+ CASE WHEN vertical THEN y ELSE least(b, ty) END AS y0, CASE WHEN vertical THEN b ELSE greatest(b, ty) END AS y1 FROM e),
+px AS (SELECT DISTINCT f.page_id, a.y, c.x FROM f JOIN sz USING (page_id), range(64) a(y), range(64) c(x) WHERE y >= y0 AND y < least(y1, height) AND x >= x0 AND x < least(x1, width))
+SELECT page_id, y, count(*) AS n, sum(x) AS sx FROM px GROUP BY page_id, y""")
+def c5_fill_mask_expanded(spark, sf):
+    px = view(spark, sf, "raster")
+    blocked = _grid_lines(spark, sf).withColumns({"block_id": F.floor(F.col("quad_id") / 5), "line_no": F.col("quad_id")})
+    return _row_sums(lines.text_mask(blocked, M.to_runs(px.limit(0)), R.page_sizes(px), method="fill", expand=True))
+
+
+# dark lettering on white pages: a blob stays if its frame is nearly all dark or all white; these pages are too small to grow blobs
+_BUBBLE = _FIT.replace("r.v > 152", "r.v > 125") + """,
+ nb AS (SELECT a.page_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM px a JOIN px b ON a.page_id = b.page_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+ rb AS (SELECT page_id, y AS ay, x AS ax, y, x FROM px UNION SELECT rb.page_id, ay, ax, nb.y2, nb.x2 FROM rb JOIN nb ON nb.page_id = rb.page_id AND nb.y = rb.y AND nb.x = rb.x),
+ cb AS (SELECT page_id, ay AS y, ax AS x, min(y * 4294967296 + x) AS c FROM rb GROUP BY page_id, ay, ax),
+ bb AS (SELECT page_id, c, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cb GROUP BY page_id, c),
+ fr AS (SELECT bb.page_id, c, round(count(*) FILTER (r.v > 125) / count(*)::DOUBLE, 6) * 100 AS black FROM bb JOIN raster r ON r.page_id = bb.page_id AND r.x BETWEEN x0 AND x1 AND r.y BETWEEN y0 AND y1
+  WHERE r.x < x0 + 2 OR r.y < y0 + 2 OR r.x > x1 - 2 OR r.y > y1 - 2 GROUP BY bb.page_id, c)"""
+
+
+@query("c5_text_mask_in_bubbles", sql=_BUBBLE + """
+SELECT cb.page_id, cb.y, count(*) AS n, sum(cb.x) AS sx FROM cb JOIN fr USING (page_id, c) WHERE black NOT BETWEEN 47 AND 53 GROUP BY cb.page_id, cb.y""")
 def c5_text_mask_in_bubbles(spark, sf):
-    rgb = view(spark, sf, "rgb")
-    pages = cut_lineage(R.page_sizes(rgb))
-    mask = M.to_runs(rgb.where("v > 152").select("page_id", "y", "x"))
-    gray = rgb.select("page_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"])
-    return _row_sums(lines.text_mask(_grid_lines(spark, sf), mask, pages, gray, bubble=45))
+    px = cut_lineage(view(spark, sf, "raster"))
+    mask = M.to_runs(px.where("v > 125").select("page_id", "y", "x"))
+    page = px.select("page_id", "y", "x", *[F.when(F.col("v") > 125, 0).otherwise(255).alias(c) for c in "rgb"])
+    return _row_sums(lines.text_mask(_grid_lines(spark, sf), mask, R.page_sizes(px), page, bubble=47))
 
 
 @query("c6_mask_refine")
