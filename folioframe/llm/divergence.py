@@ -32,7 +32,7 @@ UNIT = 1_000_000_000
 SLICE_BYTES = 16_000_000
 PAIRS = 1_000_000
 #: Parts a group's terms are dealt to before its best are taken.
-SALTS = 64
+SALTS = 16
 #: What a byte of text is to terms: letters in lower case, bytes of other characters as they are, a space for the rest.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
