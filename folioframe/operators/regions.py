@@ -123,12 +123,13 @@ def _split_small(lines: DataFrame) -> DataFrame:
 
 
 def _keep_rule(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """Per component: its longest edge and whether it stays one region."""
+    """Per component: its longest edge and whether it stays one region; two lines have a rule of their own."""
     key = ["page_id", "component"]
     edges = tree.groupBy(*key).agg(
         F.avg("w").alias("mean"), F.stddev_pop("w").alias("spread"),
         F.max(F.struct("w", (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv"))).alias("top"))
-    fonts = nodes.groupBy(*key).agg(F.avg("font_size").alias("font"))
+    fonts = nodes.groupBy(*key).agg(F.avg("font_size").alias("font"), F.max("font_size").alias("largest"), F.count(F.lit(1)).alias("lines"),
+                                    (F.max("angle") - F.min("angle")).alias("turn"))
     end = lambda n: nodes.select(
         "page_id", F.col("quad_id").alias(n), F.col("pts").alias(f"{n}_pts"),
         F.col("cx").alias(f"{n}_cx"), F.col("cy").alias(f"{n}_cy"))
@@ -141,7 +142,8 @@ def _keep_rule(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     near = (F.col("w") <= F.col("mean") + F.col("spread") * SIGMA) | (F.col("w") <= F.col("font") * (1 + GAMMA))
     even = F.col("spread") < F.greatest(F.col("font") * 0.3 + 5.0, F.lit(5.0))
     stacked = (shift < 5.0) & (G.quad_distance("u_pts", "v_pts") == 0)
-    return df.select(*key, "u", "v", (near & (even | stacked)).alias("keep"))
+    pair = (F.col("w") < F.col("largest") * (1 + GAMMA)) & (F.col("turn") < PAIR_ANGLE)
+    return df.select(*key, "u", "v", F.when(F.col("lines") == 2, pair).otherwise(near & (even | stacked)).alias("keep"))
 
 
 def _split_large(lines: DataFrame, limit: int) -> DataFrame:

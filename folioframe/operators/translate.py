@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import language as L
 from folioframe.functions import text as T
+from folioframe.operators.ranking import ranked
 from folioframe.session import broadcast_if_small, cut_lineage
 
 #: Word characters, digits and word boundaries of a pattern are Unicode ones.
@@ -73,12 +74,35 @@ def numbered_prompt(df: DataFrame, group: list[str], order: list[str], text: str
     return grouped.select(*group, F.size("_items").alias("expected"), F.array_join(rows, "\n").alias("texts"))
 
 
+def prompts_by_budget(df: DataFrame, group: list[str], order: list[str], budget: int, text: str = "text") -> DataFrame:
+    """Numbered prompts of at most ``budget`` bytes: ``prompt``, its ``numbers`` and ``texts``; several per group.
+
+    Numbers go on through all prompts of a group, so replies need no other key.
+    A line of more than half the budget has a prompt of its own, the others are
+    cut where their running size passes half the budget again: no text is lost
+    or cut. Only a single text beyond the budget makes a prompt beyond it.
+    """
+    numbered = ranked(df.select(*group, *order, F.col(text).alias("_text")), group, [*order, "_text"], "_n")
+    line = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), F.coalesce("_text", F.lit("")))
+    half = budget // 2
+    sized = numbered.select(*group, "_n", line.alias("_line")).withColumn("_size", F.octet_length("_line") + 1).withColumn("_large", F.col("_size") > half)
+    summed = ranked(sized.withColumn("_part_of", F.when(F.col("_large"), 0).otherwise(F.col("_size")).cast("bigint")), group, ["_n"], "_again", "_part_of", "_upto")
+    piece = F.when(F.col("_large"), F.struct(F.lit(True).alias("large"), F.col("_n").alias("at"))).otherwise(
+        F.struct(F.lit(False).alias("large"), F.floor((F.col("_upto") - F.col("_size")) / F.lit(half)).cast("bigint").alias("at")))
+    packed = summed.groupBy(*group, piece.alias("_piece")).agg(F.sort_array(F.collect_list(F.struct("_n", "_line"))).alias("_items"))
+    return packed.select(*group, F.col("_items._n")[0].alias("prompt"), F.size("_items").alias("expected"), F.col("_items._n").alias("numbers"),
+                         F.array_join(F.col("_items._line"), "\n").alias("texts"))
+
+
 _REPLY = r"^\s*(?:\[(\d+)\]|(\d+)[\.\):：、])\s*(.*)\s*$"
 
 
-def parse_numbered_reply(df: DataFrame, key: list[str], content: str = "content", expected: str = "expected") -> DataFrame:
-    """Replies to ``(key, number, text, error)``; errors are rows of their own."""
-    lines = df.select(*key, expected, F.posexplode(F.split(F.col(content), "\r?\n")).alias("line_no", "line"))
+def parse_numbered_reply(df: DataFrame, key: list[str], content: str = "content", expected: str = "expected", numbers: str | None = None) -> DataFrame:
+    """Replies to ``(key, number, text, error)``; errors are rows of their own.
+
+    A reply should have the numbers 1 to ``expected``, or those that ``numbers`` lists.
+    """
+    lines = df.select(*key, numbers or expected, F.posexplode(F.split(F.col(content), "\r?\n")).alias("line_no", "line"))
     lines = lines.where(T.strip(F.col("line")) != "")
     number = F.concat(F.regexp_extract("line", _REPLY, 1), F.regexp_extract("line", _REPLY, 2))
     lines = lines.withColumns({
@@ -86,11 +110,11 @@ def parse_numbered_reply(df: DataFrame, key: list[str], content: str = "content"
     turn = F.row_number().over(Window.partitionBy(*key, "number").orderBy("line_no"))
     error = (
         F.when(F.col("number").isNull(), F.lit("unnumbered"))
-        .when((F.col("number") < 1) | (F.col("number") > F.col(expected)), F.lit("out of range"))
+        .when(~F.array_contains(numbers, F.col("number")) if numbers else (F.col("number") < 1) | (F.col("number") > F.col(expected)), F.lit("out of range"))
         .when(turn > 1, F.lit("duplicate"))
     )
     parsed = lines.withColumn("error", error)
-    want = df.select(*key, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(expected).cast("bigint"))).alias("number"))
+    want = df.select(*key, F.explode(numbers if numbers else F.sequence(F.lit(1).cast("bigint"), F.col(expected).cast("bigint"))).alias("number"))
     missing = want.join(parsed.where("error IS NULL").select(*key, "number"), [*key, "number"], "left_anti")
     return parsed.select(*key, "number", "text", "error").unionByName(
         missing.select(*key, "number", F.lit(None).cast("string").alias("text"), F.lit("missing").alias("error")))

@@ -381,6 +381,18 @@ def ud6_prompt_translation(spark, sf):
     return U.prompt_translate(df, ["conv_id"], ["turn"], _echo_client, "en", "de", "Translate {source_language} to {target_language}:\n{texts}", "key", "model")
 
 
+def _reverse_client(prompts):
+    """Answers every line of a prompt under its number, the last one first."""
+    return [(200, "\n".join(f"{line.split('] ', 1)[0]}] <{line.split('] ', 1)[1]}>" for line in reversed(p.split("\n")[1:]))) for p in prompts]
+
+
+@query("ud6_prompts_by_budget", sql="""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS number, '<' || text || '>' AS text, NULL AS error FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""")
+def ud6_prompts_by_budget(spark, sf):
+    df = table(spark, sf, "conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return U.prompt_translate(df, ["conv_id"], ["turn"], _reverse_client, "en", "de", "Translate {source_language} to {target_language}:\n{texts}", "key", "model", budget=300)
+
+
 @query("ud8_quad_accessors", sql=BOX_LINES + """
 SELECT quad_id, round(score, 6) AS score, round(aspect, 6) AS aspect, area, vertical, (x0 + x1) // 2 AS mid_x FROM bgeo""")
 def ud8_quad_accessors(spark, sf):

@@ -190,13 +190,13 @@ def j12_collinear_segments(spark, sf):
 @query("a22_segment_union", sql=_COLLINEAR + """,
  e2 AS (SELECT page_id, u, v FROM pr UNION ALL SELECT page_id, v, u FROM pr),
  rc AS (SELECT page_id, seg_id AS a, seg_id AS z FROM sg UNION SELECT rc.page_id, rc.a, e2.v FROM rc JOIN e2 ON e2.page_id = rc.page_id AND e2.u = rc.z),
- cp AS (SELECT page_id, a AS seg_id, min(z) AS c FROM rc GROUP BY page_id, a)
-SELECT sg.page_id, c AS seg_id, count(*) AS parts, min(x) AS lo_x, max(r) AS hi_x FROM sg JOIN cp USING (page_id, seg_id)
-GROUP BY sg.page_id, c HAVING count(*) FILTER (abs(bx - ax) >= abs(by_ - ay)) * 2 >= count(*)""")
+ cp AS (SELECT page_id, a AS seg_id, min(z) AS c FROM rc GROUP BY page_id, a),
+ e3 AS (SELECT sg.page_id, c AS seg_id, cp.seg_id AS part, abs(bx - ax) >= abs(by_ - ay) AS wide, unnest([{'x': ax, 'y': ay}, {'x': bx, 'y': by_}]) AS e FROM sg JOIN cp USING (page_id, seg_id)),
+ g3 AS (SELECT page_id, seg_id, count(DISTINCT part) AS parts, count(*) FILTER (wide) * 2 >= count(*) AS wide, min({'a': e.x, 'b': e.y}) AS x0, max({'a': e.x, 'b': e.y}) AS x1,
+  min({'a': e.y, 'b': e.x}) AS y0, max({'a': e.y, 'b': e.x}) AS y1 FROM e3 GROUP BY page_id, seg_id)
+SELECT page_id, seg_id, parts, CASE WHEN wide THEN x0.a ELSE y0.b END AS ax, CASE WHEN wide THEN x0.b ELSE y0.a END AS ay, CASE WHEN wide THEN x1.a ELSE y1.b END AS bx, CASE WHEN wide THEN x1.b ELSE y1.a END AS "by" FROM g3""")
 def a22_segment_union(spark, sf):
-    out = P.union_segments(view(spark, sf, "segments"), 6.0)
-    wide = F.abs(F.col("bx") - F.col("ax")) >= F.abs(F.col("by") - F.col("ay"))
-    return out.where(wide).select("page_id", "seg_id", "parts", F.col("ax").alias("lo_x"), F.col("bx").alias("hi_x"))
+    return P.union_segments(view(spark, sf, "segments"), 6.0)
 
 
 @query("w9_panel_order", sql=ctes("panels").replace("WITH", "WITH RECURSIVE", 1) + ", " + _NEAR.format(t="panels") + f""",

@@ -93,6 +93,13 @@ def a3_region_split(spark, sf):
     return regions.regions(upright_geo(spark, sf)).select("page_id", "quad_id", "region")
 
 
+@query("a3_region_split_by_rounds", sql=S.BOX_LINES_R + "," + S.region_ctes(S.MERGE, 0.0) + """
+SELECT page_id, quad_id, region FROM lab""")
+def a3_region_split_by_rounds(spark, sf):
+    """Every component takes the way of the large ones."""
+    return regions.regions(upright_geo(spark, sf), limit=1).select("page_id", "quad_id", "region")
+
+
 @query("a4_a8_region_measures", sql=S.BLOCKS_SQL + """
 SELECT page_id, region AS block_id, vert AS vertical, n_lines, font_size, round(angle, 6) AS angle, round(prob, 6) AS prob, fg_r, bg_b FROM blk""")
 def a4_a8_region_measures(spark, sf):

@@ -9,9 +9,11 @@ from folioframe.functions import numeric as N
 from folioframe.functions import text as T
 from folioframe.functions.text import HORIZONTAL_MARKS, bracket_class, char_class
 from folioframe.operators import translate as X
+from folioframe.plans.region_queries import _C3
 from folioframe.plans.registry import query
 from folioframe.plans.sqltext import repair_ctes, sql_str
 from folioframe.plans.views import ctes, table, textlines
+from folioframe.session import cut_lineage
 
 # Texts padded and bracketed in a known way, so that the functions have work.
 _DECORATED = """d AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN concat('  ', text, chr(12288)) WHEN 1 THEN concat('(', text, '」', chr(10))
@@ -135,6 +137,20 @@ def a25_x8_numbered_prompt(spark, sf):
     return p.select("conv_id", T.prompt(template, F.lit("en"), F.lit("de"), F.col("texts")).alias("prompt"))
 
 
+_BUDGET_SQL = """n AS (SELECT conv_id, '[' || number || '] ' || coalesce(text, '') AS line, number FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS number FROM conversations)),
+ z AS (SELECT *, octet_length(encode(line)) + 1 AS size FROM n),
+ u AS (SELECT *, size > 200 AS large, sum(CASE WHEN size > 200 THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY number) AS upto FROM z),
+ g AS (SELECT *, CASE WHEN large THEN 'l' || number ELSE 's' || CAST(upto - size AS BIGINT) // 200 END AS piece FROM u)"""
+
+
+# numbers go on through all prompts of a conversation; no prompt of several texts is beyond the budget
+@query("a25_prompts_by_budget", sql=f"""WITH {_BUDGET_SQL}
+SELECT conv_id, min(number) AS prompt, count(*) AS expected, string_agg(line, chr(10) ORDER BY number) AS texts, count(*) = 1 OR sum(size) - 1 <= 400 AS fits FROM g GROUP BY conv_id, piece""")
+def a25_prompts_by_budget(spark, sf):
+    p = X.prompts_by_budget(table(spark, sf, "conversations"), ["conv_id"], ["turn"], 400)
+    return p.select("conv_id", "prompt", "expected", "texts", F.lit(True).alias("fits"))
+
+
 # replies with a duplicate, an unnumbered, an out-of-range and a missing line
 _REPLIES = """r AS (SELECT conv_id, count(*) + 1 AS expected, string_agg(CASE turn % 4 WHEN 0 THEN '[' || (turn + 1) || '] ' WHEN 1 THEN '  ' || (turn + 1) || '. '
   WHEN 2 THEN (turn + 20) || '： ' ELSE '' END || replace(text, chr(10), ' '), chr(10) || chr(10) ORDER BY turn, text) || chr(10) || '[1] again' AS content FROM conversations GROUP BY conv_id)"""
@@ -386,3 +402,65 @@ def c4_translate(spark, sf):
     m = F.col("translations")
     return out.select("doc_id", F.md5("text").alias("text"), F.md5(F.try_element_at(m, F.try_element_at(m, F.lit("last_trans")))).alias("shown"),
                       F.try_element_at(m, F.lit("last_trans")).alias("last"), F.size(m).alias("n_entries"))
+
+
+# the merge's own blocks: language by profiles, flagged or not, then the routes with a glossary and an own translator
+_MERGED_LANG = _C3 + " WHERE octet_length(encode(fixed)) >= 1 AND regexp_matches(fixed, '\\p{L}')"
+_MERGED_LANG = _MERGED_LANG[:_MERGED_LANG.rindex("SELECT page_id, region AS block_id")].rstrip() + ", " + f"""
+ t_mb AS (SELECT page_id, region AS block_id, fixed AS text FROM tx JOIN repaired ON rk = region WHERE octet_length(encode(fixed)) >= 1 AND regexp_matches(fixed, '\\p{{L}}')), {_PROFILE_SQL},
+ t_tw AS (SELECT {{key}}, word, count(*) AS n FROM (SELECT {{key}}, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM t_mb) GROUP BY ALL),
+ t_tg AS (SELECT {{key}}, n, unnest(list_transform(range(1, len(word) + 1), lambda i: substring(' ' || word || ' ', i, 3))) AS gram FROM t_tw),
+ t_sc AS (SELECT {{key}}, lang, sum(n * weight) AS score FROM t_tg JOIN pf USING (gram) GROUP BY ALL),
+ t_ml AS (SELECT m.*, b.lang FROM t_mb m LEFT JOIN (SELECT {{key}}, arg_max(lang, (score, lang)) AS lang FROM t_sc GROUP BY ALL) b USING ({{key}})),
+ t_p AS (SELECT page_id, block_id, lang, regexp_replace(text, 'tion ', 'tium ', 'g') AS t FROM t_ml),
+ t_a AS (SELECT *, CASE lang WHEN 'en' THEN {_C4_DE} WHEN 'fr' THEN {_C4_EN} WHEN 'de' THEN 'de>en:' || t ELSE t END AS s0 FROM t_p),
+ t_b AS (SELECT *, CASE lang WHEN 'fr' THEN {_C4_DE.replace('(t,', '(s0,')} END AS s1 FROM t_a),
+ t_tr AS (SELECT page_id, block_id, lang AS language, CASE WHEN lang <> 'es' THEN regexp_replace(coalesce(s1, s0), 'die', 'der', 'g') END AS shown FROM t_b)"""
+
+
+def _echo(texts, source, target):
+    return [f"{source}>{target}:{t}" for t in texts]
+
+
+def _pages_translated(spark, sf, joined):
+    from folioframe.operators.jobs import translate_pages
+
+    profiles = cut_lineage(L.train_profiles(table(spark, sf, "documents")))
+    out = translate_pages(textlines(spark, sf), profiles, ["es"], _routes(spark), _GLOSSARIES, _PRE, _POST, {"echo": _echo}, joined)
+    m = F.col("translations")
+    return out.withColumn("shown", F.try_element_at(m, F.try_element_at(m, F.lit("last_trans"))))
+
+
+@query("c4_translate_merged_blocks", sql=_MERGED_LANG.replace("{key}", "page_id, block_id") + " SELECT page_id, block_id, language, md5(shown) AS shown FROM t_tr")
+def c4_translate_merged_blocks(spark, sf):
+    return _pages_translated(spark, sf, False).select("page_id", "block_id", "language", F.md5("shown").alias("shown"))
+
+
+@query("c4_translate_by_page_language", sql=_MERGED_LANG.replace("{key}", "page_id") + " SELECT page_id, block_id, language, md5(shown) AS shown FROM t_tr")
+def c4_translate_by_page_language(spark, sf):
+    return _pages_translated(spark, sf, True).select("page_id", "block_id", "language", F.md5("shown").alias("shown"))
+
+
+# lines, merge, language, translation, mask and export on each other's output; pages without a block or a mask are skipped
+@query("c8_chained_pages", sql=_MERGED_LANG.replace("{key}", "page_id, block_id") + """,
+ sz AS (SELECT DISTINCT page_id FROM bgeo), t_kept AS (SELECT b.* FROM bgeo b WHERE prob >= 0.2),
+ t_px AS (SELECT DISTINCT page_id, y, unnest(range(least(greatest(CAST(bx AS BIGINT), 0), 1700), least(greatest(CAST(ex AS BIGINT), 0), 1700))) AS x FROM (SELECT page_id, bx, ex, unnest(range(greatest(CAST(by_ AS BIGINT), 0), least(CAST(ey AS BIGINT), 1700))) AS y FROM t_kept)),
+ t_ma AS (SELECT page_id, count(*) AS mask_area FROM t_px GROUP BY page_id),
+ t_nb AS (SELECT page_id, count(*) AS n_blocks, min(block_id) AS first_block, md5(string_agg(coalesce(shown, '-'), '|' ORDER BY block_id)) AS shown FROM t_tr GROUP BY page_id)
+SELECT sz.page_id, n_blocks, first_block, shown, mask_area, CASE WHEN n_blocks IS NULL OR mask_area IS NULL THEN 'skipped' ELSE 'done' END AS status,
+ CASE WHEN n_blocks IS NULL THEN 'translation' WHEN mask_area IS NULL THEN 'mask' END AS stage FROM sz LEFT JOIN t_nb USING (page_id) LEFT JOIN t_ma USING (page_id)""")
+def c8_chained_pages(spark, sf):
+    from folioframe.functions import geometry as G
+    from folioframe.operators import jobs, lines
+    from folioframe.operators import mask as M
+    from folioframe.operators.filters import min_probability
+
+    found = cut_lineage(textlines(spark, sf))
+    pages = found.select("page_id").distinct().select("page_id", F.lit(1700).cast("bigint").alias("width"), F.lit(1700).cast("bigint").alias("height"))
+    blocks = _pages_translated(spark, sf, False)
+    kept = G.with_geometry(G.with_corner_order(min_probability(found, 0.2).select("page_id", "quad_id", "pts", "score")))
+    none = pages.select("page_id", F.lit(0).cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("x0"), F.lit(0).cast("bigint").alias("x1")).limit(0)
+    out = jobs.page_results(pages, found, blocks.select("page_id", "block_id", "shown"), lines.text_mask(kept, none, pages, method="fill"))
+    shown = F.array_join(F.transform("blocks", lambda b: F.coalesce(b["shown"], F.lit("-"))), "|")
+    return out.select("page_id", F.size("blocks").alias("n_blocks"), F.col("blocks")[0]["block_id"].alias("first_block"), F.md5(shown).alias("shown"), "mask_area", "status", "stage").withColumn(
+        "n_blocks", F.when(F.col("n_blocks") > 0, F.col("n_blocks")))

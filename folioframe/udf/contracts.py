@@ -133,8 +133,8 @@ def upscale(tiles: DataFrame, loader, size: int, name: str = "upscaler") -> Data
 
 
 def prompt_translate(df: DataFrame, group: list[str], order: list[str], client: Callable[[list[str]], list[tuple[int, str]]],
-                     source: str, target: str, template: str, api_key: str, model: str) -> DataFrame:
-    """One numbered prompt per group through ``client``, replies as rows.
+                     source: str, target: str, template: str, api_key: str, model: str, budget: int | None = None) -> DataFrame:
+    """Numbered prompts through ``client``, replies as rows: one prompt per group, or as many as it takes to keep each within ``budget`` bytes.
 
     The client gets prompts and returns ``(http status, body)``; a status outside
     2xx becomes an error row of its group.
@@ -143,10 +143,12 @@ def prompt_translate(df: DataFrame, group: list[str], order: list[str], client:
         raise ValueError("api key is required")
     if not model.strip():
         raise ValueError("model is required")
-    prompts = X.numbered_prompt(df, group, order)
+    prompts = X.numbered_prompt(df, group, order) if budget is None else X.prompts_by_budget(df, group, order, budget)
+    key = group if budget is None else [*group, "prompt_no"]
+    prompts = prompts if budget is None else prompts.withColumnRenamed("prompt", "prompt_no")
     prompts = prompts.withColumn("prompt", T.prompt(F.lit(template), F.lit(source), F.lit(target), F.col("texts"))).drop("texts")
     kinds = dict(prompts.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, "expected"]) + ", http int, content string"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*key, "expected", *([] if budget is None else ["numbers"])]) + ", http int, content string"
 
     def run(batches):
         for batch in batches:
@@ -158,7 +160,7 @@ def prompt_translate(df: DataFrame, group: list[str], order: list[str], client:
 
     answers = prompts.mapInPandas(run, schema)
     good = F.col("http").between(200, 299)
-    parsed = X.parse_numbered_reply(answers.where(good), group)
+    parsed = X.parse_numbered_reply(answers.where(good), key, numbers=None if budget is None else "numbers").drop("prompt_no")
     failed = answers.where(~good).select(
         *group, F.lit(None).cast("bigint").alias("number"), F.lit(None).cast("string").alias("text"),
         F.concat(F.lit("request failed with "), F.col("http").cast("string")).alias("error"))
