@@ -78,8 +78,26 @@ def j18_collisions(spark, sf):
     return placement.collisions(_render_boxes(spark, sf))
 
 
-# no twin: every spot depends on the ones before it; tests check known spots
-@query("r27_placement")
+# every spot depends on the ones before it: one step per block, which carries the placed boxes; the steps out are 0.35 of the longer side and 10
+_SHARED = "coalesce(list_sum(list_transform(placed, lambda p: greatest(0, least(p.x2, {x2}) - greatest(p.x1, {x1})) * greatest(0, least(p.y2, {y2}) - greatest(p.y1, {y1})))), 0)"
+_MOVES = "[" + ", ".join(f"{{'x': {dx * ring}, 'y': {dy * ring}}}" for ring in range(1, 7)
+                         for dx, dy in ((0, -1), (0, 1), (1, 0), (-1, 0), (1, -1), (-1, -1), (1, 1), (-1, 1))) + "]"
+
+
+@query("r27_placement", sql=_ROT.replace("WITH", "WITH RECURSIVE", 1) + f""",
+ o AS (SELECT page_id, block_id, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, greatest(x2 - x1, y2 - y1) * 0.35::DOUBLE + 10 AS step,
+  row_number() OVER (PARTITION BY page_id ORDER BY block_id) AS k FROM bx),
+ st AS (SELECT DISTINCT page_id, 0::BIGINT AS k, NULL::BIGINT AS block_id, 0::DOUBLE AS x, 0::DOUBLE AS y, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS placed FROM o
+  UNION ALL SELECT page_id, k, block_id, (x1 + x2) / 2 + dx, (y1 + y2) / 2 + dy, list_append(placed, {{'x1': x1 + dx, 'y1': y1 + dy, 'x2': x2 + dx, 'y2': y2 + dy}}) FROM (
+   SELECT *, CASE WHEN moved THEN spots[best].x ELSE 0 END AS dx, CASE WHEN moved THEN spots[best].y ELSE 0 END AS dy FROM (
+    SELECT *, NOT (free AND cost <= 0) AND (prices[best] <= 2.3e-16 OR prices[best] < cost) AS moved FROM (
+     SELECT *, list_position(prices, list_min(prices)) AS best FROM (
+      SELECT *, list_transform(spots, lambda m: CASE WHEN x1 + m.x >= 0 AND y1 + m.y >= 0 AND x2 + m.x <= 1700 AND y2 + m.y <= 600
+        THEN {_SHARED.format(x1="x1 + m.x", y1="y1 + m.y", x2="x2 + m.x", y2="y2 + m.y")} ELSE 'infinity'::DOUBLE END) AS prices FROM (
+       SELECT o.*, st.placed, x1 >= 0 AND y1 >= 0 AND x2 <= 1700 AND y2 <= 600 AS free, {_SHARED.format(x1="o.x1", y1="o.y1", x2="o.x2", y2="o.y2")} AS cost,
+        list_transform({_MOVES}, lambda m: {{'x': m.x * step, 'y': m.y * step}}) AS spots
+       FROM st JOIN o ON o.page_id = st.page_id AND o.k = st.k + 1))))))
+SELECT page_id, block_id, round(x, 6) AS x, round(y, 6) AS y FROM st WHERE k > 0""")
 def r27_placement(spark, sf):
     b = _render_boxes(spark, sf)
     blocks = b.select(

@@ -268,8 +268,18 @@ def u4_merge_gain(spark, sf):
     return M.merge_gain(M.components(runs), _two(spark, sf)[1], M.to_runs(px.where("v > 180")))
 
 
-# no twin: the chain of components, ranks and gains is checked against brute force in tests
-@query("r23_hole_fill")
+# blobs of the rest of the page, the second largest of their areas and the mask's own, and what each adds to the prediction
+@query("r23_hole_fill", sql=RAS.replace("WITH", "WITH RECURSIVE", 1) + SIZE.format(t="raster") + f""", ma AS (SELECT page_id, y, x FROM raster WHERE v > 128), mb AS (SELECT page_id, y, x FROM raster WHERE (v * 7 + x * 13) % 256 > 128),
+ al AS (SELECT page_id, a.y, b.x FROM sz, range(64) a(y), range(64) b(x) WHERE a.y < height AND b.x < width),
+ ho AS (SELECT * FROM al ANTI JOIN ma USING (page_id, y, x)),
+ ng AS (SELECT a.page_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM ho a JOIN ho b ON a.page_id = b.page_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+ rc AS (SELECT page_id, y AS ay, x AS ax, y, x FROM ho UNION SELECT rc.page_id, ay, ax, ng.y2, ng.x2 FROM rc JOIN ng ON ng.page_id = rc.page_id AND ng.y = rc.y AND ng.x = rc.x),
+ cp AS (SELECT page_id, ay AS y, ax AS x, min(y * 4294967296 + x) AS c FROM rc GROUP BY page_id, ay, ax),
+ hs AS (SELECT cp.page_id, c, count(*) AS area, 2 * count(mb.x) - count(*) AS gain FROM cp LEFT JOIN mb USING (page_id, y, x) GROUP BY cp.page_id, c),
+ ar AS (SELECT page_id, area FROM hs UNION ALL SELECT page_id, count(*) FROM ma GROUP BY page_id),
+ th AS (SELECT page_id, coalesce(list_sort(list(area))[-2], max(area)) AS threshold FROM ar GROUP BY page_id),
+ ou AS (SELECT page_id, y, x FROM ma UNION SELECT cp.page_id, cp.y, cp.x FROM cp JOIN hs USING (page_id, c) JOIN th USING (page_id) WHERE area < threshold AND gain > 0)
+SELECT page_id, y, count(*) AS n, sum(x) AS sx FROM ou GROUP BY page_id, y""")
 def r23_hole_fill(spark, sf):
     a, b = _two(spark, sf)
     return _row_sums(M.fill_holes(a, b, R.page_sizes(_raster(spark, sf))))
