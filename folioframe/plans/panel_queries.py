@@ -143,8 +143,40 @@ def a18_small_panel_groups(spark, sf):
     return P.group_small(_boxes(spark, sf), PAGE_W, PAGE_H, 0.1)
 
 
-# no twin: folding is a fixpoint; tests check known results and that nothing is left to fold
-@query("a19_merge_contained")
+def _alike(p, q):
+    """Edges differ by less than a tenth of the first box."""
+    return (f"(10 * abs({p}.x - {q}.x) < {p}.r - {p}.x AND 10 * abs({p}.r - {q}.r) < {p}.r - {p}.x AND "
+            f"10 * abs({p}.y - {q}.y) < {p}.b - {p}.y AND 10 * abs({p}.b - {q}.b) < {p}.b - {p}.y)")
+
+
+def _covers(p, q):
+    w, h = _o(p, q)
+    return f"({w} >= 0 AND {h} >= 0 AND {w} * {h} * 2 > {_area(q)})"
+
+
+def _bumps(o, g):
+    w, h = _o(o, g)
+    return f"(NOT {_alike(o, g)} AND {w} >= 0 AND {h} >= 0 AND (least({_area(o)}, {_area(g)}) = 0 OR {w} * {h} * 10 > least({_area(o)}, {_area(g)})))"
+
+
+# one step per pair, first to last, which carries the boxes of the page: of the 16 ways to take edges of the inner box, those that bump into no
+# third one, the largest and of these the last
+@query("a19_merge_contained", sql=ctes("boxes").replace("WITH", "WITH RECURSIVE", 1) + f""",
+ li AS (SELECT page_id, list({{'x': x::BIGINT, 'y': y::BIGINT, 'r': r::BIGINT, 'b': b::BIGINT}} ORDER BY panel_id) AS boxes, list(panel_id ORDER BY panel_id) AS ids FROM boxes GROUP BY page_id),
+ ij AS (SELECT page_id, i, j, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS k FROM (SELECT page_id, i, unnest(range(i + 1, len(boxes) + 1)) AS j FROM (SELECT page_id, boxes, unnest(range(1, len(boxes))) AS i FROM li))),
+ st AS (SELECT page_id, 0::BIGINT AS k, boxes, []::BIGINT[] AS gone FROM li
+  UNION ALL SELECT page_id, k, CASE WHEN outer_ IS NULL THEN boxes ELSE list_concat(list_concat(boxes[:outer_ - 1], [best]), boxes[outer_ + 1:]) END,
+   CASE WHEN outer_ IS NULL THEN gone ELSE list_append(gone, inner_) END FROM (
+    SELECT *, coalesce(list_sort(list_transform(list_filter(ways, lambda g: len(list_filter(others, lambda o: {_bumps('o', 'g')})) = 0),
+      lambda g: {{'size': {_area('g')}, 'm': g.m, 'box': {{'x': g.x, 'y': g.y, 'r': g.r, 'b': g.b}}}}))[-1].box, p) AS best FROM (
+     SELECT *, list_filter(boxes, lambda o: NOT {_alike('o', 'p')} AND NOT {_alike('o', 'q')}) AS others,
+      list_transform(list_filter(range(16), lambda m: (m % 2 = 0 OR q.x < p.x) AND (m // 2 % 2 = 0 OR q.r > p.r) AND (m // 4 % 2 = 0 OR q.y < p.y) AND (m // 8 = 0 OR q.b > p.b)),
+       lambda m: {{'m': m, 'x': CASE WHEN m % 2 = 1 THEN q.x ELSE p.x END, 'r': CASE WHEN m // 2 % 2 = 1 THEN q.r ELSE p.r END, 'y': CASE WHEN m // 4 % 2 = 1 THEN q.y ELSE p.y END, 'b': CASE WHEN m // 8 = 1 THEN q.b ELSE p.b END}}) AS ways FROM (
+      SELECT *, boxes[coalesce(outer_, i)] AS p, boxes[coalesce(inner_, j)] AS q FROM (
+       SELECT *, CASE WHEN {_covers('u', 'v')} THEN i WHEN {_covers('v', 'u')} THEN j END AS outer_, CASE WHEN {_covers('u', 'v')} THEN j WHEN {_covers('v', 'u')} THEN i END AS inner_ FROM (
+        SELECT ij.*, st.boxes, st.gone, st.boxes[ij.i] AS u, st.boxes[ij.j] AS v FROM st JOIN ij ON ij.page_id = st.page_id AND ij.k = st.k + 1)))))),
+ en AS (SELECT page_id, arg_max(boxes, k) AS boxes, arg_max(gone, k) AS gone FROM st GROUP BY page_id)
+SELECT page_id, ids[n] AS panel_id, boxes[n].x AS x, boxes[n].y AS y, boxes[n].r AS r, boxes[n].b AS b FROM (SELECT en.*, ids, unnest(range(1, len(ids) + 1)) AS n FROM en JOIN li USING (page_id)) WHERE NOT list_contains(gone, n)""")
 def a19_merge_contained(spark, sf):
     return P.merge_contained(_boxes(spark, sf))
 
