@@ -181,9 +181,27 @@ def a19_merge_contained(spark, sf):
     return P.merge_contained(_boxes(spark, sf))
 
 
-@query("a20_group_big_panels")
+_UNION_OF = "{{'x': least({p}.x, {q}.x), 'y': least({p}.y, {q}.y), 'r': greatest({p}.r, {q}.r), 'b': greatest({p}.b, {q}.b)}}"
+
+
+# one step per merge, which carries the panels of the page in their order: the first pair of them whose common box bumps into no third panel and
+# holds no long segment
+@query("a20_group_big_panels", sql=ctes("panels", "segments").replace("WITH", "WITH RECURSIVE", 1) + f""",
+ sl AS (SELECT page_id, list({{'x': least(ax, bx), 'y': least(ay, "by"), 'r': greatest(ax, bx), 'b': greatest(ay, "by")}}) AS segs FROM segments GROUP BY page_id),
+ li AS (SELECT page_id, list({{'id': panel_id, 'x': x, 'y': y, 'r': r, 'b': b}} ORDER BY panel_id) AS boxes FROM panels GROUP BY page_id),
+ st AS (SELECT page_id, 0 AS k, boxes, coalesce(segs, []) AS segs FROM li LEFT JOIN sl USING (page_id)
+  UNION ALL SELECT page_id, k + 1, list_append(list_filter(boxes, lambda o: o.id <> boxes[ij.i].id AND o.id <> boxes[ij.j].id),
+    {{'id': least(boxes[ij.i].id, boxes[ij.j].id), 'x': u.x, 'y': u.y, 'r': u.r, 'b': u.b}}), segs FROM (
+   SELECT *, {_UNION_OF.format(p='boxes[ij.i]', q='boxes[ij.j]')} AS u FROM (
+    SELECT *, list_filter(list_transform(list_filter([{', '.join(f"{{'i': {i}, 'j': {j}}}" for i in range(1, 7) for j in range(i + 1, 7))}], lambda m: m.j <= len(boxes)),
+      lambda m: {{'i': m.i, 'j': m.j, 'p': boxes[m.i], 'q': boxes[m.j], 'u': {_UNION_OF.format(p='boxes[m.i]', q='boxes[m.j]')}}}), lambda c:
+      len(list_filter(boxes, lambda o: {_overlaps('c.u', 'o')} AND NOT {_equal('o', 'c.p')} AND NOT {_equal('o', 'c.q')} AND NOT {_equal('o', 'c.u')})) = 0
+      AND len(list_filter(segs, lambda o: {_overlaps('c.u', 'o')} AND sqrt((o.r - o.x) ** 2 + (o.b - o.y) ** 2) > sqrt((c.u.r - c.u.x) ** 2 + (c.u.b - c.u.y) ** 2) / 5)) = 0)[1] AS ij
+    FROM st) WHERE ij IS NOT NULL)),
+ en AS (SELECT page_id, arg_max(boxes, k) AS boxes FROM st GROUP BY page_id)
+SELECT page_id, o.id AS panel_id, o.x AS x, o.y AS y, o.r AS r, o.b AS b FROM (SELECT page_id, unnest(boxes) AS o FROM en)""")
 def a20_group_big_panels(spark, sf):
-    return P.group_big(view(spark, sf, "panels"), view(spark, sf, "segments"))
+    return P.group_big(view(spark, sf, "panels"), view(spark, sf, "segments")).drop("pos")
 
 
 @query("t7_largest_panel_first", sql=ctes("panels") + """
