@@ -70,26 +70,46 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "quad_i
     )
 
 
+#: Points of a cell up to which the search radius may grow while fragments are still found.
+CROWD = 16
+
+
+def _pitch(column: str, radius: float):
+    return F.floor(F.col(column) / F.lit(float(radius))).cast("bigint")
+
+
+def _crowd(points: DataFrame, radius: float) -> int:
+    """Most points in a cell of pitch ``radius``."""
+    cells = points.groupBy("page_id", "component", _pitch("x", radius).alias("gx"), _pitch("y", radius).alias("gy")).count()
+    return cells.agg(F.max("count")).first()[0] or 0
+
+
+def _around(rows: DataFrame, *keep) -> DataFrame:
+    """Rows of a grid, copied to the nine cells around their own."""
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    return rows.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).select(
+        "page_id", "component", (F.col("_gx") + F.col("_dx")).alias("_gx"), (F.col("_gy") + F.col("_dy")).alias("_gy"), *keep)
+
+
 def _nearest_outside(points: DataFrame, fragments: DataFrame, radius: float) -> DataFrame:
     """Cheapest edge of every fragment to another one within ``radius``.
 
     Rows meet in grid cells of pitch ``radius``; the right side is copied to the
-    nine cells around it.  Fragments without such an edge get no row.
+    nine cells around it. A census of the cells comes first: where a cell and
+    those around it hold one fragment, its points have nothing to look for, so
+    the inside of a large fragment is never paired with itself. Fragments without
+    such an edge get no row.
     """
-    at = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
-    p = points.join(fragments, ["page_id", "id"]).withColumns({"_gx": at("x"), "_gy": at("y")})
-    l = p.select("page_id", "component", "_gx", "_gy", F.col("id").alias("a"),  # noqa: E741
-                 F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("fragment").alias("fa"))
-    r = (
-        p.withColumn("_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        .withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        .select("page_id", "component", (F.col("_gx") + F.col("_dx")).alias("_gx"),
-                (F.col("_gy") + F.col("_dy")).alias("_gy"), F.col("id").alias("b"),
-                F.col("x").alias("bx"), F.col("y").alias("by"), F.col("fragment").alias("fb"))
-    )
+    p = points.join(fragments, ["page_id", "id"]).withColumns({"_gx": _pitch("x", radius), "_gy": _pitch("y", radius)})
+    cell = ["page_id", "component", "_gx", "_gy"]
+    census = p.groupBy(*cell).agg(F.min("fragment").alias("_low"), F.max("fragment").alias("_high"))
+    mixed = _around(census, "_low", "_high").groupBy(*cell).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).where("_low <> _high").select(*cell)
+    p = cut_lineage(p.join(mixed, cell, "left_semi"))
+    l = p.select(*cell, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("fragment").alias("fa"))  # noqa: E741
+    r = _around(p, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("fragment").alias("fb"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     near = (
-        l.join(r, ["page_id", "component", "_gx", "_gy"])
+        l.join(r, cell)
         .where((F.col("fa") != F.col("fb")) & (dx * dx + dy * dy <= float(radius) ** 2))
         .withColumn("w", F.sqrt((dx * dx + dy * dy).cast("double")))
     )
@@ -104,8 +124,10 @@ def spanning_forest(points: DataFrame, start_radius: float = 64.0) -> DataFrame:
     and ties go to the smaller ids, so the tree is unique.  Fragments grow by
     their cheapest edge; an edge within the current radius is cheaper than any
     beyond it, so a radius is searched out before it doubles, and the complete
-    graph of a component is never built.  Points that coincide are chained to
-    their first one beforehand.
+    graph of a component is never built.  Where points are crowded the search
+    begins with a small radius, which grows only when nothing is left within it:
+    a cell then holds few points, or points of few fragments.  Points that
+    coincide are chained to their first one beforehand.
     """
     spot = ["page_id", "component", "x", "y"]
     first = points.groupBy(*spot).agg(F.min("id").alias("rep"))
@@ -118,7 +140,9 @@ def spanning_forest(points: DataFrame, start_radius: float = 64.0) -> DataFrame:
     fragments = sites.select("page_id", "id", F.col("id").alias("fragment"))
     parts = sites.select("page_id", "component").distinct().count()
     left = sites.count() - parts
-    radius = start_radius
+    radius, crowd = start_radius, _crowd(sites, start_radius)
+    while crowd > CROWD and radius > 1:  # a cell of half the pitch holds about a quarter
+        radius, crowd = radius / 2, crowd / 4
     while left > 0:
         picks = cut_lineage(_nearest_outside(sites, fragments, radius).select("page_id", "fragment", "e.*"))
         chosen = cut_lineage(picks.join(
@@ -126,7 +150,8 @@ def spanning_forest(points: DataFrame, start_radius: float = 64.0) -> DataFrame:
         ).select("page_id", "component", "u", "v", "w").distinct())
         found = chosen.count()
         # any radius is exact; a larger one finds more edges per round
-        radius *= 2 if found else 4
+        if found == 0 or crowd <= CROWD:
+            radius, crowd = (radius * 2, crowd * 4) if found else (radius * 4, crowd * 16)
         if found == 0:
             continue
         left -= found

@@ -48,6 +48,28 @@ def test_spanning_forest(spark):
     assert got == want
 
 
+def test_spanning_tree_of_a_crowded_cell(spark):
+    """2,000 points of one component in 150 pixels, and a few far from them."""
+    rng = random.Random(6)
+    spots = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(2_000)}) + [(900, 40), (905, 45), (40, 3000)]
+    pts = [(1, 0, i, x, y) for i, (x, y) in enumerate(spots)]
+    got = spanning_forest(spark.createDataFrame(pts, "page_id long, component long, id long, x long, y long"), 64.0).collect()
+    import numpy as np
+
+    # Prim's tree has the same weights, whatever the ties
+    xy = np.array(spots, dtype="float64")
+    best = np.full(len(xy), np.inf)
+    done = np.zeros(len(xy), dtype=bool)
+    at, total = 0, 0.0
+    for _ in range(len(xy) - 1):
+        done[at] = True
+        best = np.minimum(best, ((xy - xy[at]) ** 2).sum(axis=1))
+        at = int(np.where(done, np.inf, best).argmin())
+        total += best[at] ** 0.5
+    assert len(got) == len(spots) - 1 and sum(r.w for r in got) == pytest.approx(total)
+    assert len({n for r in got for n in (r.u, r.v)}) == len(spots)
+
+
 def test_large_regions_split_like_small_ones(spark):
     rng = random.Random(5)
     rows = []

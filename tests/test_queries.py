@@ -1,22 +1,10 @@
-"""Registered queries next to their SQL twins.
-
-All of them run with ``ALL_QUERIES=1``; a cross-section runs by default.
-"""
-
-import os
+"""Registered queries next to their SQL twins, all of them."""
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
 
-SAMPLE = [
-    "p1_corner_order", "p3_p9_measures", "p16_p17_block_min_rect", "p18_obb", "f8_f10_text_filters", "j1_mergeable_pairs",
-    "a2_spanning_tree", "a3_region_split", "c2_ocr_order", "c3_region_merge", "x3_bracket_repair", "x7_numbered_reply",
-    "x21_language_detection", "x24_route_validation", "c4_translate", "w5_beam_step", "a14_a16_sample_text", "j10_neighbours",
-    "w9_panel_order", "r3_w8_equalize", "r20_dilate_ellipse", "r21_f18_components", "r24_ring_distance", "u4_merge_gain", "c1_box_extraction",
-    "j5_assign_components", "s9_folder_audit", "s13_w11_unique_names", "ud6_prompt_translation", "st2_stage_progress",
-]
 ALL = list(entry.queries())
 
 
@@ -25,7 +13,7 @@ def con(sf):
     return duck(sf)
 
 
-@pytest.mark.parametrize("name", ALL if os.environ.get("ALL_QUERIES") else SAMPLE)
+@pytest.mark.parametrize("name", ALL)
 def test_query(spark, con, sf, name):
     ok, rows, note = compare(spark, con, sf, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok is not False, note
