@@ -100,6 +100,17 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.select(*docs.columns, *key_columns(names)).join(hint_small(rows), names, "left_anti").select(*docs.columns)
 
 
+#: Arrow batches of texts, in place of Spark's defaults (before the arrow): a worker and its JVM hold several copies of one.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless its user has set their size."""
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """``work`` yields column dicts for a record batch; the schema is given once for Spark, once for Arrow."""
 
@@ -111,6 +122,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]], s
                     schema=arrow_schema)
         pa.default_memory_pool().release_unused()  # workers go on to other tasks
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -132,8 +144,9 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     total = int(lengths.sum())
     if not total:
         return flat[:0].copy()
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
     ends = np.cumsum(lengths, dtype=np.int64)
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    return flat[np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)]
 
 
 def byte_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import byte_slices, hint_small, text_bytes, written
+from folioframe.llm.base import bounded_batches, byte_slices, hint_small, text_bytes, written
 
 #: Probabilities are integers, in this unit.
 UNIT = 1_000_000_000
@@ -84,6 +84,7 @@ def group_sums(docs: DataFrame) -> DataFrame:
                     terms.take(pa.array(term)), pa.array(np.add.reduceat(counts[order], heads) if len(heads) else counts, pa.int64()),
                     pa.array(np.diff(np.append(heads, len(key))), pa.int64())], schema=schema)
 
+    bounded_batches(docs.sparkSession)
     summed = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, df long")
     return summed.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 

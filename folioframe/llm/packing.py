@@ -136,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
 
     def work(batch: pa.RecordBatch):
         names = batch.column(0).to_pylist()
-        for begin, end in byte_slices(batch.column(1), 8_000_000):
+        for begin, end in byte_slices(batch.column(1), 3_000_000):
             ids, counts = word_token_ids(batch.column(1).slice(begin, end - begin), tokenizer_path)
             out: dict[str, list] = {name: [] for name, _ in fields}
             at = 0

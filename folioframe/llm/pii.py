@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.base import arrow_map
+from folioframe.llm.base import bounded_batches
 
 ROUNDS = 10
 
@@ -296,6 +296,7 @@ def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text", chars_co
     texts are searched whole; rows that repeat stay and change alike. An
     existing column ``pii_spans`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     key = derived_key(secret)
     columns = [c for c in docs.columns if c != "pii_spans"]
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import byte_slices, text_bytes, written
+from folioframe.llm.base import bounded_batches, byte_slices, text_bytes, written
 
 SLICE_BYTES = 8_000_000
 _MASK = (1 << 64) - 1
@@ -131,6 +131,7 @@ def word_counts(docs: DataFrame, least_length: int, divisor: int) -> DataFrame:
                 if more:
                     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in more], pa.string()), pa.array([n for _, n in more], pa.int64())], schema=schema)
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import byte_slices, in_files, key_columns, shared_path, written
+from folioframe.llm.base import bounded_batches, byte_slices, in_files, key_columns, shared_path, written
 from folioframe.llm.packing import word_token_ids
 
 MAGIC = b"idplanes"
@@ -214,6 +214,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     come first; rows of equal ids follow their place in the input. An empty
     table has no files.
     """
+    bounded_batches(docs.sparkSession)
     folder = folder or shared_path(docs.sparkSession, "tokens")
     rows = in_files(docs).select(F.col(id_col).cast("long").alias("doc_id"), *key_columns(), F.col(text_col).cast("string").alias("text"))
     order = rows.columns[:3]
@@ -230,7 +231,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             out, seq = None, seq + 1
 
         for batch in batches:
-            for begin, end in byte_slices(batch.column(1), 8_000_000):
+            for begin, end in byte_slices(batch.column(1), 3_000_000):
                 ids, counts = word_token_ids(batch.column(1).slice(begin, end - begin), tokenizer_path)
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 out = out or Writer(f"{folder}/tokens-{part:08d}-{seq:06d}.bin", layout)

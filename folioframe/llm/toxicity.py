@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import WordValues, byte_slices, few_by_hash, hash_order, slices
+from folioframe.llm.base import WordValues, bounded_batches, byte_slices, few_by_hash, hash_order, slices
 
 _LOG = logging.getLogger(__name__)
 WORD = re.compile(r"\w+")
@@ -422,6 +422,7 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
     gets 0 if nothing was learned. Rows that repeat stay and score alike; texts
     are read whole.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
@@ -443,6 +444,7 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text scores one half or more; all columns as they were."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     place = docs.columns.index(text_col)
 
