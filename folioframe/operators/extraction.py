@@ -67,5 +67,5 @@ def extract_boxes(
     pts = F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1))
     # few rows are left; cutting here keeps the corner rewrites in compiled code
     out = cut_lineage(quads.select("page_id", "quad_id", "score", pts.alias("pts")))
-    out = out.withColumn("pts", G.roll_to_origin(F.col("pts")))
+    out = cut_lineage(out.withColumn("pts", G.roll_to_origin(F.col("pts"))))
     return G.with_corner_order(filters.min_area(filters.non_zero(out)))
