@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +66,119 @@ def replacement_audit(df: DataFrame, key: list[str], text: str, rules: list[tupl
     return out.where("before <> after")
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a pattern holds, as far as that can be told simply; empty if it cannot.
+
+    Groups, classes, alternatives and flags are not looked into.
+    """
+    if re.search(r"(?<!\\)\||\(\?|\\Q", pattern):
+        return ""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern) and not pattern[i + 1].isalnum():
+            run, i = run + pattern[i + 1], i + 2
+            continue
+        if c in "\\.^$+*?{[()]}":
+            if c in "*?{":
+                run = run[:-1]  # what may be missing
+            runs.append(run)
+            run = ""
+            if c == "\\":
+                i += 1
+            elif c in "[({":
+                depth, close = 1, {"[": "]", "(": ")", "{": "}"}[c]
+                while depth and i + 1 < len(pattern):
+                    i += 1
+                    if pattern[i] == "\\":
+                        i += 1
+                    else:
+                        depth += (pattern[i] == c) - (pattern[i] == close)
+                if i + 1 < len(pattern) and pattern[i + 1] in "*?{+":
+                    i += 1
+                    while pattern[i] == "{" and i + 1 < len(pattern) and "}" in pattern[i:]:
+                        i = pattern.index("}", i)
+        else:
+            run += c
+        i += 1
+    return max([*runs, run], key=len)
+
+
+def _candidates(rules: list[tuple[int, str, str]]):
+    """Function of texts and first rules: the numbers of the rules that can hit a text, by one pass over it."""
+    literals = [required_literal(pattern) for _, pattern, _ in rules]
+    always = [i for i, literal in enumerate(literals) if not literal]
+
+    def build():
+        import ahocorasick
+
+        trie = ahocorasick.Automaton()
+        for literal in set(literals) - {""}:
+            trie.add_word(literal, [i for i, other in enumerate(literals) if other == literal])
+        if len(trie):
+            trie.make_automaton()
+        return trie
+
+    @F.pandas_udf("array<int>")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        trie = build()
+        for texts, begin in batches:
+            out = []
+            for text, first in zip(texts, begin):
+                hits = {i for _, found in trie.iter(text) for i in found} if text and len(trie) else set()
+                out.append(sorted(i for i in {*hits, *always} if i >= first) if text is not None else [])
+            yield pd.Series(out)
+
+    return find
+
+
+def _listed(values: list, kind: str) -> Column:
+    """One constant array, however many values it has."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _replacement_rounds(df: DataFrame, text: str, rules: list[tuple[int, str, str]]) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Rounds of (rows that no further rule changes, rows changed by one rule more).
+
+    A row goes through the rules that can hit it up to the first that changes
+    it; only then its new text is looked at again, for the rules behind. The
+    result is that of the chain of all rules, at one round per change.
+    """
+    find = _candidates(rules)
+    patterns, values = _listed([_UNICODE + p for _, p, _ in rules], "string"), _listed([v for *_, v in rules], "string")
+    state = df.withColumns({"_next": F.lit(0), "_before": F.col(text), "_rule": F.lit(None).cast("int")})
+
+    def step(s, i):
+        new = F.regexp_replace(s["text"], F.element_at(patterns, i + 1), F.element_at(values, i + 1))
+        tried = F.transform(F.array(new), lambda t: F.struct(t.alias("text"), F.when(t != s["text"], i).alias("rule")))[0]
+        return F.when(s["rule"].isNotNull(), s).otherwise(tried)
+
+    while True:
+        start = F.struct(F.col(text).alias("text"), F.lit(None).cast("int").alias("rule"))
+        done = state.withColumn("_out", F.aggregate(find(F.col(text), F.col("_next")), start, step)).withColumns(
+            {"_before": F.col(text), text: F.col("_out.text"), "_rule": F.col("_out.rule"), "_next": F.coalesce(F.col("_out.rule") + 1, F.lit(len(rules)))})
+        done = cut_lineage(done.drop("_out"))
+        state = done.where("_rule IS NOT NULL")
+        yield done.where("_rule IS NULL"), state
+        if state.isEmpty():
+            return
+
+
+def apply_dictionary(df: DataFrame, text: str, rules: list[tuple[int, str, str]]) -> DataFrame:
+    """``df`` with all rules applied to ``text`` in line order; for dictionaries of thousands of lines."""
+    if not rules:
+        return df
+    return reduce(DataFrame.unionByName, [same.select(*df.columns) for same, _ in _replacement_rounds(df, text, rules)])
+
+
+def audit_dictionary(df: DataFrame, key: list[str], text: str, rules: list[tuple[int, str, str]]) -> DataFrame:
+    """:func:`replacement_audit` for dictionaries of thousands of lines: texts are kept once per change, not once per rule."""
+    lines, values = _listed([n for n, *_ in rules], "bigint"), _listed([v for *_, v in rules], "string")
+    rows = [changed.select(*key, F.element_at(lines, F.col("_rule") + 1).alias("line_no"), F.col("_before").alias("before"), F.col(text).alias("after"),
+                           F.element_at(values, F.col("_rule") + 1).alias("value")) for _, changed in _replacement_rounds(df.select(*key, text), text, rules)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- prompts and replies ----------------------------------------------------
 
 

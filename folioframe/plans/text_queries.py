@@ -124,6 +124,35 @@ def x25_replacement_audit(spark, sf):
     return audit.select("doc_id", "line_no", F.md5("before").alias("before"), F.md5("after").alias("after"), "value")
 
 
+# a dictionary made from words of the benchmark; a value holds words of later lines
+_WORD_RULES = """w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{10,}')) AS word FROM benchmark),
+ ru AS (SELECT row_number() OVER (ORDER BY word) AS n, word, lead(word, 3) OVER (ORDER BY word) || '+' AS value FROM w)"""
+
+
+def _word_rules(spark, sf):
+    """Lines of the dictionary, by word."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{10,})"))).alias("word")).distinct()
+    names = sorted(r.word for r in words.collect())  # a dictionary is configuration of the job
+    return [(i + 1, w, f"{names[i + 3]}+") for i, w in enumerate(names[:-3])]
+
+
+@query("x5_large_dictionary", sql=f"""WITH RECURSIVE {_WORD_RULES},
+ st AS (SELECT doc_id, text, 0::BIGINT AS n FROM documents UNION ALL SELECT doc_id, replace(text, word, value), st.n + 1 FROM st JOIN ru ON ru.n = st.n + 1 WHERE value IS NOT NULL)
+SELECT doc_id, md5(arg_max(text, n)) AS text FROM st GROUP BY doc_id""")
+def x5_large_dictionary(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return X.apply_dictionary(docs, "text", _word_rules(spark, sf)).select("doc_id", F.md5("text").alias("text"))
+
+
+@query("x25_large_dictionary_audit", sql=f"""WITH RECURSIVE {_WORD_RULES},
+ st AS (SELECT doc_id, text, 0::BIGINT AS n, NULL::VARCHAR AS before, NULL::VARCHAR AS value FROM documents
+  UNION ALL SELECT doc_id, replace(text, word, ru.value), st.n + 1, text, ru.value FROM st JOIN ru ON ru.n = st.n + 1 WHERE ru.value IS NOT NULL)
+SELECT doc_id, n AS line_no, md5(before) AS before, md5(text) AS after, value FROM st WHERE before <> text""")
+def x25_large_dictionary_audit(spark, sf):
+    audit = X.audit_dictionary(table(spark, sf, "documents"), ["doc_id"], "text", _word_rules(spark, sf))
+    return audit.select("doc_id", "line_no", F.md5("before").alias("before"), F.md5("after").alias("after"), "value")
+
+
 # --- prompts and replies ----------------------------------------------------
 
 

@@ -300,3 +300,38 @@ def test_settings_defaults(spark):
     got = S.parse_settings(spark.createDataFrame(rows, "value string")).collect()
     assert [r.ocr.prob for r in got] == [0.7, 0.2] and [r.detector.box_threshold for r in got] == [0.7, 0.7]
     assert got[1].inpainter.inpaint_color == [255, 255, 255]
+
+
+@pytest.mark.parametrize("pattern,literal", [("abc", "abc"), ("ab*cd", "cd"), ("ab+c", "ab"), ("a{2,3}bc", "bc"), ("(ab)?cde", "cde"), ("x|abc", ""), ("(?i)abc", ""), (r"\d+abc\.", "abc."),
+                                             ("[a[b]]xy", "xy"), (r"a\|bc", "a|bc"), ("", ""), ("a?", ""), (r"(a\)b){2,3}cd", "cd"), ("^end$", "end")])
+def test_literals_that_patterns_require(pattern, literal):
+    from folioframe.operators.translate import required_literal
+
+    assert required_literal(pattern) == literal
+
+
+def test_dictionary_of_5000_lines_equals_the_chain(spark):
+    import random
+    import re
+
+    from folioframe.operators import translate as X
+
+    rand = random.Random(7)
+    word = lambda: "".join(rand.choice("abcdefgh") for _ in range(rand.randint(4, 6)))
+    rules = []
+    for i in range(5000):
+        w = word()
+        rules.append((i, rand.choice([w, w, w[:2] + "+" + w[2:], w + "[0-9]?", f"({w})"]), rand.choice([word(), "", "e" + w[1:]])))
+    rules[10] = (10, "[0-9]{3}", "abcde")  # nothing to look for: tried on every text
+    texts = [" ".join(rand.choice([word(), str(rand.randint(0, 2000))]) for _ in range(rand.randint(0, 2))) for _ in range(40)] + ["", None]
+    want, trail = [], []
+    for k, text in enumerate(texts):
+        for n, pattern, value in rules if text else []:
+            new = re.sub(pattern, value, text)
+            if new != text:
+                trail.append((k, n, text, new, value))
+            text = new
+        want.append((k, text))
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    assert sorted(tuple(r) for r in X.apply_dictionary(df, "text", rules).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in X.audit_dictionary(df, ["k"], "text", rules).collect()) == sorted(trail)
