@@ -8,6 +8,8 @@ separate rows.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -111,6 +113,28 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def _release() -> None:
+    """Gives back what the allocators of a worker keep for later: workers live on, and others of the machine need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of Arrow batches that leaves little memory behind it, during and after a task."""
+
+    @functools.wraps(run)
+    def kept_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            pa.default_memory_pool().release_unused()
+        _release()
+
+    return kept_small
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """``work`` yields column dicts for a record batch; the schema is given once for Spark, once for Arrow."""
 
@@ -120,10 +144,9 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]], s
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type, from_pandas=False) for c, f in ((columns[f.name], f) for f in arrow_schema)],
                     schema=arrow_schema)
-        pa.default_memory_pool().release_unused()  # workers go on to other tasks
 
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

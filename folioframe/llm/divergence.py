@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import bounded_batches, byte_slices, hint_small, text_bytes, written
+from folioframe.llm.base import bounded_batches, byte_slices, hint_small, text_bytes, tidy, written
 
 #: Probabilities are integers, in this unit.
 UNIT = 1_000_000_000
@@ -85,7 +85,7 @@ def group_sums(docs: DataFrame) -> DataFrame:
                     pa.array(np.diff(np.append(heads, len(key))), pa.int64())], schema=schema)
 
     bounded_batches(docs.sparkSession)
-    summed = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, df long")
+    summed = docs.select("lang", "source", "text").mapInArrow(tidy(run), "lang string, source string, term string, n long, df long")
     return summed.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
@@ -142,7 +142,7 @@ def _common_terms(entries: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield from evaluate(*rest)
 
-    return entries.select("t", "g", "p", "zero").mapInArrow(run, "a long, b long, value long").groupBy("a", "b").agg(F.sum("value").alias("both"))
+    return entries.select("t", "g", "p", "zero").mapInArrow(tidy(run), "a long, b long, value long").groupBy("a", "b").agg(F.sum("value").alias("both"))
 
 
 def source_divergence(docs: DataFrame, min_df: int = 3, top: int = 200, lang_col: str = "lang", source_col: str = "source",

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.base import bounded_batches
+from folioframe.llm.base import bounded_batches, tidy
 
 ROUNDS = 10
 
@@ -311,7 +311,7 @@ def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text", chars_co
             yield pa.RecordBatch.from_arrays([*arrays, spans], names=[*columns, "pii_spans"])
 
     schema = T.StructType(docs.select(*columns).schema.fields).add("pii_spans", T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")))
-    out = docs.select(*columns).mapInArrow(run, schema)
+    out = docs.select(*columns).mapInArrow(tidy(run), schema)
     if chars_col is None:
         return out
     length = F.length(text_col).cast(docs.schema[chars_col].dataType)

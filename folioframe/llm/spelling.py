@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import bounded_batches, byte_slices, text_bytes, written
+from folioframe.llm.base import bounded_batches, byte_slices, text_bytes, tidy, written
 
 SLICE_BYTES = 8_000_000
 _MASK = (1 << 64) - 1
@@ -132,7 +132,7 @@ def word_counts(docs: DataFrame, least_length: int, divisor: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in more], pa.string()), pa.array([n for _, n in more], pa.int64())], schema=schema)
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def symbols_for(words: int, least: int = 4, most: int = 16, length: int = 7) -> int:
@@ -193,7 +193,7 @@ def near_words(words: DataFrame, symbols: int) -> DataFrame:
                         rows = pa.array(of)
                         yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(rows), part.column(1).take(rows)], schema=schema)
 
-        return words.select("word", "n").mapInArrow(run, "key long, word string, n long")
+        return words.select("word", "n").mapInArrow(tidy(run), "key long, word string, n long")
 
     known = written(keys(True), "reduced")
     there = known.hint("merge").alias("b")  # the vocabulary grows with the corpus: it is never broadcast

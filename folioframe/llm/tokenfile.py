@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import bounded_batches, byte_slices, in_files, key_columns, shared_path, written
+from folioframe.llm.base import bounded_batches, byte_slices, in_files, key_columns, shared_path, tidy, written
 from folioframe.llm.packing import word_token_ids
 
 MAGIC = b"idplanes"
@@ -243,7 +243,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "path", "documents", "ids"), d)) for d in done], schema=pa.schema(
             [("file", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
-    files = written(dealt.mapInArrow(run, "file long, path string, documents long, ids long"), "files")
+    files = written(dealt.mapInArrow(tidy(run), "file long, path string, documents long, ids long"), "files")
     # sums over files, by parts: no list of all files is sorted in one task
     inside, parts = Window.partitionBy("part").orderBy("file"), Window.orderBy("part")
     files = files.withColumn("part", F.expr("shiftright(file, 36)"))
@@ -284,4 +284,4 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
     number = max(1, files.count())
     spark_schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return files.select("path", "before").repartition(number).mapInArrow(run, spark_schema)
+    return files.select("path", "before").repartition(number).mapInArrow(tidy(run), spark_schema)

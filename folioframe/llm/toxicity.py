@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.base import WordValues, bounded_batches, byte_slices, few_by_hash, hash_order, slices
+from folioframe.llm.base import WordValues, bounded_batches, byte_slices, few_by_hash, hash_order, slices, tidy
 
 _LOG = logging.getLogger(__name__)
 WORD = re.compile(r"\w+")
@@ -389,7 +389,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, settings: Train
             rows.clear()
             yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, bad, prior, settings))]}, schema=pa.schema([("model", pa.binary())]))
 
-    out = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    out = sample.coalesce(1).mapInArrow(tidy(run), "model binary").collect()
     return pickle.loads(out[0]["model"]) if out else None
 
 
@@ -439,7 +439,7 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id",
                     names=["doc_id", "score", "predicted", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
 def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
@@ -458,4 +458,4 @@ def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text") ->
                     part = part.filter(pa.array(scores < 0.5))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
