@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.session import broadcast_if_small
+from folioframe.session import broadcast_if_few, cut_lineage
 
 # ISO 639-1, ISO 639-3 and the English name.
 LANGUAGES = (
@@ -74,19 +74,29 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     return grams.join(total, lang).select(F.col(lang).alias("lang"), "gram", weight.alias("weight")).where("weight > 0")
 
 
-def detect_language(df: DataFrame, profiles: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Add ``language``: by script, else the profile with the highest score.
+def best_language(df: DataFrame, profiles: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """``best``, the highest ``(score, lang)`` of all texts of a key together; keys without a known trigram get no row.
 
-    Only trigrams of a profile leave the join, and their scores are summed before
-    the shuffle: at most one row per text and language moves.
+    Profiles are bounded, so trigrams meet them where the texts are and only one
+    row per key and language moves. Profiles of very many languages are shuffled,
+    and so are the trigrams, counted per key.
     """
-    profile = broadcast_if_small(profiles)
-    scored = (
-        df.select(*key, F.explode(_words(F.col(text))).alias("word"))
-        .select(*key, F.explode(_grams(F.col("word"))).alias("gram"))
-        .join(profile, "gram")
-        .groupBy(*key, "lang").agg(F.sum("weight").alias("score"))
+    profiles = cut_lineage(profiles)
+    profile = broadcast_if_few(profiles)
+    grams = df.select(*key, F.explode(_words(F.col(text))).alias("word")).select(*key, F.explode(_grams(F.col("word"))).alias("gram"))
+    if profile is profiles:
+        grams = grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
+        weight = F.col("n") * F.col("weight")
+    else:
+        weight = F.col("weight")
+    return (
+        grams.join(profile, "gram").groupBy(*key, "lang").agg(F.sum(weight).alias("score"))
         .groupBy(*key).agg(F.max(F.struct("score", "lang")).alias("best"))
     )
+
+
+def detect_language(df: DataFrame, profiles: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Add ``language``: by script, else the profile with the highest score."""
+    scored = best_language(df, profiles, key, text)
     return df.join(scored, key, "left").withColumn(
         "language", F.coalesce(script_language(F.col(text)), F.col("best.lang"))).drop("best")
