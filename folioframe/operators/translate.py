@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import language as L
 from folioframe.functions import text as T
 from folioframe.operators.ranking import ranked
-from folioframe.session import broadcast_if_small, cut_lineage
+from folioframe.session import broadcast_if_few, cut_lineage
 
 #: Word characters, digits and word boundaries of a pattern are Unicode ones.
 _UNICODE = "(?U)"
@@ -296,7 +296,7 @@ def with_route(df: DataFrame, routes: DataFrame, lang: str = "language") -> Data
     """Add ``steps``: the language's own step list, else the default's."""
     step = F.struct("step", "translator", "target")
     lists = routes.groupBy("src_lang").agg(F.sort_array(F.collect_list(step)).alias("_steps"))
-    own = broadcast_if_small(lists.where("src_lang IS NOT NULL"))
+    own = broadcast_if_few(lists.where("src_lang IS NOT NULL"))
     default = lists.where("src_lang IS NULL").select("_steps").first()
     base = default["_steps"] if default else []
     fallback = F.array(*[
@@ -311,16 +311,10 @@ def joined_language(df: DataFrame, group: list[str], order: list[str], profiles:
 
     Scores add up over the texts, so the group is never put into one string.
     """
-    profile = broadcast_if_small(profiles)
     script = df.groupBy(*group).agg(F.max(F.struct(
         F.when(L.script_language(F.col(text)).isNull(), 0).otherwise(1).alias("has"),
         L.script_language(F.col(text)).alias("s"))).alias("_script"))
-    scores = (
-        df.select(*group, F.explode(L._words(F.col(text))).alias("word"))
-        .select(*group, F.explode(L._grams(F.col("word"))).alias("gram"))
-        .join(profile, "gram").groupBy(*group, "lang").agg(F.sum("weight").alias("score"))
-        .groupBy(*group).agg(F.max(F.struct("score", "lang")).alias("best"))
-    )
+    scores = L.best_language(df, profiles, group, text)
     return script.join(scores, group, "left").select(
         *group, F.coalesce("_script.s", "best.lang").alias("language"))
 
