@@ -44,14 +44,15 @@ def unload(name: str) -> None:
         del _LOADED[key]
 
 
-def run_model(df: DataFrame, name: str, loader: Callable[[], Callable], schema: str) -> DataFrame:
-    """Apply a loaded batch function ``fn(frame) -> frame`` to every batch."""
+def run_model(df: DataFrame, name: str, loader: Callable[[], Callable], schema: str, rows: int | None = None) -> DataFrame:
+    """Apply a loaded batch function ``fn(frame) -> frame`` to every batch, in pieces of at most ``rows`` rows if given."""
     identity = _identity(loader)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_once(name, loader, identity)
         for batch in batches:
-            yield model(batch)
+            for first in range(0, max(len(batch), 1), rows or max(len(batch), 1)):
+                yield model(batch.iloc[first:first + rows].reset_index(drop=True) if rows else batch)
 
     return df.mapInPandas(run, schema)
 
@@ -123,12 +124,17 @@ def inpaint(pixels: DataFrame, loader, schema: str, name: str = "inpainter", mas
     return run_grouped(pixels, unit, ["y", "x"], name, loader, schema)
 
 
+#: Pixels of the tiles that the upscaler gets at once, before they grow.
+TILE_PIXELS = 1 << 17
+
+
 def upscale(tiles: DataFrame, loader, size: int, name: str = "upscaler") -> DataFrame:
-    """Tiles in, enlarged tiles out; a tile is bounded by its size."""
+    """Tiles in, enlarged tiles out; a tile is bounded by its size, and so is what the model gets at once."""
     packed = tiles.groupBy("page_id", "tile_y", "tile_x").agg(
         F.sort_array(F.collect_list(F.struct("ty", "tx", "v"))).alias("px"))
     flat = packed.select("page_id", "tile_y", "tile_x", F.col("px.ty").alias("ty"), F.col("px.tx").alias("tx"), F.col("px.v").alias("v"))
-    out = run_model(flat, name, loader, "page_id bigint, tile_y bigint, tile_x bigint, ty array<bigint>, tx array<bigint>, v array<bigint>")
+    out = run_model(flat, name, loader, "page_id bigint, tile_y bigint, tile_x bigint, ty array<bigint>, tx array<bigint>, v array<bigint>",
+                    rows=max(1, TILE_PIXELS // (size * size)))
     return out.select("page_id", "tile_y", "tile_x", F.inline(F.arrays_zip("ty", "tx", "v")))
 
 
