@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,15 +157,55 @@ def _banded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("band", F.explode(F.sequence(at("lo"), at("hi"))))
 
 
+#: Pages of up to so many panels are searched as one row each.
+FEW_PANELS = 32
+
+
+def _neighbours_by_page(panels: DataFrame) -> DataFrame:
+    """:func:`neighbours` of pages with few panels: every panel against the list of its page, one shuffle."""
+    whole = panels.groupBy("page_id").agg(F.collect_list(F.struct("panel_id", *EDGES)).alias("_all"))
+    rows = whole.select("page_id", "_all", F.explode("_all").alias("_p"))
+    # copies of an id share what any of them finds
+    rows = rows.withColumn("_own", F.filter("_all", lambda c: c["panel_id"] == F.col("_p.panel_id")))
+
+    def nearest(lo, hi, edge, most, sign) -> Column:
+        of = lambda box, c: box[c].cast("bigint")
+
+        def found(c):
+            known = lambda box: box[lo].isNotNull() & box[hi].isNotNull()
+            hit = F.filter("_all", lambda q: (edge(q) <= most(c)) & (c["panel_id"] != q["panel_id"]) & known(c) & known(q) & _same_band(of(c, lo), of(c, hi), of(q, lo), of(q, hi)))
+            return F.transform(hit, lambda q: F.struct(edge(q).alias("edge"), (sign * of(q, "panel_id")).alias("tie"), q.alias("box")))
+
+        return F.array_max(F.flatten(F.transform("_own", found)))["box"]
+
+    at = lambda c, sign=1, less=0: lambda box: (sign * box[c] - less).cast("bigint")
+    return rows.select(
+        "page_id", "_p.*", nearest("x", "r", at("b"), at("y", 1, 1), 1).alias("top"), nearest("y", "b", at("r"), at("x"), 1).alias("left"),
+        nearest("y", "b", at("x", -1), at("r", -1), -1).alias("right"), nearest("x", "r", at("y", -1), at("b", -1), -1).alias("bottom"))
+
+
 def neighbours(panels: DataFrame) -> DataFrame:
     """Nearest panel on every side: ``top, left, right, bottom`` ids and edges.
 
+    A page with few panels is one row; those of a crowded one meet in bands.
+    """
+    panels = cut_lineage(panels.select(*_BOX))
+    pages = cut_lineage(panels.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")))
+    few = (F.col("_n") <= FEW_PANELS) & F.col("page_id").isNotNull()
+    light = _neighbours_by_page(panels.join(pages.where(few).select("page_id"), "page_id", "left_semi"))
+    if pages.where(~few).isEmpty():
+        return light
+    return light.unionByName(_neighbours_by_bands(cut_lineage(panels.join(pages.where(few).select("page_id"), "page_id", "left_anti"))))
+
+
+def _neighbours_by_bands(panels: DataFrame) -> DataFrame:
+    """:func:`neighbours` of crowded pages.
+
     A panel asks in the two slabs of its bands that lie before its own edge.
     Whatever is found there is nearer than all else; who finds nothing asks in
     larger slabs. Slabs in which no edge is low enough are not asked, so a panel
     meets few others even where a page holds very many.
     """
-    panels = cut_lineage(panels.select(*_BOX))
     sides = cut_lineage(_banded(_sides(panels)))
     low = sides.groupBy("page_id", "side", "band").agg(F.min("edge").alias("_low"))
     slim = ["page_id", "side", "band", "panel_id", "lo", "hi", "most"]
@@ -307,19 +348,31 @@ def clusters(boxes: DataFrame) -> DataFrame:
 _CLUSTER = ArrayType(StructType([StructField(n, LongType()) for n in ("panel_id", *EDGES)]))
 
 
+def _few_on_page(panels: DataFrame) -> DataFrame:
+    """Pages of few panels without a null, which may be one row: ``(page_id, _few)`` for every page."""
+    n = F.count(F.lit(1))
+    return panels.groupBy("page_id").agg((F.col("page_id").isNotNull() & (n <= FEW_PANELS) & (F.count_if(reduce(Column.__or__, [F.col(c).isNull() for c in _BOX])) == 0)).alias("_few"))
+
+
 def _fold_clusters(panels: DataFrame, fold) -> DataFrame:
+    """A page of few panels is folded as a whole, a crowded one cluster by cluster; panels that never meet change nothing."""
     @F.pandas_udf(_CLUSTER)
-    def folded(rows: pd.Series) -> pd.Series:
+    def folded(ids: pd.Series, xs: pd.Series, ys: pd.Series, rs: pd.Series, bs: pd.Series) -> pd.Series:
         out = []
-        for cluster in rows:
-            boxes = fold([[int(b[e]) for e in EDGES] for b in cluster])
-            out.append([{"panel_id": int(b["panel_id"]), **dict(zip(EDGES, box))} for b, box in zip(cluster, boxes) if box is not None])
+        for i, *sides in zip(ids, xs, ys, rs, bs):
+            boxes = fold([list(box) for box in zip(*(side.tolist() for side in sides))])
+            out.append([{"panel_id": k, **dict(zip(EDGES, box))} for k, box in zip(i.tolist(), boxes) if box is not None])
         return pd.Series(out)
 
-    grouped = clusters(panels.select(*[F.col(c).cast("bigint").alias(c) for c in _BOX]))
-    packed = cut_lineage(grouped.groupBy("page_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("panel_id", *EDGES))).alias("boxes")))
+    panels = cut_lineage(panels.select(*[F.col(c).cast("bigint").alias(c) for c in _BOX]))
+    pages = cut_lineage(_few_on_page(panels))
+    parts = [panels.join(pages.where("_few").select("page_id"), "page_id", "left_semi").groupBy("page_id")]
+    if not pages.where("NOT _few").isEmpty():
+        parts.append(clusters(panels.join(pages.where("_few").select("page_id"), "page_id", "left_anti")).groupBy("page_id", "cluster"))
+    packed = [part.agg(F.sort_array(F.collect_list(F.struct("panel_id", *EDGES))).alias("boxes")).select("page_id", "boxes") for part in parts]
+    packed = cut_lineage(reduce(DataFrame.unionByName, packed))
     alone = packed.where(F.size("boxes") == 1).select("page_id", F.inline("boxes"))
-    return alone.unionByName(packed.where(F.size("boxes") > 1).select("page_id", F.inline(folded("boxes"))))
+    return alone.unionByName(packed.where(F.size("boxes") > 1).select("page_id", F.inline(folded(*[F.col(f"boxes.{c}") for c in _BOX[1:]]))))
 
 
 def merge_contained(panels: DataFrame) -> DataFrame:
@@ -401,13 +454,80 @@ def expand(panels: DataFrame) -> DataFrame:
     return pages.select("page_id", F.inline(grown))
 
 
+#: Segments of a page up to which its panels are grouped as one row.
+FEW_SEGMENTS = 4096
+
+_GROUPED = ArrayType(StructType([StructField(n, LongType()) for n in ("panel_id", *EDGES, "pos")]))
+
+
+def _group_page(ids: list[int], boxes: np.ndarray, segments: np.ndarray) -> list[dict]:
+    """Panels of one page in their order, of which the first free pair is joined until there is none; ``boxes`` and ``segments`` are rows x, y, r, b."""
+    area = lambda p: (p[..., 2] - p[..., 0]) * (p[..., 3] - p[..., 1])
+    diagonal = lambda p: np.sqrt(((p[..., 2] - p[..., 0]) ** 2 + (p[..., 3] - p[..., 1]) ** 2).astype("float64"))
+
+    def over(p, q):
+        low, high = np.maximum(p[..., :2], q[..., :2]), np.minimum(p[..., 2:], q[..., 2:])
+        w, h = high[..., 0] - low[..., 0], high[..., 1] - low[..., 1]
+        small = np.minimum(area(p), area(q))
+        return (w >= 0) & (h >= 0) & ((small == 0) | (w * h * 10 > small))
+
+    def equal(o, p):
+        reach = np.stack([o[..., 2] - o[..., 0], o[..., 3] - o[..., 1]] * 2, axis=-1) / 10.0
+        return (np.abs(o - p) < reach).all(axis=-1)
+
+    place, length = list(range(1, len(ids) + 1)), diagonal(segments)
+    while len(ids) > 1:
+        i, j = np.triu_indices(len(ids), 1)
+        p, q = boxes[i], boxes[j]
+        u = np.concatenate([np.minimum(p[:, :2], q[:, :2]), np.maximum(p[:, 2:], q[:, 2:])], axis=1)
+        one, other, both, o = p[:, None], q[:, None], u[:, None], boxes[None]
+        free = np.nonzero(~(over(both, o) & ~equal(o, one) & ~equal(o, other) & ~equal(o, both)).any(axis=1))[0]
+        pick = next((k for k in free if not (over(u[k], segments) & (length > diagonal(u[k]) / 5.0)).any()), None)
+        if pick is None:
+            break
+        a, b = int(i[pick]), int(j[pick])
+        rest = [k for k in range(len(ids)) if k not in (a, b)]
+        boxes = np.concatenate([boxes[rest], u[pick:pick + 1]])
+        ids, place = [ids[k] for k in rest] + [min(ids[a], ids[b])], [place[k] for k in rest] + [max(place) + 1]
+    return [{"panel_id": k, **dict(zip(EDGES, box)), "pos": n} for k, box, n in zip(ids, boxes.tolist(), place)]
+
+
+@F.pandas_udf(_GROUPED)
+def _group_pages(ids: pd.Series, xs: pd.Series, ys: pd.Series, rs: pd.Series, bs: pd.Series,
+                 sx: pd.Series, sy: pd.Series, sr: pd.Series, sb: pd.Series) -> pd.Series:
+    box = lambda *sides: np.stack(sides, axis=1).astype("int64")
+    return pd.Series([_group_page(i.tolist(), box(*sides[:4]), box(*sides[4:])) for i, *sides in zip(ids, xs, ys, rs, bs, sx, sy, sr, sb)])
+
+
 def group_big(panels: DataFrame, segments: DataFrame) -> DataFrame:
     """Join two panels when the box around both bumps into no third panel.
 
     A box that holds a long segment (over a fifth of its diagonal) stays split.
-    Every round joins the first such pair of every page; a page without one is
-    done and drops out of the following rounds.
+    Each joined pair depends on those before it: a page of few panels and
+    segments is one row, crowded pages go through rounds of joins in step.
+    """
+    panels = cut_lineage(panels.select(*[F.col(c).cast("bigint").alias(c) for c in _BOX]))
+    proper = F.count_if((F.col("r") < F.col("x")) | (F.col("b") < F.col("y"))) == 0
+    single = panels.groupBy("page_id").agg((proper & (F.count_distinct("panel_id") == F.count(F.lit(1)))).alias("_single"))
+    crowded = segments.groupBy("page_id").count().where(F.col("count") > FEW_SEGMENTS).select("page_id")
+    pages = cut_lineage(_few_on_page(panels).join(single, "page_id").where("_few AND _single").select("page_id").join(crowded, "page_id", "left_anti"))
+    lines = segments.select("page_id", F.struct(F.least("ax", "bx").alias("x"), F.least("ay", "by").alias("y"), F.greatest("ax", "bx").alias("r"), F.greatest("ay", "by").alias("b")).alias("s"))
+    lines = lines.join(pages, "page_id", "left_semi").where(reduce(Column.__and__, [F.col(f"s.{e}").isNotNull() for e in EDGES]))
+    lines = lines.groupBy("page_id").agg(F.collect_list("s").alias("_lines"))
+    boxes = panels.join(pages, "page_id", "left_semi").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*_BOX[1:]))).alias("_boxes"))
+    none = F.array().cast("array<bigint>")
+    grouped = _group_pages(*[F.col(f"_boxes.{c}") for c in _BOX[1:]], *[F.coalesce(F.col(f"_lines.{e}").cast("array<bigint>"), none) for e in EDGES])
+    light = boxes.join(lines, "page_id", "left").select("page_id", F.inline(grouped))
+    rest = cut_lineage(panels.join(pages, "page_id", "left_anti"))
+    return light if rest.isEmpty() else light.unionByName(_group_by_rounds(rest, segments.join(rest.select("page_id").distinct(), "page_id", "left_semi")))
+
+
+def _group_by_rounds(panels: DataFrame, segments: DataFrame) -> DataFrame:
+    """:func:`group_big` of crowded pages: every round joins the first free pair of every page.
+
+    A page without one is done and drops out of the following rounds.
     """
+    segments = cut_lineage(segments)
     done = []
     # what stands next to a panel rules most pairs out; a merged panel has the blockers of both, less itself
     near = neighbours(panels)
