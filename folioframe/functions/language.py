@@ -74,16 +74,33 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     return grams.join(total, lang).select(F.col(lang).alias("lang"), "gram", weight.alias("weight")).where("weight > 0")
 
 
+#: Languages up to which a trigram meets the weights of all of them in one row.
+MANY_LANGUAGES = 64
+
+
+def _best_of_few(grams: DataFrame, profiles: DataFrame, key: list[str], langs: list[str | None]) -> DataFrame:
+    """:func:`best_language` with one row per trigram, whose columns are the weights of the languages; a language never met has no sum."""
+    own = [F.sum(F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.col("weight"))).alias(f"_w{i}") for i, lang in enumerate(langs)]
+    wide = F.broadcast(cut_lineage(profiles.groupBy("gram").agg(*own)))
+    sums = grams.join(wide, "gram").groupBy(*key).agg(*[F.sum(f"_w{i}").alias(f"_w{i}") for i in range(len(langs))])
+    scores = F.array(*[F.when(F.col(f"_w{i}").isNotNull(), F.struct(F.col(f"_w{i}").alias("score"), F.lit(lang).cast("string").alias("lang"))) for i, lang in enumerate(langs)])
+    return sums.select(*key, F.array_max(F.array_compact(scores)).alias("best"))
+
+
 def best_language(df: DataFrame, profiles: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``best``, the highest ``(score, lang)`` of all texts of a key together; keys without a known trigram get no row.
 
     Profiles are bounded, so trigrams meet them where the texts are and only one
-    row per key and language moves. Profiles of very many languages are shuffled,
-    and so are the trigrams, counted per key.
+    row per key moves, with a sum for each language. Profiles of very many languages
+    are shuffled, and so are the trigrams, counted per key.
     """
     profiles = cut_lineage(profiles)
     profile = broadcast_if_few(profiles)
     grams = df.select(*key, F.explode(_words(F.col(text))).alias("word")).select(*key, F.explode(_grams(F.col("word"))).alias("gram"))
+    if profile is not profiles:
+        langs = profiles.groupBy("lang").agg(F.bool_or(F.col("weight").isNull()).alias("unknown")).limit(MANY_LANGUAGES + 1).collect()
+        if 0 < len(langs) <= MANY_LANGUAGES and not any(r.unknown for r in langs):
+            return _best_of_few(grams, profiles, key, [r.lang for r in langs])
     if profile is profiles:
         grams = grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
         weight = F.col("n") * F.col("weight")

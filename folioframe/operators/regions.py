@@ -278,7 +278,8 @@ def merge_regions(
     """
     kept = filters.min_probability(lines, prob)
     blocks = text_blocks(_with_regions(kept, limit, cell))
-    blocks = blocks.withColumn("text", T.repair_brackets(T.strip(F.col("text"))))
+    # written here: the merge runs once, and a text is repaired once and not in every test of the filters and the detection
+    blocks = cut_lineage(blocks.withColumn("text", G.let(T.strip(F.col("text")), lambda t: T.repair_brackets(t))))
     reason = filters.drop_reason(F.col("text"), min_text_length, remove_text, remove_mode)
     blocks = blocks.where(reason.isNull())
     if profiles is None:

@@ -359,6 +359,7 @@ def with_joined_language(blocks: DataFrame, profiles: DataFrame, group: list[str
 
 def _translated(df: DataFrame, name: str, translator, active: Column) -> DataFrame:
     """``_current`` by ``translator(texts, source, target)`` where the step names it; each distinct text once per pair of languages."""
+    df = cut_lineage(df)  # read twice below: the steps before must not run twice
     source, target = F.col("language"), F.col("_step.target")
     use = F.coalesce(active & (F.col("_step.translator") == name), F.lit(False))
     todo = df.where(use).select(F.col("_current").alias("_src"), source.alias("_from"), target.alias("_to")).distinct()

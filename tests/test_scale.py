@@ -91,3 +91,25 @@ def test_upscaler_gets_bounded_pieces(spark, monkeypatch):
         return model
 
     assert {(r.page_id, r.v) for r in U.upscale(tiles, loader, 2, "bounded").collect()} == {(i, i) for i in range(40)}
+
+
+def test_merged_blocks_are_written_before_their_language_is_found(spark):
+    from folioframe.functions import geometry as G
+    from folioframe.functions import language as L
+    from folioframe.operators.regions import merge_regions
+
+    texts = spark.createDataFrame([("the house and the dog", "en"), ("das haus und der hund", "de"), ("der die das und", None)], "text string, lang string")
+    profiles = L.train_profiles(texts)
+    found = {r.text: r.best.lang for r in L.best_language(texts.where("lang IS NOT NULL"), profiles, ["text"]).collect()}
+    assert found == {"the house and the dog": "en", "das haus und der hund": "de"}
+    weight = {(r.gram, r.lang): r.weight for r in profiles.collect()}
+    for r in L.best_language(texts, profiles, ["text"]).collect():
+        grams = [w[i:i + 3] for w in (f" {w} " for w in r.text.split()) for i in range(len(w) - 2)]
+        assert r.best.score == max(sum(weight.get((g, lang), 0) for g in grams) for lang in ("en", "de"))
+    lines = spark.range(3).selectExpr("id AS quad_id", "0L AS page_id", "'(the house]' AS text", "0.9D AS score", "0.9D AS prob",
+                                      "CAST(NULL AS array<smallint>) AS fg", "CAST(NULL AS array<smallint>) AS bg", "id * 300 AS x")
+    from pyspark.sql import functions as F
+    lines = lines.withColumn("pts", G.box_quad(F.col("x"), F.lit(10).cast("bigint"), F.lit(80).cast("bigint"), F.lit(20).cast("bigint"))).drop("x")
+    blocks = merge_regions(lines, profiles=profiles, skip_languages=["es"])
+    assert {(r.text, r.language, r.skip_translate) for r in blocks.collect()} == {("(the house)", "en", False)}
+    assert "regexp_replace" not in blocks._jdf.queryExecution().optimizedPlan().toString()
