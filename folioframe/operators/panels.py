@@ -669,9 +669,104 @@ def _line_offset(s, px, py) -> Column:
     return F.when(s("len") == 0, away).otherwise(F.try_divide(cross, s("len")))
 
 
+#: Segments of a page up to which its collinear ones are found in one row.
+FEW_TO_PAIR = 512
+
+
+#: Pairs of segments that are tested together.
+PAIRS_AT_ONCE = 1 << 19
+
+
+def _collinear(page: np.ndarray, ids: np.ndarray, ends: np.ndarray, gutter: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of :func:`collinear_pairs` among segments ``(ax, ay, bx, by)`` sorted by page, as positions."""
+    count = np.bincount(page)
+    n, first = count[page], (np.cumsum(count) - count)[page]
+    i = np.repeat(np.arange(len(page)), n)
+    j = np.arange(len(i)) + np.repeat(first - (np.cumsum(n) - n), n)
+    i, j = (p[ids[i] < ids[j]] for p in (i, j))
+    ax, ay, bx, by = ends
+    length = lambda dx, dy: np.sqrt(dx.astype("float64") ** 2 + dy.astype("float64") ** 2)
+    size = length(ax - bx, ay - by)
+    angle = np.arctan2((by - ay).astype("float64"), (bx - ax).astype("float64"))
+    turn = np.abs(angle[i] - angle[j])
+    straight = (turn < np.radians(10.0)) | (np.abs(turn - np.pi) < np.radians(10.0))
+    i, j = i[straight], j[straight]
+    limit = np.maximum(size[i], size[j]) * 0.05
+    gap = lambda p, q: np.maximum(np.minimum(p, q)[i] - np.maximum(p, q)[j], np.minimum(p, q)[j] - np.maximum(p, q)[i])
+    near = (gap(ax, bx) <= limit) & (gap(ay, by) <= limit)
+    i, j = i[near], j[near]
+
+    def off(s, px, py):
+        cross = np.abs((bx[s] - ax[s]) * (py - ay[s]) - (by[s] - ay[s]) * (px - ax[s])).astype("float64")
+        return np.where(size[s] == 0, length(px - ax[s], py - ay[s]), cross / np.where(size[s] == 0, 1.0, size[s]))
+
+    on = (off(i, ax[j], ay[j]) + off(i, bx[j], by[j]) + off(j, ax[i], ay[i]) + off(j, bx[i], by[i])) / 4.0 <= gutter
+    return i[on], j[on]
+
+
+def _smallest_reached(page: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest id of its page that each position reaches over the pairs; equal ids are one vertex."""
+    order = np.lexsort((ids, page))
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (page[order][1:] != page[order][:-1])
+    at = np.empty(len(ids), dtype=np.int64)
+    at[order] = np.cumsum(fresh) - 1
+    names = ids[order][fresh]
+    low, i, j = np.arange(len(names)), at[i], at[j]
+    while (low[i] != low[j]).any():
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        for end in (low[i], low[j]):
+            np.minimum.at(new, end, least)
+        low = new[new]
+    while (low[low] != low).any():
+        low = low[low]
+    return names[low][at]
+
+
+def _united_pages(segments: DataFrame, gutter: float) -> DataFrame:
+    """Segments of pages of few with their ``component``: a page is one row, many pages are searched at once."""
+    @F.pandas_udf("array<bigint>")
+    def united(ids: pd.Series, axs: pd.Series, ays: pd.Series, bxs: pd.Series, bys: pd.Series) -> pd.Series:
+        n = ids.map(len).to_numpy()
+        out = []
+        for _, rows in pd.Series(range(len(ids))).groupby(np.cumsum(n * n) // PAIRS_AT_ONCE):
+            part = slice(rows.iloc[0], rows.iloc[-1] + 1)
+            page = np.repeat(np.arange(len(rows)), n[part])
+            key, *ends = (np.concatenate(c.iloc[part].tolist()).astype(np.int64) for c in (ids, axs, ays, bxs, bys))
+            found = _smallest_reached(page, key, *_collinear(page, key, np.stack(ends), gutter))
+            out += np.split(found, np.cumsum(n[part])[:-1])
+        return pd.Series(out)
+
+    item = F.struct("seg_id", "ax", "ay", "bx", "by")
+    packed = segments.groupBy("page_id").agg(F.collect_list(item).alias("_s"))
+    labels = united(*[F.col(f"_s.{c}") for c in ("seg_id", "ax", "ay", "bx", "by")])
+    rows = packed.select("page_id", F.explode(F.arrays_zip(F.col("_s").alias("s"), labels.alias("component"))).alias("z"))
+    return rows.select("page_id", "z.s.*", "z.component")
+
+
+def _united(segments: DataFrame, gutter: float) -> DataFrame:
+    """Segments with their ``component``: a page of few is one row, a crowded one takes rounds of joins."""
+    columns = ["seg_id", "ax", "ay", "bx", "by"]
+    segments = segments.select("page_id", *columns)
+    if any(segments.schema[c].dataType.typeName() not in ("long", "integer", "short", "byte") for c in columns):
+        return connected_components(segments, collinear_pairs(segments, gutter), node="seg_id")
+    null = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
+    few = F.col("page_id").isNotNull() & (F.count(F.lit(1)) <= FEW_TO_PAIR) & (F.count_if(null) == 0)
+    pages = cut_lineage(segments.groupBy("page_id").agg(few.alias("_few")))
+    crowded = pages.where("NOT _few").select("page_id")
+    if crowded.isEmpty():
+        return _united_pages(segments, gutter)
+    here = F.col("page_id").eqNullSafe(F.col("_page"))
+    crowded = crowded.withColumnRenamed("page_id", "_page")
+    rest = cut_lineage(segments.join(crowded, here, "left_semi"))
+    light = _united_pages(segments.join(crowded, here, "left_anti"), gutter)
+    return light.unionByName(connected_components(rest, collinear_pairs(rest, gutter), node="seg_id"))
+
+
 def union_segments(segments: DataFrame, gutter: float) -> DataFrame:
     """Merge collinear segments; the union spans their outermost end points."""
-    grouped = connected_components(segments, collinear_pairs(segments, gutter), node="seg_id")
+    grouped = _united(segments, gutter)
     wide = F.abs(F.col("bx") - F.col("ax")) >= F.abs(F.col("by") - F.col("ay"))
     ends = grouped.select("page_id", "component", F.col("seg_id"), wide.alias("wide"), F.explode(F.array(
         F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e"))

@@ -113,3 +113,25 @@ def test_merged_blocks_are_written_before_their_language_is_found(spark):
     blocks = merge_regions(lines, profiles=profiles, skip_languages=["es"])
     assert {(r.text, r.language, r.skip_translate) for r in blocks.collect()} == {("(the house)", "en", False)}
     assert "regexp_replace" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_of_few_segments_are_united_without_a_join(spark, monkeypatch):
+    import random
+
+    from folioframe.operators import panels as P
+
+    rng = random.Random(5)
+    rows = []
+    for page in range(12):
+        for i in range(rng.randint(1, 40)):
+            x, y = rng.randint(0, 60), rng.randint(0, 6)
+            rows.append((page, i if i % 9 else 0, x, y, x + rng.choice([0, 1, 12, 30]), y + rng.choice([0, 0, 1, 25])))
+    df = spark.createDataFrame(rows + [(None, 1, 0, 0, 9, 0), (None, 2, 8, 0, 30, 0), (99, 1, 0, 0, None, 0)],
+                               "page_id bigint, seg_id bigint, ax bigint, ay bigint, bx bigint, by bigint")
+    united = lambda d: sorted(map(tuple, P.union_segments(d, 6.0).collect()), key=str)
+    by_page, few = united(df), united(df.where("page_id < 50"))
+    monkeypatch.setattr(P, "FEW_TO_PAIR", 0)
+    assert united(df) == by_page
+    monkeypatch.undo()
+    monkeypatch.setattr(P, "box_join", None)
+    assert united(df.where("page_id < 50")) == few
