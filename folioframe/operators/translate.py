@@ -104,8 +104,20 @@ def required_literal(pattern: str) -> str:
     return max([*runs, run], key=len)
 
 
+def _plain(pattern: str, value: str) -> bool:
+    """Whether a rule replaces one literal text by another: no sign of either has a meaning of its own."""
+    return bool(pattern) and not re.search(r"[\\^$.|?*+()\[\]{}]", pattern) and not re.search(r"[\\$]", value)
+
+
 def _candidates(rules: list[tuple[int, str, str]]):
-    """Function of texts and first rules: the numbers of the rules that can hit a text, by one pass over it."""
+    """Function of texts and first rules: what rules of plain texts change, and the rules that may change the text next.
+
+    Rules are followed in line order; a plain one is done where it stands, as
+    often as its change lets others hit, up to the first that is a pattern and
+    can hit. ``rules`` are the numbers of that one and of those behind it that
+    can hit; ``before`` and ``after`` are the texts around each change.
+    """
+    plain = [_plain(pattern, value) for _, pattern, value in rules]
     literals = [required_literal(pattern) for _, pattern, _ in rules]
     always = [i for i, literal in enumerate(literals) if not literal]
 
@@ -119,15 +131,27 @@ def _candidates(rules: list[tuple[int, str, str]]):
             trie.make_automaton()
         return trie
 
-    @F.pandas_udf("array<int>")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def hits(trie, text: str, first: int) -> list[int]:
+        found = {i for _, numbers in trie.iter(text) for i in numbers} if text and len(trie) else set()
+        return sorted(i for i in {*found, *always} if i >= first)
+
+    def follow(trie, text: str | None, first: int) -> dict:
+        changes, waiting = [], hits(trie, text, first) if text is not None else []
+        while waiting and plain[waiting[0]]:
+            i = waiting[0]
+            new = text.replace(rules[i][1], rules[i][2])
+            if new == text:  # replaced by itself
+                waiting = waiting[1:]
+                continue
+            changes.append({"rule": i, "before": text, "after": new})
+            text, waiting = new, hits(trie, new, i + 1)
+        return {"changes": changes, "text": text, "rules": waiting}
+
+    @F.pandas_udf("changes array<struct<rule:int,before:string,after:string>>, text string, rules array<int>")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         trie = build()
         for texts, begin in batches:
-            out = []
-            for text, first in zip(texts, begin):
-                hits = {i for _, found in trie.iter(text) for i in found} if text and len(trie) else set()
-                out.append(sorted(i for i in {*hits, *always} if i >= first) if text is not None else [])
-            yield pd.Series(out)
+            yield pd.DataFrame([follow(trie, text, first) for text, first in zip(texts, begin)], columns=["changes", "text", "rules"])
 
     return find
 
@@ -137,16 +161,17 @@ def _listed(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def _replacement_rounds(df: DataFrame, text: str, rules: list[tuple[int, str, str]]) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """Rounds of (rows that no further rule changes, rows changed by one rule more).
+def _replacement_rounds(df: DataFrame, text: str, rules: list[tuple[int, str, str]], keep_text: bool) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Rounds of (rows that no further rule changes, all rows of the round with their ``_changes``).
 
-    A row goes through the rules that can hit it up to the first that changes
-    it; only then its new text is looked at again, for the rules behind. The
-    result is that of the chain of all rules, at one round per change.
+    A round does the plain rules of a text and then the patterns that can hit it
+    up to the first that changes it; only then its new text is looked at again,
+    for the rules behind. The result is that of the chain of all rules, at one
+    round per change by a pattern. Without ``keep_text`` finished rows have no text.
     """
     find = _candidates(rules)
     patterns, values = _listed([_UNICODE + p for _, p, _ in rules], "string"), _listed([v for *_, v in rules], "string")
-    state = df.withColumns({"_next": F.lit(0), "_before": F.col(text), "_rule": F.lit(None).cast("int")})
+    state = df.withColumn("_next", F.lit(0))
 
     def step(s, i):
         new = F.regexp_replace(s["text"], F.element_at(patterns, i + 1), F.element_at(values, i + 1))
@@ -154,12 +179,16 @@ def _replacement_rounds(df: DataFrame, text: str, rules: list[tuple[int, str, st
         return F.when(s["rule"].isNotNull(), s).otherwise(tried)
 
     while True:
-        start = F.struct(F.col(text).alias("text"), F.lit(None).cast("int").alias("rule"))
-        done = state.withColumn("_out", F.aggregate(find(F.col(text), F.col("_next")), start, step)).withColumns(
-            {"_before": F.col(text), text: F.col("_out.text"), "_rule": F.col("_out.rule"), "_next": F.coalesce(F.col("_out.rule") + 1, F.lit(len(rules)))})
-        done = cut_lineage(done.drop("_out"))
-        state = done.where("_rule IS NOT NULL")
-        yield done.where("_rule IS NULL"), state
+        found = state.withColumn("_found", find(F.col(text), F.col("_next")))
+        start = F.struct(F.col("_found.text").alias("text"), F.lit(None).cast("int").alias("rule"))
+        done = found.withColumn("_out", F.aggregate("_found.rules", start, step))
+        last = F.array(F.struct(F.col("_out.rule").alias("rule"), F.col("_found.text").alias("before"), F.col("_out.text").alias("after")))
+        changes = F.when(F.col("_out.rule").isNull(), F.col("_found.changes")).otherwise(F.concat("_found.changes", last))
+        after = F.col("_out.text") if keep_text else F.when(F.col("_out.rule").isNotNull(), F.col("_out.text"))
+        empty = F.lit(None).cast("array<struct<rule:int,before:string,after:string>>")
+        done = cut_lineage(done.withColumns({"_changes": empty if keep_text else changes, text: after, "_next": F.col("_out.rule") + 1}).drop("_found", "_out"))
+        state = done.where("_next IS NOT NULL").drop("_changes")
+        yield done.where("_next IS NULL"), done
         if state.isEmpty():
             return
 
@@ -168,14 +197,15 @@ def apply_dictionary(df: DataFrame, text: str, rules: list[tuple[int, str, str]]
     """``df`` with all rules applied to ``text`` in line order; for dictionaries of thousands of lines."""
     if not rules:
         return df
-    return reduce(DataFrame.unionByName, [same.select(*df.columns) for same, _ in _replacement_rounds(df, text, rules)])
+    return reduce(DataFrame.unionByName, [same.select(*df.columns) for same, _ in _replacement_rounds(df, text, rules, True)])
 
 
 def audit_dictionary(df: DataFrame, key: list[str], text: str, rules: list[tuple[int, str, str]]) -> DataFrame:
     """:func:`replacement_audit` for dictionaries of thousands of lines: texts are kept once per change, not once per rule."""
     lines, values = _listed([n for n, *_ in rules], "bigint"), _listed([v for *_, v in rules], "string")
-    rows = [changed.select(*key, F.element_at(lines, F.col("_rule") + 1).alias("line_no"), F.col("_before").alias("before"), F.col(text).alias("after"),
-                           F.element_at(values, F.col("_rule") + 1).alias("value")) for _, changed in _replacement_rounds(df.select(*key, text), text, rules)]
+    rows = [done.select(*key, F.inline("_changes")).select(*key, F.element_at(lines, F.col("rule") + 1).alias("line_no"), "before", "after",
+                                                           F.element_at(values, F.col("rule") + 1).alias("value"))
+            for _, done in _replacement_rounds(df.select(*key, text), text, rules, False)]
     return reduce(DataFrame.unionByName, rows)
 
 

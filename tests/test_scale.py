@@ -135,3 +135,22 @@ def test_pages_of_few_segments_are_united_without_a_join(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(P, "box_join", None)
     assert united(df.where("page_id < 50")) == few
+
+
+def test_plain_rules_of_a_dictionary_take_one_round(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folioframe.operators import translate as X
+
+    rules = [(1, "abc", "bcd"), (2, "bcd", "x+"), (4, "x", "x"), (5, "\\+y?", "-"), (6, "-", "abc"), (7, "abc", ""), (8, "zz", "q")]
+    texts = ["abc abc bcd", "abcd", "", None, "x+y zz", "zzz", "ab", "a-bc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.text for r in X.apply_dictionary(df, "text", rules).collect()}
+    assert got == {r.id: r.text for r in df.select("id", X.apply_rules(F.col("text"), rules).alias("text")).collect()}
+    rows = lambda d: sorted(map(tuple, d.select("id", "line_no", "before", "after", "value").collect()))
+    assert rows(X.audit_dictionary(df, ["id"], "text", rules)) == rows(X.replacement_audit(df, ["id"], "text", rules))
+    rounds = []
+    monkeypatch.setattr(X, "cut_lineage", lambda d, cut=X.cut_lineage: rounds.append(1) or cut(d))
+    plain = [(1, "a", "b"), (2, "b", "c"), (3, "c", "d")]
+    assert X.audit_dictionary(spark.createDataFrame([(1, "abc")], "id int, text string"), ["id"], "text", plain).count() == 3
+    assert len(rounds) == 1
