@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as G
 from folioframe.operators import mask as M
 from folioframe.operators import raster as R
+from folioframe.operators import windows as W
 from folioframe.operators.spatial import CELL, box_join, with_cells
 from folioframe.session import cut_lineage
 
@@ -250,9 +253,23 @@ def refine_masks(rgb: DataFrame, windows: DataFrame, inpaint: bool = False) -> D
     Each window proposes masks from its dominant greys and from Otsu thresholds;
     in the order of their distance to the prediction, components are added while
     they bring the result closer, and small holes are closed.
+
+    A window of up to :data:`windows.FEW_PIXELS` is one row; larger ones, and those
+    whose pixels are null or there twice, go through rounds of joins in step.
     """
-    key = ["page_id"]
     windows = cut_lineage(windows)
+    packed = cut_lineage(W.pack(rgb, windows))
+    moved = W.refined(packed.where("few"), inpaint)
+    crowded = packed.where("NOT few").select(*[F.col(c).alias(f"_{c}") for c in W.KEY])
+    if not crowded.isEmpty():
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in W.KEY])
+        moved = moved.unionByName(_refine_crowded(rgb, cut_lineage(windows.join(crowded, same, "left_semi")), inpaint))
+    return M.union(moved)
+
+
+def _refine_crowded(rgb: DataFrame, windows: DataFrame, inpaint: bool) -> DataFrame:
+    """:func:`refine_masks` of windows of any size: one row per pixel and candidate, runs of the results."""
+    key = ["page_id"]
     cells = with_cells(windows, F.col("x1"), F.col("y1"), F.col("x2") - 1, F.col("y2") - 1).drop("_x0", "_y0", "_x1", "_y1")
     at = lambda c: F.floor(F.col(c) / F.lit(512)).cast("bigint")
     px = rgb.withColumns({"_cx": at("x"), "_cy": at("y")}).join(cells, ["page_id", "_cx", "_cy"]).where(
@@ -296,7 +313,6 @@ def refine_masks(rgb: DataFrame, windows: DataFrame, inpaint: bool = False) -> D
         if inpaint:
             merged = M.dilate(merged, M.box_kernel(5), pages)
         merged = cut_lineage(M.fill_holes(merged, pred, pages))
-    moved = merged.select(
+    return merged.select(
         F.col("page_id.page_id").alias("page_id"), (F.col("y") + F.col("page_id.y1")).alias("y"),
         (F.col("x0") + F.col("page_id.x1")).alias("x0"), (F.col("x1") + F.col("page_id.x1")).alias("x1"))
-    return M.union(moved)

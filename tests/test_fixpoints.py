@@ -442,3 +442,71 @@ def test_refined_mask_keeps_the_lettering(spark):
     win = spark.createDataFrame([(1, 1, 2, 4, 40, 30)], "page_id long, block_id long, x1 long, y1 long, x2 long, y2 long")
     got = _pixels(LN.refine_masks(rgb, win))
     assert letters <= got and all(4 <= y < 30 and 2 <= x < 40 for y, x in got)
+
+
+def _odd_pages():
+    """Pages of all sorts: noise, flat ones, lettering, some without a part of their pixels; windows that overlap, touch grid cells or are one pixel."""
+    rng = random.Random(11)
+    rows, windows = [], []
+    for p, (w, h, kind) in enumerate([(40, 25, "noise"), (30, 30, "letters"), (12, 9, "flat"), (24, 40, "letters"), (33, 21, "sparse"), (9, 30, "two")]):
+        left, top = (500, 505) if p == 3 else (0, 0)
+        for y in range(h):
+            for x in range(w):
+                if kind == "sparse" and rng.random() < 0.3:
+                    continue
+                on = (y // 3 + x // 4) % 3 == 0
+                r, g, b = ([rng.randrange(256) for _ in range(3)] if kind in ("noise", "sparse") else [90, 90, 90] if kind == "flat"
+                           else [rng.choice((0, 255))] * 3 if kind == "two" else [(20 if on else 220) + rng.randrange(30) for _ in range(3)])
+                v = rng.choice((0, 61, 128, 255)) if kind in ("noise", "sparse") else 255 if on or rng.random() < 0.6 else rng.randrange(256)
+                rows.append((p, top + y, left + x, r, g, b, v))
+        windows += [(p, 0, left, top, left + w, top + h), (p, 1, left + 2, top + 3, left + w - 1, top + h - 2), (p, 2, left + 5, top + 5, left + 6, top + 6), (p, 3, left, top + 4, left + 7, top + 8)]
+    return rows, windows
+
+
+def _odd_frames(spark):
+    rows, windows = _odd_pages()
+    rgb = spark.createDataFrame(rows, "page_id long, y long, x long, r long, g long, b long, v long")
+    return rgb, spark.createDataFrame(windows, "page_id long, block_id long, x1 long, y1 long, x2 long, y2 long"), windows
+
+
+def _sorted_runs(df):
+    return sorted(map(tuple, df.select("page_id", "y", "x0", "x1").collect()))
+
+
+def test_windows_of_few_pixels_are_refined_as_large_ones(spark, monkeypatch):
+    rgb, win, _ = _odd_frames(spark)
+    want = _sorted_runs(M.union(LN._refine_crowded(rgb, win, False)))
+
+    def none(*_):
+        raise AssertionError("rounds of joins for windows of few pixels")
+
+    monkeypatch.setattr(LN, "_refine_crowded", none)
+    assert _sorted_runs(LN.refine_masks(rgb, win)) == want and len(want) > 100
+
+
+def test_large_and_odd_windows_go_through_the_rounds(spark, monkeypatch):
+    rgb, win, windows = _odd_frames(spark)
+    want = _sorted_runs(LN.refine_masks(rgb, win, inpaint=True))
+    monkeypatch.setattr(LN.W, "FEW_PIXELS", 300)
+    # a pixel that comes twice, and one without a value that lies beyond the windows but in their cell
+    odd = rgb.unionByName(rgb.where("page_id = 2 AND y = 1 AND x = 1")).unionByName(spark.createDataFrame([(5, 50, 3, None, 1, 1, 1)], rgb.schema))
+    packed = LN.W.pack(odd, win)
+    assert {(r.page_id, r.block_id) for r in packed.where("NOT few").collect()} == {(p, b) for p, b, x1, y1, x2, y2 in windows if (x2 - x1) * (y2 - y1) > 300} | {(2, 0)}
+    assert _sorted_runs(LN.refine_masks(rgb, win, inpaint=True)) == want
+
+
+def test_otsu_and_top_colors_of_few_rows(spark):
+    import numpy as np
+    from folioframe.operators import raster as R
+
+    rng = random.Random(2)
+    values = [(k, rng.choice((0, 3, 128, 255)) if k % 3 else rng.randrange(256)) for k in range(40) for _ in range(1 + k * 3)] + [(40, 7)] * 5 + [(41, v) for v in (0, 255)]
+    df = spark.createDataFrame(values, "k long, v long")
+    counts = np.zeros((42, 256), dtype=np.int64)
+    for k, v in values:
+        counts[k, v] += 1
+    assert LN.W._thresholds(counts).tolist() == [r.threshold for r in R.otsu_threshold(df, ["k"]).orderBy("k").collect()]
+    bins = np.zeros((42, 256), dtype=np.int64)
+    for k, v in values:
+        bins[k, v * 255 // 256] += 1
+    assert [LN.W._top_colors(b) for b in bins] == [r.colors for r in R.top_colors(R.gray_bins(df, ["k"]), ["k"]).orderBy("k").collect()]
