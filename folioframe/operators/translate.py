@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from folioframe.functions import language as L
 from folioframe.functions import text as T
@@ -109,49 +112,80 @@ def _plain(pattern: str, value: str) -> bool:
     return bool(pattern) and not re.search(r"[\\^$.|?*+()\[\]{}]", pattern) and not re.search(r"[\\$]", value)
 
 
+#: Characters of texts that workers hand back at once, or those of one text and its change.
+_SENT_CHARS = 1 << 19
+
+
 def _candidates(rules: list[tuple[int, str, str]]):
-    """Function of texts and first rules: what rules of plain texts change, and the rules that may change the text next.
+    """Function of texts and first rules: the rules of plain texts that change a text, and the rules that may change it next.
 
     Rules are followed in line order; a plain one is done where it stands, as
     often as its change lets others hit, up to the first that is a pattern and
-    can hit. ``rules`` are the numbers of that one and of those behind it that
-    can hit; ``before`` and ``after`` are the texts around each change.
+    may hit. ``changed`` are the numbers of the plain rules that were done,
+    ``text`` is the text after them, null if there are none. ``rules`` are the
+    numbers of that pattern and of those behind it that may hit.
     """
     plain = [_plain(pattern, value) for _, pattern, value in rules]
     literals = [required_literal(pattern) for _, pattern, _ in rules]
     always = [i for i, literal in enumerate(literals) if not literal]
+    reach = max(map(len, literals), default=1) - 1
 
     def build():
         import ahocorasick
 
-        trie = ahocorasick.Automaton()
-        for literal in set(literals) - {""}:
-            trie.add_word(literal, [i for i, other in enumerate(literals) if other == literal])
-        if len(trie):
+        trie, numbers = ahocorasick.Automaton(), {}
+        for i, literal in enumerate(literals):
+            if literal:
+                numbers.setdefault(literal, []).append(i)
+        for literal, same in numbers.items():
+            trie.add_word(literal, same)
+        if numbers:
             trie.make_automaton()
         return trie
 
-    def hits(trie, text: str, first: int) -> list[int]:
-        found = {i for _, numbers in trie.iter(text) for i in numbers} if text and len(trie) else set()
-        return sorted(i for i in {*found, *always} if i >= first)
+    def hits(trie, text: str) -> set[int]:
+        return {i for _, numbers in trie.iter(text) for i in numbers} if text and len(trie) else set()
 
-    def follow(trie, text: str | None, first: int) -> dict:
-        changes, waiting = [], hits(trie, text, first) if text is not None else []
+    def changed_parts(old: str, new: str, pattern: str, value: str) -> Iterator[str]:
+        """Parts of a changed text that hold all literals it did not hold before: values, and as much around them as a literal reaches."""
+        if old.count(pattern) * (len(value) + 2 * reach) >= len(new):
+            yield new
+            return
+        at, moved = old.find(pattern), 0
+        while at >= 0:
+            yield new[max(0, at + moved - reach):at + moved + len(value) + reach]
+            at, moved = old.find(pattern, at + len(pattern)), moved + len(value) - len(pattern)
+
+    def follow(trie, text: str | None, first: int) -> tuple[list[int], str | None, list[int]]:
+        seen = {i for i in {*hits(trie, text), *always} if i >= first} if text is not None else set()
+        changed, waiting = [], sorted(seen)
         while waiting and plain[waiting[0]]:
-            i = waiting[0]
-            new = text.replace(rules[i][1], rules[i][2])
-            if new == text:  # replaced by itself
-                waiting = waiting[1:]
+            i = heapq.heappop(waiting)
+            _, pattern, value = rules[i]
+            new = text.replace(pattern, value)
+            if new == text:  # replaced by itself, or changed by a rule before
                 continue
-            changes.append({"rule": i, "before": text, "after": new})
-            text, waiting = new, hits(trie, new, i + 1)
-        return {"changes": changes, "text": text, "rules": waiting}
-
-    @F.pandas_udf("changes array<struct<rule:int,before:string,after:string>>, text string, rules array<int>")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            changed.append(i)
+            for part in changed_parts(text, new, pattern, value):
+                for j in hits(trie, part):
+                    if j > i and j not in seen:
+                        seen.add(j)
+                        heapq.heappush(waiting, j)
+            text = new
+        return changed, text if changed else None, sorted(waiting)
+
+    @F.arrow_udf("changed array<int>, text string, rules array<int>")
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         trie = build()
         for texts, begin in batches:
-            yield pd.DataFrame([follow(trie, text, first) for text, first in zip(texts, begin)], columns=["changes", "text", "rules"])
+            rows, size = [], 0
+            for k in range(len(texts)):
+                rows.append(follow(trie, texts[k].as_py(), begin[k].as_py()))
+                size += len(rows[-1][1] or "")
+                if size >= _SENT_CHARS or k + 1 == len(texts):
+                    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32())))]
+                    yield pa.StructArray.from_arrays(columns, ["changed", "text", "rules"])
+                    rows, size = [], 0
 
     return find
 
@@ -161,13 +195,16 @@ def _listed(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def _replacement_rounds(df: DataFrame, text: str, rules: list[tuple[int, str, str]], keep_text: bool) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """Rounds of (rows that no further rule changes, all rows of the round with their ``_changes``).
+def _replacement_rounds(df: DataFrame, text: str, rules: list[tuple[int, str, str]], audit: bool) -> Iterator[DataFrame]:
+    """Rounds of all rows that the rules may still change.
 
     A round does the plain rules of a text and then the patterns that can hit it
     up to the first that changes it; only then its new text is looked at again,
     for the rules behind. The result is that of the chain of all rules, at one
-    round per change by a pattern. Without ``keep_text`` finished rows have no text.
+    round per change by a pattern: rows with ``_next``, its first rule, go on
+    into the next. For an audit rows have the numbers of the rules that changed
+    them, ``_done``, ``text`` as it was before all of these, if there are any,
+    and ``_after``, the text after the pattern; no text of a change is kept, as a text may have hundreds.
     """
     find = _candidates(rules)
     patterns, values = _listed([_UNICODE + p for _, p, _ in rules], "string"), _listed([v for *_, v in rules], "string")
@@ -180,15 +217,19 @@ def _replacement_rounds(df: DataFrame, text: str, rules: list[tuple[int, str, st
 
     while True:
         found = state.withColumn("_found", find(F.col(text), F.col("_next")))
-        start = F.struct(F.col("_found.text").alias("text"), F.lit(None).cast("int").alias("rule"))
+        start = F.struct(F.coalesce("_found.text", F.col(text)).alias("text"), F.lit(None).cast("int").alias("rule"))
         done = found.withColumn("_out", F.aggregate("_found.rules", start, step))
-        last = F.array(F.struct(F.col("_out.rule").alias("rule"), F.col("_found.text").alias("before"), F.col("_out.text").alias("after")))
-        changes = F.when(F.col("_out.rule").isNull(), F.col("_found.changes")).otherwise(F.concat("_found.changes", last))
-        after = F.col("_out.text") if keep_text else F.when(F.col("_out.rule").isNotNull(), F.col("_out.text"))
-        empty = F.lit(None).cast("array<struct<rule:int,before:string,after:string>>")
-        done = cut_lineage(done.withColumns({"_changes": empty if keep_text else changes, text: after, "_next": F.col("_out.rule") + 1}).drop("_found", "_out"))
-        state = done.where("_next IS NOT NULL").drop("_changes")
-        yield done.where("_next IS NULL"), done
+        after, rule = F.col("_out.text"), F.col("_out.rule")
+        if audit:
+            numbers = F.when(rule.isNull(), F.col("_found.changed")).otherwise(F.concat("_found.changed", F.array(rule)))
+            columns = {"_done": numbers, text: F.when(F.size(numbers) > 0, F.col(text)), "_after": F.when(rule.isNotNull(), after)}
+        else:
+            columns = {text: after}
+        done = cut_lineage(done.withColumns(columns | {"_next": rule + 1}).drop("_found", "_out"))
+        yield done
+        state = done.where("_next IS NOT NULL")
+        if audit:
+            state = state.withColumn(text, F.col("_after")).drop("_done", "_after")
         if state.isEmpty():
             return
 
@@ -197,15 +238,56 @@ def apply_dictionary(df: DataFrame, text: str, rules: list[tuple[int, str, str]]
     """``df`` with all rules applied to ``text`` in line order; for dictionaries of thousands of lines."""
     if not rules:
         return df
-    return reduce(DataFrame.unionByName, [same.select(*df.columns) for same, _ in _replacement_rounds(df, text, rules, True)])
+    return reduce(DataFrame.unionByName, [done.where("_next IS NULL").select(*df.columns) for done in _replacement_rounds(df, text, rules, False)])
+
+
+def _texts_of_changes(done: DataFrame, key: list[str], text: str, rules: list[tuple[int, str, str]]) -> DataFrame:
+    """Pieces ``(*key, _rules, _texts)`` of what changed in a round of an audit: a text more than rules, the first as it was before them.
+
+    Changes are made again from the rules' numbers, a few at once, so however
+    many a text has, a task holds little more than one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[:-3]
+            numbers, before, after = batch.columns[-3:]
+            rows, size = [], 0
+
+            def sent():
+                taken = batch.select(names).take(pa.array([k for k, *_ in rows], pa.int64()))
+                lists = [pa.array([row[1] for row in rows], pa.list_(pa.int32())), pa.array([row[2] for row in rows], pa.list_(pa.string()))]
+                return pa.RecordBatch.from_arrays([*taken.columns, *lists], [*names, "_rules", "_texts"])
+
+            for k in range(batch.num_rows):
+                steps, last, now = numbers[k].as_py(), after[k].as_py(), before[k].as_py()
+                for n, i in enumerate(steps):
+                    if not n or not rows:
+                        rows.append((k, [], [now]))
+                        size += len(now)
+                    pattern = last is not None and n + 1 == len(steps)
+                    now = last if pattern else now.replace(rules[i][1], rules[i][2])
+                    rows[-1][1].append(i)
+                    rows[-1][2].append(now)
+                    size += len(now)
+                    if size >= _SENT_CHARS:
+                        yield sent()
+                        rows, size = [], 0
+            if rows:
+                yield sent()
+
+    changed = done.where(F.size("_done") > 0).select(*key, "_done", text, "_after")
+    fields = [changed.schema[name] for name in changed.columns[:-3]]
+    return changed.mapInArrow(run, StructType(fields).add("_rules", ArrayType(IntegerType())).add("_texts", ArrayType(StringType())))
 
 
 def audit_dictionary(df: DataFrame, key: list[str], text: str, rules: list[tuple[int, str, str]]) -> DataFrame:
-    """:func:`replacement_audit` for dictionaries of thousands of lines: texts are kept once per change, not once per rule."""
+    """:func:`replacement_audit` for dictionaries of thousands of lines: a text is kept once per round, not once per change or rule."""
     lines, values = _listed([n for n, *_ in rules], "bigint"), _listed([v for *_, v in rules], "string")
-    rows = [done.select(*key, F.inline("_changes")).select(*key, F.element_at(lines, F.col("rule") + 1).alias("line_no"), "before", "after",
-                                                           F.element_at(values, F.col("rule") + 1).alias("value"))
-            for _, done in _replacement_rounds(df.select(*key, text), text, rules, False)]
+    changes = F.transform("_rules", lambda r, i: F.struct(r.alias("rule"), F.get("_texts", i).alias("before"), F.get("_texts", i + 1).alias("after")))
+    rows = [_texts_of_changes(done, key, text, rules).select(*key, F.inline(changes)).select(
+                *key, F.element_at(lines, F.col("rule") + 1).alias("line_no"), "before", "after", F.element_at(values, F.col("rule") + 1).alias("value"))
+            for done in _replacement_rounds(df.select(*key, text), text, rules, True)]
     return reduce(DataFrame.unionByName, rows)
 
 

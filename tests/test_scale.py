@@ -1,6 +1,7 @@
 """What keeps operators within the driver, the disk and the time at larger tables."""
 
 import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -154,3 +155,29 @@ def test_plain_rules_of_a_dictionary_take_one_round(spark, monkeypatch):
     plain = [(1, "a", "b"), (2, "b", "c"), (3, "c", "d")]
     assert X.audit_dictionary(spark.createDataFrame([(1, "abc")], "id int, text string"), ["id"], "text", plain).count() == 3
     assert len(rounds) == 1
+
+
+def _chain_of_rules(n):
+    """Each rule makes the word of the next one, so a text has as many changes as rules."""
+    return [(i + 1, f"word{i:03d}", f"word{i + 1:03d}") for i in range(n)]
+
+
+def test_an_audit_of_a_dictionary_keeps_a_text_once_a_round(spark, monkeypatch):
+    rules, filler = _chain_of_rules(100) + [(101, "word[0-9]+", "xx-y"), (102, "-", ""), (103, "xy", "z"), (104, "z{2}", "word000")], "- " * 1000
+    texts = [(1, filler + "word000 z"), (1, filler + "word000 z"), (2, "word099" + filler), (3, filler.replace("-", "+")), (None, "xxyx" + filler), (5, None), (6, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    want = []
+    for k, text in texts:
+        for n, pattern, value in rules if text else []:
+            new = re.sub(pattern, value, text)
+            if new != text:
+                want.append((k, n, text, new, value))
+            text = new
+    kept = []
+    monkeypatch.setattr(X, "cut_lineage", lambda d, cut=X.cut_lineage: kept.append(cut(d)) or kept[-1])
+    # about 3 texts a piece
+    monkeypatch.setattr(X, "_SENT_CHARS", 6000, raising=False)
+    got = X.audit_dictionary(df, ["id"], "text", rules)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    longest = [d.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] for d in kept]
+    assert max(longest) < 3 * len(filler)
