@@ -162,6 +162,15 @@ def _chain_of_rules(n):
     return [(i + 1, f"word{i:03d}", f"word{i + 1:03d}") for i in range(n)]
 
 
+def test_changes_of_a_dictionary_are_found_without_their_texts(spark):
+    rules, text = _chain_of_rules(200), "word000 " + "x " * 2000
+    df = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "id int, text string")
+    found = df.select("id", "text", X._candidates(rules)("text", F.lit(0)).alias("found"))
+    sizes = {r.id: r.n for r in found.select("id", F.length(F.to_json("found")).alias("n")).collect()}
+    assert sizes[1] < 2 * len(text) and sizes[2] < 100 and sizes[3] < 100
+    assert {r.id: r.text for r in X.apply_dictionary(df, "text", rules).collect()} == {1: text.replace("word000", "word200"), 2: "x", 3: None}
+
+
 def test_an_audit_of_a_dictionary_keeps_a_text_once_a_round(spark, monkeypatch):
     rules, filler = _chain_of_rules(100) + [(101, "word[0-9]+", "xx-y"), (102, "-", ""), (103, "xy", "z"), (104, "z{2}", "word000")], "- " * 1000
     texts = [(1, filler + "word000 z"), (1, filler + "word000 z"), (2, "word099" + filler), (3, filler.replace("-", "+")), (None, "xxyx" + filler), (5, None), (6, "")]
