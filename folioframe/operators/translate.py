@@ -282,7 +282,10 @@ def _texts_of_changes(done: DataFrame, key: list[str], text: str, rules: list[tu
 
 
 def audit_dictionary(df: DataFrame, key: list[str], text: str, rules: list[tuple[int, str, str]]) -> DataFrame:
-    """:func:`replacement_audit` for dictionaries of thousands of lines: a text is kept once per round, not once per change or rule."""
+    """:func:`replacement_audit` for dictionaries of thousands of lines: a text is kept once per round, not once per change or rule.
+
+    The key passes through Arrow, which takes no intervals of months and no calendar intervals.
+    """
     lines, values = _listed([n for n, *_ in rules], "bigint"), _listed([v for *_, v in rules], "string")
     changes = F.transform("_rules", lambda r, i: F.struct(r.alias("rule"), F.get("_texts", i).alias("before"), F.get("_texts", i + 1).alias("after")))
     rows = [_texts_of_changes(done, key, text, rules).select(*key, F.inline(changes)).select(
